@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sprintloom import schemas
 from sprintloom.functions.expressions import week_start
-from sprintloom.operators import maintenance, reports
+from sprintloom.operators import maintenance
+from sprintloom.session import shared_dir
+from sprintloom.sources.raw import read_raw_issues
 
 AS_OF = "2001-08-15"
 EPOCH = "1995-01-01"
@@ -267,13 +269,19 @@ class Model:
         issue = F.struct("key", fields.alias("fields"),
                          F.struct(F.array(change).alias("histories")).alias("changelog"))
         line = F.struct("board_name", "sprint_id", "sprint_name", issue.alias("issue"))
-        return self.described_issues.select(F.to_json(line).alias("value"))
+        # The driver's table is one unsplittable file; spread it before the costly conversion.
+        return self.described_issues.repartition("key").select(F.to_json(line).alias("value"))
+
+    @cached_property
+    def landed(self) -> str:
+        """Folder of the lines as files, the way the tracker's documents arrive."""
+        folder = shared_dir(self.spark, "landed")
+        self.raw_text.write.text(folder)
+        return folder
 
     @cached_property
     def raw_issues(self) -> DataFrame:
-        """The same lines parsed with the landed schema, as ``read_raw_issues`` returns them."""
-        parsed = F.from_json("value", schemas.raw_issue_schema())
-        return self.raw_text.select(parsed.alias("line")).select("line.*")
+        return read_raw_issues(self.spark, self.landed)
 
     @cached_property
     def raw_sprints(self) -> DataFrame:

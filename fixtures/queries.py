@@ -66,9 +66,8 @@ def rich_text_to_plain_documents(t: Model) -> DataFrame:
 @query
 def incremental_ingest_issues(t: Model) -> DataFrame:
     root = shared_dir(t.spark, "incremental")
-    t.raw_text.write.text(f"{root}/landed")
     store = TableStore(t.spark, f"{root}/tables")
-    incremental_ingest(store, f"{root}/landed", f"{root}/stream")
+    incremental_ingest(store, t.landed, f"{root}/stream")
     changes = store.read("issue_changelog").groupBy("issue_key").agg(F.count("*").alias("n_changes"))
     notes = store.read("issue_comments").groupBy("issue_key").agg(F.count("*").alias("n_comments"))
     return store.read("issues").join(
@@ -271,31 +270,35 @@ simple(
 
 
 def _velocity(t: Model) -> DataFrame:
-    return r.velocity_by_team(t.issues, t.changelog)
+    return r.velocity_by_team(t.issues, t.changelog, ordered=False)
 
 
 def _individual(t: Model) -> DataFrame:
-    return r.individual_velocity(t.issues, t.changelog)
+    return r.individual_velocity(t.issues, t.changelog, ordered=False)
+
+
+def _recent(t: Model) -> DataFrame:
+    return r.recent_velocity_trend(t.issues, t.changelog, ordered=False)
 
 
 def _achievement(t: Model) -> DataFrame:
-    return s.sprint_achievement(t.issues, t.bridge, t.sprints)
+    return s.sprint_achievement(t.issues, t.bridge, t.sprints, ordered=False)
 
 
 simple(
-    overall_kpis=lambda t: d.overall_kpis(r.team_summary(t.issues), _velocity(t)),
-    trend_class=lambda t: d.trend_class(r.recent_velocity_trend(t.issues, t.changelog)),
-    week_over_week=lambda t: d.week_over_week(r.recent_velocity_trend(t.issues, t.changelog)),
+    overall_kpis=lambda t: d.overall_kpis(r.team_summary(t.issues, ordered=False), _velocity(t)),
+    trend_class=lambda t: d.trend_class(_recent(t)),
+    week_over_week=lambda t: d.week_over_week(_recent(t)),
     team_velocity_stats=lambda t: d.team_velocity_stats(_velocity(t)),
     moving_average=lambda t: d.moving_average(_velocity(t)),
-    sprint_health=lambda t: d.sprint_health(s.active_sprints_progress(t.issues, t.sprints)),
+    sprint_health=lambda t: d.sprint_health(s.active_sprints_progress(t.issues, t.sprints, ordered=False)),
     achievement_kpis=lambda t: d.achievement_kpis(_achievement(t)),
     achievement_by_sprint=lambda t: rounded(
         d.achievement_by_sprint(_achievement(t)), "achievement_pct"),
     carryover_rate=lambda t: d.carryover_rate(_achievement(t)),
-    load_per_member=lambda t: d.load_per_member(r.assignee_load(t.issues)),
-    team_load_class=lambda t: d.team_load_class(r.assignee_load(t.issues)),
-    status_share=lambda t: d.status_share(r.status_breakdown(t.issues)),
+    load_per_member=lambda t: d.load_per_member(r.assignee_load(t.issues, ordered=False)),
+    team_load_class=lambda t: d.team_load_class(r.assignee_load(t.issues, ordered=False)),
+    status_share=lambda t: d.status_share(r.status_breakdown(t.issues, ordered=False)),
     assignee_ranking=lambda t: d.assignee_ranking(_individual(t)),
     assignee_mean_velocity=lambda t: rounded(
         d.assignee_mean_velocity(_individual(t)), "mean_velocity"),

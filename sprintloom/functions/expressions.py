@@ -9,6 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..vocab import DEFAULT, TeamRule, Vocabulary
+from .skew import counted_join
 
 # Every character a Unicode-aware strip removes (Spark's own trim only removes spaces).
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
@@ -65,6 +66,12 @@ def round_sp(value: Column) -> Column:
     return F.round(value, 1)
 
 
+def sort_if(df: DataFrame, ordered: bool, *keys: Column | str) -> DataFrame:
+    """Reports come sorted; a caller that aggregates further saves the sort with ``ordered=False``
+    (Spark keeps a sort below sums of doubles)."""
+    return df.orderBy(*keys) if ordered else df
+
+
 def planned_value(snapshot: Column, current: Column) -> Column:
     return F.coalesce(snapshot, current)
 
@@ -143,11 +150,14 @@ def period_start(as_of: object, days: int, floor: object) -> Column:
     return F.greatest(F.date_sub(as_date(as_of), days), as_date(floor))
 
 
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
 def split_sprint_names(names: Column) -> Column:
     """Names in a ", "-separated list, stripped, blanks dropped; null gives an empty array."""
     parts = F.split(F.coalesce(names, F.lit("")), ", ")
-    stripped = F.transform(parts, lambda part: F.btrim(part, F.lit(WHITESPACE)))
-    return F.filter(stripped, lambda part: part != "")
+    return F.filter(F.transform(parts, strip), lambda part: part != "")
 
 
 # ── frames built straight from the expressions above ────────────────────────────────────────
@@ -172,16 +182,21 @@ def last_completed(changelog: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFra
 
 
 def sprint_counts(sprint_issues: DataFrame) -> DataFrame:
-    """Sprints per issue. Partial sums are taken before the shuffle, so a hot issue is cheap."""
-    return sprint_issues.groupBy("issue_key").agg(F.count("*").alias("sprint_count"))
+    """Sprints per issue. Partial sums are taken before the shuffle, so a hot issue is cheap.
+
+    The null test is what a join on the key implies anyway; written out, every use of the counts
+    in one query has the same plan and shares one shuffle.
+    """
+    return sprint_issues.filter(F.col("issue_key").isNotNull()).groupBy("issue_key").agg(
+        F.count("*").alias("n"))
 
 
 def other_sprint_count(sprint_issues: DataFrame) -> DataFrame:
     """Each membership with the number of other sprints that hold the same issue.
 
-    A pre-aggregate joined back rather than a window: a window would put one issue's whole
-    history into one task, while the join side that is hot here can be split.
+    A pre-aggregate joined back rather than a window, which would put one issue's whole history
+    into one task.
     """
-    return sprint_issues.join(sprint_counts(sprint_issues), "issue_key").select(
-        "sprint_name", "issue_key", (F.col("sprint_count") - 1).alias("other_sprint_count"),
-    )
+    counts = sprint_counts(sprint_issues)
+    return counted_join(sprint_issues, None, counts, "sprint_name").select(
+        "sprint_name", "issue_key", (F.col("n") - 1).alias("other_sprint_count"))

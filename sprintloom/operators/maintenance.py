@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.expressions import (
-    as_date, as_timestamp, contains_any, split_sprint_names, week_start,
+    as_date, as_timestamp, contains_any, strip, week_start,
 )
 from ..vocab import DEFAULT, Vocabulary
 from .reports import avg_recent_velocity
@@ -196,14 +196,19 @@ def weekly_metrics(issues: DataFrame) -> DataFrame:
 def sprint_issues(issues: DataFrame, changelog: DataFrame) -> DataFrame:
     """Every (sprint, issue) pair that holds now or held at some time.
 
-    One history row can only add its own names, deduplicated before they are exploded; the
+    Both name lists of a history row are joined by their own separator and split once; stripping
+    and dropping blanks happen after the explode, where they are part of the generated code. The
     distinct is combined on the map side, so a much-edited issue shuffles each pair once per task.
     """
     current = issues.filter(F.col("sprint_name") != "").select(
         "sprint_name", F.col("key").alias("issue_key"))
-    names = F.concat(split_sprint_names(F.col("from_string")), split_sprint_names(F.col("to_string")))
-    history = changelog.filter(F.col("field") == "Sprint").select(
-        F.explode(F.array_distinct(names)).alias("sprint_name"), "issue_key")
+    both = F.concat_ws(", ", "from_string", "to_string")
+    history = (
+        changelog.filter(F.col("field") == "Sprint")
+        .select(F.explode(F.split(both, ", ")).alias("name"), "issue_key")
+        .select(strip(F.col("name")).alias("sprint_name"), "issue_key")
+        .filter(F.col("sprint_name") != "")
+    )
     return current.unionByName(history).distinct()
 
 

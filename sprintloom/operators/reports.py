@@ -10,17 +10,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import (
     as_date, first_completed, iso_week_label, issue_filter, last_completed, priority_rank,
-    round_sp, safe_pct, sum_if, team_of, week_start,
+    round_sp, safe_pct, sort_if, sum_if, team_of, week_start,
 )
 from ..vocab import DEFAULT, Vocabulary
 
 
-def issues_with_scores(issues: DataFrame, scores: DataFrame) -> DataFrame:
+def issues_with_scores(issues: DataFrame, scores: DataFrame, ordered: bool = True) -> DataFrame:
     found = scores.select(
         F.col("issue_key").alias("key"), "complexity_reasoning", "clarity_score", "clarity_notes")
-    return issues.join(found, "key", "left").select(
-        *issues.columns, "complexity_reasoning", "clarity_score", "clarity_notes",
-    ).orderBy(F.desc_nulls_last("created"), "key")
+    rows = issues.join(found, "key", "left").select(
+        *issues.columns, "complexity_reasoning", "clarity_score", "clarity_notes")
+    return sort_if(rows, ordered, F.desc_nulls_last("created"), "key")
 
 
 # ── leaderboards ────────────────────────────────────────────────────────────────────────────
@@ -140,45 +140,51 @@ def _completed_work(issues: DataFrame, changelog: DataFrame | None, date_from: o
     )
 
 
-def _velocity(work: DataFrame, *keys: str) -> DataFrame:
+def _velocity(work: DataFrame, ordered: bool, *keys: str) -> DataFrame:
     # The label is a function of the week, so it rides along instead of widening the key.
-    return (
+    rows = (
         work.groupBy("week_start", *keys)
         .agg(F.min("week_label").alias("week_label"), F.sum("reported_sp").alias("done_sp"),
              F.count("*").alias("issue_count"))
         .select("week_start", "week_label", *keys, "done_sp", "issue_count")
-        .orderBy("week_start", *keys)
     )
+    return sort_if(rows, ordered, "week_start", *keys)
 
 
 def velocity_by_team(issues: DataFrame, changelog: DataFrame | None, date_from: object = None,
-                     vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None) -> DataFrame:
+                     vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None,
+                     ordered: bool = True) -> DataFrame:
     """Completed story points per week and team."""
-    return _velocity(_completed_work(issues, changelog, date_from, vocab, completed), "team")
+    return _velocity(
+        _completed_work(issues, changelog, date_from, vocab, completed), ordered, "team")
 
 
 def individual_velocity(issues: DataFrame, changelog: DataFrame | None, date_from: object = None,
-                        vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None) -> DataFrame:
+                        vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None,
+                        ordered: bool = True) -> DataFrame:
     """Completed story points per week, assignee and the team the work was done in."""
     return _velocity(
-        _completed_work(issues, changelog, date_from, vocab, completed), "assignee", "team")
+        _completed_work(issues, changelog, date_from, vocab, completed), ordered, "assignee", "team")
 
 
 def recent_velocity_trend(issues: DataFrame, changelog: DataFrame | None,
-                          vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None) -> DataFrame:
+                          vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None,
+                          ordered: bool = True) -> DataFrame:
     """Weekly velocity per team, from 8 weeks before the newest week on (up to 9 weeks)."""
     weekly = (
         _completed_work(issues, changelog, None, vocab, completed)
         .groupBy("week_start", "team").agg(F.sum("reported_sp").alias("done_sp"))
     )
     newest = weekly.agg(F.max("week_start")).scalar()
-    return weekly.filter(F.col("week_start") >= F.date_sub(newest, 56)).orderBy("week_start", "team")
+    rows = weekly.filter(F.col("week_start") >= F.date_sub(newest, 56))
+    return sort_if(rows, ordered, "week_start", "team")
 
 
 # ── issue-only reports ──────────────────────────────────────────────────────────────────────
 
 
-def team_summary(issues: DataFrame, date_from: object = None, vocab: Vocabulary = DEFAULT) -> DataFrame:
+def team_summary(issues: DataFrame, date_from: object = None, vocab: Vocabulary = DEFAULT,
+                 ordered: bool = True) -> DataFrame:
     """Per team: issues, story points, done share and number of members.
 
     Members are counted from one row per (team, assignee), which also carries the sums: two
@@ -191,20 +197,22 @@ def team_summary(issues: DataFrame, date_from: object = None, vocab: Vocabulary
         .agg(F.count("*").alias("n"), F.sum(sp).alias("sp"),
              sum_if(F.col("status_category") == vocab.done, sp).alias("done"))
     )
-    return per_member.groupBy("team").agg(
+    teams = per_member.groupBy("team").agg(
         F.sum("n").alias("total_issues"),
         round_sp(F.sum("sp")).alias("total_sp"),
         round_sp(F.sum("done")).alias("done_sp"),
         safe_pct(F.sum("done"), F.sum("sp")).alias("completion_pct"),
         F.count("assignee").alias("member_count"),
-    ).orderBy("team")
+    )
+    return sort_if(teams, ordered, "team")
 
 
-def assignee_load(issues: DataFrame, team: str | None = None, vocab: Vocabulary = DEFAULT) -> DataFrame:
+def assignee_load(issues: DataFrame, team: str | None = None, vocab: Vocabulary = DEFAULT,
+                  ordered: bool = True) -> DataFrame:
     """Work per assignee and team created in the 4 weeks before the newest issue of any team."""
     newest = issues.agg(F.max("created")).scalar()
     category = F.col("status_category")
-    return (
+    rows = (
         issues.filter(
             F.col("assignee").isNotNull()
             & (F.col("created") >= newest - F.expr("INTERVAL 28 DAYS"))
@@ -214,8 +222,8 @@ def assignee_load(issues: DataFrame, team: str | None = None, vocab: Vocabulary
              round_sp(F.sum("reported_sp")).alias("total_sp"),
              F.count_if(category == vocab.done).alias("done_count"),
              F.count_if(category == vocab.in_progress).alias("in_progress_count"))
-        .orderBy(F.desc_nulls_last("total_sp"), "assignee", "team")
     )
+    return sort_if(rows, ordered, F.desc_nulls_last("total_sp"), "assignee", "team")
 
 
 def _breakdown(issues: DataFrame, by: str, team: str | None, date_from: object,
@@ -228,9 +236,9 @@ def _breakdown(issues: DataFrame, by: str, team: str | None, date_from: object,
 
 
 def status_breakdown(issues: DataFrame, team: str | None = None, date_from: object = None,
-                     vocab: Vocabulary = DEFAULT) -> DataFrame:
-    return _breakdown(issues, "status_category", team, date_from, vocab).orderBy(
-        F.desc("count"), "status_category")
+                     vocab: Vocabulary = DEFAULT, ordered: bool = True) -> DataFrame:
+    rows = _breakdown(issues, "status_category", team, date_from, vocab)
+    return sort_if(rows, ordered, F.desc("count"), "status_category")
 
 
 def priority_breakdown(issues: DataFrame, team: str | None = None, date_from: object = None,
@@ -240,14 +248,15 @@ def priority_breakdown(issues: DataFrame, team: str | None = None, date_from: ob
 
 
 def issues_table(issues: DataFrame, changelog: DataFrame, team: str | None = None,
-                 date_from: object = None, vocab: Vocabulary = DEFAULT) -> DataFrame:
+                 date_from: object = None, vocab: Vocabulary = DEFAULT,
+                 ordered: bool = True) -> DataFrame:
     """Detail rows with team, ISO week and the last completion day."""
     created = F.col("created")
     done = last_completed(changelog, vocab)
     rows = issues.filter(issue_filter(team=team, date_from=date_from, vocab=vocab))
+    dated = rows.join(done, F.col("key") == F.col("issue_key"), "left")
     return (
-        rows.join(done, F.col("key") == F.col("issue_key"), "left")
-        .orderBy(F.desc_nulls_last("created"), "key")
+        sort_if(dated, ordered, F.desc_nulls_last("created"), "key")
         .select(
             "key", "summary", "status", "status_category", "priority", "assignee", "sprint_name",
             team_of(rule=vocab.team_rule).alias("team"),

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import (
     as_date, days_since_update, first_completed, is_done_change, is_high_priority, issue_filter,
-    needs_attention, planned_value, round_sp, safe_pct, sprint_counts, sum_if, team_of,
+    needs_attention, planned_value, round_sp, safe_pct, sort_if, sprint_counts, sum_if, team_of,
     urgency_rank, week_start,
 )
+from ..functions.skew import counted_join
 from ..vocab import DEFAULT, Vocabulary
 from .reports import sprint_column_sums
 
@@ -41,24 +42,25 @@ def _memberships(issues: DataFrame, sprint_issues: DataFrame, team: str | None,
     """Sized issues once per sprint they were ever in, with done and carried-over marks.
 
     An issue is carried over when it is not done and any other sprint holds it too, counted over
-    the whole bridge. The count is joined to the issue first (one row each side), then the bridge.
+    the whole bridge.
     """
     sized = (
         issues.filter((F.col("reported_sp") > 0) & issue_filter(team=team, vocab=vocab))
         .select(F.col("key").alias("issue_key"), team_of(rule=vocab.team_rule).alias("team"),
                 "reported_sp", "status_category", "created")
-        .join(sprint_counts(sprint_issues), "issue_key")
     )
     category = F.col("status_category")
-    return sprint_issues.join(sized, "issue_key").select(
+    joined = counted_join(sprint_issues, sized, sprint_counts(sprint_issues), "sprint_name")
+    return joined.select(
         "sprint_name", "team", "reported_sp", "created",
         (category == vocab.done).alias("is_done"),
-        ((category != vocab.done) & (F.col("sprint_count") > 1)).alias("is_carried"),
+        ((category != vocab.done) & (F.col("n") > 1)).alias("is_carried"),
     )
 
 
 def sprint_achievement(issues: DataFrame, sprint_issues: DataFrame, sprints: DataFrame,
-                       team: str | None = None, vocab: Vocabulary = DEFAULT) -> DataFrame:
+                       team: str | None = None, vocab: Vocabulary = DEFAULT,
+                       ordered: bool = True) -> DataFrame:
     """Per sprint and team: planned (snapshot, else today's total), done and carried-over work."""
     sp = F.col("reported_sp")
     totals = (
@@ -72,13 +74,13 @@ def sprint_achievement(issues: DataFrame, sprint_issues: DataFrame, sprints: Dat
         .filter(F.col("_sum") > 0)
     )
     planned = planned_value(F.col("planned_sp_snapshot"), round_sp(F.col("_sum")))
-    return (
+    rows = (
         totals.join(sprints.select("sprint_name", "planned_sp_snapshot"), "sprint_name", "left")
         .select("sprint_name", "team", "total_issues", planned.alias("planned_sp"), "done_sp",
                 "carryover_sp", "carryover_count",
                 safe_pct(F.col("done_sp"), planned).alias("achievement_pct"))
-        .orderBy("sprint_name", "team")
     )
+    return sort_if(rows, ordered, "sprint_name", "team")
 
 
 def sprint_achievement_timeline(issues: DataFrame, sprint_issues: DataFrame,
@@ -117,23 +119,25 @@ def sprint_registry(sprints: DataFrame, metadata: DataFrame) -> DataFrame:
 def sprint_total_sp(issues: DataFrame, sprint_issues: DataFrame) -> DataFrame:
     """Today's story points per sprint name."""
     sized = issues.select(F.col("key").alias("issue_key"), "reported_sp")
-    return sprint_issues.join(sized, "issue_key").groupBy("sprint_name").agg(
+    joined = counted_join(sprint_issues, sized, sprint_counts(sprint_issues), "sprint_name")
+    return joined.groupBy("sprint_name").agg(
         F.coalesce(F.sum("reported_sp"), F.lit(0.0)).alias("total_sp"))
 
 
 # ── sprints now running ─────────────────────────────────────────────────────────────────────
 
 
-def active_sprints_progress(issues: DataFrame, sprints: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+def active_sprints_progress(issues: DataFrame, sprints: DataFrame, vocab: Vocabulary = DEFAULT,
+                            ordered: bool = True) -> DataFrame:
     """Issues and story points, all and done, per open sprint and team."""
     keep = ("total_issues", "done_issues", "total_sp", "done_sp")
-    return (
+    rows = (
         _in_sprints(issues, sprints, ("active", "future"), "state")
         .groupBy("sprint_name", _team(vocab), "state")
         .agg(*sprint_column_sums(vocab))
         .select("sprint_name", "team", "state", *keep)
-        .orderBy("team", F.desc("state"), "sprint_name")
     )
+    return sort_if(rows, ordered, "team", F.desc("state"), "sprint_name")
 
 
 def active_sprint_details(issues: DataFrame, sprints: DataFrame, metadata: DataFrame,

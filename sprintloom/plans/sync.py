@@ -8,6 +8,7 @@ from ..functions.expressions import as_timestamp
 from ..operators import maintenance as m
 from ..operators.sprint_reports import sprint_total_sp
 from ..schemas import TABLE_KEYS
+from ..session import written
 from ..sources import raw as src
 from ..sources.tables import TableStore
 from ..vocab import DEFAULT, Vocabulary
@@ -40,7 +41,8 @@ def run_sync(store: TableStore, raw_issues: DataFrame, raw_sprints: DataFrame, a
     source = src.sprint_list(raw_sprints)
     before = store.read("synced_sprints")
     selected = src.sprints_to_sync(source, before, full, vocab)
-    documents = raw_issues.join(selected.select("sprint_id"), "sprint_id", "left_semi")
+    wanted = raw_issues.join(selected.select("sprint_id"), "sprint_id", "left_semi")
+    documents = written(wanted, "documents")  # the JSON is parsed once, five steps read the result
     store_documents(store, documents, vocab)
 
     issues = store.read("issues")
