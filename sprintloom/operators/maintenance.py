@@ -237,7 +237,8 @@ def run_log(source: DataFrame, selected: DataFrame, issues: DataFrame, comments:
     per sprint before any join, so neither side carries raw rows into it. ``error`` marks a
     selected sprint whose source row has no name.
     """
-    per_issue = comments.groupBy("issue_key").agg(F.count("*").alias("n_comments"))
+    # An issue fetched for two sprints brings each of its comments twice.
+    per_issue = comments.groupBy("issue_key").agg(F.count_distinct("id").alias("n_comments"))
     keys = issues.groupBy("sprint_id", "key").agg(F.count("*").alias("n_issues"))
     loaded = (
         keys.join(per_issue, F.col("key") == F.col("issue_key"), "left")
