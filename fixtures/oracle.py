@@ -191,7 +191,7 @@ FROM source n""",
   SELECT assignee, team, avg(done_sp) AS m FROM individual GROUP BY ALL) GROUP BY team""",
     "per_pair": """SELECT assignee, team, SUM(done_sp) AS total_sp, CAST(SUM(issue_count) AS BIGINT) AS issue_count,
   COUNT(*) AS active_weeks, avg(done_sp) AS weekly FROM individual GROUP BY ALL""",
-    "threads": """SELECT issue_key, string_agg('- ' || author || ': ' || body, chr(10) ORDER BY created, id) AS thread
+    "threads": """SELECT issue_key, CAST(0 AS BIGINT) AS part, string_agg('- ' || author || ': ' || body, chr(10) ORDER BY created, id) AS thread
 FROM comments GROUP BY issue_key""",
 }
 _TEMPLATE = PROMPT.replace("'", "''").split("%s")
@@ -199,7 +199,7 @@ _SLOTS = ["key", "summary", "CAST(reported_sp AS VARCHAR)", "status", "coalesce(
           "coalesce(nullif(description, ''), '(no description)')",
           "coalesce(nullif(thread, ''), '(no comments)')"]
 VIEWS["prompts"] = (
-    "SELECT key AS issue_key, "
+    "SELECT key AS issue_key, CAST(0 AS BIGINT) AS part, "
     + " || ".join(f"'{text}'" + (f" || {slot}" if slot else "")
                   for text, slot in zip(_TEMPLATE, [*_SLOTS, ""], strict=True))
     + " AS prompt FROM described LEFT JOIN threads ON issue_key = key"

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..vocab import DEFAULT, TeamRule, Vocabulary
-from .skew import counted_join
+from .skew import counted_join, key_counts
 
 # Every character a Unicode-aware strip removes (Spark's own trim only removes spaces).
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
@@ -181,22 +181,12 @@ def last_completed(changelog: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFra
     return _completed(changelog, F.max, vocab)
 
 
-def sprint_counts(sprint_issues: DataFrame) -> DataFrame:
-    """Sprints per issue. Partial sums are taken before the shuffle, so a hot issue is cheap.
-
-    The null test is what a join on the key implies anyway; written out, every use of the counts
-    in one query has the same plan and shares one shuffle.
-    """
-    return sprint_issues.filter(F.col("issue_key").isNotNull()).groupBy("issue_key").agg(
-        F.count("*").alias("n"))
-
-
 def other_sprint_count(sprint_issues: DataFrame) -> DataFrame:
     """Each membership with the number of other sprints that hold the same issue.
 
     A pre-aggregate joined back rather than a window, which would put one issue's whole history
     into one task.
     """
-    counts = sprint_counts(sprint_issues)
+    counts = key_counts(sprint_issues)
     return counted_join(sprint_issues, None, counts, "sprint_name").select(
         "sprint_name", "issue_key", (F.col("n") - 1).alias("other_sprint_count"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import as_timestamp
+from ..functions.skew import flag_hot, key_counts
 from ..schemas import AI_SCORES
 from .reports import leaderboard
 
@@ -22,21 +23,27 @@ PROMPT = (
 )
 
 
+# A thread is divided by the hour when it has more comments than this and is hot as well.
+LONG_THREAD = 10_000
+
+
 def comment_threads(comments: DataFrame) -> DataFrame:
-    """One thread per issue: "- author: body" lines in order of time, then id.
+    """One thread per issue, as part 0: "- author: body" lines in order of time, then id.
 
-    Built in two steps, day by day and then over the days, so that sorting a very long thread is
-    shared between tasks; the last step only strings finished days together.
+    A thread that holds more than a thousandth of all comments and more than ``LONG_THREAD`` of
+    them would be one group beyond any task or cell. It comes whole but in several rows, one part
+    per hour, numbered by time. Comments are counted first, over the key column alone, so the
+    texts are shuffled once.
     """
+    counts = key_counts(comments)
+    parts = flag_hot(comments, counts, at_least=LONG_THREAD).withColumn(
+        "part",
+        F.when(F.col("hot"), F.coalesce(
+            F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01', created)"), F.lit(0)))
+        .otherwise(0).cast("bigint"))
     line = F.concat(F.lit("- "), F.col("author"), F.lit(": "), F.col("body"))
-    days = (
-        comments.withColumn("line", line)
-        .withColumn("day", F.col("created").cast("date"))
-        .groupBy("issue_key", "day")
-        .agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY created, id)").alias("lines"))
-    )
-    return days.groupBy("issue_key").agg(
-        F.expr("listagg(lines, '\\n') WITHIN GROUP (ORDER BY day)").alias("thread"))
+    return parts.withColumn("line", line).groupBy("issue_key", "part").agg(
+        F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY created, id)").alias("thread"))
 
 
 def _or_else(column: str, fallback: str) -> Column:
@@ -45,11 +52,19 @@ def _or_else(column: str, fallback: str) -> Column:
 
 
 def scoring_prompts(issues: DataFrame, comments: DataFrame, template: str = PROMPT) -> DataFrame:
-    """One prompt per issue. The template takes key, summary, points, status, assignee,
-    description and comments, in this order."""
-    rows = issues.join(comment_threads(comments), F.col("key") == F.col("issue_key"), "left")
+    """One prompt per issue, or per part of its thread. The template takes key, summary, points,
+    status, assignee, description and comments, in this order.
+
+    Issues with and without comments are taken apart: an inner join may split a long thread's
+    parts between tasks, which an outer join may not do on this side.
+    """
+    talked = issues.join(comment_threads(comments), F.col("key") == F.col("issue_key"))
+    silent = issues.join(key_counts(comments), F.col("key") == F.col("issue_key"), "left_anti")
+    rows = talked.drop("issue_key").unionByName(
+        silent.withColumn("part", F.lit(0).cast("bigint")).withColumn("thread", F.lit("")))
     return rows.select(
         F.col("key").alias("issue_key"),
+        "part",
         F.format_string(
             template, "key", F.coalesce("summary", F.lit("")),
             F.coalesce("reported_sp", F.lit(0.0)).cast("string"),

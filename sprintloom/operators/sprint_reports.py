@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import (
     as_date, days_since_update, first_completed, is_done_change, is_high_priority, issue_filter,
-    needs_attention, planned_value, round_sp, safe_pct, sort_if, sprint_counts, sum_if, team_of,
+    needs_attention, planned_value, round_sp, safe_pct, sort_if, sum_if, team_of,
     urgency_rank, week_start,
 )
-from ..functions.skew import counted_join
+from ..functions.skew import counted_join, key_counts
 from ..vocab import DEFAULT, Vocabulary
 from .reports import sprint_column_sums
 
@@ -50,7 +50,7 @@ def _memberships(issues: DataFrame, sprint_issues: DataFrame, team: str | None,
                 "reported_sp", "status_category", "created")
     )
     category = F.col("status_category")
-    joined = counted_join(sprint_issues, sized, sprint_counts(sprint_issues), "sprint_name")
+    joined = counted_join(sprint_issues, sized, key_counts(sprint_issues), "sprint_name")
     return joined.select(
         "sprint_name", "team", "reported_sp", "created",
         (category == vocab.done).alias("is_done"),
@@ -119,7 +119,7 @@ def sprint_registry(sprints: DataFrame, metadata: DataFrame) -> DataFrame:
 def sprint_total_sp(issues: DataFrame, sprint_issues: DataFrame) -> DataFrame:
     """Today's story points per sprint name."""
     sized = issues.select(F.col("key").alias("issue_key"), "reported_sp")
-    joined = counted_join(sprint_issues, sized, sprint_counts(sprint_issues), "sprint_name")
+    joined = counted_join(sprint_issues, sized, key_counts(sprint_issues), "sprint_name")
     return joined.groupBy("sprint_name").agg(
         F.coalesce(F.sum("reported_sp"), F.lit(0.0)).alias("total_sp"))
 

@@ -27,6 +27,7 @@ def dashboard(tables: Mapping[str, DataFrame], as_of: object, start: object = No
     if share:
         done = written(done, "first-completed")
     velocity = dict(changelog=None, vocab=vocab, completed=done)
+    # The result names that readers of the export expect.
     return {
         "velocity": r.velocity_by_team(issues, date_from=start, **velocity),
         "teamSummary": r.team_summary(issues, start, vocab),

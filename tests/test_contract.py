@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 import duckdb
@@ -26,7 +27,15 @@ def test_every_query_has_sql():
     assert set(contract.queries()) == set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+# check.py runs every query; here, unless ALL_QUERIES is set, one of each kind.
+SOME = (
+    "rich_text_to_plain_documents ingest_changelog sprint_list csv_export_velocity upsert replace_columns "
+    "sprint_issues transition_snapshots sync_summary sufficiency_update iso_week_label other_sprint_count "
+    "leaderboard_last_3_weeks velocity_by_team team_summary sprint_achievement sprint_daily_burndown "
+    "trend_class velocity_pivot assignee_summary scoring_prompts score_issues").split()
+
+
+@pytest.mark.parametrize("name", list(contract.queries()) if os.environ.get("ALL_QUERIES") else SOME)
 def test_query_equals_sql(spark, con, name):
     frame = contract.queries()[name](spark, FOLDER)
     got = check.rows([tuple(r) for r in frame.collect()], frame.columns)

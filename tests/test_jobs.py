@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sprintloom.functions import skew
-from sprintloom.functions.expressions import other_sprint_count, sprint_counts
-from sprintloom.operators import reports, sprint_reports
+from sprintloom.functions.expressions import other_sprint_count
+from sprintloom.operators import reports, scoring, sprint_reports
 from sprintloom.plans.dashboard import dashboard
 from sprintloom.session import shared_dir, written
 from sprintloom.sinks.export import csv_export, dashboard_export
@@ -117,7 +117,7 @@ def test_hot_issue_is_divided_and_results_stay_whole(spark, conf):
     cold = spark.range(12000).select(F.concat(F.lit("S"), F.col("id") % 40).alias("sprint_name"),
                                      F.concat(F.lit("K"), F.floor(F.col("id") / 3)).alias("issue_key"))
     bridge = hot.unionByName(cold)
-    joined = skew.counted_join(bridge, None, sprint_counts(bridge), "sprint_name")
+    joined = skew.counted_join(bridge, None, skew.key_counts(bridge), "sprint_name")
     where = joined.withColumn("task", F.spark_partition_id()).groupBy("issue_key").agg(
         F.count_distinct("task").alias("tasks"), F.count("*").alias("rows"))
     spread = {r.issue_key: (r.tasks, r.rows) for r in where.collect()}
@@ -147,6 +147,22 @@ def test_hot_sprint_is_split_by_the_join(spark, tmp_path, conf):
     assert "skew=true" in plan(report)
 
 
+def test_long_thread_is_divided_by_the_hour_and_stays_whole(spark, make, monkeypatch):
+    monkeypatch.setattr(scoring, "LONG_THREAD", 100)
+    comments = spark.range(900).select(
+        F.lpad(F.col("id").cast("string"), 4, "0").alias("id"),
+        F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("K"), F.col("id") % 60)).alias("issue_key"),
+        F.lit("ann").alias("author"), F.col("id").cast("string").alias("body"),
+        (F.lit("2025-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("created"))
+    rows = scoring.comment_threads(comments).orderBy("issue_key", "part").collect()
+    hot = [r.thread for r in rows if r.issue_key == "hot"]
+    assert len(hot) == 5  # 300 minutes
+    assert "\n".join(hot) == "\n".join(f"- ann: {i}" for i in range(300))
+    assert len(rows) == 5 + 60 and {r.part for r in rows if r.issue_key != "hot"} == {0}
+    prompts = scoring.scoring_prompts(make.issues(dict(key="hot"), dict(key="none")), comments)
+    assert sorted((r.issue_key, r.part > 0) for r in prompts.collect()) == [("hot", True)] * 5 + [("none", False)]
+
+
 def test_hot_day_does_not_end_in_one_sort_task(spark, make, conf):
     conf(adaptive__coalescePartitions__enabled="false")
     issues = spark.range(4000).select(
