@@ -59,6 +59,13 @@ TABLE_KEYS: dict[str, tuple[str, ...]] = {
     "sprint_issues": ("sprint_name", "issue_key"),
     "sprint_metadata": ("sprint_id",),
 }
+# Order inside each stored file. Row groups then hold few fields of the history, or a short span of
+# days, and the scan skips those that a pushed-down filter rules out. No shuffle is needed for it.
+TABLE_ORDER: dict[str, tuple[str, ...]] = {
+    "issues": ("created",),
+    "issue_changelog": ("field", "created"),
+    "weekly_metrics": ("week_start",),
+}
 # Values given to rows written before a column existed.
 COLUMN_DEFAULTS: dict[str, dict[str, object]] = {
     "issues": {"issuetype": "", "flagged": False},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.maintenance import evolve_schema
-from ..schemas import COLUMN_DEFAULTS, TABLES
+from ..schemas import COLUMN_DEFAULTS, TABLE_ORDER, TABLES
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -53,9 +53,11 @@ class TableStore:
     def write(self, table: str, df: DataFrame) -> DataFrame:
         """Write the next version and return the stored table."""
         version = max(self._versions(table), default=0) + 1
-        columns = TABLES[table].fieldNames()
+        rows = df.select(*TABLES[table].fieldNames())
+        if table in TABLE_ORDER:
+            rows = rows.sortWithinPartitions(*TABLE_ORDER[table])
         # Overwrite clears what an interrupted attempt may have left under this number.
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{table}/v={version}")
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v={version}")
         return self.read(table)
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -221,6 +222,16 @@ def test_store_keeps_versions_and_ignores_unfinished_ones(spark, make, tmp_path)
     assert [r.key for r in store.read("issues").collect()] == ["c"]
 
 
+def test_stored_history_is_grouped_by_field_in_each_file(spark, make, tmp_path):
+    rows = [dict(issue_key=f"K{i}", field=("status", "Sprint", "rank")[i % 3]) for i in range(60)]
+    TableStore(spark, str(tmp_path)).write("issue_changelog", make.changes(*rows).repartition(2))
+    files = sorted((tmp_path / "issue_changelog" / "v=1").glob("part-*.parquet"))
+    assert len(files) == 2
+    for file in files:
+        fields = pq.read_table(file).column("field").to_pylist()
+        assert fields == sorted(fields)
+
+
 def test_store_adds_columns_to_old_tables(spark, make, tmp_path):
     make.issues(dict(key="a")).drop("issuetype").write.parquet(str(tmp_path / "issues" / "v=1"))
     row = TableStore(spark, str(tmp_path)).read("issues").first()
