@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # An issue is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than
-# HOT_SHARE hot issues whatever the data: that is the bound on what is broadcast below.
+# HOT_SHARE hot issues whatever the data: that is the bound on what is broadcast below. Fewer than
+# HOT_ROWS rows are no burden to a task whatever their share.
 HOT_SHARE = 1000
+HOT_ROWS = 1000
 SALTS = 256
 
 
@@ -20,13 +22,15 @@ def key_counts(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def _is_hot(counts: DataFrame, at_least: int):
-    return (F.col("n") >= at_least) & (F.col("n") * HOT_SHARE > counts.agg(F.sum("n")).scalar())
+def _is_hot(counts: DataFrame, at_least: int, share: int) -> Column:
+    return (F.col("n") >= at_least) & (F.col("n") * share > counts.agg(F.sum("n")).scalar())
 
 
-def flag_hot(rows: DataFrame, counts: DataFrame, at_least: int = 0) -> DataFrame:
-    """The rows with a column ``hot``; no shuffle, the hot keys are fewer than HOT_SHARE."""
-    keys = counts.filter(_is_hot(counts, at_least)).select("issue_key", F.lit(True).alias("hot"))
+def flag_hot(rows: DataFrame, counts: DataFrame, at_least: int = HOT_ROWS,
+             share: int = HOT_SHARE) -> DataFrame:
+    """The rows with a column ``hot``; no shuffle, the hot keys are fewer than ``share``."""
+    hot = counts.filter(_is_hot(counts, at_least, share))
+    keys = hot.select("issue_key", F.lit(True).alias("hot"))
     return rows.join(F.broadcast(keys), "issue_key", "left").withColumn(
         "hot", F.coalesce("hot", F.lit(False)))
 
@@ -40,8 +44,8 @@ def counted_join(many: DataFrame, facts: DataFrame | None, counts: DataFrame,
     division, so no task receives a whole hot issue. Other issues join as they are. The division
     is a function of the row, so a repeated task divides alike.
     """
-    divisions = F.when(
-        _is_hot(counts, 0), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    hot = _is_hot(counts, HOT_ROWS, HOT_SHARE)
+    divisions = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     known = counts if facts is None else facts.join(counts, "issue_key")
     known = known.withColumn("_salt", F.explode(divisions))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)

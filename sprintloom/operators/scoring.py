@@ -23,20 +23,22 @@ PROMPT = (
 )
 
 
-# A thread is divided by the hour when it has more comments than this and is hot as well.
+# A thread is divided by the hour when it has this many comments and holds more than
+# 1/THREAD_SHARE of all of them. Fewer than THREAD_SHARE issues can do so: their keys, some tens of
+# megabytes at most, are broadcast. Whatever stays undivided is a millionth of the comments or less.
 LONG_THREAD = 10_000
+THREAD_SHARE = 1_000_000
 
 
 def comment_threads(comments: DataFrame) -> DataFrame:
     """One thread per issue, as part 0: "- author: body" lines in order of time, then id.
 
-    A thread that holds more than a thousandth of all comments and more than ``LONG_THREAD`` of
-    them would be one group beyond any task or cell. It comes whole but in several rows, one part
-    per hour, numbered by time. Comments are counted first, over the key column alone, so the
-    texts are shuffled once.
+    A very long thread would be one group beyond any task or cell. It comes whole but in several
+    rows, one part per hour, numbered by time. Comments are counted first, over the key column
+    alone, so the texts are shuffled once.
     """
     counts = key_counts(comments)
-    parts = flag_hot(comments, counts, at_least=LONG_THREAD).withColumn(
+    parts = flag_hot(comments, counts, LONG_THREAD, THREAD_SHARE).withColumn(
         "part",
         F.when(F.col("hot"), F.coalesce(
             F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01', created)"), F.lit(0)))
