@@ -4,10 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sprintloom.llm import exact_dedup, simhash
-from sprintloom.llm.common import table
+from sprintloom.llm import (
+    chat, decontamination, exact_dedup, language_id, packing, sharding, simhash, token_counts, url_filter)
+from sprintloom.llm.common import id_remainder, table
+from sprintloom.session import shared_dir, written
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted with their word counts and then with BPE counts as a second tokenizer version.
+    A third batch revises the word counts, which now include an end token per document, and deletes the BPE
+    counts of toxic documents. The second batch is sent twice."""
+    counts = written(token_counts.count_tokens(table(spark, sf_dir, "documents")), "token-counts")
+    none = F.lit(None).cast("long")
+    insert = lambda version, tokens: counts.select(
+        F.lit("insert").alias("change"), "source", "lang", F.lit(version).alias("tokenizer"), F.col(tokens).alias("tokens"), none.alias("old_tokens"))
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    removed = counts.join(toxic, "doc_id", "left_semi").select(
+        F.lit("delete").alias("change"), "source", "lang", F.lit(token_counts.BPE).alias("tokenizer"), F.col("bpe_tokens").alias("tokens"), none.alias("old_tokens"))
+    with_end = counts.select(F.lit("revise").alias("change"), "source", "lang", F.lit(token_counts.WORDS).alias("tokenizer"),
+                             (F.col("words") + 1).alias("tokens"), F.col("words").alias("old_tokens"))
+    rollup = token_counts.Rollup(spark, shared_dir(spark, "rollup"))
+    rollup.commit("words", insert(token_counts.WORDS, "words"))
+    for _ in range(2):
+        rollup.commit("bpe", insert(token_counts.BPE, "bpe_tokens"))
+    rollup.commit("corrections", removed.union(with_end))
+    return rollup.totals()
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 4) == 2
+    found = language_id.identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "lang_pred", "score")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,15 +51,90 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(written(chat.segments(given.union(extra)), "chat"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
+    "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op6_sharding": op6_sharding,
+    "op7_url_filter": op7_url_filter,
+    "op8_packing": op8_packing,
+    "op9_chat": op9_chat,
 }
 
+def _url_sql() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    rules = ", ".join(f"({quoted(r.host)}, {quoted(r.path)}, {quoted(r.verdict)})" for r in url_filter.HOST_RULES)
+    patterns = ", ".join(f"({quoted(r.name)}, {quoted(r.verdict)}, {quoted(url_filter.regex_of(r.pattern))})" for r in url_filter.PATTERN_RULES)
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+        WITH rules(host, path, verdict) AS (VALUES {rules}), patterns(name, verdict, regex) AS (VALUES {patterns}),
+        parsed AS (
+            SELECT page_id, coalesce(url, '') AS url,
+                   {low.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), '')")} AS host,
+                   coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+        own AS (
+            SELECT page_id, max({{'size': length(r.host) + length(r.path), 'name': r.host || r.path, 'verdict': r.verdict}}) AS r
+            FROM parsed p JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path) GROUP BY page_id),
+        found AS (
+            SELECT page_id, string_agg(m.name, ',' ORDER BY m.name) AS patterns, bool_or(m.verdict = 'allow') AS allowed,
+                   bool_or(m.verdict = 'block') AS blocked
+            FROM parsed p JOIN patterns m ON regexp_matches({low.format("p.url")}, m.regex) GROUP BY page_id)
+        SELECT page_id, host, path, r.name AS rule, coalesce(patterns, '') AS patterns,
+               coalesce(r.verdict, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+        FROM parsed LEFT JOIN own USING (page_id) LEFT JOIN found USING (page_id)"""
+
+
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op6_sharding": f"""
+        WITH hashed AS (
+            SELECT doc_id, strlen(coalesce(text, '')) AS bytes, row_number() OVER () AS row,
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)
+                        || substr(md5(coalesce(text, '')), 1, 7) AS BIGINT) AS hash
+            FROM documents),
+        sized AS (
+            SELECT *, hash >> (60 - depth) AS prefix, sum(bytes) OVER same AS shard_bytes, count(*) OVER same AS shard_docs
+            FROM hashed, (SELECT CAST(unnest(range(61)) AS INTEGER) AS depth) WINDOW same AS (PARTITION BY depth, hash >> (60 - depth)))
+        SELECT doc_id, hash, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth,
+               shard_docs, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_bytes <= {sharding.LIMIT} AS fits
+        FROM sized WHERE shard_bytes <= {sharding.LIMIT} OR depth = 60
+        QUALIFY row_number() OVER (PARTITION BY row ORDER BY depth) = 1""",
+    "op7_url_filter": _url_sql(),
+    "op9_chat": """
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        whole AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+                   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+                   sum(13 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\\\<\\[]', '', 'g'))) AS chars
+            FROM rows GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+               CAST(chars AS BIGINT) AS formatted_chars FROM whole""",
 }
