@@ -10,14 +10,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sprintloom.llm.common import worker_cache
+from sprintloom.session import written
 
 UNKNOWN = "und"
 # Bounds of the broadcast model: about 40 bytes a word or n-gram and 4 a language.
@@ -27,7 +27,7 @@ SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _PIECE = 1 << 20
 _FLUSH = 1_000_000
-_CACHE = 200_000
+_REMEMBERED = 200_000
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -56,6 +56,7 @@ class Model:
     word_logs: np.ndarray
     grams: dict[int, dict[str, int]]
     gram_logs: dict[int, np.ndarray]
+    remembered: dict[str, np.ndarray] = field(default_factory=dict)
 
     def unseen(self, word: str) -> np.ndarray:
         """The mean log frequencies of the word's known n-grams of the longest order that has any."""
@@ -66,7 +67,7 @@ class Model:
                 return self.gram_logs[order][rows].mean(0, dtype=np.float64)
         return np.zeros(len(self.languages))
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float]:
         total, letters = np.zeros(len(self.languages)), False
         for words in words_of(text or ""):
             letters = letters or any(c.isalpha() for w in words for c in w)
@@ -79,11 +80,11 @@ class Model:
                 index, times = np.array(rows).T
                 total += times @ self.word_logs[index]
             for word, times in rest:
-                logs = cache.get(word)
+                logs = self.remembered.get(word)
                 if logs is None:
                     logs = self.unseen(word)
-                    if len(cache) < _CACHE:
-                        cache[word] = logs
+                    if len(self.remembered) < _REMEMBERED:
+                        self.remembered[word] = logs
                 total += times * logs
         if not letters or not self.languages:
             return UNKNOWN, 0.0
@@ -150,7 +151,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
     counted = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    counted = counted.repartition("word").cache()
+    counted = written(counted, "word-counts")
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
 
@@ -161,15 +162,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
 
     known, word_logs = _logs(top(counted, "word", words), "word", languages, np.array([totals[x] for x in languages], float))
     by_gram = counted.select("lang", "word", "n").mapInArrow(
-        _count_grams, "lang string, size int, gram string, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).cache()
+        _count_grams, "lang string, size int, gram string, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    by_gram = written(by_gram, "gram-counts")
     gram_index, gram_logs = {}, {}
     for order in ORDERS:
         own = by_gram.filter(F.col("size") == order)
         sums = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         gram_index[order], gram_logs[order] = _logs(
             top(own, "gram", grams), "gram", languages, np.array([sums.get(x, 0) for x in languages], float))
-    counted.unpersist()
-    by_gram.unpersist()
     return Model(languages, known, word_logs, gram_index, gram_logs)
 
 
@@ -184,11 +184,7 @@ def predict(model: Model, text: Column, spark) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
-        caches = worker_cache("language_id")
-        if caches.get("of") != shared.id:
-            caches.update(of=shared.id, words={})
-        found = [shared.value.predict(t, caches["words"]) for t in texts]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return of(text)
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sprintloom.llm import (
-    chat, decontamination, exact_dedup, language_id, packing, sharding, simhash, token_counts, url_filter)
+    chat, decontamination, exact_dedup, language_id, packing, recurrent_lm, sharding, simhash, token_counts,
+    url_filter)
 from sprintloom.llm.common import id_remainder, table
 from sprintloom.session import shared_dir, written
 
@@ -70,6 +71,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(written(chat.segments(given.union(extra)), "chat"))
 
 
+def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score_documents(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
+    "op10_recurrent_lm": op10_recurrent_lm,
 }
 
 def _url_sql() -> str:
