@@ -1,0 +1,110 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from conftest import dicts
+from sprintloom.llm import decontamination as d
+from .conftest import LONG
+
+
+def best_edits(item, text):
+    """Fewest edits between the item and any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row = row, [i]
+        for j, x in enumerate(text, 1):
+            row.append(min(last[j - 1] + (c != x), last[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+def mutated(rng, text, edits):
+    text = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(text)), rng.random()
+        if kind < 0.4:
+            text[at] = rng.choice("qxz")
+        elif kind < 0.7:
+            text.insert(at, rng.choice("qxz"))
+        else:
+            del text[at]
+    return "".join(text)
+
+
+def prose(rng, words):
+    return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9))) for _ in range(words))
+
+
+def test_normal_form():
+    assert d.normal_form(None) == d.normal_form(" -_ ") == ""
+    assert d.normal_form("  Ab, c__D\nÉ 5!") == "ab c d é 5"
+
+
+@pytest.mark.parametrize("q", [1, 2, 5, 8, 10, 13])
+def test_hashes_are_equal_for_equal_grams(q):
+    codes = np.array([random.Random(q).randrange(97, 99) for _ in range(300)], np.uint32)
+    hashes = d.qgram_hashes(codes, q)
+    assert len(hashes) == 300 - q + 1
+    seen = {}
+    for i, h in enumerate(hashes):
+        assert seen.setdefault(codes[i:i + q].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_same_as_edit_distance_everywhere():
+    rng = random.Random(1)
+    items = [prose(rng, n) for n in (12, 20, 30, 45)]
+    found = d.index([(i, d.normal_form(t)) for i, t in enumerate(items)], q=6, share=0.08)
+    texts = []
+    for _ in range(120):
+        n = rng.randrange(4)
+        edits = rng.randrange(0, int(found.budgets[n]) + 4)
+        texts.append(prose(rng, rng.randrange(0, 30)) + " " + mutated(rng, items[n], edits) + " " + prose(rng, rng.randrange(0, 30)))
+    hits = d.find(found, texts)
+    exactly = 0
+    for text, own in zip(texts, hits):
+        form = d.normal_form(text)
+        want = {}
+        for n, item in enumerate(found.items):
+            edits = best_edits(item, form)
+            if edits <= found.budgets[n]:
+                want[n] = edits
+        assert {h[0]: h[3] for h in own} == want
+        exactly += len(want)
+        for n, start, end, edits, shared in own:
+            assert best_edits(found.items[n], d.normal_form(text[start:end])) <= edits + 1
+            assert shared >= found.bounds[n]
+    assert exactly > 60
+
+
+def test_offsets_are_those_of_the_text_as_given():
+    found = d.index([(7, d.normal_form("Was ist der Sinn dieser Frage?"))])
+    text = "Zuerst dies.\n\n  WAS -- ist der Sinn, dieser Frage!  Danach"
+    assert [text[s:e] for _, s, e, _, _ in d.find(found, [text])[0]] == ["WAS -- ist der Sinn, dieser Frage"]
+
+
+def test_rows(spark, docs):
+    rng = random.Random(4)
+    item = prose(rng, 30)
+    benchmark = spark.createDataFrame([(1, item, "x"), (1, item, "x"), (None, "ab cd", "x"), (3, None, "x"), (4, " ?", "x"), (5, "", "x")],
+                                      "item_id long, text string, start string")
+    rows = [(1, prose(rng, 50) + " " + item.upper() + "."), (2, prose(rng, 80)), (3, None), (4, ""), (5, "AB, cd!"), (6, "ab cde"),
+            (None, item), (None, item), (7, LONG + item + " " + LONG)]
+    out = [(r["doc_id"], r["item_id"], r["edits"]) for r in dicts(d.contaminated(docs(rows), benchmark))]
+    assert sorted(out, key=str) == sorted([(1, 1, 0), (5, None, 0), (None, 1, 0), (None, 1, 0), (7, 1, 0)], key=str)
+    given = docs(rows)
+    kept = d.drop_contaminated(given, benchmark)
+    assert kept.columns == given.columns
+    assert sorted(r["doc_id"] for r in dicts(kept)) == [2, 3, 4, 6]
+
+
+def test_empty_tables_and_blocks(spark, docs):
+    rng = random.Random(6)
+    items = [prose(rng, 25) for _ in range(9)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert dicts(d.contaminated(docs([]), benchmark)) == []
+    assert dicts(d.contaminated(docs([(1, "a")]), benchmark.filter("false"))) == []
+    blocks = d.benchmark_blocks(benchmark, block_chars=200)
+    assert len(blocks) > 2 and sorted(i for b in blocks for i in b.ids) == list(range(9))

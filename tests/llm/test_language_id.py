@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import math
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import dicts
+from sprintloom.llm import language_id as l
+from sprintloom.llm.common import id_remainder, table
+
+TRAIN = [(1, "the cat and the dog", "en"), (2, "the house", "en"), (3, "der hund und die katze", "de"), (4, "das haus und der hund", "de"),
+         (5, None, "en"), (6, "ignored words", None)]
+
+
+def test_known_words_and_backoff(docs):
+    model = l.learn(docs(TRAIN))
+    assert model.languages == ["de", "en"]
+    counts = {"en": {"the": 3, "cat": 1, "and": 1, "dog": 1, "house": 1}, "de": {"der": 2, "hund": 2, "und": 2, "die": 1, "katze": 1, "das": 1, "haus": 1}}
+    words = sorted({w for c in counts.values() for w in c})
+    assert sorted(model.words) == words
+    for at, lang in enumerate(model.languages):
+        total = sum(counts[lang].values()) + l.SMOOTH * (len(words) + 1)
+        for word in words:
+            assert math.isclose(model.word_logs[model.words[word], at], math.log((counts[lang].get(word, 0) + l.SMOOTH) / total), rel_tol=1e-5)
+    assert "hunde" not in model.words
+    known = [g for g in l.grams_of("hunde", 4) if g in model.grams[4]]
+    assert known == ["^hun", "hund"]
+    mean = sum(model.gram_logs[4][model.grams[4][g]] for g in known) / 2
+    assert model.unseen("hunde") == pytest.approx(mean)
+    assert model.unseen("xq") == pytest.approx([0, 0])
+    assert model.predict("hunde")[0] == "de"
+
+
+def test_text_in_pieces_counts_the_same(docs, monkeypatch):
+    model = l.learn(docs(TRAIN))
+    text = "der hund, the cat; KATZE und 12 haus²" * 5
+    want = model.predict(text)
+    monkeypatch.setattr(l, "_PIECE", 3)
+    assert [w for ws in l.words_of(text) for w in ws][:4] == ["der", "hund", "the", "cat"]
+    assert model.predict(text)[0] == want[0]
+    assert model.predict(text)[1] == pytest.approx(want[1])
+
+
+def test_predictions_in_odd_cases(docs):
+    rows = [*TRAIN, (7, "", "en"), (8, "12 ½ !?", "en"), (None, "der", None), (None, "der", None), (9, "the " * 100_000, "de")]
+    out = [(r["doc_id"], r["lang_pred"], r["score"]) for r in dicts(l.identify(docs(rows), F.col("doc_id") <= 6))]
+    by_id = {i: (p, x) for i, p, x in out}
+    assert len(out) == len(rows)
+    assert by_id[5] == by_id[7] == by_id[8] == ("und", 0.0)
+    assert by_id[None][0] == "de" and by_id[9][0] == "en" and by_id[1][0] == "en"
+    assert all(0 <= x <= 1 for _, x in by_id.values())
+
+
+def test_without_training_rows(docs):
+    out = dicts(l.identify(docs([(1, "words", None), (2, None, "en")]), F.lit(True)))
+    assert [(r["lang_pred"], r["score"]) for r in out] == [("und", 0.0)] * 2
+    assert dicts(l.identify(docs([]), F.lit(True))) == []
+    kept = l.keep_identified(docs([(1, "words", None), (2, None, None), (3, "1", None)]))
+    assert [r["doc_id"] for r in dicts(kept)] == [1]
+
+
+def test_filter_keeps_columns(docs):
+    given = docs([*TRAIN, (7, "12", "en")])
+    kept = l.keep_identified(given)
+    assert kept.columns == given.columns
+    assert sorted(r["doc_id"] for r in dicts(kept)) == [1, 2, 3, 4, 6]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="driver tables not present")
+def test_held_out_accuracy(spark):
+    given = table(spark, "/root/testdata/sf0.01", "documents")
+    held = id_remainder("doc_id", 4) == 2
+    found = l.identify(given, ~held).filter("not train").join(given.select("doc_id", "lang"), "doc_id")
+    right, total = found.agg(F.count_if(F.col("lang_pred") == F.col("lang")), F.count("*")).first()
+    assert total > 200 and right / total > 0.98

@@ -1,0 +1,55 @@
+from __future__ import annotations
+
+import pytest
+
+from conftest import dicts
+from sprintloom.llm import token_counts as t
+from .test_packing import ids
+
+
+@pytest.fixture
+def rollup(spark, tmp_path):
+    return t.Rollup(spark, str(tmp_path / "rollup"))
+
+
+def changes(spark, *rows):
+    return spark.createDataFrame([r + (None,) * (6 - len(r)) for r in rows], t.CHANGES)
+
+
+def totals(rollup):
+    return sorted((tuple(r.values()) for r in dicts(rollup.totals())), key=str)
+
+
+def test_counts(docs):
+    rows = [(1, "one two, three"), (2, None), (3, ""), (1, "one two, three"), (None, "É\u00a0x y")]
+    out = [(r["doc_id"], r["bpe_tokens"], r["words"]) for r in dicts(t.count_tokens(docs(rows)))]
+    want = [(i, len(ids(x)) - 1, len((x or "").encode().split())) for i, x in rows]
+    assert sorted(out, key=str) == sorted(want, key=str)
+    assert dicts(t.count_tokens(docs([]))) == []
+
+
+def test_signed_changes_add_up(spark, rollup):
+    assert totals(rollup) == []
+    assert rollup.commit("a", changes(spark, ("insert", "s", "en", "v1", 10), ("insert", "s", "en", "v1", 5), ("insert", None, None, "v1", None)))
+    assert rollup.commit("b", changes(spark, ("delete", "s", "en", "v1", 5), ("revise", "s", "en", "v1", 13, 10), ("insert", "s", "en", "v2", 7)))
+    assert totals(rollup) == sorted([("s", "en", "v1", 1, 13), ("s", "en", "v2", 1, 7), (None, None, "v1", 1, 0)], key=str)
+    assert rollup.commit("c", changes(spark, ("delete", "s", "en", "v2", 7)))
+    assert ("s", "en", "v2", 0, 0) not in totals(rollup) and len(totals(rollup)) == 2
+
+
+def test_a_batch_counts_once(spark, rollup, tmp_path):
+    batch = changes(spark, ("insert", "s", "en", "v1", 10), ("insert", "s", "en", "v1", 10))
+    assert rollup.commit("day/1", batch)
+    assert not rollup.commit("day/1", batch)
+    assert not t.Rollup(spark, str(tmp_path / "rollup")).commit("day/1", changes(spark, ("insert", "x", "en", "v1", 99)))
+    assert totals(rollup) == [("s", "en", "v1", 2, 20)]
+    assert rollup.commit("day-1", batch) and totals(rollup) == [("s", "en", "v1", 4, 40)]
+
+
+def test_lost_writers_leave_no_trace(spark, rollup, tmp_path):
+    t.delta(changes(spark, ("insert", "s", "en", "v1", 10))).write.parquet(str(tmp_path / "rollup" / "deltas" / "a-lost"))
+    assert totals(rollup) == []
+    with pytest.raises(Exception, match="unknown change"):
+        rollup.commit("bad", changes(spark, ("insret", "s", "en", "v1", 10)))
+    assert totals(rollup) == []
+    assert rollup.commit("none", changes(spark).filter("false")) and totals(rollup) == []
