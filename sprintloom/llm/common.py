@@ -40,3 +40,20 @@ def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, which runs many tasks one after another."""
     home = sys.modules.setdefault("_sprintloom_worker_caches", ModuleType("_sprintloom_worker_caches"))
     return home.__dict__.setdefault(name, {})
+
+
+def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the largest counts, ``most`` at most: all above a bound that is found from a histogram.
+
+    The histogram has 32 steps for each doubling, so it is small whatever the table. Rows of one step come
+    together or not at all; that keeps the choice free of ties and of sorting everything.
+    """
+    step = F.floor(F.log2(F.col(count)) * 32).cast("int")
+    sizes = counted.filter(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+    taken, bound = 0, None
+    for row in sorted(sizes, key=lambda r: -r.step):
+        taken += row.n
+        if taken > most:
+            break
+        bound = row.step
+    return counted.filter(F.lit(False) if bound is None else (F.col(count) > 0) & (step >= bound))

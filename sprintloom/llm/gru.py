@@ -78,41 +78,51 @@ class Net:
         candidate = np.tanh(gates[:, 2 * size:] + reset * part)
         return candidate + update * (state - candidate), update, reset, candidate, part
 
+    def _shares(self, states: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray):
+        """Softmax over the columns of ``weights`` and the log-probability of the chosen one. States lie between -1
+        and 1, so weights bound the logits; only logits that might overflow are moved down first."""
+        logits = states @ weights
+        logits += bias
+        if float((np.abs(weights).sum(0) + np.abs(bias)).max()) > 80:
+            logits -= logits.max(1, keepdims=True)
+        picked = logits[np.arange(len(chosen)), chosen]
+        share = np.exp(logits, out=logits)
+        total = share @ np.ones(share.shape[1], np.float32)
+        return share, total, picked - np.log(total)
+
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: Grads | None = None) -> np.ndarray:
         """Natural log-probability of each target given its state; with ``grads`` also the loss's gradients.
 
         Targets of ``words`` or more are of the last class. ``grads.states`` receives the gradient by state."""
-        own_class = np.searchsorted(self.bounds, np.minimum(targets, self.words), "right") - 1
-        rows = np.arange(len(targets))
-        logits = states @ self.classes + self.class_bias
-        logits -= logits.max(1, keepdims=True)
-        share = np.exp(logits)
-        total = share.sum(1, keepdims=True)
-        out = logits[rows, own_class] - np.log(total[:, 0])
+        count = len(self.bounds) - 1
+        class_of = np.r_[np.repeat(np.arange(count), np.diff(self.bounds)), count].astype(np.uint16)
+        own_class = class_of[np.minimum(targets, self.words)]
+        order = np.argsort(own_class, kind="stable")  # from here on rows lie class by class
+        states, targets, own_class = states[order], targets[order], own_class[order]
+        share, total, logs = self._shares(states, self.classes, self.class_bias, own_class)
         if grads:
-            share /= total
-            share[rows, own_class] -= 1
-            grads.classes = states.T @ share
-            grads.class_bias = share.sum(0)
-            grads.states = share @ self.classes.T
-            grads.words = []
-        order = np.argsort(own_class, kind="stable")
-        cuts = np.searchsorted(own_class[order], np.arange(len(self.bounds)))
-        for c in range(len(self.bounds) - 1):
-            first, last, some = self.bounds[c], self.bounds[c + 1], order[cuts[c]:cuts[c + 1]]
-            if last - first < 2 or not len(some):
+            share /= total[:, None]
+            share[np.arange(len(targets)), own_class] -= 1
+            grads.classes, grads.class_bias, grads.words = states.T @ share, share.sum(0), []
+            by_state = share @ self.classes.T
+        cuts = np.r_[0, np.cumsum(np.bincount(own_class, minlength=count + 1))].tolist()
+        for c in range(count):
+            first, last, some = self.bounds[c], self.bounds[c + 1], slice(cuts[c], cuts[c + 1])
+            if last - first < 2 or cuts[c] == cuts[c + 1]:
                 continue
-            own, place, count = states[some], targets[some] - first, np.arange(len(some))
-            logits = own @ self.outputs[first:last].T + self.output_bias[first:last]
-            logits -= logits.max(1, keepdims=True)
-            share = np.exp(logits)
-            total = share.sum(1, keepdims=True)
-            out[some] += logits[count, place] - np.log(total[:, 0])
+            own, place, weights = states[some], targets[some] - first, self.outputs[first:last]
+            share, total, inner = self._shares(own, weights.T, self.output_bias[first:last], place)
+            logs[some] += inner
             if grads:
-                share /= total
-                share[count, place] -= 1
+                share /= total[:, None]
+                share[np.arange(len(own)), place] -= 1
                 grads.words.append((first, last, share.T @ own, share.sum(0)))
-                grads.states[some] += share @ self.outputs[first:last]
+                by_state[some] += share @ weights
+        out = np.empty_like(logs)
+        out[order] = logs
+        if grads:
+            grads.states = np.empty_like(by_state)
+            grads.states[order] = by_state
         return out
 
 
@@ -212,7 +222,7 @@ def train(net: Net, docs: list[np.ndarray], optimizer: Adagrad, lanes: int, wind
     return total
 
 
-def score(net: Net, docs: list[np.ndarray], lanes: int, window: int = 16) -> np.ndarray:
+def score(net: Net, docs: list[np.ndarray], lanes: int, window: int = 48) -> np.ndarray:
     """The natural log-probability of each whole document of token numbers, its state carried throughout."""
     laid, out = Lanes(docs, lanes, net.words), np.zeros(len(docs))
     state = np.zeros((laid.targets.shape[1], net.hidden), np.float32)

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sprintloom.llm.common import most_frequent
 from sprintloom.session import written
 
 UNKNOWN = "und"
@@ -145,9 +146,9 @@ def _logs(top: pd.DataFrame, item: str, languages: list[str], totals: np.ndarray
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, grams: int = GRAMS) -> Model:
     """A model of all rows with a text and a language; without any, a model that knows no language.
 
-    Words and n-grams are counted in the tasks and summed by Spark. The driver receives the ``words`` most
-    frequent words and the ``grams`` most frequent n-grams of each order, ties in alphabetical
-    order, and totals by language, never more.
+    Words and n-grams are counted in the tasks and summed by Spark. The driver receives up to ``words`` of the
+    most frequent words and ``grams`` of the most frequent n-grams of each order, and totals by
+    language, never more.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
     counted = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
@@ -157,7 +158,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
 
     def top(table: DataFrame, item: str, size: int) -> pd.DataFrame:
         each = table.groupBy(item).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        best = each.orderBy(F.desc("all"), item).limit(size)
+        best = most_frequent(each, "all", size)
         return best.select(item, F.explode("by").alias("b")).select(item, "b.lang", "b.n").toPandas()
 
     known, word_logs = _logs(top(counted, "word", words), "word", languages, np.array([totals[x] for x in languages], float))

@@ -13,6 +13,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sprintloom.llm.common import word_lists
+from sprintloom.llm.common import most_frequent, word_lists
 from sprintloom.llm.gru import Adagrad, Net, score, train
 from sprintloom.session import written
 
@@ -35,11 +36,11 @@ class Settings:
     words: int = 4096
     known: int = 131_072
     hidden: int = 16
-    classes: int = 48
-    rate: float = 0.2
-    rounds: int = 4
-    lanes: int = 128
-    window: int = 24
+    classes: int = 32
+    rate: float = 0.3
+    rounds: int = 3
+    lanes: int = 256
+    window: int = 32
     # Training tokens that a copy of the weights takes in a round, so copies grow with the corpus.
     copy_tokens: int = 1 << 20
     # Tokens that a task lays out on its lanes at a time.
@@ -79,7 +80,7 @@ def tokens_of(text: str | None) -> Iterator[list[bytes]]:
 
 
 def _numbered(text: str | None, ids: dict[bytes, int], rest: int) -> np.ndarray:
-    return np.concatenate([np.fromiter((ids.get(w, rest) for w in ws), np.int32, len(ws)) for ws in tokens_of(text)])
+    return np.concatenate([np.fromiter(map(ids.get, ws, repeat(rest)), np.int32, len(ws)) for ws in tokens_of(text)])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +155,12 @@ def _averaged(copies: DataFrame) -> dict[int, np.ndarray]:
 def learn(docs: DataFrame, counts: DataFrame, settings: Settings = Settings(), text: str = "text") -> Model:
     """A model of all ``docs``, of which ``counts`` are the ``token_counts``. Without any it gives every text probability one.
 
-    The driver receives the ``known`` most frequent tokens, ties in byte order, and in each round one averaged set
-    of weights."""
+    The driver receives up to ``known`` of the most frequent tokens and in each round one averaged set of
+    weights. Tokens are numbered by falling count, ties in byte order."""
     spark = docs.sparkSession
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total.n or 0, total.v
-    top = counts.orderBy(F.desc("n"), "word").limit(settings.known).collect()
+    top = most_frequent(counts, "n", settings.known).orderBy(F.desc("n"), "word").collect()
     ids, numbers = {bytes(r.word): i for i, r in enumerate(top)}, np.array([r.n for r in top], np.float64)
     own = numbers[:settings.words]
     model = Model(settings, ids, np.log10(numbers + 0.5), tokens, distinct, None)
@@ -189,13 +190,15 @@ def _scored(shared):
 
         def settle() -> pa.RecordBatch:
             nonlocal held
-            nets = (score(model.net, docs, 2 * settings.lanes) / math.log(10)).tolist() if docs else []
+            nets = (score(model.net, docs, settings.lanes) / math.log(10)).tolist() if docs else []
             columns = list(zip(*facts)) or [()] * 8
             out = pa.record_batch([
                 pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()),
                 pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.float64()),
                 pa.array([a + b for a, b in zip(nets, columns[6])], pa.float64()),
-                pa.array(columns[7], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, columns[7])]), pa.int32()), pa.StructArray.from_arrays(
+                    [pa.array(list(chain.from_iterable(columns[7])), pa.binary()),
+                     pa.array(list(chain.from_iterable(c.values() for c in columns[7])), pa.int64())], ["word", "n"]))],
                 names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "net", "rare"])
             docs.clear()
             facts.clear()
@@ -206,16 +209,16 @@ def _scored(shared):
             for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 numbers, rare = [], Counter()
                 for ws in tokens_of(text.as_py()):
-                    own = np.fromiter((model.ids.get(w, known) for w in ws), np.int64, len(ws))
+                    own = np.fromiter(map(model.ids.get, ws, repeat(known)), np.int32, len(ws))
                     numbers.append(own)
-                    rare.update([ws[i] for i in np.flatnonzero(own == known)])
+                    rare.update([ws[i] for i in np.flatnonzero(own == known).tolist()])
                 own = np.concatenate(numbers)
                 found, last = own[own < known], own >= words
                 # A token of the last class adds its own share of that class: here where the count is known.
                 share = model.logs[found[found >= words]].sum()
                 facts.append((row, doc_id, held_out, len(own), len(found), model.logs[found].sum() - len(own) * model.base_total,
-                              share - last.sum() * model.rest_total, [{"word": w, "n": n} for w, n in rare.items()]))
-                docs.append(np.minimum(own, words).astype(np.int32))
+                              share - last.sum() * model.rest_total, rare))
+                docs.append(np.minimum(own, words))
                 row, held = row + 1, held + len(own)
                 if held >= settings.group_tokens:
                     yield settle()
