@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from fixtures.model import AS_OF, EPOCH
-from fixtures.queries import PIVOT_LABELS, WATERMARK
+from fixtures.queries import WATERMARK
 from sprintloom.operators.scoring import PROMPT
 
 DONE = "('完了', 'Done', 'Closed', 'Resolved', 'Completed')"
@@ -191,7 +191,7 @@ FROM source n""",
   SELECT assignee, team, avg(done_sp) AS m FROM individual GROUP BY ALL) GROUP BY team""",
     "per_pair": """SELECT assignee, team, SUM(done_sp) AS total_sp, CAST(SUM(issue_count) AS BIGINT) AS issue_count,
   COUNT(*) AS active_weeks, avg(done_sp) AS weekly FROM individual GROUP BY ALL""",
-    "threads": """SELECT issue_key, CAST(0 AS BIGINT) AS part, string_agg('- ' || author || ': ' || body, chr(10) ORDER BY created, id) AS thread
+    "threads": """SELECT issue_key, string_agg('- ' || author || ': ' || body, chr(10) ORDER BY created, id) AS thread
 FROM comments GROUP BY issue_key""",
 }
 _TEMPLATE = PROMPT.replace("'", "''").split("%s")
@@ -199,12 +199,24 @@ _SLOTS = ["key", "summary", "CAST(reported_sp AS VARCHAR)", "status", "coalesce(
           "coalesce(nullif(description, ''), '(no description)')",
           "coalesce(nullif(thread, ''), '(no comments)')"]
 VIEWS["prompts"] = (
-    "SELECT key AS issue_key, CAST(0 AS BIGINT) AS part, "
+    "SELECT key AS issue_key, "
     + " || ".join(f"'{text}'" + (f" || {slot}" if slot else "")
                   for text, slot in zip(_TEMPLATE, [*_SLOTS, ""], strict=True))
     + " AS prompt FROM described LEFT JOIN threads ON issue_key = key"
 )
 
+_NUMBER = "CAST(substr(key, 3) AS BIGINT)"
+VIEWS["listed"] = f"""SELECT CAST(n * 2 + odd AS INTEGER) AS sprint_id, {_name('n', 'odd')} AS sprint_name,
+  CASE WHEN n >= 171 THEN 'future' WHEN n >= 169 THEN 'active' WHEN n >= 1 THEN 'closed' ELSE '' END AS state,
+  CAST(d AS VARCHAR) AS start_date, CAST(d + 13 AS VARCHAR) AS end_date,
+  CASE WHEN n < 169 THEN CAST(d + 13 AS VARCHAR) END AS complete_date
+FROM (SELECT n, unnest([0, 1]) AS odd, DATE '{EPOCH}' + CAST(n * 14 AS INTEGER) AS d
+      FROM (SELECT DISTINCT {_window('o_orderdate')} AS n FROM orders))"""
+VIEWS["long_comments"] = """SELECT id, 'K-' || (length(id) % 3 + 1) AS issue_key, author, to_string AS body, created
+FROM changelog"""
+VIEWS["long_threads"] = VIEWS["threads"].replace("FROM comments", "FROM long_comments")
+VIEWS["long_prompts"] = VIEWS["prompts"].replace("JOIN threads", "JOIN long_threads")
+
 
 def with_views(body: str) -> str:
     """The statement with the views it mentions, directly or through others, as CTEs."""
@@ -279,6 +291,22 @@ _DASHBOARD = {
     "stalledIssues": f"FROM running WHERE state = 'active' AND status_category <> '完了' AND {_IDLE} >= 3",
 }
 
+_DETAILS = f"""SELECT key, summary, status, status_category, priority, assignee, sprint_name, {TEAM} AS team,
+  reported_sp, CAST(i.created AS DATE) AS created_date, {_label('i.created')} AS week_label,
+  last_day AS completed_date, updated
+FROM issues i LEFT JOIN (SELECT issue_key, CAST(max(created) AS DATE) AS last_day FROM closings GROUP BY 1)
+  ON issue_key = key"""
+_ACTIVE = f"""SELECT {_LIST}, flagged, CAST(created AS DATE) AS created_date, {_UPDATED},
+  {_IDLE} AS days_since_update, {_URGENT} AS is_high_priority, completed_date
+FROM running LEFT JOIN completed ON issue_key = key WHERE state = 'active'"""
+_SCORED = f"""SELECT issue_key,
+  CASE WHEN contains(prompt, '緊急') THEN 'Analysis failed: urgent tickets are not scored'
+       ELSE 'length=' || length(prompt) END AS complexity_reasoning,
+  CASE WHEN NOT contains(prompt, '緊急') THEN least(length(prompt), 4096) / 4096 END AS clarity_score,
+  CASE WHEN NOT contains(prompt, '緊急') THEN 'by length' END AS clarity_notes,
+  TIMESTAMP '{AS_OF}' AS analyzed_at
+"""
+
 BODIES: dict[str, str] = {
     # sources and ingest
     "all_issues": "SELECT * FROM described",
@@ -299,6 +327,17 @@ FROM (SELECT *, unnest([0, 1]) AS pos FROM issues)""",
 FROM (SELECT n, unnest([0, 1]) AS odd, DATE '{EPOCH}' + CAST(n * 14 AS INTEGER) AS d
       FROM (SELECT DISTINCT {_window('o_orderdate')} AS n FROM orders))""",
     "sprints_to_sync": "SELECT * FROM selected",
+    "unique_sprints": "SELECT 'Second Board' AS board_name, * FROM listed",
+    "sprints_to_sync_two_boards": """SELECT 'Second Board' AS board_name, sprint_id, sprint_name, state FROM listed l
+WHERE state <> '' AND NOT (state = 'closed' AND EXISTS (
+  SELECT 1 FROM sprints s WHERE s.sprint_id = l.sprint_id AND s.state = 'closed'))""",
+    "ingest_issues_damaged": f"SELECT key, summary, updated FROM issues WHERE {_NUMBER} % 7 <> 0 AND {_NUMBER} % 11 <> 0",
+    "ingest_rejects": f"""SELECT CASE WHEN {_NUMBER} % 7 = 0 THEN 'unreadable line' ELSE 'no issue key' END AS reason,
+  CASE WHEN {_NUMBER} % 7 <> 0 THEN sprint_id END AS sprint_id,
+  CASE WHEN {_NUMBER} % 7 = 0 THEN key END AS key
+FROM issues WHERE {_NUMBER} % 7 = 0 OR {_NUMBER} % 11 = 0""",
+    "future_sprint_sp_two_boards": """SELECT 2 * coalesce(SUM(reported_sp), 0) AS future_sp FROM issues
+WHERE sprint_id IN (SELECT sprint_id FROM sprints WHERE state = 'future')""",
     "future_sprint_sp": """SELECT coalesce(SUM(reported_sp), 0) AS future_sp FROM issues
 WHERE sprint_id IN (SELECT sprint_id FROM sprints WHERE state = 'future')""",
     "rich_text_to_plain_documents": "SELECT doc_id, text FROM documents",
@@ -309,7 +348,16 @@ FROM raised LEFT JOIN documents ON key = 'K-' || doc_id""".replace(
     # sinks
     "dashboard_export_counts": "\nUNION ALL ".join(
         f"SELECT '{name}' AS result, COUNT(*) AS n_rows {rows}" for name, rows in _DASHBOARD.items()),
+    "dashboard_export_velocity": "SELECT * REPLACE (CAST(week_start AS VARCHAR) AS week_start) FROM velocity",
+    "dashboard_export_issues": f"""SELECT * REPLACE (CAST(created_date AS VARCHAR) AS created_date,
+  CAST(completed_date AS VARCHAR) AS completed_date, strftime(updated, '%Y-%m-%d %H:%M:%S') AS updated)
+FROM ({_DETAILS})""",
+    "dashboard_export_active_issues": f"""SELECT * REPLACE (CAST(created_date AS VARCHAR) AS created_date,
+  CAST(updated_date AS VARCHAR) AS updated_date, CAST(completed_date AS VARCHAR) AS completed_date)
+FROM ({_ACTIVE})""",
     "csv_export_velocity": "SELECT * FROM velocity",
+    "csv_export_individual": "SELECT * FROM individual",
+    "csv_export_issues": _DETAILS,
     # table maintenance
     "upsert": f"""SELECT * FROM issues WHERE updated >= '{WATERMARK}'
 UNION ALL BY NAME
@@ -392,6 +440,7 @@ FROM described d LEFT JOIN scores s ON s.issue_key = d.key""",
     "leaderboard_last_3_weeks": _recent_ranking(2, "board_name = 'Main Board'"),
     "weekly_board_metrics": _weekly("board_name,"),
     "weekly_assignee_metrics": _weekly("assignee,", "board_name = 'AI Board'"),
+    "weekly_assignee_metrics_all": _weekly("assignee,"),
     "weekly_total": _weekly(),
     "latest_sufficiency": "SELECT * FROM history ORDER BY snapshot_date DESC LIMIT 1",
     "issue_count": "SELECT COUNT(*) AS issue_count FROM issues",
@@ -413,11 +462,9 @@ FROM future, (FROM velocity3)""",
 FROM issues GROUP BY status_category""",
     "priority_breakdown": f"""SELECT priority, COUNT(*) AS count, round(SUM(reported_sp), 1) AS sp
 FROM issues i WHERE {TEAM} = 'B Scrum' AND created >= '1996-01-01' GROUP BY priority""",
-    "issues_table": f"""SELECT key, summary, status, status_category, priority, assignee, sprint_name, {TEAM} AS team,
-  reported_sp, CAST(i.created AS DATE) AS created_date, {_label('i.created')} AS week_label,
-  last_day AS completed_date, updated
-FROM issues i LEFT JOIN (SELECT issue_key, CAST(max(created) AS DATE) AS last_day FROM closings GROUP BY 1)
-  ON issue_key = key""",
+    "priority_breakdown_all": """SELECT priority, COUNT(*) AS count, round(SUM(reported_sp), 1) AS sp
+FROM issues GROUP BY priority""",
+    "issues_table": _DETAILS,
     "sprint_achievement": "SELECT * FROM achievement",
     "sprint_achievement_team": "SELECT * FROM achievement WHERE team = 'B Scrum'",
     "sprint_achievement_timeline": "SELECT * FROM timeline",
@@ -426,11 +473,11 @@ FROM issues i LEFT JOIN (SELECT issue_key, CAST(max(created) AS DATE) AS last_da
 FROM sprints s LEFT JOIN metadata m ON m.sprint_id = s.sprint_id""",
     "sprint_total_sp": """SELECT b.sprint_name, SUM(i.reported_sp) AS total_sp
 FROM bridge b JOIN issues i ON i.key = b.issue_key GROUP BY b.sprint_name""",
+    "sprint_total_sp_partly_stored": """SELECT b.sprint_name, coalesce(SUM(i.reported_sp), 0) AS total_sp
+FROM bridge b LEFT JOIN issues i ON i.key = b.issue_key AND i.created < '1998-01-01' GROUP BY b.sprint_name""",
     "active_sprint_details": f"""SELECT r.sprint_id, r.sprint_name, r.team, r.state, m.start_date, m.end_date, {_COUNTS}
 FROM running r LEFT JOIN metadata m ON m.sprint_id = r.sprint_id WHERE r.state = 'active' GROUP BY ALL""",
-    "active_sprint_issues": f"""SELECT {_LIST}, flagged, CAST(created AS DATE) AS created_date, {_UPDATED},
-  {_IDLE} AS days_since_update, {_URGENT} AS is_high_priority, completed_date
-FROM running LEFT JOIN completed ON issue_key = key WHERE state = 'active'""",
+    "active_sprint_issues": _ACTIVE,
     "sprint_daily_burndown": """SELECT sprint_name, team, CAST(c.created AS DATE) AS completion_date,
   SUM(reported_sp) AS completed_sp, COUNT(*) AS completed_count
 FROM running JOIN closings c ON c.issue_key = key WHERE state = 'active' GROUP BY ALL""",
@@ -505,9 +552,11 @@ FROM (SELECT p.assignee, p.team, round(weekly, 1) AS weekly_mean, round(team_mea
         round(weekly - t.team_mean, 1) AS diff_team, round({_OVERALL}, 1) AS overall_mean,
         round(weekly - {_OVERALL}, 1) AS diff_overall, total_sp, issue_count
       FROM per_pair p JOIN team_means t ON t.team = p.team)""",
-    "velocity_pivot": "SELECT * FROM (PIVOT individual ON week_label IN ("
-    + ", ".join(f"'{label}'" for label in PIVOT_LABELS)
-    + ") USING coalesce(SUM(done_sp), 0) GROUP BY assignee)",
+    "velocity_pivot_some_weeks": """SELECT assignee,
+  coalesce(SUM(done_sp) FILTER (week_label = '1995-W40'), 0) AS "1995-W40",
+  coalesce(SUM(done_sp) FILTER (week_label = '1996-W01'), 0) AS "1996-W01",
+  coalesce(SUM(done_sp) FILTER (week_label NOT IN ('1995-W40', '1996-W01')), 0) AS other
+FROM individual GROUP BY assignee""",
     "weekly_by_assignee_team": """SELECT assignee, week_label, team, SUM(done_sp) AS done_sp
 FROM individual GROUP BY ALL""",
     "assignee_summary": f"""SELECT assignee, p.team, total_sp, issue_count, active_weeks, w AS weekly_mean,
@@ -521,16 +570,17 @@ FROM work WHERE completed_date >= DATE '2001-03-01' GROUP BY ALL""",
 FROM (SELECT *, round(sufficiency, 1) AS pct FROM history ORDER BY snapshot_date DESC LIMIT 1)""",
     # scoring
     "comment_threads": "SELECT * FROM threads",
+    "comment_threads_long": "SELECT issue_key, CAST(length(thread) AS INTEGER) AS n_chars, md5(thread) AS digest FROM long_threads",
+    "score_issues_long": _SCORED + "FROM long_prompts",
+    "run_scoring_scores": _SCORED + """FROM prompts
+UNION ALL BY NAME SELECT * FROM scores WHERE issue_key NOT IN (SELECT key FROM issues)""",
     "scoring_prompts": "SELECT * FROM prompts",
-    "score_issues": f"""SELECT issue_key,
-  CASE WHEN contains(prompt, '緊急') THEN 'Analysis failed: urgent tickets are not scored'
-       ELSE 'length=' || length(prompt) END AS complexity_reasoning,
-  CASE WHEN NOT contains(prompt, '緊急') THEN least(length(prompt), 4096) / 4096 END AS clarity_score,
-  CASE WHEN NOT contains(prompt, '緊急') THEN 'by length' END AS clarity_notes,
-  TIMESTAMP '{AS_OF}' AS analyzed_at
-FROM prompts""",
+    "score_issues": _SCORED + "FROM prompts",
     "sprint_mvp": """SELECT assignee AS mvp, round(SUM(reported_sp), 1) AS total_sp FROM issues
 WHERE assignee IS NOT NULL GROUP BY assignee ORDER BY total_sp DESC, assignee LIMIT 1""",
 }
 
 ORACLE: dict[str, str] = {name: with_views(body) for name, body in BODIES.items()}
+# The weeks are those of the data, so the pivot stands outside and its source brings its own views.
+ORACLE["velocity_pivot"] = f"""SELECT * FROM (PIVOT ({with_views("SELECT assignee, week_label, done_sp FROM individual")})
+ON week_label USING coalesce(SUM(done_sp), 0) GROUP BY assignee)"""

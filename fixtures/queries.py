@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +14,8 @@ from sprintloom.functions.richtext import rich_text_to_plain
 from sprintloom.operators import (
     maintenance as m, metrics as d, reports as r, scoring as a, sprint_reports as s,
 )
-from sprintloom.plans.dashboard import dashboard
+from sprintloom.plans.dashboard import dashboard, shared_completions
+from sprintloom.plans.sync import run_scoring
 from sprintloom.session import shared_dir
 from sprintloom.sinks.export import csv_export, dashboard_export
 from sprintloom.sources import raw as src
@@ -23,7 +23,6 @@ from sprintloom.sources.tables import TableStore, all_issues
 from sprintloom.streaming.incremental import incremental_ingest
 
 WATERMARK = "2000-12-25"
-PIVOT_LABELS = d.week_labels([date(1995, 1, 2) + timedelta(weeks=i) for i in range(360)])
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -53,9 +52,30 @@ simple(
     sprint_list=lambda t: src.sprint_list(t.raw_sprints),
     sprints_to_sync=lambda t: src.sprints_to_sync(t.source_sprints, t.sprints),
     future_sprint_sp=lambda t: src.future_sprint_sp(t.raw_issues, t.sprints),
+    # The same documents and pages landed twice over for each of two boards.
+    future_sprint_sp_two_boards=lambda t: src.future_sprint_sp(_on_two_boards(t.raw_issues), t.sprints),
+    unique_sprints=lambda t: src.unique_sprints(src.sprint_list(_on_two_boards(t.raw_sprints))),
+    sprints_to_sync_two_boards=lambda t: src.sprints_to_sync(
+        src.sprint_list(_on_two_boards(t.raw_sprints)).select("board_name", "sprint_id", "sprint_name", "state"),
+        t.sprints),
+    ingest_issues_damaged=lambda t: src.ingest_issues(src.readable(t.damaged_issues)).select("key", "summary", "updated"),
 )
 
 
+def _on_two_boards(raw: DataFrame) -> DataFrame:
+    boards = F.array(F.lit("Main Board"), F.lit("Second Board"))
+    both = raw.withColumn("board_name", F.explode(boards))
+    return both.union(both)
+
+
+@query
+def ingest_rejects(t: Model) -> DataFrame:
+    """Rejected lines by reason, with the key that can still be read from a line that was cut off."""
+    return src.ingest_rejects(t.damaged_issues).select(
+        "reason", F.when(F.col("line").isNull(), F.col("sprint_id")).alias("sprint_id"),
+        F.nullif(F.regexp_extract("line", '"key":"([^"]*)"', 1), F.lit("")).alias("key"))
+
+
 @query
 def rich_text_to_plain_documents(t: Model) -> DataFrame:
     trees = t.raw("documents").select(
@@ -78,15 +98,19 @@ def incremental_ingest_issues(t: Model) -> DataFrame:
 # ── sinks ───────────────────────────────────────────────────────────────────────────────────
 
 
-@query
-def dashboard_export_counts(t: Model) -> DataFrame:
+def _dashboard(t: Model) -> dict[str, DataFrame]:
     tables = {
         "issues": t.issues, "issue_changelog": t.changelog, "synced_sprints": t.sprints,
         "sprint_issues": t.bridge, "sprint_metadata": t.metadata,
         "sufficiency_snapshots": t.history,
     }
+    return dashboard(tables, AS_OF, EPOCH, completed=shared_completions(t.changelog))
+
+
+@query
+def dashboard_export_counts(t: Model) -> DataFrame:
     folder = shared_dir(t.spark, "dashboard")
-    results = dashboard(tables, AS_OF, EPOCH)
+    results = _dashboard(t)
     dashboard_export(results, folder, AS_OF, EPOCH)
     counts = [
         t.spark.read.text(f"{folder}/{name}").agg(F.count("*").alias("n_rows"))
@@ -96,13 +120,35 @@ def dashboard_export_counts(t: Model) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-@query
-def csv_export_velocity(t: Model) -> DataFrame:
+def _exported(t: Model, *names: str) -> DataFrame:
+    """Results read back from their JSON, dates and times as the text that was written."""
+    folder = shared_dir(t.spark, "dashboard")
+    results = {name: frame for name, frame in _dashboard(t).items() if name in names}
+    dashboard_export(results, folder, AS_OF, EPOCH)
+    kinds = {"date": "string", "timestamp_ntz": "string"}
+    frames = []
+    for name, frame in results.items():
+        schema = ", ".join(f"{c} {kinds.get(kind, kind)}" for c, kind in frame.dtypes)
+        frames.append(t.spark.read.schema(schema).json(f"{folder}/{name}"))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _csv(t: Model, result: DataFrame) -> DataFrame:
     folder = shared_dir(t.spark, "csv")
-    csv_export(r.velocity_by_team(t.issues, t.changelog), folder)
-    columns = "week_start date, week_label string, team string, done_sp double, issue_count bigint"
-    return t.spark.read.schema(columns).option("header", True).option(
-        "enforceSchema", True).csv(folder)
+    csv_export(result, folder)
+    schema = ", ".join(f"{c} {kind}" for c, kind in result.dtypes)
+    return t.spark.read.schema(schema).option("header", True).option(
+        "enforceSchema", True).option("escape", '"').csv(folder)
+
+
+simple(
+    dashboard_export_velocity=lambda t: _exported(t, "velocity"),
+    dashboard_export_issues=lambda t: _exported(t, "issues"),
+    dashboard_export_active_issues=lambda t: _exported(t, "activeSprintIssues"),
+    csv_export_velocity=lambda t: _csv(t, r.velocity_by_team(t.issues, t.changelog)),
+    csv_export_individual=lambda t: _csv(t, r.individual_velocity(t.issues, t.changelog)),
+    csv_export_issues=lambda t: _csv(t, r.issues_table(t.issues, t.changelog)),
+)
 
 
 # ── table maintenance ───────────────────────────────────────────────────────────────────────
@@ -236,6 +282,7 @@ simple(
     leaderboard_last_3_weeks=lambda t: r.leaderboard_last_3_weeks(t.issues, t.changelog, "Main Board"),
     weekly_board_metrics=lambda t: r.weekly_board_metrics(t.weekly),
     weekly_assignee_metrics=lambda t: r.weekly_assignee_metrics(t.weekly, "AI Board"),
+    weekly_assignee_metrics_all=lambda t: r.weekly_assignee_metrics(t.weekly),
     weekly_total=lambda t: r.weekly_total(t.weekly),
     latest_sufficiency=lambda t: r.latest_sufficiency(t.history),
     issue_count=lambda t: r.issue_count(t.issues),
@@ -252,12 +299,15 @@ simple(
     assignee_load_team=lambda t: r.assignee_load(t.issues, "A Scrum"),
     status_breakdown=lambda t: r.status_breakdown(t.issues),
     priority_breakdown=lambda t: r.priority_breakdown(t.issues, "B Scrum", "1996-01-01"),
+    priority_breakdown_all=lambda t: r.priority_breakdown(t.issues),
     issues_table=lambda t: r.issues_table(t.issues, t.changelog),
     sprint_achievement=lambda t: s.sprint_achievement(t.issues, t.bridge, t.sprints),
     sprint_achievement_team=lambda t: s.sprint_achievement(t.issues, t.bridge, t.sprints, "B Scrum"),
     sprint_achievement_timeline=lambda t: s.sprint_achievement_timeline(t.issues, t.bridge),
     sprint_registry=lambda t: s.sprint_registry(t.sprints, t.metadata),
     sprint_total_sp=lambda t: s.sprint_total_sp(t.issues, t.bridge),
+    sprint_total_sp_partly_stored=lambda t: s.sprint_total_sp(
+        t.issues.filter(F.col("created") < "1998-01-01"), t.bridge),
     active_sprint_details=lambda t: s.active_sprint_details(t.issues, t.sprints, t.metadata),
     active_sprint_issues=lambda t: s.active_sprint_issues(t.issues, t.sprints, t.changelog, AS_OF),
     sprint_daily_burndown=lambda t: s.sprint_daily_burndown(t.issues, t.sprints, t.changelog),
@@ -306,7 +356,8 @@ simple(
     individual_kpis=lambda t: rounded(
         d.individual_kpis(_individual(t)), "mean_individual_velocity", "overall_mean"),
     assignee_comparison=lambda t: d.assignee_comparison(_individual(t)),
-    velocity_pivot=lambda t: d.velocity_pivot(_individual(t), PIVOT_LABELS),
+    velocity_pivot=lambda t: d.velocity_pivot(_individual(t)),
+    velocity_pivot_some_weeks=lambda t: d.velocity_pivot(_individual(t), ["1995-W40", "1996-W01"]),
     weekly_by_assignee_team=lambda t: d.weekly_by_assignee_team(_individual(t)),
     assignee_summary=lambda t: d.assignee_summary(_individual(t)),
     period_start=lambda t: r.velocity_by_team(
@@ -331,3 +382,23 @@ simple(
         a.scoring_prompts(t.described_issues, t.comments), length_scorer, AS_OF),
     sprint_mvp=lambda t: a.sprint_mvp(t.issues),
 )
+
+
+@query
+def comment_threads_long(t: Model) -> DataFrame:
+    """Threads of a third of the change history each, as size and digest."""
+    threads = a.comment_threads(t.long_comments)
+    return threads.select("issue_key", F.length("thread").alias("n_chars"), F.md5("thread").alias("digest"))
+
+
+@query
+def score_issues_long(t: Model) -> DataFrame:
+    return a.score_issues(a.scoring_prompts(t.described_issues, t.long_comments), length_scorer, AS_OF)
+
+
+@query
+def run_scoring_scores(t: Model) -> DataFrame:
+    store = TableStore(t.spark, shared_dir(t.spark, "scoring"))
+    for table, rows in (("issues", t.described_issues), ("issue_comments", t.comments), ("ai_scores", t.scores)):
+        store.write(table, rows)
+    return run_scoring(store, length_scorer, AS_OF)

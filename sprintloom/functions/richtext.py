@@ -55,13 +55,14 @@ def plain_text(document: object) -> str:
 
 
 def _from_json(text: object) -> str:
+    """Text of a JSON value. What is not JSON, or is nested deeper than the parser goes, stays as it is."""
     if not isinstance(text, str):
         return ""
-    if text[:1] not in "{[":
-        return text  # a plain string value has already lost its quotes in the JSON reader
+    if text[:1] not in ("{", "[", '"'):
+        return "" if text == "null" else text
     try:
         return plain_text(json.loads(text))
-    except ValueError:
+    except (ValueError, RecursionError):
         return text
 
 
@@ -71,9 +72,10 @@ def _rich_text(documents: pd.Series) -> pd.Series:
 
 
 def rich_text(document: Column) -> Column:
-    """Plain text of a JSON rich-text column; rows without a document skip Python's work."""
-    return F.coalesce(_rich_text(document), F.lit(""))
+    """Plain text of a variant: a tree's text, a string as it is, nothing for a missing one."""
+    return F.coalesce(_rich_text(F.to_json(document)), F.lit(""))
 
 
 def rich_text_to_plain(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, rich_text(F.col(column)))
+    """The column's JSON texts as plain text. Texts that are not JSON stay as they are."""
+    return df.withColumn(column, F.coalesce(_rich_text(F.col(column)), F.lit("")))

@@ -22,14 +22,13 @@ def key_counts(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def _is_hot(counts: DataFrame, at_least: int, share: int) -> Column:
-    return (F.col("n") >= at_least) & (F.col("n") * share > counts.agg(F.sum("n")).scalar())
+def _is_hot(counts: DataFrame) -> Column:
+    return (F.col("n") >= HOT_ROWS) & (F.col("n") * HOT_SHARE > counts.agg(F.sum("n")).scalar())
 
 
-def flag_hot(rows: DataFrame, counts: DataFrame, at_least: int = HOT_ROWS,
-             share: int = HOT_SHARE) -> DataFrame:
-    """The rows with a column ``hot``; no shuffle, the hot keys are fewer than ``share``."""
-    hot = counts.filter(_is_hot(counts, at_least, share))
+def flag_hot(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows with a column ``hot``; no shuffle, the hot keys are fewer than ``HOT_SHARE``."""
+    hot = counts.filter(_is_hot(counts))
     keys = hot.select("issue_key", F.lit(True).alias("hot"))
     return rows.join(F.broadcast(keys), "issue_key", "left").withColumn(
         "hot", F.coalesce("hot", F.lit(False)))
@@ -44,7 +43,7 @@ def counted_join(many: DataFrame, facts: DataFrame | None, counts: DataFrame,
     division, so no task receives a whole hot issue. Other issues join as they are. The division
     is a function of the row, so a repeated task divides alike.
     """
-    hot = _is_hot(counts, HOT_ROWS, HOT_SHARE)
+    hot = _is_hot(counts)
     divisions = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     known = counts if facts is None else facts.join(counts, "issue_key")
     known = known.withColumn("_salt", F.explode(divisions))

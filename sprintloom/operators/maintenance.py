@@ -6,6 +6,8 @@ Nothing is updated in place; the caller writes the result as a new version.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -38,23 +40,33 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str],
     """Replace matching rows by the batch and add the new ones, columns matched by name.
 
     A key repeated inside the batch keeps its latest row by ``order_by`` (default: ``updated``,
-    else ``created``, where present).
+    ``analyzed_at`` or ``created``, the first that is present). A stored row that is newer by the
+    first of these stays; between equals the batch wins. Rows of the batch without a key are left out.
     """
     if order_by is None:
-        order_by = [c for c in ("updated", "created") if c in updates.columns][:1] or keys[:1]
-    batch = _latest_per_key(updates, keys, order_by)
-    kept = target.join(batch.select(*keys), list(keys), "left_anti")
-    return kept.select(*target.columns).unionByName(batch)
+        order_by = [c for c in ("updated", "analyzed_at", "created") if c in updates.columns][:1] or keys[:1]
+    first = F.col(order_by[0]) if isinstance(order_by[0], str) else order_by[0]
+    named = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    batch = _latest_per_key(updates.filter(named), keys, order_by)
+    old = target.select(*keys, first.alias("_old"), F.struct(*target.columns).alias("_stored"))
+    new = batch.select(*[F.col(k).alias(f"_{k}") for k in keys], first.alias("_new"),
+                       F.struct(*target.columns).alias("_given"))
+    both = old.join(new, reduce(and_, [F.col(k) == F.col(f"_{k}") for k in keys]), "full_outer")
+    stays = F.col("_given").isNull() | (F.col("_stored").isNotNull() & F.coalesce(F.col("_old") > F.col("_new"), F.col("_new").isNull() & F.col("_old").isNotNull()))
+    return both.select(F.when(stays, F.col("_stored")).otherwise(F.col("_given")).alias("_row")).select(
+        *[F.col(f"_row.{c}") for c in target.columns])
 
 
 def replace_columns(target: DataFrame, updates: DataFrame, keys: Sequence[str],
                     defaults: Mapping[str, object] | None = None) -> DataFrame:
     """Insert or replace only the columns the batch has; others keep what the table holds.
 
-    New rows take ``defaults`` for columns the batch lacks. Keys must be unique in the batch.
+    New rows take ``defaults`` for columns the batch lacks. Of rows that repeat a key the greatest,
+    column by column, counts.
     """
     defaults = defaults or {}
     listed = set(updates.columns)
+    updates = _latest_per_key(updates, keys, keys[:1])
     t = target.withColumn("_in_target", F.lit(True)).alias("t")
     u = updates.withColumn("_in_batch", F.lit(True)).alias("u")
     on = [F.col(f"t.{k}") == F.col(f"u.{k}") for k in keys]
@@ -135,6 +147,7 @@ def create_snapshots(sprints: DataFrame, totals: DataFrame, at: object) -> tuple
         *_with_snapshot(sprints, take, F.col("t.planned_sp"), as_timestamp(at)))
     rejects = t.join(s, same & F.col("s.planned_sp_snapshot").isNotNull()).select(
         "t.sprint_id", "t.planned_sp",
+        # Fixed value: the message that callers of the registry look for.
         F.concat(F.lit("Snapshot already exists for sprint "),
                  F.col("t.sprint_id").cast("string")).alias("reason"),
     )
@@ -239,7 +252,8 @@ def run_log(source: DataFrame, selected: DataFrame, issues: DataFrame, comments:
     """
     # An issue fetched for two sprints brings each of its comments twice.
     per_issue = comments.groupBy("issue_key").agg(F.count_distinct("id").alias("n_comments"))
-    keys = issues.groupBy("sprint_id", "key").agg(F.count("*").alias("n_issues"))
+    # An issue landed twice for a sprint, or for two boards, is one issue of it.
+    keys = issues.select("sprint_id", "key").distinct().withColumn("n_issues", F.lit(1))
     loaded = (
         keys.join(per_issue, F.col("key") == F.col("issue_key"), "left")
         .groupBy("sprint_id")
@@ -266,13 +280,16 @@ def run_log(source: DataFrame, selected: DataFrame, issues: DataFrame, comments:
     )
 
 
-def sync_summary(log: DataFrame) -> DataFrame:
-    """Totals of one run, one row."""
+def sync_summary(log: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
+    """Totals of one run, one row. Each rejected line counts as an error."""
+    errors = F.count_if(F.col("outcome") == "error")
+    if rejects is not None:
+        errors = errors + rejects.agg(F.count("*")).scalar()
     return log.agg(
         F.coalesce(F.sum("issues"), F.lit(0)).alias("issues"),
         F.coalesce(F.sum("comments"), F.lit(0)).alias("comments"),
         F.count_if(F.col("outcome") == "skipped").alias("skipped"),
-        F.count_if(F.col("outcome") == "error").alias("errors"),
+        errors.alias("errors"),
     )
 
 

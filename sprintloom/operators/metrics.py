@@ -201,17 +201,26 @@ def _per_assignee_team(ind_vel: DataFrame, selected: Sequence[str] | None) -> Da
     )
 
 
-def _with_means(rows: DataFrame, ind_vel: DataFrame) -> DataFrame:
-    team_means = F.broadcast(team_mean_velocity(ind_vel))  # one row for each of three teams
-    return rows.join(team_means, "team", "left").withColumn(
-        "_overall", assignee_mean_velocity(ind_vel).scalar())
+def _with_means(ind_vel: DataFrame, selected: Sequence[str] | None) -> DataFrame:
+    """Per assignee and team, beside the team's and the overall mean over everybody.
+
+    All three come from one aggregate. Every pair has an issue; saying so keeps the counts in each
+    use of the aggregate, so their plans are equal and the work is done once.
+    """
+    pairs = _per_assignee_team(ind_vel, None).filter("issue_count > 0")
+    by_team = pairs.groupBy("team").agg(F.avg("_mean").alias("team_mean"))
+    by_assignee = pairs.groupBy("assignee").agg(
+        (F.sum("total_sp") / F.sum("active_weeks")).alias("m"))
+    return _selected(pairs, selected).join(
+        F.broadcast(by_team), "team", "left",  # one row for each of three teams
+    ).withColumn("_overall", by_assignee.agg(F.avg("m")).scalar())
 
 
 def assignee_comparison(ind_vel: DataFrame, selected: Sequence[str] | None = None) -> DataFrame:
     """Weekly mean of each chosen assignee and team against the means; rounded after subtracting."""
     mean, team_mean, overall = F.col("_mean"), F.col("team_mean"), F.col("_overall")
     diff_overall = round_sp(mean - overall)
-    return _with_means(_per_assignee_team(ind_vel, selected), ind_vel).select(
+    return _with_means(ind_vel, selected).select(
         "assignee", "team",
         round_sp(mean).alias("weekly_mean"),
         round_sp(team_mean).alias("team_mean"),
@@ -227,7 +236,7 @@ def assignee_summary(ind_vel: DataFrame, selected: Sequence[str] | None = None)
     """Totals per assignee and team; here the differences start from the rounded weekly mean."""
     weekly = round_sp(F.col("total_sp") / F.col("active_weeks"))
     team_mean, overall = round_sp(F.col("team_mean")), F.col("_overall")
-    return _with_means(_per_assignee_team(ind_vel, selected), ind_vel).select(
+    return _with_means(ind_vel, selected).select(
         "assignee", "team", "total_sp", "issue_count", "active_weeks",
         weekly.alias("weekly_mean"),
         team_mean.alias("team_mean"),
@@ -237,18 +246,20 @@ def assignee_summary(ind_vel: DataFrame, selected: Sequence[str] | None = None)
     ).orderBy(F.desc("total_sp"), "assignee", "team")
 
 
-def week_labels(weeks: Sequence) -> list[str]:
-    """ISO labels of the given dates, for ``velocity_pivot``."""
-    return [f"{d.isocalendar().year}-W{d.isocalendar().week:02d}" for d in weeks]
+OTHER_WEEKS = "other"
 
 
 def velocity_pivot(ind_vel: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """Assignee × week matrix of story points, 0 where there is none, largest total first.
 
-    Give the labels of the report period to save the extra job Spark needs to find them.
+    Without labels the weeks are those of the data, which Spark looks up first; the calendar bounds
+    them. With labels, points of any other week are in the column ``other``, so a row always adds
+    up to the assignee's total.
     """
-    by_assignee = ind_vel.groupBy("assignee")
-    pivoted = by_assignee.pivot("week_label", list(labels)) if labels else by_assignee.pivot("week_label")
+    if labels:
+        listed = F.col("week_label").isin(*labels)
+        ind_vel = ind_vel.withColumn("week_label", F.when(listed, F.col("week_label")).otherwise(OTHER_WEEKS))
+    pivoted = ind_vel.groupBy("assignee").pivot("week_label", [*labels, OTHER_WEEKS] if labels else None)
     wide = pivoted.agg(F.sum("done_sp")).fillna(0.0)
     cells = [F.col(f"`{c}`") for c in wide.columns if c != "assignee"]
     total = F.aggregate(F.array(*cells), F.lit(0.0), lambda acc, x: acc + x) if cells else F.lit(0.0)

@@ -6,7 +6,7 @@ can then be divided between the tasks of the sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import (
     as_date, first_completed, iso_week_label, issue_filter, last_completed, priority_rank,
@@ -175,8 +175,10 @@ def recent_velocity_trend(issues: DataFrame, changelog: DataFrame | None,
         _completed_work(issues, changelog, None, vocab, completed)
         .groupBy("week_start", "team").agg(F.sum("reported_sp").alias("done_sp"))
     )
-    newest = weekly.agg(F.max("week_start")).scalar()
-    rows = weekly.filter(F.col("week_start") >= F.date_sub(newest, 56))
+    # One row per week and team: the calendar and the team rule bound what the window holds.
+    newest = F.max("week_start").over(Window.partitionBy(F.lit(0)))
+    rows = weekly.withColumn("_newest", newest).filter(
+        F.col("week_start") >= F.date_sub("_newest", 56)).drop("_newest")
     return sort_if(rows, ordered, "week_start", "team")
 
 
@@ -247,12 +249,13 @@ def priority_breakdown(issues: DataFrame, team: str | None = None, date_from: ob
         priority_rank(F.col("priority"), vocab), "priority")
 
 
-def issues_table(issues: DataFrame, changelog: DataFrame, team: str | None = None,
+def issues_table(issues: DataFrame, changelog: DataFrame | None, team: str | None = None,
                  date_from: object = None, vocab: Vocabulary = DEFAULT,
-                 ordered: bool = True) -> DataFrame:
+                 ordered: bool = True, completed: DataFrame | None = None) -> DataFrame:
     """Detail rows with team, ISO week and the last completion day."""
     created = F.col("created")
-    done = last_completed(changelog, vocab)
+    done = last_completed(changelog, vocab) if completed is None else completed.select(
+        "issue_key", F.col("last_completed_date").alias("completed_date"))
     rows = issues.filter(issue_filter(team=team, date_from=date_from, vocab=vocab))
     dated = rows.join(done, F.col("key") == F.col("issue_key"), "left")
     return (

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import as_timestamp
-from ..functions.skew import flag_hot, key_counts
 from ..schemas import AI_SCORES
 from .reports import leaderboard
 
@@ -23,29 +22,19 @@ PROMPT = (
 )
 
 
-# A thread is divided by the hour when it has this many comments and holds more than
-# 1/THREAD_SHARE of all of them. Fewer than THREAD_SHARE issues can do so: their keys, some tens of
-# megabytes at most, are broadcast. Whatever stays undivided is a millionth of the comments or less.
-LONG_THREAD = 10_000
-THREAD_SHARE = 1_000_000
-
-
 def comment_threads(comments: DataFrame) -> DataFrame:
-    """One thread per issue, as part 0: "- author: body" lines in order of time, then id.
+    """One thread per issue: "- author: body" lines in order of time, then id; null times first.
 
-    A very long thread would be one group beyond any task or cell. It comes whole but in several
-    rows, one part per hour, numbered by time. Comments are counted first, over the key column
-    alone, so the texts are shuffled once.
+    Lines are put together per hour and hours per issue, so no sort holds all single comments of a
+    much-discussed issue. The thread itself is one cell by definition: one beyond what a cell can
+    hold fails the job rather than being cut.
     """
-    counts = key_counts(comments)
-    parts = flag_hot(comments, counts, LONG_THREAD, THREAD_SHARE).withColumn(
-        "part",
-        F.when(F.col("hot"), F.coalesce(
-            F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01', created)"), F.lit(0)))
-        .otherwise(0).cast("bigint"))
     line = F.concat(F.lit("- "), F.col("author"), F.lit(": "), F.col("body"))
-    return parts.withColumn("line", line).groupBy("issue_key", "part").agg(
-        F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY created, id)").alias("thread"))
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01', created)")
+    hourly = comments.select("issue_key", "created", "id", line.alias("line"), hour.alias("hour")).groupBy(
+        "issue_key", "hour").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY created, id)").alias("lines"))
+    return hourly.groupBy("issue_key").agg(
+        F.expr("listagg(lines, '\\n') WITHIN GROUP (ORDER BY hour)").alias("thread"))
 
 
 def _or_else(column: str, fallback: str) -> Column:
@@ -54,19 +43,11 @@ def _or_else(column: str, fallback: str) -> Column:
 
 
 def scoring_prompts(issues: DataFrame, comments: DataFrame, template: str = PROMPT) -> DataFrame:
-    """One prompt per issue, or per part of its thread. The template takes key, summary, points,
-    status, assignee, description and comments, in this order.
-
-    Issues with and without comments are taken apart: an inner join may split a long thread's
-    parts between tasks, which an outer join may not do on this side.
-    """
-    talked = issues.join(comment_threads(comments), F.col("key") == F.col("issue_key"))
-    silent = issues.join(key_counts(comments), F.col("key") == F.col("issue_key"), "left_anti")
-    rows = talked.drop("issue_key").unionByName(
-        silent.withColumn("part", F.lit(0).cast("bigint")).withColumn("thread", F.lit("")))
+    """One prompt per issue. The template takes key, summary, points, status, assignee, description
+    and comments, in this order."""
+    rows = issues.join(comment_threads(comments), F.col("key") == F.col("issue_key"), "left")
     return rows.select(
         F.col("key").alias("issue_key"),
-        "part",
         F.format_string(
             template, "key", F.coalesce("summary", F.lit("")),
             F.coalesce("reported_sp", F.lit(0.0)).cast("string"),
@@ -83,7 +64,7 @@ def _score(prompt: str, scorer: Scorer) -> tuple[str, float | None, str | None]:
             raise ValueError(f"clarity score {clarity} is not between 0 and 1")
         return reasoning, float(clarity), notes
     except Exception as failure:  # one bad answer must not end the run
-        return f"Analysis failed: {failure}", None, None
+        return f"Analysis failed: {failure}", None, None  # fixed value: the prefix readers look for
 
 
 def score_issues(prompts: DataFrame, scorer: Scorer, analyzed_at: object) -> DataFrame:

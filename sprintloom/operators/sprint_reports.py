@@ -117,10 +117,13 @@ def sprint_registry(sprints: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def sprint_total_sp(issues: DataFrame, sprint_issues: DataFrame) -> DataFrame:
-    """Today's story points per sprint name."""
+    """Today's story points per sprint name; 0 for a sprint none of whose issues is stored."""
     sized = issues.select(F.col("key").alias("issue_key"), "reported_sp")
     joined = counted_join(sprint_issues, sized, key_counts(sprint_issues), "sprint_name")
-    return joined.groupBy("sprint_name").agg(
+    # A second sum over the bridge's names adds the sprints without a stored issue, so no join
+    # has to keep unmatched rows of the long side.
+    names = sprint_issues.select("sprint_name", F.lit(0.0).alias("reported_sp")).distinct()
+    return joined.select("sprint_name", "reported_sp").unionByName(names).groupBy("sprint_name").agg(
         F.coalesce(F.sum("reported_sp"), F.lit(0.0)).alias("total_sp"))
 
 

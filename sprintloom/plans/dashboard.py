@@ -6,26 +6,30 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from ..functions.expressions import first_completed
+from ..functions.expressions import completions
 from ..operators import reports as r, sprint_reports as s
 from ..session import written
 from ..vocab import DEFAULT, Vocabulary
 
 
+def shared_completions(changelog: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """First and last completions, written to the shared folder and read back."""
+    return written(completions(changelog, vocab), "completions")
+
+
 def dashboard(tables: Mapping[str, DataFrame], as_of: object, start: object = None,
-              vocab: Vocabulary = DEFAULT, share: bool = True) -> dict[str, DataFrame]:
-    """Every dashboard result by name, lazy but for one shared table.
+              vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every dashboard result by name, all lazy.
 
-    ``tables`` holds the stored tables by name. Seven results need the first completion of each
-    issue; with ``share`` that aggregate of the change history, by far the largest table, is
-    computed once and written to the shared folder, so later results read it instead.
+    ``tables`` holds the stored tables by name. Seven results need the first or last completion of
+    each issue, an aggregate of the change history, by far the largest table. A caller that wants
+    many results computes it once with ``shared_completions`` and passes it.
     """
     start = vocab.report_start if start is None else start
     issues, changelog = tables["issues"], tables["issue_changelog"]
     sprints, bridge = tables["synced_sprints"], tables["sprint_issues"]
-    done = first_completed(changelog, vocab)
-    if share:
-        done = written(done, "first-completed")
+    both = completions(changelog, vocab) if completed is None else completed
+    done = both.select("issue_key", "completed_date")
     velocity = dict(changelog=None, vocab=vocab, completed=done)
     # The result names that readers of the export expect.
     return {
@@ -41,7 +45,7 @@ def dashboard(tables: Mapping[str, DataFrame], as_of: object, start: object = No
         "leaderboardPeriods.last_3_weeks": r.leaderboard_last_3_weeks(issues, **velocity),
         "statusBreakdown": r.status_breakdown(issues, date_from=start, vocab=vocab),
         "individualVelocity": r.individual_velocity(issues, date_from=start, **velocity),
-        "issues": r.issues_table(issues, changelog, date_from=start, vocab=vocab),
+        "issues": r.issues_table(issues, None, date_from=start, vocab=vocab, completed=both),
         "sufficiency": r.latest_sufficiency(tables["sufficiency_snapshots"]),
         "activeSprintDetails": s.active_sprint_details(
             issues, sprints, tables["sprint_metadata"], vocab),

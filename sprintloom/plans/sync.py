@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import as_timestamp
 from ..operators import maintenance as m
+from ..operators.scoring import Scorer, score_issues, scoring_prompts
 from ..operators.sprint_reports import sprint_total_sp
-from ..schemas import TABLE_KEYS
+from ..schemas import CORRUPT, TABLE_KEYS
 from ..session import written
 from ..sources import raw as src
 from ..sources.tables import TableStore
@@ -20,6 +21,7 @@ def store_documents(store: TableStore, documents: DataFrame, vocab: Vocabulary =
     An issue fetched for several sprints keeps its newest state; between equal states the lowest
     sprint id wins, which is the one a newest-first walk over the sprints would write last.
     """
+    documents = src.readable(documents)
     issues = src.ingest_issues(documents)
     newest = [F.col("updated"), -F.col("sprint_id")]
     merged = m.upsert(store.read("issues"), issues, TABLE_KEYS["issues"], newest)
@@ -38,11 +40,12 @@ def run_sync(store: TableStore, raw_issues: DataFrame, raw_sprints: DataFrame, a
     Each step ends in a written version and the next reads it back, so no step's lineage reaches
     behind stored files and a lost executor costs only its own tasks.
     """
-    source = src.sprint_list(raw_sprints)
+    source = src.unique_sprints(src.sprint_list(raw_sprints))
     before = store.read("synced_sprints")
     selected = src.sprints_to_sync(source, before, full, vocab)
     wanted = raw_issues.join(selected.select("sprint_id"), "sprint_id", "left_semi")
-    documents = written(wanted, "documents")  # the JSON is parsed once, five steps read the result
+    # The JSON is parsed once, five steps read the result.
+    documents = written(src.readable(wanted).drop(CORRUPT), "documents")
     store_documents(store, documents, vocab)
 
     issues = store.read("issues")
@@ -61,12 +64,30 @@ def run_sync(store: TableStore, raw_issues: DataFrame, raw_sprints: DataFrame, a
     registry = m.replace_columns(before, seen, ["sprint_id"]).join(
         source.select("sprint_id", "start_date"), "sprint_id", "left")
     taken_at = F.coalesce(F.col("s.start_date").cast("timestamp_ntz"), now)
+    # Only sprints that start now need a total; the others' memberships are not joined.
+    starting = registry.filter("state = 'active'").join(
+        before.filter("state = 'active'").select("sprint_id"), "sprint_id", "left_anti").select("sprint_name")
+    members = bridge.join(starting, "sprint_name", "left_semi")
     store.write("synced_sprints", m.transition_snapshots(
-        before, registry, sprint_total_sp(issues, bridge), taken_at))
+        before, registry, sprint_total_sp(issues, members), taken_at))
 
     waiting = src.future_sprint_sp(raw_issues, source)
     store.write("sufficiency_snapshots", m.sufficiency_update(
         store.read("sufficiency_snapshots"), waiting, weekly, as_of))
 
     log = m.run_log(source, selected, src.ingest_issues(documents), src.ingest_comments(documents))
-    return m.sync_summary(log)
+    return m.sync_summary(log, src.ingest_rejects(raw_issues))
+
+
+def run_scoring(store: TableStore, scorer: Scorer, at: object) -> DataFrame:
+    """Score every stored issue, keep the newest score of each, and rebuild the weekly table.
+
+    Returns the stored scores. The scores are written before they are merged, so a scorer is not
+    called again for a step that is repeated.
+    """
+    issues = store.read("issues")
+    prompts = scoring_prompts(issues, store.read("issue_comments"))
+    fresh = written(score_issues(prompts, scorer, at), "scores")
+    scores = store.write("ai_scores", m.upsert(store.read("ai_scores"), fresh, TABLE_KEYS["ai_scores"]))
+    store.write("weekly_metrics", m.weekly_metrics(issues))
+    return scores

@@ -72,18 +72,19 @@ COLUMN_DEFAULTS: dict[str, dict[str, object]] = {
 }
 
 STORY_POINTS_FIELD = "customfield_10016"
+CORRUPT = "_corrupt_record"
 
 
 def raw_issue_schema(story_points_field: str = STORY_POINTS_FIELD) -> T.StructType:
     """One landed line: the sprint it was fetched for plus the nested issue document.
 
-    Rich-text parts stay JSON text (a string column over a nested value keeps its source text);
-    ``flagged`` may be of any JSON type, so it is a variant.
+    Rich-text parts and ``flagged`` may be of any JSON type, so they are variants: a text that looks
+    like JSON stays apart from a tree. A line that cannot be read is kept whole in ``CORRUPT``.
     """
     person = T.StructType([T.StructField("displayName", _S)])
     named = T.StructType([T.StructField("name", _S)])
     status = T.StructType([T.StructField("name", _S), T.StructField("statusCategory", named)])
-    comment = _table(id=_S, author=person, body=_S, created=_S)
+    comment = _table(id=_S, author=person, body=T.VariantType(), created=_S)
     item = _table(field=_S, fromString=_S, toString=_S)
     history = _table(id=_S, author=person, created=_S, items=T.ArrayType(item))
     fields = T.StructType([
@@ -97,7 +98,7 @@ def raw_issue_schema(story_points_field: str = STORY_POINTS_FIELD) -> T.StructTy
         T.StructField("flagged", T.VariantType()),
         T.StructField("created", _S),
         T.StructField("updated", _S),
-        T.StructField("description", _S),
+        T.StructField("description", T.VariantType()),
         T.StructField("comment", T.StructType([T.StructField("comments", T.ArrayType(comment))])),
     ])
     changelog = T.StructType([T.StructField("histories", T.ArrayType(history))])
@@ -110,6 +111,7 @@ def raw_issue_schema(story_points_field: str = STORY_POINTS_FIELD) -> T.StructTy
             T.StructField("fields", fields),
             T.StructField("changelog", changelog),
         ])),
+        T.StructField(CORRUPT, _S),
     ])
 
 

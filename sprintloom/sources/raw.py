@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.richtext import rich_text
-from ..schemas import RAW_SPRINTS, STORY_POINTS_FIELD, raw_issue_schema
+from ..schemas import CORRUPT, RAW_SPRINTS, STORY_POINTS_FIELD, raw_issue_schema
 from ..vocab import DEFAULT, Vocabulary
 
 # JSON texts that count as "not flagged" (false, zero and empty values).
@@ -14,8 +14,35 @@ _FALSY_JSON = ("false", "null", "0", "0.0", "-0.0", '""', "[]", "{}")
 
 def read_raw_issues(spark: SparkSession, path: str,
                     story_points_field: str = STORY_POINTS_FIELD) -> DataFrame:
-    """JSON lines of ``{board_name, sprint_id, sprint_name, issue}``, never schema-inferred."""
-    return spark.read.schema(raw_issue_schema(story_points_field)).json(path)
+    """JSON lines of ``{board_name, sprint_id, sprint_name, issue}``, never schema-inferred.
+
+    Lines that cannot be read, or hold an issue without a key, come along; ``readable`` leaves them
+    out and ``ingest_rejects`` lists them.
+    """
+    return spark.read.schema(raw_issue_schema(story_points_field)).option(
+        "columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def _reject_reason(raw: DataFrame) -> Column:
+    nameless = F.when(F.col("issue.key").isNull(), "no issue key")
+    if CORRUPT not in raw.columns:
+        return nameless
+    return F.when(F.col(CORRUPT).isNotNull(), "unreadable line").otherwise(nameless)
+
+
+def readable(raw: DataFrame) -> DataFrame:
+    """The documents that can be stored: read without an error and with an issue key."""
+    return raw.filter(_reject_reason(raw).isNull())
+
+
+def ingest_rejects(raw: DataFrame) -> DataFrame:
+    """``board_name, sprint_id, reason, line`` of every line that is not ``readable``.
+
+    ``line`` is the text of an unreadable line and null for a document without a key.
+    """
+    line = F.col(CORRUPT) if CORRUPT in raw.columns else F.lit(None).cast("string")
+    return raw.withColumn("reason", _reject_reason(raw)).filter("reason is not null").select(
+        "board_name", "sprint_id", "reason", line.alias("line"))
 
 
 def read_raw_sprints(spark: SparkSession, path: str) -> DataFrame:
@@ -111,10 +138,19 @@ def sprint_list(raw_sprints: DataFrame) -> DataFrame:
     )
 
 
+def unique_sprints(source: DataFrame) -> DataFrame:
+    """One row per sprint id. Boards may share a sprint: the last board by name wins."""
+    rest = [c for c in source.columns if c != "sprint_id"]
+    order = ["board_name"] if "board_name" in rest else []
+    best = F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("_best")
+    return source.groupBy("sprint_id").agg(best).select(
+        *[F.col(c) if c == "sprint_id" else F.col(f"_best.{c}") for c in source.columns])
+
+
 def sprints_to_sync(source: DataFrame, synced: DataFrame, full: bool = False,
                     vocab: Vocabulary = DEFAULT) -> DataFrame:
-    """Source sprints that need loading: a sprint already stored as closed is not read again."""
-    known = source.filter(F.col("state").isin(*vocab.sprint_states))
+    """Source sprints that need loading, one row each: one already stored as closed is not read again."""
+    known = unique_sprints(source).filter(F.col("state").isin(*vocab.sprint_states))
     if full:
         return known
     finished = synced.filter(F.col("state") == "closed").select("sprint_id")
@@ -128,10 +164,16 @@ def sprints_to_sync(source: DataFrame, synced: DataFrame, full: bool = False,
 
 def future_sprint_sp(raw: DataFrame, sprints: DataFrame,
                      story_points_field: str = STORY_POINTS_FIELD) -> DataFrame:
-    """Story points waiting in future sprints, as one row. Summed per sprint before the join."""
-    per_sprint = raw.groupBy("sprint_id").agg(
-        F.sum(F.coalesce(F.col(f"issue.fields.{story_points_field}"), F.lit(0.0))).alias("sp"),
-    )
+    """Story points waiting in future sprints, as one row. Summed per sprint before the join.
+
+    A document landed again counts once, in its newest state. A sprint on two boards counts for
+    both, as each board plans it.
+    """
+    points = F.coalesce(F.col(f"issue.fields.{story_points_field}"), F.lit(0.0))
+    newest = readable(raw).groupBy("board_name", "sprint_id", F.col("issue.key").alias("key")).agg(
+        F.max(F.struct(F.col("issue.fields.updated").cast("timestamp_ntz").alias("updated"),
+                       points.alias("sp"))).alias("newest"))
+    per_sprint = newest.groupBy("sprint_id").agg(F.sum("newest.sp").alias("sp"))
     future = sprints.filter(F.col("state") == "future").select("sprint_id")
     return per_sprint.join(future, "sprint_id", "left_semi").agg(
         F.coalesce(F.sum("sp"), F.lit(0.0)).alias("future_sp"),

@@ -101,6 +101,13 @@ def test_split_sprint_names_examples(spark):
     assert got == [["S1", "S2"], ["S1", "S2,"], ["チーム（コウ、ジョン）", "S2"], ["a,b"], [], [], ["S9", "x"]]
 
 
+def test_strip_knows_every_white_space_character(spark):
+    texts = [a + "x y" + b for a in ("", *x.WHITESPACE) for b in ("", *x.WHITESPACE)] + ["", *x.WHITESPACE, None]
+    assert len(x.WHITESPACE) == 29
+    got = values(spark, x.strip(F.col("n")), "n string", *[(t,) for t in texts])
+    assert got == [t if t is None else t.strip() for t in texts]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="ab, \t　\x1c、", max_size=12), min_size=1, max_size=40))
 def test_split_sprint_names_property(spark, texts):

@@ -13,7 +13,7 @@ from sprintloom.plans.sync import run_sync
 from sprintloom.sources import raw as src
 from sprintloom.sources.tables import TableStore, all_issues, read_table, save_bucketed
 from sprintloom.streaming.incremental import incremental_ingest
-from sprintloom.operators import reports
+from sprintloom.operators import reports, sprint_reports
 from tests.conftest import at, day, dicts, plan, tuples
 
 SP = schemas.STORY_POINTS_FIELD
@@ -153,6 +153,37 @@ def test_rich_text_column(spark):
     assert got == ["Title\none\ntwo\nthree\nx = 1\nab", "", "just words", "[broken", "a\nb"]
 
 
+def test_a_string_that_looks_like_a_tree_stays_a_string(spark, land):
+    texts = ["[1, 2]", "[]", '{"type": "text", "text": "x"}', '"quoted"', "null", ""]
+    raw = src.read_raw_issues(spark, land(*[line({"key": f"T-{i}", "fields": {"description": t}}) for i, t in enumerate(texts)]))
+    assert [r.description for r in src.ingest_issues(raw).orderBy("key").collect()] == texts
+
+
+def test_a_tree_too_deep_for_the_parser_does_not_end_the_job(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    assert rich_text_to_plain(spark.createDataFrame([(deep,)], "d string"), "d").first().d == deep
+
+
+# ── rejects ─────────────────────────────────────────────────────────────────────────────────
+
+
+def test_rejects_are_listed_and_never_stored(spark, land, pages, tmp_path):
+    good, cut = line(issue("a", 3), 2, "S2 ScrumA"), line(issue("b", 5), 2, "S2 ScrumA")[:150]
+    keyless = line({"fields": {SP: 8}}, 2, "S2 ScrumA")
+    raw = src.read_raw_issues(spark, land(good, cut, keyless, "no json at all", line("[" * 5000, 2), name="1.json"))
+    rejects = dicts(src.ingest_rejects(raw))
+    assert sorted(r["reason"] for r in rejects) == ["no issue key", "no issue key", "unreadable line", "unreadable line"] or sorted(
+        r["reason"] for r in rejects) == ["no issue key"] + ["unreadable line"] * 3
+    assert {cut, "no json at all"} <= {r["line"] for r in rejects}
+    store = TableStore(spark, str(tmp_path / "store"))
+    assert tuples(run_sync(store, raw, pages(), "2025-01-20")) == [(1, 1, 0, 4)]
+    assert [r.key for r in store.read("issues").collect()] == ["a"]
+    other = TableStore(spark, str(tmp_path / "other"))
+    for turn in range(2):
+        incremental_ingest(other, land(good, cut, keyless, name=f"{turn}.json"), str(tmp_path / "ckpt"))
+        assert [r.key for r in other.read("issues").collect()] == ["a"]
+
+
 # ── sprints ─────────────────────────────────────────────────────────────────────────────────
 
 PAGES = [
@@ -200,6 +231,13 @@ def test_future_sprint_sp(spark, land, make):
     assert tuples(src.future_sprint_sp(raw, make.sprints())) == [(0.0,)]
 
 
+def test_a_document_landed_again_counts_once_per_board(spark, land, make):
+    old, new = {"key": "a", "fields": {SP: 3, "updated": "2025-01-01T00:00:00"}}, {"key": "a", "fields": {SP: 5, "updated": "2025-01-02T00:00:00"}}
+    raw = src.read_raw_issues(spark, land(line(new, 3), line(old, 3), line(new, 3), line(old, 3, board="B")))
+    future = make.sprints(dict(sprint_id=3, state="future"))
+    assert tuples(src.future_sprint_sp(raw, future)) == [(8.0,)]
+
+
 # ── stored tables, sync and streaming ───────────────────────────────────────────────────────
 
 
@@ -291,6 +329,29 @@ def test_sync_run(spark, land, pages, tmp_path):
     assert store.read("sufficiency_snapshots").count() == 1
 
 
+def test_a_sprint_on_two_boards_is_one_sprint(spark, land, pages, tmp_path):
+    both = [{**p, "board_name": b} for p in PAGES for b in ("Main Board", "Other")] * 2
+    raw = src.read_raw_issues(spark, land(*[
+        line(issue(k, 3), 2, "S2 ScrumA", b) for k in "ab" for b in ("Main Board", "Other")] * 2))
+    store = TableStore(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        assert tuples(run_sync(store, raw, pages(both), "2025-01-20"))[0][0] == 2
+        shared = [r for r in dicts(store.read("synced_sprints")) if r["sprint_id"] == 2]
+        assert [(r["board_name"], r["planned_sp_snapshot"]) for r in shared] == [("Other", 6.0)]
+        assert store.read("sprint_metadata").filter("sprint_id = 2").count() == 1
+        progress = dicts(sprint_reports.active_sprints_progress(store.read("issues"), store.read("synced_sprints")))
+        assert [(r["total_issues"], r["total_sp"]) for r in progress] == [(2, 6.0)]
+
+
+def test_a_late_file_does_not_undo_a_newer_state(spark, land, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    incremental_ingest(store, land(line(issue("a", 5, updated="2025-01-05T00:00:00")), name="1.json"), str(tmp_path / "ckpt"))
+    incremental_ingest(store, land(line(issue("a", 2, updated="2025-01-02T00:00:00")), name="2.json"), str(tmp_path / "ckpt"))
+    assert [r.reported_sp for r in store.read("issues").collect()] == [5.0]
+    incremental_ingest(store, land(line(issue("a", 6, updated="2025-01-05T00:00:00")), name="3.json"), str(tmp_path / "ckpt"))
+    assert [r.reported_sp for r in store.read("issues").collect()] == [6.0]
+
+
 def test_incremental_ingest_reads_each_file_once(spark, land, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
     folder = land(line(issue("a", 1)), line(issue("b", 2)), name="1.json")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from sprintloom.functions import skew
 from sprintloom.functions.expressions import other_sprint_count
-from sprintloom.operators import reports, scoring, sprint_reports
+from sprintloom.operators import metrics, reports, scoring, sprint_reports
 from sprintloom.plans.dashboard import dashboard
+from sprintloom.plans.sync import run_scoring
 from sprintloom.session import shared_dir, written
 from sprintloom.sinks.export import csv_export, dashboard_export
+from sprintloom.sources.tables import TableStore
 from tests.conftest import at, day, plan, tuples
 
 
@@ -102,7 +105,7 @@ def test_no_report_uses_a_cross_join_or_python(stored, make):
     issues, changes = stored
     tables = {"issues": issues, "issue_changelog": changes, "synced_sprints": make.sprints({}),
               "sprint_issues": make.bridge(), "sprint_metadata": make.metadata(), "sufficiency_snapshots": make.history()}
-    for name, frame in dashboard(tables, "2025-01-20", share=False).items():
+    for name, frame in dashboard(tables, "2025-01-20").items():
         text = plan(frame)
         assert "Cartesian" not in text and "BroadcastNestedLoop" not in text, name
         assert "Python" not in text and "Pandas" not in text, name
@@ -147,20 +150,45 @@ def test_hot_sprint_is_split_by_the_join(spark, tmp_path, conf):
     assert "skew=true" in plan(report)
 
 
-def test_long_thread_is_divided_by_the_hour_and_stays_whole(spark, make, monkeypatch):
-    monkeypatch.setattr(scoring, "LONG_THREAD", 100)
-    comments = spark.range(900).select(
-        F.lpad(F.col("id").cast("string"), 4, "0").alias("id"),
-        F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("K"), F.col("id") % 60)).alias("issue_key"),
+def test_a_thread_of_any_length_is_one_row_one_prompt_and_one_score(spark, make):
+    comments = spark.range(24_000).select(
+        F.lpad(F.col("id").cast("string"), 5, "0").alias("id"),
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("K"), F.col("id") % 60)).alias("issue_key"),
         F.lit("ann").alias("author"), F.col("id").cast("string").alias("body"),
-        (F.lit("2025-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("created"))
-    rows = scoring.comment_threads(comments).orderBy("issue_key", "part").collect()
-    hot = [r.thread for r in rows if r.issue_key == "hot"]
-    assert len(hot) == 5  # 300 minutes
-    assert "\n".join(hot) == "\n".join(f"- ann: {i}" for i in range(300))
-    assert len(rows) == 5 + 60 and {r.part for r in rows if r.issue_key != "hot"} == {0}
+        F.when(F.col("id") >= 10, F.lit("2025-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("created"))
+    threads = {r.issue_key: r.thread for r in scoring.comment_threads(comments).collect()}
+    assert len(threads) == 31 and threads["hot"] == "\n".join(f"- ann: {i}" for i in range(0, 24_000, 2))
     prompts = scoring.scoring_prompts(make.issues(dict(key="hot"), dict(key="none")), comments)
-    assert sorted((r.issue_key, r.part > 0) for r in prompts.collect()) == [("hot", True)] * 5 + [("none", False)]
+    scores = scoring.score_issues(prompts, lambda p: ("r", 0.5, str(len(p))), "2025-01-01").collect()
+    assert sorted(r.issue_key for r in scores) == ["hot", "none"]
+
+
+def test_scoring_run_stores_one_newest_score_per_issue(spark, make, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write("issues", make.issues(dict(key="a"), dict(key="b")))
+    store.write("issue_comments", make.comments(dict(id="1", issue_key="a")))
+    store.write("ai_scores", make.scores(
+        dict(issue_key="a", complexity_reasoning="zzz old", analyzed_at=at("2025-01-01")),
+        dict(issue_key="b", complexity_reasoning="newer", analyzed_at=at("2026-01-01")),
+        dict(issue_key="gone", complexity_reasoning="kept", analyzed_at=at("2025-01-01"))))
+    scores = run_scoring(store, lambda p: ("new", 0.5, "n"), "2025-06-01")
+    assert sorted((r.issue_key, r.complexity_reasoning) for r in scores.collect()) == [("a", "new"), ("b", "newer"), ("gone", "kept")]
+    assert store.read("weekly_metrics").count() == 1
+
+
+@pytest.mark.parametrize("build,expected", [
+    (lambda i, c: reports.leaderboard_last_3_weeks(i, c), [1, 1]),
+    (lambda i, c: reports.recent_velocity_trend(i, c), [1, 1]),
+    (lambda i, c: metrics.week_over_week(reports.recent_velocity_trend(i, c, ordered=False)), [1, 1]),
+    (lambda i, c: metrics.assignee_summary(reports.individual_velocity(i, c, ordered=False)), [1, 1]),
+    (lambda i, c: metrics.assignee_comparison(reports.individual_velocity(i, c, ordered=False)), [1, 1]),
+])
+def test_each_table_is_shuffled_once(stored, conf, build, expected):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
+    text = plan(build(*stored))
+    # A reused exchange is printed as such, without what lies below it.
+    found = [len(re.findall(rf"FileScan parquet [^\n]*{name}", text)) for name in ("/issues", "/changes")]
+    assert found == expected
 
 
 def test_hot_day_does_not_end_in_one_sort_task(spark, make, conf):

@@ -209,7 +209,7 @@ def test_reports_on_empty_tables(make):
     tables = {
         "issues": make.issues(), "issue_changelog": make.changes(), "synced_sprints": make.sprints(),
         "sprint_issues": make.bridge(), "sprint_metadata": make.metadata(), "sufficiency_snapshots": make.history()}
-    for name, frame in dashboard(tables, "2025-01-10", share=False).items():
+    for name, frame in dashboard(tables, "2025-01-10").items():
         assert frame.count() == 0, name
     for frame in (r.weekly_total(make.weekly()), r.weekly_board_metrics(make.weekly()),
                   r.weekly_assignee_metrics(make.weekly()), r.priority_breakdown(make.issues()),
