@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,13 +56,21 @@ def fingerprint(text: Column, words: int = 3) -> Column:
 def covering_masks(radius: int) -> list[int]:
     """2^(radius+1) - 1 masks of which at least one avoids any ``radius`` bits.
 
-    Every bit gets a non-zero vector of radius+1 binary digits, dealt in turn. The mask of a non-zero
-    vector v holds the bits whose vector has an odd product with v. The vectors of ``radius`` bits span at
-    most ``radius`` dimensions, so some v is orthogonal to all of them and its mask has none of them.
+    Every bit gets a non-zero vector of radius+1 binary digits. The mask of a non-zero vector v holds the bits
+    whose vector has an odd product with v. The vectors of ``radius`` bits span at most ``radius``
+    dimensions, so some v is orthogonal to all of them and its mask has none of them. That holds for any
+    vectors; they are dealt in turn if there are few, else those of a few random deals are taken whose
+    smallest mask is largest, so that no table has large buckets.
     """
     count = 2 ** (radius + 1) - 1
-    return [sum(1 << bit for bit in range(BITS) if ((bit % count + 1) & v).bit_count() % 2)
-            for v in range(1, count + 1)]
+
+    def masks(vectors: list[int]) -> list[int]:
+        return [sum(1 << bit for bit, w in enumerate(vectors) if (w & v).bit_count() % 2) for v in range(1, count + 1)]
+
+    if count < BITS:
+        return masks([bit % count + 1 for bit in range(BITS)])
+    deals = [masks(random.Random(seed).sample(range(1, count + 1), BITS)) for seed in range(20)]
+    return max(deals, key=lambda m: min(x.bit_count() for x in m))
 
 
 def _signed(value: int) -> int:
