@@ -9,7 +9,6 @@ from ..operators import maintenance as m
 from ..operators.scoring import Scorer, score_issues, scoring_prompts
 from ..operators.sprint_reports import sprint_total_sp
 from ..schemas import CORRUPT, TABLE_KEYS
-from ..session import written
 from ..sources import raw as src
 from ..sources.tables import TableStore
 from ..vocab import DEFAULT, Vocabulary
@@ -24,13 +23,15 @@ def store_documents(store: TableStore, documents: DataFrame, vocab: Vocabulary =
     documents = src.readable(documents)
     issues = src.ingest_issues(documents)
     newest = [F.col("updated"), -F.col("sprint_id")]
-    merged = m.upsert(store.read("issues"), issues, TABLE_KEYS["issues"], newest)
-    store.write("issues", m.recalculate_priorities(merged, vocab))
+    store.read("issues")
+    store.upsert("issues", issues, TABLE_KEYS["issues"], newest,
+                 after=lambda rows: m.recalculate_priorities(rows, vocab))
     for table, rows in (
         ("issue_comments", src.ingest_comments(documents, vocab)),
         ("issue_changelog", src.ingest_changelog(documents, vocab)),
     ):
-        store.write(table, m.upsert(store.read(table), rows, TABLE_KEYS[table]))
+        store.read(table)
+        store.upsert(table, rows, TABLE_KEYS[table])
 
 
 def run_sync(store: TableStore, raw_issues: DataFrame, raw_sprints: DataFrame, as_of: object,
@@ -45,7 +46,7 @@ def run_sync(store: TableStore, raw_issues: DataFrame, raw_sprints: DataFrame, a
     selected = src.sprints_to_sync(source, before, full, vocab)
     wanted = raw_issues.join(selected.select("sprint_id"), "sprint_id", "left_semi")
     # The JSON is parsed once, five steps read the result.
-    documents = written(src.readable(wanted).drop(CORRUPT), "documents")
+    documents = store.written(src.readable(wanted).drop(CORRUPT), "documents")
     store_documents(store, documents, vocab)
 
     issues = store.read("issues")
@@ -87,7 +88,8 @@ def run_scoring(store: TableStore, scorer: Scorer, at: object) -> DataFrame:
     """
     issues = store.read("issues")
     prompts = scoring_prompts(issues, store.read("issue_comments"))
-    fresh = written(score_issues(prompts, scorer, at), "scores")
-    scores = store.write("ai_scores", m.upsert(store.read("ai_scores"), fresh, TABLE_KEYS["ai_scores"]))
+    fresh = store.written(score_issues(prompts, scorer, at), "scores")
+    store.read("ai_scores")
+    scores = store.upsert("ai_scores", fresh, TABLE_KEYS["ai_scores"])
     store.write("weekly_metrics", m.weekly_metrics(issues))
     return scores

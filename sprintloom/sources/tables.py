@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import json
+import uuid
+from collections.abc import Callable, Sequence
 
-from ..operators.maintenance import evolve_schema
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ..operators.maintenance import evolve_schema, upsert
 from ..schemas import COLUMN_DEFAULTS, TABLE_ORDER, TABLES
 
+# How a table is divided. The month of an entry and the hash of a key never change, so a batch
+# concerns the parts it has rows in and no other. Tables that are not listed are one part.
+KEY_PARTS = 64
+
+
+def _month() -> Column:
+    return F.coalesce(F.date_format("created", "yyyy-MM"), F.lit("none"))
+
+
+PARTS: dict[str, Callable[[], Column]] = {
+    "issues": lambda: F.coalesce(F.pmod(F.xxhash64("key"), F.lit(KEY_PARTS)).cast("string"), F.lit("none")),
+    "issue_comments": _month,
+    "issue_changelog": _month,
+}
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
@@ -17,55 +36,163 @@ def all_issues(issues: DataFrame) -> DataFrame:
     return issues.orderBy(F.desc_nulls_last("created"), "key")
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has committed a version since this store read the table."""
+
+
 class TableStore:
-    """One folder per table, one folder per version inside it.
+    """Tables below one root: data files, and a manifest per version that names the parts' folders.
 
-    A write goes to a new version, so a job may read the table it replaces. A version counts
-    once its ``_SUCCESS`` file exists, which the job commit creates last; readers take the newest
-    such version, so an interrupted write is never seen. Old versions stay until dropped.
+    A write puts its parts into a folder of its own and then creates the next manifest in one
+    step. Readers take the newest whole manifest, so an interrupted write is never seen, and a
+    job may read the table it replaces. The manifest's number is one more than that of the
+    version this store read; if another writer was first, the file exists and the write is refused.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._seen: dict[str, int] = {}
+
+    # ── files ───────────────────────────────────────────────────────────────────────────────
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _fs(self):
+        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._fs(), self._path(folder)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _manifest(self, table: str, version: int) -> dict[str, list] | None:
+        """Part to [folder, columns], or None if the writer did not finish the file."""
+        stream = self._fs().open(self._path(f"{table}/manifests/{version}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def _numbers(self, table: str) -> list[int]:
+        return sorted(int(n) for n in self._names(f"{table}/manifests") if n.isdigit())
 
     def _versions(self, table: str) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [status.getPath() for status in fs.listStatus(folder)]
-        return sorted(
-            int(path.getName()[2:]) for path in names
-            if path.getName().startswith("v=")
-            and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
-        )
+        return [n for n in self._numbers(table) if self._manifest(table, n) is not None]
+
+    def _current(self, table: str) -> tuple[int, dict[str, list]]:
+        numbers = self._numbers(table)
+        for number in reversed(numbers):
+            parts = self._manifest(table, number)
+            if parts is not None:
+                return numbers[-1], parts
+        return max(numbers, default=0), {}
+
+    def _commit(self, table: str, base: int, parts: dict[str, list]) -> None:
+        path = self._path(f"{table}/manifests/{base + 1}")
+        try:
+            out = self._fs().create(path, False)
+        except Exception as failure:
+            if self._fs().exists(path):
+                raise ConcurrentWrite(f"{table} has a version {base + 1} by another writer") from failure
+            raise
+        out.write(bytearray(json.dumps(parts).encode()))
+        out.close()
+        if self._manifest(table, base + 1) != parts:
+            raise RuntimeError(f"version {base + 1} of {table} cannot be read back")
+
+    # ── reading ─────────────────────────────────────────────────────────────────────────────
+
+    def _rows(self, table: str, parts: dict[str, list]) -> DataFrame:
+        schema, out = TABLES[table], None
+        by_columns: dict[tuple, list[str]] = {}
+        for folder, columns in parts.values():
+            by_columns.setdefault(tuple(columns), []).append(f"{self.root}/{table}/{folder}")
+        for columns, folders in by_columns.items():
+            stored = T.StructType([schema[c] for c in columns])
+            rows = evolve_schema(self.spark.read.schema(stored).parquet(*folders), schema, COLUMN_DEFAULTS.get(table, {}))
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def read(self, table: str) -> DataFrame:
         """Newest version in today's schema; an empty typed frame when there is none."""
-        schema = TABLES[table]
-        versions = self._versions(table)
-        if not versions:
-            return self.spark.createDataFrame([], schema)
-        stored = self.spark.read.parquet(f"{self.root}/{table}/v={versions[-1]}")
-        return evolve_schema(stored, schema, COLUMN_DEFAULTS.get(table, {}))
+        self._seen[table], parts = self._current(table)
+        return self._rows(table, parts)
+
+    # ── writing ─────────────────────────────────────────────────────────────────────────────
+
+    def _write_parts(self, table: str, df: DataFrame) -> dict[str, list]:
+        """New files for the rows, a folder per part; no manifest names them yet.
+
+        Rows of a part come together before they are written, and a large part spreads over
+        several tasks and files. Row order inside a file serves data skipping.
+        """
+        columns, folder = TABLES[table].fieldNames(), f"data/{uuid.uuid4().hex}"
+        part = PARTS[table]() if table in PARTS else F.lit("all")
+        rows = df.select(*columns, part.alias("_part"))
+        if table in PARTS:
+            rows = rows.hint("rebalance", F.col("_part"))
+        rows = rows.sortWithinPartitions("_part", *TABLE_ORDER.get(table, ()))
+        rows.write.partitionBy("_part").parquet(f"{self.root}/{table}/{folder}")
+        return {name.removeprefix("_part="): [f"{folder}/{name}", columns]
+                for name in self._names(f"{table}/{folder}") if name.startswith("_part=")}
+
+    def _base(self, table: str) -> tuple[int, dict[str, list]]:
+        now, parts = self._current(table)
+        if self._seen.get(table, now) != now:
+            raise ConcurrentWrite(f"{table} has a version {now} by another writer")
+        return now, parts
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
-        """Write the next version and return the stored table."""
-        version = max(self._versions(table), default=0) + 1
-        rows = df.select(*TABLES[table].fieldNames())
-        if table in TABLE_ORDER:
-            rows = rows.sortWithinPartitions(*TABLE_ORDER[table])
-        # Overwrite clears what an interrupted attempt may have left under this number.
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v={version}")
+        """Write the whole next version and return the stored table."""
+        base, _ = self._base(table)
+        self._commit(table, base, self._write_parts(table, df))
         return self.read(table)
 
+    def upsert(self, table: str, batch: DataFrame, keys: Sequence[str],
+               order_by: Sequence[str | Column] | None = None,
+               after: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """Merge a batch (see ``maintenance.upsert``) and return the stored table.
+
+        Only the parts that the batch has rows in are read and written again; the next manifest
+        takes the others' files over as they are. ``after`` is applied to the merged parts.
+        """
+        base, parts = self._base(table)
+        part = PARTS[table]() if table in PARTS else F.lit("all")
+        # One row per part: months of the calendar, or KEY_PARTS.
+        touched = {r.part for r in batch.select(part.alias("part")).distinct().collect()}
+        if not touched:
+            return self.read(table)
+        old = self._rows(table, {p: v for p, v in parts.items() if p in touched})
+        new = self._write_parts(table, after(upsert(old, batch, keys, order_by)))
+        kept = {p: v for p, v in parts.items() if p not in touched}
+        self._commit(table, base, {**kept, **new})
+        return self.read(table)
 
-def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Store a table hashed and sorted by its join key.
+    # ── upkeep ──────────────────────────────────────────────────────────────────────────────
 
-    Issues bucketed by ``key`` and history bucketed by ``issue_key`` with the same number of
-    buckets join and aggregate per issue without a shuffle.
-    """
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return df.sparkSession.table(name)
+    def expire(self, table: str, keep: int = 2) -> int:
+        """Delete all but the newest ``keep`` versions and the files only they name; returns how
+        many versions went. Files that no manifest names are left, they may be a running write's."""
+        versions = self._versions(table)
+        old, fresh = versions[:-keep] if keep else versions, versions[-keep:] if keep else []
+        if not fresh:
+            raise ValueError("at least one version has to be kept")
+        named = lambda numbers: {v[0] for n in numbers for v in self._manifest(table, n).values()}
+        gone = named(old) - named(fresh)
+        for number in old:
+            self._fs().delete(self._path(f"{table}/manifests/{number}"), False)
+        for folder in gone:
+            self._fs().delete(self._path(f"{table}/{folder}"), True)
+        return len(old)
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        """Write an intermediate result below the root and read it back: short lineage, no lost blocks."""
+        path = f"{self.root}/_work/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear_work(self) -> None:
+        """Delete all intermediate results, when no run of this store is under way."""
+        self._fs().delete(self._path("_work"), True)

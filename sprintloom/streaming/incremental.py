@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 
 from ..plans.sync import store_documents
 from ..schemas import CORRUPT, STORY_POINTS_FIELD, raw_issue_schema
-from ..session import written
 from ..sources.raw import readable
 from ..sources.tables import TableStore
 from ..vocab import DEFAULT, Vocabulary
@@ -18,7 +17,7 @@ def incremental_ingest(store: TableStore, source_dir: str, checkpoint: str,
     """Merge the files that arrived since the last call, then return.
 
     The stream's checkpoint remembers which files are done. All waiting files form one batch, so
-    the tables are rewritten once per call however many files there are. The parsed batch is
+    each part it concerns is rewritten once per call however many files there are. The parsed batch is
     written first, so the three tables share one pass over the JSON. A batch repeated after a
     failure merges to the same rows. Lines that cannot be read, and documents without a key, are
     never stored, and a stored state that is newer than a late file's stays.
@@ -27,7 +26,7 @@ def incremental_ingest(store: TableStore, source_dir: str, checkpoint: str,
         "columnNameOfCorruptRecord", CORRUPT).json(source_dir)
 
     def merge(batch: DataFrame, _: int) -> None:
-        store_documents(store, written(readable(batch).drop(CORRUPT), "documents"), vocab)
+        store_documents(store, store.written(readable(batch).drop(CORRUPT), "documents"), vocab)
 
     query = (
         files.writeStream.foreachBatch(merge)

@@ -11,10 +11,10 @@ from sprintloom import schemas
 from sprintloom.functions.richtext import BLOCK_TYPES, plain_text, rich_text_to_plain
 from sprintloom.plans.sync import run_sync
 from sprintloom.sources import raw as src
-from sprintloom.sources.tables import TableStore, all_issues, read_table, save_bucketed
+from sprintloom.sources.tables import ConcurrentWrite, TableStore, all_issues, read_table
 from sprintloom.streaming.incremental import incremental_ingest
-from sprintloom.operators import reports, sprint_reports
-from tests.conftest import at, day, dicts, plan, tuples
+from sprintloom.operators import sprint_reports
+from tests.conftest import at, day, dicts, tuples
 
 SP = schemas.STORY_POINTS_FIELD
 
@@ -248,46 +248,93 @@ def test_all_issues_and_read_table(spark, make, tmp_path):
     assert [r.key for r in all_issues(issues).collect()] == ["c", "a", "b", "n"]
 
 
+def files(folder):
+    return {str(p) for p in folder.rglob("part-*.parquet")}
+
+
 def test_store_keeps_versions_and_ignores_unfinished_ones(spark, make, tmp_path):
     store = TableStore(spark, str(tmp_path))
     assert store.read("issues").count() == 0
     store.write("issues", make.issues(dict(key="a")))
     # The table may be read by the very job that replaces it.
     store.write("issues", store.read("issues").unionByName(make.issues(dict(key="b"))))
-    (tmp_path / "issues" / "v=3").mkdir()
+    (tmp_path / "issues" / "data" / "lost").mkdir()
+    (tmp_path / "issues" / "manifests" / "3").write_text("")  # a writer that ended inside the last step
     assert sorted(r.key for r in store.read("issues").collect()) == ["a", "b"]
+    assert store._versions("issues") == [1, 2]
     store.write("issues", make.issues(dict(key="c")))
     assert [r.key for r in store.read("issues").collect()] == ["c"]
+    assert store.write("issues", make.issues()).count() == 0
+
+
+def test_store_does_not_need_the_success_marker(spark, make, tmp_path):
+    conf, name = spark._jsc.hadoopConfiguration(), "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    conf.set(name, "false")
+    try:
+        assert TableStore(spark, str(tmp_path)).write("issues", make.issues(dict(key="a"))).count() == 1
+    finally:
+        conf.unset(name)
+
+
+def test_upsert_leaves_the_files_of_other_months_alone(spark, make, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write("issue_changelog", make.changes(
+        *[dict(id=f"{m}-{i}", created=at(f"2025-{m:02d}-05")) for m in range(1, 7) for i in range(3)]))
+    before = {v[0] for v in store._manifest("issue_changelog", 1).values()}
+    table = store.upsert("issue_changelog", make.changes(
+        dict(id="3-1", to_string="new", created=at("2025-03-05")), dict(id="x", created=at("2025-03-09"))), ["id"])
+    after = {v[0] for v in store._manifest("issue_changelog", 2).values()}
+    assert len(before) == len(after) == 6 and len(before & after) == 5
+    assert not any("2025-03" in v for v in before & after)
+    assert table.count() == 19 and table.filter("to_string = 'new'").count() == 1
+    store.upsert("issue_changelog", make.changes(), ["id"])
+    assert store._versions("issue_changelog") == [1, 2]
+
+
+def test_a_second_writer_is_refused(spark, make, tmp_path):
+    one, two = TableStore(spark, str(tmp_path)), TableStore(spark, str(tmp_path))
+    one.read("issues"), two.read("issues")
+    one.write("issues", make.issues(dict(key="a")))
+    with pytest.raises(ConcurrentWrite):
+        two.write("issues", make.issues(dict(key="b")))
+    with pytest.raises(ConcurrentWrite):
+        two._commit("issues", 0, {})
+    assert [r.key for r in two.read("issues").collect()] == ["a"]
+    two.write("issues", make.issues(dict(key="b")))
+
+
+def test_expire_deletes_what_only_old_versions_name(spark, make, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    for month in (1, 2, 3, 3):
+        store.upsert("issue_comments", make.comments(dict(id=str(month), created=at(f"2025-{month:02d}-01"))), ["id"])
+    (tmp_path / "issue_comments" / "data" / "running").mkdir()
+    rows, before = sorted(tuples(store.read("issue_comments"))), files(tmp_path / "issue_comments")
+    assert store.expire("issue_comments", keep=1) == 3 and store._versions("issue_comments") == [4]
+    assert len(before) == 4 and len(files(tmp_path / "issue_comments")) == 3
+    assert sorted(tuples(store.read("issue_comments"))) == rows
+    assert (tmp_path / "issue_comments" / "data" / "running").exists()
+    store.written(spark.range(2), "x")
+    store.clear_work()
+    assert not (tmp_path / "_work").exists()
 
 
 def test_stored_history_is_grouped_by_field_in_each_file(spark, make, tmp_path):
-    rows = [dict(issue_key=f"K{i}", field=("status", "Sprint", "rank")[i % 3]) for i in range(60)]
+    rows = [dict(issue_key=f"K{i}", field=("status", "Sprint", "rank")[i % 3], created=at(f"2025-0{i % 2 + 1}-01")) for i in range(60)]
     TableStore(spark, str(tmp_path)).write("issue_changelog", make.changes(*rows).repartition(2))
-    files = sorted((tmp_path / "issue_changelog" / "v=1").glob("part-*.parquet"))
-    assert len(files) == 2
-    for file in files:
-        fields = pq.read_table(file).column("field").to_pylist()
+    found = sorted(files(tmp_path / "issue_changelog"))
+    assert len(found) == 2
+    for file in found:
+        fields = pq.ParquetFile(file).read(columns=["field"]).column("field").to_pylist()
         assert fields == sorted(fields)
 
 
-def test_store_adds_columns_to_old_tables(spark, make, tmp_path):
-    make.issues(dict(key="a")).drop("issuetype").write.parquet(str(tmp_path / "issues" / "v=1"))
-    row = TableStore(spark, str(tmp_path)).read("issues").first()
-    assert row.issuetype == "" and row.key == "a"
-
-
-def test_bucketed_tables_join_without_a_shuffle(spark, make):
-    issues = save_bucketed(make.issues(dict(key="a"), dict(key="b")), "b_issues", "key", 4)
-    changes = save_bucketed(make.changes(dict(issue_key="a")), "b_changes", "issue_key", 4)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        report = reports.velocity_by_team(issues, changes, ordered=False)
-        assert report.count() == 1
-        # One exchange, for the final (week, team) groups; none on the issue key.
-        assert plan(report).count("Exchange hashpartitioning") == 1
-        assert "hashpartitioning(week_start" in plan(report)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_store_adds_columns_to_old_parts(spark, make, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    old = make.issues(dict(key="a")).drop("issuetype")
+    old.write.parquet(str(tmp_path / "issues" / "data" / "old"))
+    store._commit("issues", 0, {"99": ["data/old", old.columns]})
+    store.upsert("issues", make.issues(dict(key="b", issuetype="Bug")), ["key"])
+    assert sorted((r.key, r.issuetype) for r in store.read("issues").collect()) == [("a", ""), ("b", "Bug")]
 
 
 def issue(key, sp, status="To Do", updated="2025-01-16T00:00:00"):
