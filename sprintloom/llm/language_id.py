@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,6 @@ SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _PIECE = 1 << 20
 _FLUSH = 1_000_000
-_REMEMBERED = 200_000
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -57,36 +57,39 @@ class Model:
     word_logs: np.ndarray
     grams: dict[int, dict[str, int]]
     gram_logs: dict[int, np.ndarray]
-    remembered: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean log frequencies of the word's known n-grams of the longest order that has any."""
+    def known_grams(self, word: str) -> tuple[int, list[int]]:
+        """The longest order of which the word has known n-grams, and their rows; (0, []) without any."""
         for order in ORDERS:
-            known = self.grams.get(order, {})
-            rows = [known[g] for g in grams_of(word, order) if g in known]
+            row_of = self.grams.get(order, {}).get
+            rows = [row for row in map(row_of, grams_of(word, order)) if row is not None]
             if rows:
-                return self.gram_logs[order][rows].mean(0, dtype=np.float64)
-        return np.zeros(len(self.languages))
+                return order, rows
+        return 0, []
+
+    def unseen(self, word: str) -> np.ndarray:
+        """The mean log frequencies of a word's known n-grams of the longest order that has any."""
+        order, rows = self.known_grams(word)
+        return self.gram_logs[order][rows].mean(0, dtype=np.float64) if rows else np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total, letters = np.zeros(len(self.languages)), False
         for words in words_of(text or ""):
             letters = letters or any(c.isalpha() for w in words for c in w)
-            rows, rest = [], []
-            get = self.words.get
-            for word, times in Counter(words).items():
-                row = get(word)
-                (rest if row is None else rows).append((word if row is None else row, times))
-            if rows:
-                index, times = np.array(rows).T
-                total += times @ self.word_logs[index]
-            for word, times in rest:
-                logs = self.remembered.get(word)
-                if logs is None:
-                    logs = self.unseen(word)
-                    if len(self.remembered) < _REMEMBERED:
-                        self.remembered[word] = logs
-                total += times * logs
+            counts = Counter(words)
+            index = np.fromiter(map(self.words.get, counts, repeat(-1)), np.int64, len(counts))
+            times = np.fromiter(counts.values(), np.float64, len(counts))
+            total += times[index >= 0] @ self.word_logs[index[index >= 0]]
+            rest, shares = {o: [] for o in ORDERS}, {o: [] for o in ORDERS}
+            for word, new in zip(counts, (index < 0).tolist()):
+                if new:  # each known n-gram has an equal share of the word
+                    order, rows = self.known_grams(word)
+                    if rows:
+                        rest[order].extend(rows)
+                        shares[order].extend(repeat(counts[word] / len(rows), len(rows)))
+            for order, rows in rest.items():
+                if rows:
+                    total += np.array(shares[order]) @ self.gram_logs[order][rows]
         if not letters or not self.languages:
             return UNKNOWN, 0.0
         share = np.exp(total - total.max())
@@ -116,22 +119,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[tuple[str, int], dict[str, int]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, order), own in counts.items():
+            yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array([order] * len(own), pa.int32()),
+                                   pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())],
+                                  names=["lang", "size", "gram", "n"])
+        counts.clear()
+
     for batch in batches:
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
             for order in ORDERS:
+                own = counts.setdefault((lang, order), {})
                 for gram in grams_of(word, order):
-                    counts[lang, order, gram] += n
-        if len(counts) > _FLUSH:
-            yield _gram_batch(counts)
-            counts = Counter()
-    yield _gram_batch(counts)
-
-
-def _gram_batch(counts: Counter) -> pa.RecordBatch:
-    langs, orders, grams = zip(*counts) if counts else ((), (), ())
-    return pa.record_batch([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(grams, pa.string()),
-                            pa.array(list(counts.values()), pa.int64())], names=["lang", "size", "gram", "n"])
+                    own[gram] = own.get(gram, 0) + n
+        if sum(map(len, counts.values())) > _FLUSH:
+            yield from out()
+    yield from out()
 
 
 def _logs(top: pd.DataFrame, item: str, languages: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
