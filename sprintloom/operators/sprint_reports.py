@@ -163,14 +163,14 @@ def active_sprint_details(issues: DataFrame, sprints: DataFrame, metadata: DataF
 
 def active_sprint_issues(issues: DataFrame, sprints: DataFrame, changelog: DataFrame | None,
                          as_of: object, vocab: Vocabulary = DEFAULT,
-                         completed: DataFrame | None = None) -> DataFrame:
+                         completed: DataFrame | None = None, ordered: bool = True) -> DataFrame:
     """Issue rows of active sprints with urgency, idle days and first completion."""
     done = first_completed(changelog, vocab) if completed is None else completed
     summary, priority = F.col("summary"), F.col("priority")
+    rows = _in_sprints(issues, sprints, ("active",)).join(done, F.col("key") == F.col("issue_key"), "left")
+    urgency = urgency_rank(priority, summary, vocab)
     return (
-        _in_sprints(issues, sprints, ("active",))
-        .join(done, F.col("key") == F.col("issue_key"), "left")
-        .orderBy(urgency_rank(priority, summary, vocab), F.desc_nulls_last("reported_sp"), "key")
+        sort_if(rows, ordered, urgency, F.desc_nulls_last("reported_sp"), "key")
         .select(
             "key", "summary", "status", "status_category", "priority", "assignee", "sprint_name",
             _team(vocab), "reported_sp", "flagged",
@@ -219,14 +219,15 @@ _LIST_COLUMNS = ("key", "summary", "status", "status_category", "priority", "ass
 
 
 def high_priority_issues(issues: DataFrame, sprints: DataFrame, as_of: object,
-                         vocab: Vocabulary = DEFAULT) -> DataFrame:
+                         vocab: Vocabulary = DEFAULT, ordered: bool = True) -> DataFrame:
     """Open issues of active sprints that need attention, most urgent and longest idle first."""
     wanted = needs_attention(
         F.col("summary"), F.col("priority"), F.col("flagged"), F.col("status_category"), vocab)
     idle = days_since_update(F.col("updated"), as_date(as_of))
+    rows = _in_sprints(issues.filter(wanted), sprints, ("active",))
+    urgency = urgency_rank(F.col("priority"), vocab=vocab)
     return (
-        _in_sprints(issues.filter(wanted), sprints, ("active",))
-        .orderBy(urgency_rank(F.col("priority"), vocab=vocab), idle.desc_nulls_last(), "key")
+        sort_if(rows, ordered, urgency, idle.desc_nulls_last(), "key")
         .select(*_LIST_COLUMNS, _team(vocab), "reported_sp", "flagged",
                 F.col("updated").cast("date").alias("updated_date"),
                 idle.alias("days_since_update"))
@@ -234,13 +235,13 @@ def high_priority_issues(issues: DataFrame, sprints: DataFrame, as_of: object,
 
 
 def stalled_issues(issues: DataFrame, sprints: DataFrame, as_of: object, days: int = 3,
-                   vocab: Vocabulary = DEFAULT) -> DataFrame:
+                   vocab: Vocabulary = DEFAULT, ordered: bool = True) -> DataFrame:
     """Open issues of active sprints that nobody has touched for ``days`` days or more."""
     idle = days_since_update(F.col("updated"), as_date(as_of))
     open_and_idle = (F.col("status_category") != vocab.done) & (idle >= days)
+    rows = _in_sprints(issues.filter(open_and_idle), sprints, ("active",))
     return (
-        _in_sprints(issues.filter(open_and_idle), sprints, ("active",))
-        .orderBy(idle.desc(), F.desc_nulls_last("reported_sp"), "key")
+        sort_if(rows, ordered, idle.desc(), F.desc_nulls_last("reported_sp"), "key")
         .select(*_LIST_COLUMNS, _team(vocab), "reported_sp",
                 F.col("updated").cast("date").alias("updated_date"),
                 idle.alias("days_since_update"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.expressions import sort_if
 from ..operators.maintenance import evolve_schema, upsert
 from ..schemas import COLUMN_DEFAULTS, TABLE_ORDER, TABLES
 
@@ -31,9 +32,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def all_issues(issues: DataFrame) -> DataFrame:
+def all_issues(issues: DataFrame, ordered: bool = True) -> DataFrame:
     """Every issue, newest first; the key splits a day that holds very many issues."""
-    return issues.orderBy(F.desc_nulls_last("created"), "key")
+    return sort_if(issues, ordered, F.desc_nulls_last("created"), "key")
 
 
 class ConcurrentWrite(RuntimeError):
