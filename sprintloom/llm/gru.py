@@ -23,7 +23,11 @@ def class_bounds(counts: np.ndarray, classes: int) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 @dataclass
@@ -73,10 +77,16 @@ class Net:
         """The next state, and what a step back needs: update and reset gates, candidate, its recurrent part."""
         size = self.hidden
         mixed = state @ self.recurrent
-        both = _sigmoid(gates[:, :2 * size] + mixed[:, :2 * size])
+        both = gates[:, :2 * size] + mixed[:, :2 * size]
+        _sigmoid(both)
         update, reset, part = both[:, :size], both[:, size:], mixed[:, 2 * size:]
-        candidate = np.tanh(gates[:, 2 * size:] + reset * part)
-        return candidate + update * (state - candidate), update, reset, candidate, part
+        candidate = reset * part
+        candidate += gates[:, 2 * size:]
+        np.tanh(candidate, out=candidate)
+        after = state - candidate
+        after *= update
+        after += candidate
+        return after, update, reset, candidate, part
 
     def _shares(self, states: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray):
         """Softmax over the columns of ``weights`` and the log-probability of the chosen one. States lie between -1
@@ -184,35 +194,43 @@ def train(net: Net, docs: list[np.ndarray], optimizer: Adagrad, lanes: int, wind
         end = min(at + window, len(laid.targets))
         trail, states = [], []
         for t in range(at, end):
-            width = laid.widths[t]
-            ids = laid.inputs[t, :width]
+            ids = laid.inputs[t, :laid.widths[t]]
             live = (ids != net.words + 1).astype(np.float32)[:, None]
-            before = state[:width] * live
-            after, *kept = net.step(net.inputs[ids], before)
+            before = state[:len(ids)] * live
+            state, *kept = net.step(net.inputs[ids], before)
             trail.append((ids, live, before, *kept))
-            states.append(after)
-            state = after
+            states.append(state)
         grads = Grads()
         targets = np.concatenate([laid.targets[t, :laid.widths[t]] for t in range(at, end)])
         total += float(net.log_probs(np.concatenate(states), targets, grads).sum())
-        back, offset, gates, recurrent = None, len(targets), [], np.zeros_like(net.recurrent)
-        for (ids, live, before, update, reset, candidate, part) in reversed(trail):
-            width = len(ids)
-            offset -= width
-            grad = grads.states[offset:offset + width]
+        # What each gate's gradient is times the state's, for all steps at once.
+        ids, live, before, update, reset, candidate, part = (np.concatenate(x) for x in zip(*trail))
+        keep = 1 - update
+        by_candidate = keep * (1 - candidate * candidate)
+        by_update = (before - candidate) * update * keep
+        by_reset = by_candidate * part * reset * (1 - reset)
+        by_part = by_candidate * reset
+        gates, mixed = np.empty((len(ids), 3 * size), np.float32), np.empty((len(ids), 3 * size), np.float32)
+        back, last = None, len(ids)
+        for x in reversed(trail):
+            rows = slice(last - len(x[0]), last)
+            last = rows.start
+            grad = grads.states[rows]
             if back is not None:
                 grad[:len(back)] += back
-            by_candidate = grad * (1 - update) * (1 - candidate * candidate)
-            by_update = grad * (before - candidate) * update * (1 - update)
-            by_reset = by_candidate * part * reset * (1 - reset)
-            mixed = np.concatenate([by_update, by_reset, by_candidate * reset], 1)
-            recurrent += before.T @ mixed
-            back = (grad * update + mixed @ net.recurrent.T) * live
-            gates.append(np.concatenate([by_update, by_reset, by_candidate], 1))
-        ids = np.concatenate([t[0] for t in reversed(trail)])
+            own = mixed[rows]
+            np.multiply(grad, by_update[rows], out=own[:, :size])
+            np.multiply(grad, by_reset[rows], out=own[:, size:2 * size])
+            np.multiply(grad, by_part[rows], out=own[:, 2 * size:])
+            np.multiply(grad, by_candidate[rows], out=gates[rows, 2 * size:])
+            back = grad * update[rows]
+            back += own @ net.recurrent.T
+            back *= live[rows]
+        gates[:, :2 * size] = mixed[:, :2 * size]
+        recurrent = before.T @ mixed
         order = np.argsort(ids, kind="stable")
         firsts = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-        optimizer.apply("inputs", np.add.reduceat(np.concatenate(gates)[order], firsts, axis=0), ids[order][firsts])
+        optimizer.apply("inputs", np.add.reduceat(gates[order], firsts, axis=0), ids[order][firsts])
         optimizer.apply("recurrent", recurrent)
         optimizer.apply("classes", grads.classes)
         optimizer.apply("class_bias", grads.class_bias)
