@@ -159,12 +159,12 @@ def test_comment_threads_are_in_order(make):
         dict(id="3", body="last", created=at("2025-02-01")), dict(id="2", body="b", created=at("2025-01-10T08:00")),
         dict(id="1", body="a", author="bob", created=at("2025-01-10T08:00")), dict(id="9", issue_key="T-2", body="x"))
     assert sorted(tuples(a.comment_threads(comments))) == [
-        ("T-1", 0, "- bob: a\n- ann: b\n- ann: last"), ("T-2", 0, "- ann: x")]
+        ("T-1", "- bob: a\n- ann: b\n- ann: last"), ("T-2", "- ann: x")]
 
 
 def test_prompts_fill_gaps(make):
     issues = make.issues(dict(key="a", assignee=None, description=None), dict(key="b", description="long 100% text"))
-    got = {row[0]: row[2] for row in tuples(a.scoring_prompts(
+    got = {row[0]: row[1] for row in tuples(a.scoring_prompts(
         issues, make.comments(dict(id="1", issue_key="b")), "%s|%s|%s|%s|%s|%s|%s"))}
     assert got == {"a": "a|work|1.0|To Do|Unassigned|(no description)|(no comments)",
                    "b": "b|work|1.0|To Do|ann|long 100% text|- ann: hi"}
