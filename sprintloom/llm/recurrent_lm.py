@@ -42,9 +42,10 @@ class Settings:
     lanes: int = 256
     window: int = 32
     # Training tokens that a copy of the weights takes in a round, so copies grow with the corpus.
-    copy_tokens: int = 1 << 20
-    # Tokens that a task lays out on its lanes at a time.
-    group_tokens: int = 1 << 21
+    copy_tokens: int = 1 << 22
+    # Tokens that a task lays out on its lanes at a time: enough for lanes as long as long documents, so
+    # few steps run with most lanes done.
+    group_tokens: int = 1 << 22
     # Weights that travel in one row when copies are averaged.
     block: int = 1 << 14
 
