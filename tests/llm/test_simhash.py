@@ -122,3 +122,47 @@ def test_filter_drops_near_copies_only(docs):
 def test_filter_without_rows(docs):
     assert dicts(s.drop_near_duplicates(docs([]))) == []
     assert np.array_equal(s._shingle_set("a b", 5), s._shingle_set("A  b", 5))
+
+
+def exact_stage(rows, words=5, similarity=0.8):
+    """The ids that stay when all pairs are compared."""
+    sets = {i: set(s._shingle_set(t, words).tolist()) for i, t in rows}
+    label = {i: i for i in sets}
+    alike = [(a, b) for a in sets for b in sets if a < b
+             and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in alike:
+            label[a] = label[b] = min(label[a], label[b])
+    return sorted(i for i in sets if label[i] == i), alike
+
+
+def test_filter_agrees_with_all_pairs(docs):
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(3000)]
+    rows = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([100, 150, 400]))]
+        edited = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.choice([0.015, 0.02, 0.022])))):
+            edited[at] = rng.choice(words)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited))]
+    want, alike = exact_stage(rows)
+    far = [(s.fingerprint_of(rows[a][1], 2) ^ s.fingerprint_of(rows[b][1], 2)).bit_count() for a, b in alike]
+    assert len(alike) > 20 and max(far) > 10
+    assert sorted(r["doc_id"] for r in dicts(s.drop_near_duplicates(docs(rows)))) == want
+
+
+def test_across_finds_all_pairs_of_different_groups(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([10, 12, 13]), rng.randrange(4)) for i in range(40)]
+    groups = {i: min(i, 5) for i in range(0, 12)}
+    frame = spark.createDataFrame([(b, i, n, 10, 0) for i, n, b in rows] + [(9, 1, 10, 2, 1), (9, 2, 10, 2, 1)],
+                                  "bucket long, id long, n long, size long, hub long")
+    sized = frame.drop("size").join(frame.groupBy("bucket").count().withColumnRenamed("count", "size"), "bucket")
+    named = spark.createDataFrame(list(groups.items()), "id long, label long")
+    want = {(a, b) for a, n, p in rows for b, m, q in rows
+            if a < b and p == q and min(n, m) >= 0.8 * max(n, m) and groups.get(a, a) != groups.get(b, b)}
+    want |= {(1, 2)}
+    for small in (3, 256):
+        found = [(r["a"], r["b"]) for r in dicts(s._across(sized, named, 0.8, small))]
+        assert len(found) == len(set(found)) and set(found) == want
