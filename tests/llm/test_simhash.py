@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from conftest import dicts
 from sprintloom.llm import simhash as s
@@ -166,3 +167,13 @@ def test_across_finds_all_pairs_of_different_groups(spark):
     for small in (3, 256):
         found = [(r["a"], r["b"]) for r in dicts(s._across(sized, named, 0.8, small))]
         assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_refused_tree_edge_does_not_hide_a_pair(docs, monkeypatch):
+    rng = random.Random(4)
+    draw = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    base = draw(200)
+    rows = [(1, " ".join(["left", *base])), (2, " ".join(["middle", *draw(200)])), (3, " ".join(["right", *base]))]
+    print_of = lambda text, words: F.when(text.startswith("left"), 0).when(text.startswith("middle"), 1).otherwise(3).cast("long")
+    monkeypatch.setattr(s, "fingerprint", print_of)
+    assert sorted(r["doc_id"] for r in dicts(s.drop_near_duplicates(docs(rows)))) == exact_stage(rows)[0] == [1, 2]
