@@ -177,3 +177,16 @@ def test_refused_tree_edge_does_not_hide_a_pair(docs, monkeypatch):
     print_of = lambda text, words: F.when(text.startswith("left"), 0).when(text.startswith("middle"), 1).otherwise(3).cast("long")
     monkeypatch.setattr(s, "fingerprint", print_of)
     assert sorted(r["doc_id"] for r in dicts(s.drop_near_duplicates(docs(rows)))) == exact_stage(rows)[0] == [1, 2]
+
+
+def test_copies_under_one_filler_are_found(docs):
+    rng = random.Random(6)
+    draw = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    rows = []
+    for i in range(6):
+        own = draw(100)
+        rows += [(10 * i + j, " ".join(["buy"] * 500 + own[:-1] + [f"end{j}"])) for j in range(3)]
+    assert len({s.fingerprint_of(t, 2) for _, t in rows}) == 1
+    want, _ = exact_stage(rows)
+    assert want == [10 * i for i in range(6)]
+    assert sorted(r["doc_id"] for r in dicts(s.drop_near_duplicates(docs(rows)))) == want
