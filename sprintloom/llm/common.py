@@ -57,3 +57,28 @@ def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
             break
         bound = row.step
     return counted.filter(F.lit(False) if bound is None else (F.col(count) > 0) & (step >= bound))
+
+
+# A group is hot when it holds more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE groups are.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` left-joined with ``groups``: one row per non-null ``key``, and its size ``n``, which is dropped.
+
+    Hot groups are broadcast, as there are fewer than HOT_SHARE. All other rows meet their group in a
+    shuffle; there the rows of hot groups are dealt by ``spread``. ``groups`` is read three times, so it
+    should be a written table. ``rows`` have no column ``_hot`` or ``_to``.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") * HOT_SHARE > total
+    values = [c for c in groups.columns if c not in (key, "n")]
+    packed = groups.select(key, F.struct(*values).alias("_value"), large.alias("_large"))
+    hot = packed.filter("_large").select(key, F.col("_value").alias("_hot"))
+    cold = packed.filter("not _large").select(F.concat(F.lit("="), key).alias("_to"), "_value")
+    met = rows.join(F.broadcast(hot), key, "left").withColumn(
+        "_to", F.when(F.col("_hot").isNull(), F.concat(F.lit("="), F.coalesce(key, F.lit("")))).otherwise(
+            F.concat(F.lit("-"), F.xxhash64(spread).cast("string"))))
+    value = F.coalesce("_hot", "_value")
+    return met.join(cold, "_to", "left").select(
+        *[f"`{c}`" for c in rows.columns], *[value[c].alias(c) for c in values])

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sprintloom.llm import (
-    chat, decontamination, exact_dedup, language_id, packing, recurrent_lm, sharding, simhash, token_counts,
-    url_filter)
+    chat, decontamination, exact_dedup, language_id, packing, periodic_runs, recurrent_lm, sharding, simhash, token_counts,
+    url_filter, vector_codes, warc)
 from sprintloom.llm.common import id_remainder, table
 from sprintloom.session import shared_dir, written
 
@@ -75,6 +75,21 @@ def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score_documents(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 1)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodic_runs.repeat_tail))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no time of capture; their ids as seconds stand for it. Rows come in the order of the merged index."""
+    index = warc.capture_index(table(spark, sf_dir, "pages"))
+    return index.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_recurrent_lm": op10_recurrent_lm,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_warc": op13_warc,
 }
 
 def _url_sql() -> str:
@@ -111,6 +129,44 @@ def _url_sql() -> str:
         FROM parsed LEFT JOIN own USING (page_id) LEFT JOIN found USING (page_id)"""
 
 
+def _codes_sql() -> str:
+    """Vectors of 64 components: 16 parts of 4."""
+    places = range(4)
+    far = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in places)
+    xs = ", ".join(f"x{i}" for i in places)
+    rounds, book = "", "book0"
+    for n in range(1, vector_codes.ROUNDS + 2):
+        rounds += f""",
+        given{n} AS MATERIALIZED (
+            SELECT p.vec_id, p.part, min({{'far': {far}, 'entry': c.entry}}) AS best
+            FROM parts p JOIN {book} c USING (part) GROUP BY p.vec_id, p.part)"""
+        if n <= vector_codes.ROUNDS:
+            means = ", ".join(f"CAST(floor(sum(p.x{i}) / count(*)) AS BIGINT) AS x{i}" for i in places)
+            old = ", ".join(f"coalesce(m.x{i}, c.x{i}) AS x{i}" for i in places)
+            rounds += f""",
+        book{n} AS MATERIALIZED (
+            SELECT part, entry, {old} FROM {book} c LEFT JOIN (
+                SELECT part, g.best.entry AS entry, {means} FROM given{n} g JOIN parts p USING (vec_id, part) GROUP BY ALL) m USING (part, entry))"""
+            book = f"book{n}"
+    last = vector_codes.ROUNDS + 1
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, embedding AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (
+            SELECT vec_id, part, {", ".join(f"CAST(floor(256 * v[4 * part + {i + 1}]) AS BIGINT) AS x{i}" for i in places)}
+            FROM kept, (SELECT unnest(range({vector_codes.PARTS})) AS part)),
+        book0 AS MATERIALIZED (
+            SELECT part, entry, {xs} FROM parts JOIN (
+                SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id) WHERE entry < {vector_codes.ENTRIES}){rounds},
+        coded AS (
+            SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.far) AS BIGINT) AS error
+            FROM given{last} GROUP BY vec_id),
+        whole AS (SELECT sha256(string_agg(concat_ws(',', {xs}), ',' ORDER BY part, entry)) AS sha FROM {book})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id), whole"""
+
+
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -143,4 +199,11 @@ ORACLE: dict[str, str] = {
             FROM rows GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
                CAST(chars AS BIGINT) AS formatted_chars FROM whole""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_warc": f"""
+        SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN shared AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN shared AND page_id <> last THEN last END AS refers_to
+        FROM (SELECT page_id, payload, strlen(payload) >= {warc.LEAST_SHARED} AS shared, max(page_id) OVER (PARTITION BY payload) AS last
+              FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages))""",
 }

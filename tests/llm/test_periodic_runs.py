@@ -1,0 +1,119 @@
+from __future__ import annotations
+
+import hashlib
+import random
+from fractions import Fraction
+from pathlib import Path
+
+import pytest
+
+from conftest import dicts
+from llm.conftest import LONG
+from sprintloom.llm import periodic_runs as p
+from sprintloom.llm.queries import op11_periodic_runs
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def brute(words, exponent=4, least=6):
+    size, found = len(words), {}
+    for period in range(1, size // exponent + 1):
+        at = 0
+        while at + period < size:
+            if words[at] != words[at + period]:
+                at += 1
+                continue
+            end = at
+            while end + period < size and words[end] == words[end + period]:
+                end += 1
+            if end + period - at >= max(least, exponent * period):
+                found.setdefault((at, end + period), period)
+            at = end + 1
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def planted(rng, size, kinds):
+    words = [b"%d" % rng.randrange(kinds) for _ in range(size)]
+    for _ in range(rng.randrange(4) if size > 4 else 0):
+        start, period = rng.randrange(size), rng.randrange(1, 1 + max(1, size // rng.choice([3, 5, 9, 30])))
+        for i in range(start, start + rng.randrange(size - start + 1)):
+            words[i] = words[start + (i - start) % period]
+    return words
+
+
+@pytest.mark.parametrize("piece", [3, 7, 50, 1 << 18])
+def test_runs_equal_all_pairs(monkeypatch, piece):
+    """Streams that arrive in small pieces give the same runs as whole ones."""
+    monkeypatch.setattr(p, "PIECE", piece)
+    rng = random.Random(piece)
+    for _ in range(250):
+        docs = [planted(rng, rng.randrange(rng.choice([5, 20, 120, 300])), rng.choice([1, 2, 3, 5, 50])) for _ in range(rng.randrange(1, 5))]
+        assert p.runs_of(docs) == [brute(d) for d in docs]
+
+
+def test_appending_word_by_word():
+    rng = random.Random(4)
+    for _ in range(30):
+        words = planted(rng, rng.randrange(80), 3)
+        numbers = [int(w) for w in words]
+        catchers = p.Catchers(len(words) // 4)
+        for n in numbers:
+            catchers.append(p.np.array([n]))
+        assert catchers.runs() == brute(words)
+
+
+def test_other_exponents():
+    rng = random.Random(5)
+    for _ in range(60):
+        words = planted(rng, 150, 2)
+        assert p.runs_of([words], 6, 3) == [brute(words, 6, 3)]
+    with pytest.raises(ValueError):
+        p.Catchers(10, exponent=3)
+
+
+def test_repetitive_streams_are_searched_in_one_go():
+    one = [b"a"] * 300_000
+    assert p.runs_of([one, [b"a", b"b"] * 100_000]) == [[(0, 300_000, 1)], [(0, 200_000, 2)]]
+    blocks = ([b"a"] * 100 + [b"c"]) * 500
+    assert p.runs_of([blocks]) == [sorted([(0, 50_500, 101), *[(101 * i, 100, 1) for i in range(500)]])]
+
+
+def expected(doc_id, text, rewrite):
+    words = (text or "").encode().split()
+    words = rewrite(doc_id, words)
+    runs = brute(words)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
+    return (doc_id, len(runs), *best, None if not runs else 1000 * best[1] // best[2],
+            hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in runs).encode()).hexdigest(),
+            hashlib.sha256(b" ".join(w for i, w in enumerate(words) if i not in gone)).hexdigest())
+
+
+def test_odd_rows(docs):
+    rows = [(1, None), (2, ""), (3, " \t\n "), (4, "a"), (5, "x x x x x x"), (5, "x x x x x x"), (None, "é é é é é é z"),
+            (6, "A a A a A a A a"), (7, "x x x x x x x x"), (8, "no run here at all"), (None, None)]
+    out = p.digests(p.periodic_runs(docs(rows)))
+    order = lambda r: [str(v) for v in r]
+    assert sorted(([tuple(r.asDict().values()) for r in out.collect()]), key=order) == sorted(
+        (expected(i, t, lambda _, w: w) for i, t in rows), key=order)
+
+
+def test_long_text_and_no_rows(docs):
+    found = dicts(p.periodic_runs(docs([(1, LONG), (2, "a b")])))
+    one = next(r for r in found if r["doc_id"] == 1)
+    assert [tuple(r) for r in one["runs"]] == [(0, 60_000, 3)] and one["collapsed"] == "lorem ipsum dolor" and one["n_words"] == 60_000
+    assert dicts(p.digests(p.periodic_runs(docs([])))) == []
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables not present")
+def test_query_equals_brute_force(spark):
+    given = dicts(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text"))
+    short = {r["doc_id"]: r["text"] for r in given if len((r["text"] or "").split()) <= 3000}
+    out = op11_periodic_runs(spark, FOLDER)
+    assert out.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert [t for _, t in out.dtypes] == ["bigint"] * 6 + ["string"] * 2
+    rows = [tuple(r) for r in out.collect()]
+    assert sorted(r[0] for r in rows) == sorted(r["doc_id"] for r in given) and any(r[1] for r in rows)
+    for row in rows:
+        if row[0] in short:
+            assert row == expected(row[0], short[row[0]], p.repeat_tail)

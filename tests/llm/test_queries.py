@@ -30,7 +30,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_numbers():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def similar(a, b):
