@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by covering locality-sensitive hashing, and by minima of shingle sets."""
+"""SimHash near-duplicates by covering locality-sensitive hashing."""
 
 from __future__ import annotations
 
@@ -18,11 +18,6 @@ from sprintloom.session import written
 BITS = 64
 # Buckets up to this size are compared whole. The rest go another way that loses nothing either.
 SMALL_BUCKET = 256
-# Two sets of Jaccard similarity J share the minima of a band with probability J^5, so a pair of
-# 0.8 shares none of 40 bands with probability 1.2e-7.
-BANDS, BAND_ROWS = 40, 5
-_SEEDS, _FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
-_FACTORS = _FACTORS | np.uint64(1)
 
 
 def fingerprint_of(text: str | None, words: int = 3) -> int:
@@ -220,115 +215,30 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, text: str
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_set(text: str, words: int) -> np.ndarray:
-    found, tail = [], []
-    for piece in word_lists(text):
-        run = tail + piece
-        found.extend(xxhash.xxh64_intdigest(s) for s in map(b" ".join, zip(*(run[i:] for i in range(words)))))
-        tail = run[max(0, len(run) - words + 1):]
-    if not found and tail:
-        found = [xxhash.xxh64_intdigest(b" ".join(tail))]
-    return np.unique(np.array(found, np.uint64))
-
-
-def bands_of(shingles: np.ndarray) -> list[int]:
-    """A bucket per band for a set of hashes. Sets without an element share all buckets."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        dealt = (shingles[at:at + 1024] ^ _SEEDS[:, None]) * _FACTORS[:, None]
-        least = np.minimum(least, dealt.min(1))
-    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(least.reshape(BANDS, -1))]
-
-
-def _band_buckets(rows: DataFrame) -> DataFrame:
-    """``bucket, id, n, size, hub`` for the members of all buckets of two or more, from ``rows(id, n, bands)``."""
-    members = rows.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1")
-    return members.join(shared, "bucket")
-
-
-def _across(buckets: DataFrame, groups: DataFrame, similarity: float, small: int) -> DataFrame:
-    """All pairs of ids ``a, b`` that share a bucket, are in different ``groups(id, label)`` and whose sizes
-    allow ``similarity``. Buckets above ``small`` members are compared in cells of two blocks."""
-    own = buckets.join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_ = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    blocks = F.ceil(F.col("size") / small).cast("int")
-    dealt = own.join(open_, "bucket", "left_semi").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int"))
-    cells = dealt.select("bucket", "id", "n", "label", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = written(cells.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
-                                 "id", "n", "label", "own", (F.col("own") == F.col("other")).alias("inner")), "cells")
-    left, right = cells.alias("l"), cells.alias("r")
-    met = left.join(right, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.id") < F.col("r.id"))
-                    & (F.col("l.label") != F.col("r.label")) & ((F.col("l.own") != F.col("r.own")) | F.col("l.inner"))
-                    & (F.least("l.n", "r.n") >= F.lit(similarity) * F.greatest("l.n", "r.n")))
-    return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-
-
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, print_words: int = 2,
-                         radius: int = 7, within: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, all columns as they were.
-
-    Two documents are near-duplicates if their sets of ``words``-word shingles have a Jaccard similarity of
-    ``similarity`` or more. Candidates come from fingerprints (equal ones, and pairs of the spanning trees of
-    the buckets for ``radius`` bits that differ in at most ``within`` bits) and from the bands of the
-    sets: every pair that shares a band is tested unless tested links already join it. The first
-    round tests each bucket against one member, the second all pairs left in different groups.
-    Every test is on whole texts. A group is what tested links reach; its row with the smallest doc_id
-    stays (null ids last). Texts without a word are equal to each other. Rows that repeat id and text
-    count as one row, of which one stays.
+def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component that ``near_duplicates`` finds, all columns as they were.
+
+    The row with the smallest doc_id stays, null ids last; of rows that repeat that id the one whose text has the smaller
+    digest. Rows that repeat id and text differ in other columns at most; any one of them stays. Texts
+    are read for their fingerprints and once more when the rows that go are taken out.
     """
-    key = F.concat(F.coalesce(F.lpad(F.col(doc_id).cast("string"), 20, "0"), F.lit("~")), F.lit(":"),
-                   F.md5(F.coalesce(F.col(text), F.lit(""))))
-
-    @F.pandas_udf("n long, bands array<long>")
-    def banded(texts: pd.Series) -> pd.DataFrame:
-        sets = [_shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in sets], "bands": [bands_of(s) for s in sets]})
-
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([_shingle_set(t, words).view(np.int64) for t in texts])
-
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        def test(a: np.ndarray, b: np.ndarray) -> bool:
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            return both >= similarity * (len(a) + len(b) - both)
-        return pd.Series([test(a, b) for a, b in zip(left, right)])
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        """The pairs ``x, y`` of keys whose texts are alike."""
-        ends = pairs.select(F.col("x").alias("key")).union(pairs.select(F.col("y").alias("key"))).distinct()
-        texts = docs.select(key.alias("key"), F.col(text).alias("text")).join(ends, "key", "left_semi")
-        sets = written(texts.dropDuplicates(["key"]).select("key", shingles("text").alias("set")), "shingles")
-        found = pairs.join(sets.select(F.col("key").alias("x"), F.col("set").alias("p")), "x").join(
-            sets.select(F.col("key").alias("y"), F.col("set").alias("q")), "y").filter(alike("p", "q"))
-        return written(found.select("x", "y"), "alike")
-
-    rows = docs.select(key.alias("key"), fingerprint(F.col(text), print_words).alias("fp"), banded(F.col(text)).alias("b"))
-    rows = written(rows.select("key", F.xxhash64("key").alias("id"), "fp", "b.n", "b.bands").dropDuplicates(["key"]), "prints")
-    first = written(rows.groupBy("fp").agg(F.min("key").alias("rep")), "representatives")
-    near = links(first.select("fp"), radius, within)
-    reps = first.select(F.col("fp").alias("a"), F.col("rep").alias("x")).join(near, "a").join(
-        first.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-    same = rows.join(first, "fp").filter("key <> rep").select(F.col("key").alias("x"), F.col("rep").alias("y"))
-
-    def keys(pairs: DataFrame) -> DataFrame:
-        return pairs.join(rows.select(F.col("id").alias("a"), F.col("key").alias("p")), "a").join(
-            rows.select(F.col("id").alias("b"), F.col("key").alias("q")), "b").select("p", "q")
-
-    buckets = written(_band_buckets(rows), "bands")
-    hubs = keys(buckets.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    ordered = lambda x, y: (F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-    candidates = written(reps.union(same).select(*ordered("x", "y")).union(hubs.select(*ordered("p", "q"))).distinct(), "candidates")
-    joined = tested(candidates)
-    labels = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    groups = written(labels.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("label")), "groups")
-    rest = keys(_across(buckets, groups, similarity, SMALL_BUCKET)).select(*ordered("p", "q"))
-    rest = written(rest.join(candidates, ["x", "y"], "left_anti"), "rest")
-    joined = joined.union(tested(rest))
-    roots = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    goes = roots.filter("node <> root").select(F.col("node").alias("_key"))
+    known = F.col(doc_id).cast("string")
+    key = F.md5(F.concat(F.coalesce(F.concat(F.length(known).cast("string"), F.lit("="), known), F.lit("-")), F.lit(":"),
+                         F.coalesce(F.col(text), F.lit(""))))
+    prints = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), fingerprint(F.col(text), words).alias("fp"))
+    rows = written(prints.groupBy("key").agg(
+        F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.count("*").alias("n")), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    values = written(rows.groupBy("fp").agg(first.alias("first")), "values")
+    roots = components(links(values.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = written(values.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("stays")), "root")
+    goes = rows.join(named.select("fp", "stays"), "fp").filter(F.col("key") != F.col("stays.key"))
+    goes = written(goes.select(F.col("key").alias("_key")), "near-copies")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     left = docs.select(row, key.alias("_key")).join(goes, "_key", "left_anti")
-    return left.select("_row.*")
+    twice = rows.filter("n > 1").select(F.col("key").alias("_key"))
+    if twice.isEmpty():
+        return left.select("_row.*")
+    once = left.join(twice, "_key", "left_anti").select("_row.*")
+    return once.unionByName(left.join(twice, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*"))

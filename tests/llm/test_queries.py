@@ -7,11 +7,13 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import check
 import corpus_pipeline
 from conftest import dicts
 from sprintloom.llm.queries import ORACLE, QUERIES
+from sprintloom.llm.simhash import near_duplicates
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables not present")
@@ -33,14 +35,6 @@ def test_numbers():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
-def similar(a, b):
-    def shingles(text):
-        w = text.lower().split()
-        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
-
-
 def test_pipeline(spark):
     given = spark.read.parquet(f"{FOLDER}/documents.parquet")
     odd = spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "12 !", "en", "s", 4), (9003, "the of and to that", "en", "s", 18)], given.schema)
@@ -57,8 +51,8 @@ def test_pipeline(spark):
     for i, t in language.items():
         last[t] = max(i, last.get(t, i))
     assert set(exact) == set(last.values())
-    for i in set(exact) - set(near):
-        assert any(similar(exact[i], exact[j]) >= 0.8 for j in exact if j != i)
+    component = {r["doc_id"]: r["component_id"] for r in dicts(near_duplicates(given.union(odd).filter(F.col("doc_id").isin(list(exact)))))}
+    assert set(near) == set(component.values())
     items = [r["text"] for r in dicts(spark.read.parquet(f"{FOLDER}/benchmark.parquet"))]
     assert set(near) - set(clean) == {i for i, t in near.items() if any(x in t for x in items)}
     packed = dicts(corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER))
