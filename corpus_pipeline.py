@@ -35,8 +35,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles alike to 0.8 or more."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component: fingerprints of three-word shingles that differ in two bits or fewer."""
+    return simhash.drop_near_duplicates(docs, words=3, radius=2)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
