@@ -382,7 +382,11 @@ SELECT unnest(string_split(to_string, ', ')), issue_key FROM changelog WHERE fie
 FROM sprints s JOIN issues i ON i.sprint_id = s.sprint_id
 WHERE s.planned_sp_snapshot IS NOT NULL GROUP BY s.sprint_id""",
     "weekly_metrics": "SELECT * FROM weekly",
+    "weekly_metrics_incremental": "SELECT * FROM weekly",
     "sprint_issues": "SELECT * FROM bridge",
+    "sprint_issues_incremental": "SELECT * FROM bridge",
+    "completions_incremental": """SELECT issue_key, CAST(min(created) AS DATE) AS completed_date,
+  CAST(max(created) AS DATE) AS last_completed_date FROM closings GROUP BY issue_key""",
     "split_sprint_names": """SELECT id, CAST(len(parts) AS INTEGER) AS n_names, array_to_string(parts, '|') AS names
 FROM (SELECT id, list_filter(list_transform(string_split(coalesce(to_string, ''), ', '), lambda p: trim(p)),
                              lambda p: p <> '') AS parts FROM changelog)""",
@@ -552,6 +556,9 @@ FROM (SELECT p.assignee, p.team, round(weekly, 1) AS weekly_mean, round(team_mea
         round(weekly - t.team_mean, 1) AS diff_team, round({_OVERALL}, 1) AS overall_mean,
         round(weekly - {_OVERALL}, 1) AS diff_overall, total_sp, issue_count
       FROM per_pair p JOIN team_means t ON t.team = p.team)""",
+    "velocity_pivot": """SELECT assignee, week_label, coalesce(s.done_sp, 0) AS done_sp
+FROM (SELECT DISTINCT assignee FROM individual) CROSS JOIN (SELECT DISTINCT week_label FROM individual)
+LEFT JOIN (SELECT assignee, week_label, SUM(done_sp) AS done_sp FROM individual GROUP BY ALL) s USING (assignee, week_label)""",
     "velocity_pivot_some_weeks": """SELECT assignee,
   coalesce(SUM(done_sp) FILTER (week_label = '1995-W40'), 0) AS "1995-W40",
   coalesce(SUM(done_sp) FILTER (week_label = '1996-W01'), 0) AS "1996-W01",
@@ -581,6 +588,3 @@ WHERE assignee IS NOT NULL GROUP BY assignee ORDER BY total_sp DESC, assignee LI
 }
 
 ORACLE: dict[str, str] = {name: with_views(body) for name, body in BODIES.items()}
-# The weeks are those of the data, so the pivot stands outside and its source brings its own views.
-ORACLE["velocity_pivot"] = f"""SELECT * FROM (PIVOT ({with_views("SELECT assignee, week_label, done_sp FROM individual")})
-ON week_label USING coalesce(SUM(done_sp), 0) GROUP BY assignee)"""

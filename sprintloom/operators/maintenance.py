@@ -12,19 +12,21 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.expressions import (
-    as_date, as_timestamp, contains_any, strip, week_start,
+    as_date, as_timestamp, contains_any, is_done_change, strip, week_start,
 )
 from ..vocab import DEFAULT, Vocabulary
 from .reports import avg_recent_velocity
 
 
-def _latest_per_key(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
-    """One row per key: the one with the greatest ordering, remaining columns break ties.
+def newest_per_key(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column] | None = None) -> DataFrame:
+    """One row per key, rows without a whole key left out: the one with the greatest ordering, remaining columns
+    break ties. The ordering defaults to ``updated``, ``analyzed_at`` or ``created``, the first that is present.
 
     A maximum over a struct is combined before the shuffle, so a key repeated very often in one
     batch costs its task one row per input partition.
     """
-    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    rows = rows.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    order = [F.col(c) if isinstance(c, str) else c for c in _ordering(rows, keys, order_by)]
     rank = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
     rest = [c for c in rows.columns if c not in keys]
     if not rest:
@@ -35,26 +37,41 @@ def _latest_per_key(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str
     )
 
 
+def _ordering(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column] | None) -> Sequence[str | Column]:
+    if order_by is None:
+        return [c for c in ("updated", "analyzed_at", "created") if c in rows.columns][:1] or keys[:1]
+    return order_by
+
+
+def merge_pairs(target: DataFrame, batch: DataFrame, keys: Sequence[str],
+                order_by: Sequence[str | Column] | None = None) -> DataFrame:
+    """``old, new`` for each row of a batch with unique keys: the stored row, null if there is none, and the row
+    that is to stand. A stored row that is newer by the first ordering stays; between equals the batch wins.
+
+    The target meets the batch's keys in a semi join, so a batch that Spark can broadcast costs one
+    scan of the target and no shuffle of it; only the rows that match go on.
+    """
+    first = _ordering(batch, keys, order_by)[0]
+    first = F.col(first) if isinstance(first, str) else first
+    found = target.join(batch.select(*keys), list(keys), "left_semi")
+    old = found.select(*[F.col(k).alias(f"_{k}") for k in keys], first.alias("_old"), F.struct(*target.columns).alias("old"))
+    new = batch.select(*keys, first.alias("_new"), F.struct(*target.columns).alias("_given"))
+    both = new.join(old, reduce(and_, [F.col(k) == F.col(f"_{k}") for k in keys]), "left")
+    newer = F.coalesce(F.col("_old") > F.col("_new"), F.col("_new").isNull() & F.col("_old").isNotNull())
+    return both.select("old", F.when(F.col("old").isNotNull() & newer, F.col("old")).otherwise(F.col("_given")).alias("new"))
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str],
            order_by: Sequence[str | Column] | None = None) -> DataFrame:
     """Replace matching rows by the batch and add the new ones, columns matched by name.
 
-    A key repeated inside the batch keeps its latest row by ``order_by`` (default: ``updated``,
-    ``analyzed_at`` or ``created``, the first that is present). A stored row that is newer by the
-    first of these stays; between equals the batch wins. Rows of the batch without a key are left out.
+    A key repeated inside the batch keeps its newest row, see ``newest_per_key``; see ``merge_pairs`` for what
+    happens to a stored row that is newer. All other rows of the target pass through an anti join
+    against the batch's keys: a small batch is broadcast and the target is neither shuffled nor sorted.
     """
-    if order_by is None:
-        order_by = [c for c in ("updated", "analyzed_at", "created") if c in updates.columns][:1] or keys[:1]
-    first = F.col(order_by[0]) if isinstance(order_by[0], str) else order_by[0]
-    named = reduce(and_, [F.col(k).isNotNull() for k in keys])
-    batch = _latest_per_key(updates.filter(named), keys, order_by)
-    old = target.select(*keys, first.alias("_old"), F.struct(*target.columns).alias("_stored"))
-    new = batch.select(*[F.col(k).alias(f"_{k}") for k in keys], first.alias("_new"),
-                       F.struct(*target.columns).alias("_given"))
-    both = old.join(new, reduce(and_, [F.col(k) == F.col(f"_{k}") for k in keys]), "full_outer")
-    stays = F.col("_given").isNull() | (F.col("_stored").isNotNull() & F.coalesce(F.col("_old") > F.col("_new"), F.col("_new").isNull() & F.col("_old").isNotNull()))
-    return both.select(F.when(stays, F.col("_stored")).otherwise(F.col("_given")).alias("_row")).select(
-        *[F.col(f"_row.{c}") for c in target.columns])
+    batch = newest_per_key(updates, keys, order_by)
+    standing = target.join(batch.select(*keys), list(keys), "left_anti")
+    return standing.select(*target.columns).unionByName(merge_pairs(target, batch, keys, order_by).select("new.*"))
 
 
 def replace_columns(target: DataFrame, updates: DataFrame, keys: Sequence[str],
@@ -66,7 +83,7 @@ def replace_columns(target: DataFrame, updates: DataFrame, keys: Sequence[str],
     """
     defaults = defaults or {}
     listed = set(updates.columns)
-    updates = _latest_per_key(updates, keys, keys[:1])
+    updates = newest_per_key(updates, keys, keys[:1])
     t = target.withColumn("_in_target", F.lit(True)).alias("t")
     u = updates.withColumn("_in_batch", F.lit(True)).alias("u")
     on = [F.col(f"t.{k}") == F.col(f"u.{k}") for k in keys]
@@ -225,6 +242,113 @@ def sprint_issues(issues: DataFrame, changelog: DataFrame) -> DataFrame:
     return current.unionByName(history).distinct()
 
 
+# ── derived tables, kept up to date by what a batch changes ───────────────────────────────────
+
+
+def signed_rows(pairs: DataFrame) -> DataFrame:
+    """The rows that ``merge_pairs`` takes out, with ``sign`` -1, and puts in, with 1; pairs that are alike give none."""
+    changed = pairs.filter(~F.col("old").eqNullSafe(F.col("new")))
+    both = F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("row")), F.struct(F.lit(1).alias("sign"), F.col("new").alias("row")))
+    return changed.select(F.explode(both).alias("_e")).filter("_e.row is not null").select("_e.row.*", "_e.sign")
+
+
+def weekly_sums(rows: DataFrame) -> DataFrame:
+    """Story points and issues by week, board and assignee of ``rows``, which may have a ``sign``.
+
+    Sums are decimal, so what was added can be taken out again without a trace; points are rounded to six digits.
+    """
+    sign = F.col("sign") if "sign" in rows.columns else F.lit(1)
+    points = F.expr("try_cast(reported_sp AS DECIMAL(28,6))")
+    return (
+        rows.filter(F.col("assignee").isNotNull())
+        .groupBy(week_start(F.col("created")).alias("week_start"), "board_name", "assignee")
+        .agg(F.sum(F.when(sign > 0, points).otherwise(-points)).alias("points"),
+             F.sum(F.when(points.isNotNull(), sign).otherwise(0)).alias("n_points"),
+             F.sum(sign).alias("issue_count"))
+        .withColumn("points", F.coalesce(F.col("points"), F.lit(0)).cast("decimal(38,6)"))
+        .filter("issue_count <> 0 OR n_points <> 0 OR points <> 0")
+    )
+
+
+def add_weekly(state: DataFrame, delta: DataFrame) -> DataFrame:
+    """``weekly_sums`` after a batch: sums without an issue go."""
+    both = state.select(*delta.columns).unionByName(delta)
+    return both.groupBy(*[c for c in delta.columns if c not in ("points", "n_points", "issue_count")]).agg(
+        F.sum("points").cast("decimal(38,6)").alias("points"), F.sum("n_points").alias("n_points"),
+        F.sum("issue_count").alias("issue_count")).filter("issue_count <> 0")
+
+
+def weekly_of_sums(state: DataFrame) -> DataFrame:
+    """``weekly_metrics`` as ``weekly_sums`` has it."""
+    points = F.when(F.col("n_points") > 0, F.col("points").cast("double"))
+    return state.select("week_start", "board_name", "assignee", points.alias("reported_sp"), "issue_count")
+
+
+def membership_counts(issues: DataFrame, changelog: DataFrame) -> DataFrame:
+    """How often each (sprint, issue) pair is stated, now or in history; rows may have a ``sign``."""
+    sign = lambda rows: F.col("sign") if "sign" in rows.columns else F.lit(1).alias("sign")
+    current = issues.filter(F.col("sprint_name") != "").select("sprint_name", F.col("key").alias("issue_key"), sign(issues))
+    both = F.concat_ws(", ", "from_string", "to_string")
+    history = (
+        changelog.filter(F.col("field") == "Sprint")
+        .select(F.explode(F.split(both, ", ")).alias("name"), "issue_key", sign(changelog))
+        .select(strip(F.col("name")).alias("sprint_name"), "issue_key", "sign")
+        .filter(F.col("sprint_name") != "")
+    )
+    return current.unionByName(history).groupBy("sprint_name", "issue_key").agg(
+        F.sum("sign").alias("n")).filter("n <> 0")
+
+
+def add_memberships(state: DataFrame, delta: DataFrame) -> DataFrame:
+    """``membership_counts`` after a batch: a pair that nothing states any more goes."""
+    both = state.select(*delta.columns).unionByName(delta)
+    return both.groupBy(*[c for c in delta.columns if c != "n"]).agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def completion_times(changelog: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """First and last time each issue reached a done status, and how often: all three can be merged."""
+    done = changelog.filter(is_done_change(vocab) & F.col("issue_key").isNotNull())
+    return done.groupBy("issue_key").agg(
+        F.min("created").alias("first_done"), F.max("created").alias("last_done"), F.count("*").alias("n_done"))
+
+
+def altered_issues(changes: DataFrame) -> DataFrame:
+    """``issue_key`` of stored history entries that the pairs ``changes`` replace by others."""
+    return changes.filter(F.col("old").isNotNull() & ~F.col("old").eqNullSafe(F.col("new"))).select(
+        F.explode(F.array("old.issue_key", "new.issue_key")).alias("issue_key")).filter("issue_key is not null").distinct()
+
+
+def completion_delta(changes: DataFrame, history: DataFrame | None = None, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """What the pairs ``changes`` of the change history do to ``completion_times``.
+
+    Entries that are new are merged. A tracker does not alter entries as a rule; one that was altered may have been
+    an issue's first or last, so such issues, and no others, are computed again from ``history``, the
+    new content of the history, and are ``renewed``. Without ``history`` no entry may be altered.
+    """
+    added = completion_times(changes.filter("old is null").select("new.*"), vocab).withColumn("renewed", F.lit(False))
+    if history is None:
+        return added
+    altered = altered_issues(changes)
+    times = completion_times(history.join(altered, "issue_key", "left_semi"), vocab)
+    again = altered.join(times, "issue_key", "left").withColumns({"n_done": F.coalesce("n_done", F.lit(0)), "renewed": F.lit(True)})
+    return added.join(altered, "issue_key", "left_anti").unionByName(again)
+
+
+def add_completions(state: DataFrame, delta: DataFrame) -> DataFrame:
+    """``completion_times`` after a batch's ``completion_delta``."""
+    columns = [c for c in delta.columns if c != "renewed"]
+    stay = state.select(*columns).join(delta.filter("renewed").select("issue_key"), "issue_key", "left_anti")
+    return stay.unionByName(delta.drop("renewed")).groupBy(*[c for c in columns if not c.endswith("_done")]).agg(
+        F.min("first_done").alias("first_done"), F.max("last_done").alias("last_done"),
+        F.sum("n_done").alias("n_done")).filter("n_done > 0")
+
+
+def completions_of_times(state: DataFrame) -> DataFrame:
+    """``completions`` as ``completion_times`` has them."""
+    return state.select("issue_key", F.col("first_done").cast("date").alias("completed_date"),
+                        F.col("last_done").cast("date").alias("last_completed_date"))
+
+
 def evolve_schema(df: DataFrame, schema: T.StructType,
                   defaults: Mapping[str, object] | None = None) -> DataFrame:
     """Add the columns an older table lacks, with their defaults, in schema order.

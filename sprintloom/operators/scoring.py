@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -67,21 +68,52 @@ def _score(prompt: str, scorer: Scorer) -> tuple[str, float | None, str | None]:
         return f"Analysis failed: {failure}", None, None  # fixed value: the prefix readers look for
 
 
-def score_issues(prompts: DataFrame, scorer: Scorer, analyzed_at: object) -> DataFrame:
+class Pace:
+    """A token bucket: ``take`` waits until the next call may be made, ``burst`` calls may follow each other at once."""
+
+    def __init__(self, a_minute: float, burst: int = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        if a_minute <= 0:
+            raise ValueError("a pace is more than zero calls a minute")
+        self.every, self.burst, self.clock, self.sleep = 60 / a_minute, burst, clock, sleep
+        self.tokens, self.at = float(burst), clock()
+
+    def take(self) -> None:
+        now = self.clock()
+        self.tokens = min(self.burst, self.tokens + (now - self.at) / self.every)
+        self.at = now
+        if self.tokens < 1:
+            self.sleep((1 - self.tokens) * self.every)
+            self.tokens, self.at = 1.0, self.clock()
+        self.tokens -= 1
+
+
+def score_issues(prompts: DataFrame, scorer: Scorer, analyzed_at: object, calls_a_minute: float | None = None, tasks: int = 1) -> DataFrame:
     """Rows for ``ai_scores``. Prompts stream through Python in Arrow batches, partition by
-    partition; a scorer that fails on a prompt leaves a row that says so."""
+    partition; a scorer that fails on a prompt leaves a row that says so.
+
+    With ``calls_a_minute`` the prompts are dealt to ``tasks`` partitions, each of which keeps to its share of that pace, so
+    that all together do. A repeated task calls again at that pace.
+    """
     schema = "issue_key string, complexity_reasoning string, clarity_score double, clarity_notes string"
+    rows = prompts.select("issue_key", "prompt")
+    if calls_a_minute is not None:
+        rows = rows.repartition(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = None if calls_a_minute is None else Pace(calls_a_minute / tasks)
         for batch in batches:
-            scored = [_score(prompt, scorer) for prompt in batch["prompt"]]
+            scored = []
+            for prompt in batch["prompt"]:
+                if pace:
+                    pace.take()
+                scored.append(_score(prompt, scorer))
             out = pd.DataFrame(
                 scored, columns=["complexity_reasoning", "clarity_score", "clarity_notes"])
             out["clarity_score"] = out["clarity_score"].astype("float64")
             out.insert(0, "issue_key", batch["issue_key"].to_numpy())
             yield out
 
-    scored = prompts.select("issue_key", "prompt").mapInPandas(run, schema)
+    scored = rows.mapInPandas(run, schema)
     return scored.withColumn("analyzed_at", as_timestamp(analyzed_at)).select(*AI_SCORES.fieldNames())
 
 

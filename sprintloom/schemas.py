@@ -36,6 +36,14 @@ SPRINT_ISSUES = _table(sprint_name=_S, issue_key=_S)
 SPRINT_METADATA = _table(
     sprint_id=_I, sprint_name=_S, start_date=_S, end_date=_S, created_at=_TS, updated_at=_TS,
 )
+# What derived tables are kept as, so that a batch can be added and what it replaces taken out.
+WEEKLY_SUMS = _table(
+    week_start=_DATE, board_name=_S, assignee=_S, points=T.DecimalType(38, 6),
+    n_points=T.LongType(), issue_count=T.LongType(),
+)
+MEMBERSHIPS = _table(sprint_name=_S, issue_key=_S, n=T.LongType())
+COMPLETION_TIMES = _table(issue_key=_S, first_done=_TS, last_done=_TS, n_done=T.LongType())
+SCORED_PROMPTS = _table(issue_key=_S, digest=_S, analyzed_at=_TS)
 
 TABLES: dict[str, T.StructType] = {
     "issues": ISSUES,
@@ -48,6 +56,12 @@ TABLES: dict[str, T.StructType] = {
     "sprint_issues": SPRINT_ISSUES,
     "sprint_metadata": SPRINT_METADATA,
 }
+STATES: dict[str, T.StructType] = {
+    "weekly_sums": WEEKLY_SUMS,
+    "memberships": MEMBERSHIPS,
+    "completion_times": COMPLETION_TIMES,
+    "scored_prompts": SCORED_PROMPTS,
+}
 TABLE_KEYS: dict[str, tuple[str, ...]] = {
     "issues": ("key",),
     "issue_comments": ("id",),
@@ -58,13 +72,15 @@ TABLE_KEYS: dict[str, tuple[str, ...]] = {
     "synced_sprints": ("sprint_id",),
     "sprint_issues": ("sprint_name", "issue_key"),
     "sprint_metadata": ("sprint_id",),
+    "scored_prompts": ("issue_key",),
 }
 # Order inside each stored file. Row groups then hold few fields of the history, or a short span of
 # days, and the scan skips those that a pushed-down filter rules out. No shuffle is needed for it.
 TABLE_ORDER: dict[str, tuple[str, ...]] = {
     "issues": ("created",),
     "issue_changelog": ("field", "created"),
-    "weekly_metrics": ("week_start",),
+    "weekly_sums": ("week_start",),
+    "memberships": ("sprint_name",),
 }
 # Values given to rows written before a column existed.
 COLUMN_DEFAULTS: dict[str, dict[str, object]] = {

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +27,9 @@ def build_session(app: str = "sprintloom", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder that every executor can reach.
 
-    It lies under ``spark.checkpoint.dir``. Only a local master may do without that setting;
-    then a temporary folder is as good as shared.
+    It lies under ``spark.checkpoint.dir`` or, where that is unset, under the session's warehouse.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="sprintloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -1,30 +1,40 @@
-"""Reading and versioned writing of the stored tables (plain Parquet)."""
+"""Stored tables: plain Parquet folders, divided by month, written by Spark."""
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.expressions import sort_if
-from ..operators.maintenance import evolve_schema, upsert
-from ..schemas import COLUMN_DEFAULTS, TABLE_ORDER, TABLES
+from ..operators import maintenance as m
+from ..schemas import COLUMN_DEFAULTS, STATES, TABLE_KEYS, TABLE_ORDER, TABLES
 
-# How a table is divided. The month of an entry and the hash of a key never change, so a batch
-# concerns the parts it has rows in and no other. Tables that are not listed are one part.
-KEY_PARTS = 64
+PART = "part"
 
 
-def _month() -> Column:
-    return F.coalesce(F.date_format("created", "yyyy-MM"), F.lit("none"))
+def month_of(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("m"), F.date_format(column, "yyyy-MM")), F.lit("none"))
 
 
+# How a table is divided; one that is not listed is a single part. The month of an entry never
+# changes, so a batch concerns the months it has rows of. An issue stays in the part it came to first even if its
+# creation time is corrected later; what is kept per issue lies in that part too.
 PARTS: dict[str, Callable[[], Column]] = {
-    "issues": lambda: F.coalesce(F.pmod(F.xxhash64("key"), F.lit(KEY_PARTS)).cast("string"), F.lit("none")),
-    "issue_comments": _month,
-    "issue_changelog": _month,
+    "issues": lambda: month_of("created"),
+    "issue_comments": lambda: month_of("created"),
+    "issue_changelog": lambda: month_of("created"),
+    "weekly_sums": lambda: month_of("week_start"),
+    "memberships": lambda: F.coalesce(F.col(PART), F.lit("none")),
+    "completion_times": lambda: F.coalesce(F.col(PART), F.lit("none")),
+}
+STAYING = ("issues",)
+# Tables that are read out of what a batch can be added to.
+VIEWS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    "weekly_metrics": ("weekly_sums", m.weekly_of_sums),
+    "sprint_issues": ("memberships", lambda state: state.select("sprint_name", "issue_key")),
+    "completions": ("completion_times", m.completions_of_times),
 }
 
 
@@ -37,24 +47,20 @@ def all_issues(issues: DataFrame, ordered: bool = True) -> DataFrame:
     return sort_if(issues, ordered, F.desc_nulls_last("created"), "key")
 
 
-class ConcurrentWrite(RuntimeError):
-    """Another writer has committed a version since this store read the table."""
-
-
 class TableStore:
-    """Tables below one root: data files, and a manifest per version that names the parts' folders.
+    """Tables below one root, a folder of Parquet parts each, for one writer at a time.
 
-    A write puts its parts into a folder of its own and then creates the next manifest in one
-    step. Readers take the newest whole manifest, so an interrupted write is never seen, and a
-    job may read the table it replaces. The manifest's number is one more than that of the
-    version this store read; if another writer was first, the file exists and the write is refused.
+    A batch is staged first: the new content of every part it concerns, of all tables, is written below ``_batch``. Then
+    Spark's writer replaces those parts (dynamic partition overwrite). A writer that ends while it stages has
+    changed nothing; one that ends while it replaces is made good by ``recover``, which replaces the
+    same parts by the same rows once more. So a batch counts once, whenever its writer ends, and as
+    merging it again changes nothing, also if it is sent again.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._seen: dict[str, int] = {}
 
-    # ── files ───────────────────────────────────────────────────────────────────────────────
+    # ── folders ─────────────────────────────────────────────────────────────────────────────
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -64,130 +70,131 @@ class TableStore:
 
     def _names(self, folder: str) -> list[str]:
         fs, path = self._fs(), self._path(folder)
-        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-
-    def _manifest(self, table: str, version: int) -> dict[str, list] | None:
-        """Part to [folder, columns], or None if the writer did not finish the file."""
-        stream = self._fs().open(self._path(f"{table}/manifests/{version}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        except ValueError:
-            return None
-        finally:
-            stream.close()
-
-    def _numbers(self, table: str) -> list[int]:
-        return sorted(int(n) for n in self._names(f"{table}/manifests") if n.isdigit())
-
-    def _versions(self, table: str) -> list[int]:
-        return [n for n in self._numbers(table) if self._manifest(table, n) is not None]
-
-    def _current(self, table: str) -> tuple[int, dict[str, list]]:
-        numbers = self._numbers(table)
-        for number in reversed(numbers):
-            parts = self._manifest(table, number)
-            if parts is not None:
-                return numbers[-1], parts
-        return max(numbers, default=0), {}
-
-    def _commit(self, table: str, base: int, parts: dict[str, list]) -> None:
-        path = self._path(f"{table}/manifests/{base + 1}")
-        try:
-            out = self._fs().create(path, False)
-        except Exception as failure:
-            if self._fs().exists(path):
-                raise ConcurrentWrite(f"{table} has a version {base + 1} by another writer") from failure
-            raise
-        out.write(bytearray(json.dumps(parts).encode()))
-        out.close()
-        if self._manifest(table, base + 1) != parts:
-            raise RuntimeError(f"version {base + 1} of {table} cannot be read back")
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _delete(self, folder: str) -> None:
+        self._fs().delete(self._path(folder), True)
+
+    def parts(self, table: str) -> list[str]:
+        return [n.removeprefix(f"{PART}=") for n in self._names(table) if n.startswith(f"{PART}=")]
 
     # ── reading ─────────────────────────────────────────────────────────────────────────────
 
-    def _rows(self, table: str, parts: dict[str, list]) -> DataFrame:
-        schema, out = TABLES[table], None
-        by_columns: dict[tuple, list[str]] = {}
-        for folder, columns in parts.values():
-            by_columns.setdefault(tuple(columns), []).append(f"{self.root}/{table}/{folder}")
-        for columns, folders in by_columns.items():
-            stored = T.StructType([schema[c] for c in columns])
-            rows = evolve_schema(self.spark.read.schema(stored).parquet(*folders), schema, COLUMN_DEFAULTS.get(table, {}))
-            out = rows if out is None else out.unionByName(rows)
-        return self.spark.createDataFrame([], schema) if out is None else out
+    def _schema(self, table: str) -> T.StructType:
+        return TABLES[table] if table in TABLES else STATES[table]
+
+    def _columns(self, table: str) -> list[str]:
+        """The columns of the stored files, by the footer of one: all files of a table have the same."""
+        stored = self.spark.read.parquet(f"{self.root}/{table}").columns if self.parts(table) else self._schema(table).fieldNames()
+        return [c for c in self._schema(table).fieldNames() if c in stored]
+
+    def rows_with_part(self, table: str, folder: str | None = None) -> DataFrame:
+        """The rows with their ``part``, in today's schema."""
+        schema, at = self._schema(table), folder or table
+        if not [n for n in self._names(at) if n.startswith(f"{PART}=")]:
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(PART, T.StringType())]))
+        known = T.StructType([*[schema[c] for c in (self._columns(table) if folder is None else schema.fieldNames())], T.StructField(PART, T.StringType())])
+        return m.evolve_schema(self.spark.read.schema(known).parquet(f"{self.root}/{at}"), schema, COLUMN_DEFAULTS.get(table, {}))
 
     def read(self, table: str) -> DataFrame:
-        """Newest version in today's schema; an empty typed frame when there is none."""
-        self._seen[table], parts = self._current(table)
-        return self._rows(table, parts)
+        """The stored table in today's schema; an empty typed frame when there is none."""
+        if table in VIEWS:
+            kept, view = VIEWS[table]
+            return view(self.rows_with_part(kept).drop(PART))
+        return self.rows_with_part(table).drop(PART)
 
     # ── writing ─────────────────────────────────────────────────────────────────────────────
 
-    def _write_parts(self, table: str, df: DataFrame) -> dict[str, list]:
-        """New files for the rows, a folder per part; no manifest names them yet.
-
-        Rows of a part come together before they are written, and a large part spreads over
-        several tasks and files. Row order inside a file serves data skipping.
-        """
-        columns, folder = TABLES[table].fieldNames(), f"data/{uuid.uuid4().hex}"
+    def parted(self, table: str, rows: DataFrame) -> DataFrame:
+        """The table's columns and the part of each row."""
         part = PARTS[table]() if table in PARTS else F.lit("all")
-        rows = df.select(*columns, part.alias("_part"))
-        if table in PARTS:
-            rows = rows.hint("rebalance", F.col("_part"))
-        rows = rows.sortWithinPartitions("_part", *TABLE_ORDER.get(table, ()))
-        rows.write.partitionBy("_part").parquet(f"{self.root}/{table}/{folder}")
-        return {name.removeprefix("_part="): [f"{folder}/{name}", columns]
-                for name in self._names(f"{table}/{folder}") if name.startswith("_part=")}
-
-    def _base(self, table: str) -> tuple[int, dict[str, list]]:
-        now, parts = self._current(table)
-        if self._seen.get(table, now) != now:
-            raise ConcurrentWrite(f"{table} has a version {now} by another writer")
-        return now, parts
-
-    def write(self, table: str, df: DataFrame) -> DataFrame:
-        """Write the whole next version and return the stored table."""
-        base, _ = self._base(table)
-        self._commit(table, base, self._write_parts(table, df))
+        return rows.select(*self._schema(table).fieldNames(), part.alias(PART))
+
+    def commit(self, new: Mapping[str, DataFrame], batch: str | None = None, whole: Collection[str] = ()) -> None:
+        """Replace the parts of the tables that the frames, as ``parted`` gives them, have rows of; of the ``whole`` tables
+        also those they have no rows of. ``batch`` names the folder it is staged in."""
+        self.recover()
+        staged = f"_batch/{batch or uuid.uuid4().hex}"
+        for table, rows in new.items():
+            together = rows.hint("rebalance", F.col(PART))
+            together.write.mode("overwrite").partitionBy(PART).parquet(f"{self.root}/{staged}/{table}")
+        # One file that is there or not: from then on the batch counts.
+        ready = self.spark.createDataFrame([(t, t in whole) for t in new], "name string, whole boolean")
+        ready.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{staged}/ready")
+        self._replace(staged)
+
+    def recover(self) -> int:
+        """Finish batches that were staged and drop those that were not; returns how many were finished."""
+        finished = 0
+        for name in self._names("_batch"):
+            if any(n.startswith("part-") for n in self._names(f"_batch/{name}/ready")):
+                self._replace(f"_batch/{name}")
+                finished += 1
+            else:
+                self._delete(f"_batch/{name}")
+        return finished
+
+    def _replace(self, staged: str) -> None:
+        for row in self.spark.read.schema("name string, whole boolean").parquet(f"{self.root}/{staged}/ready").collect():
+            self._replace_parts(row.name, f"{staged}/{row.name}", row.whole)
+        self._delete(f"{staged}/ready")
+        self._delete(staged)
+
+    def _replace_parts(self, table: str, folder: str, whole: bool) -> None:
+        """Rows of a part come together when they are staged, and a large part spreads over several tasks and
+        files. Row order inside a file serves data skipping."""
+        given = {n.removeprefix(f"{PART}=") for n in self._names(folder) if n.startswith(f"{PART}=")}
+        if given:
+            rows = self.rows_with_part(table, folder).sortWithinPartitions(PART, *TABLE_ORDER.get(table, ()))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{self.root}/{table}")
+        for part in set(self.parts(table)) - given if whole else ():
+            self._delete(f"{table}/{PART}={part}")
+
+    def write(self, table: str, rows: DataFrame) -> DataFrame:
+        """Replace a whole table and return it. The frame may read the table it replaces."""
+        self.commit({table: self.parted(table, rows)}, whole=[table])
         return self.read(table)
 
-    def upsert(self, table: str, batch: DataFrame, keys: Sequence[str],
-               order_by: Sequence[str | Column] | None = None,
-               after: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-        """Merge a batch (see ``maintenance.upsert``) and return the stored table.
+    def merged(self, table: str, updates: DataFrame, order_by: Sequence[str | Column] | None = None) -> tuple[DataFrame, DataFrame]:
+        """The new content of the parts that a batch changes, and the batch's ``merge_pairs``, whose rows have their part.
 
-        Only the parts that the batch has rows in are read and written again; the next manifest
-        takes the others' files over as they are. ``after`` is applied to the merged parts.
+        Only keys are read of parts the batch has no rows of, and those only of tables whose rows stay in their part. A
+        batch that states what is stored changes no part.
         """
-        base, parts = self._base(table)
-        part = PARTS[table]() if table in PARTS else F.lit("all")
-        # One row per part: months of the calendar, or KEY_PARTS.
-        touched = {r.part for r in batch.select(part.alias("part")).distinct().collect()}
-        if not touched:
-            return self.read(table)
-        old = self._rows(table, {p: v for p, v in parts.items() if p in touched})
-        new = self._write_parts(table, after(upsert(old, batch, keys, order_by)))
-        kept = {p: v for p, v in parts.items() if p not in touched}
-        self._commit(table, base, {**kept, **new})
+        keys, columns = list(TABLE_KEYS[table]), self._schema(table).fieldNames()
+        stored = self.rows_with_part(table)
+        batch = self.parted(table, m.newest_per_key(updates.select(*columns), keys, order_by))
+        if table in STAYING:
+            batch = self.written(batch, f"{table}-newest")
+            known = stored.join(batch.select(*keys), keys, "left_semi").select(*keys, F.col(PART).alias("_known"))
+            batch = batch.join(known, keys, "left").select(*columns, F.coalesce("_known", PART).alias(PART))
+        batch = self.written(batch, f"{table}-batch")
+        # Months of the calendar: short lists whatever the batch.
+        near = stored.filter(F.col(PART).isin([r[0] for r in batch.select(PART).distinct().collect()]))
+        pairs = self.written(m.merge_pairs(near, batch, keys, order_by), f"{table}-pairs")
+        changed = pairs.filter(~F.col("old").eqNullSafe(F.col("new")))
+        touched = [r[0] for r in changed.select(f"new.{PART}").distinct().collect()]
+        if touched and self._columns(table) != columns:  # files of an older schema are written anew together
+            touched += self.parts(table)
+        standing = stored.filter(F.col(PART).isin(touched)).join(batch.select(*keys), keys, "left_anti")
+        given = pairs.select("new.*").filter(F.col(PART).isin(touched))
+        return standing.select(*columns, PART).unionByName(given), pairs
+
+    def changed(self, table: str, delta: DataFrame, add: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """The new content of the parts of a derived table that ``delta``, with a column ``part``, concerns."""
+        delta = self.written(delta, f"{table}-delta")
+        touched = [r[0] for r in delta.select(PART).distinct().collect()]
+        old = self.rows_with_part(table).filter(F.col(PART).isin(touched))
+        return add(old, delta)
+
+    def upsert(self, table: str, updates: DataFrame, order_by: Sequence[str | Column] | None = None) -> DataFrame:
+        """Merge a batch (see ``maintenance.upsert``) and return the stored table."""
+        rows, _ = self.merged(table, updates, order_by)
+        self.commit({table: rows})
         return self.read(table)
 
     # ── upkeep ──────────────────────────────────────────────────────────────────────────────
 
-    def expire(self, table: str, keep: int = 2) -> int:
-        """Delete all but the newest ``keep`` versions and the files only they name; returns how
-        many versions went. Files that no manifest names are left, they may be a running write's."""
-        versions = self._versions(table)
-        old, fresh = versions[:-keep] if keep else versions, versions[-keep:] if keep else []
-        if not fresh:
-            raise ValueError("at least one version has to be kept")
-        named = lambda numbers: {v[0] for n in numbers for v in self._manifest(table, n).values()}
-        gone = named(old) - named(fresh)
-        for number in old:
-            self._fs().delete(self._path(f"{table}/manifests/{number}"), False)
-        for folder in gone:
-            self._fs().delete(self._path(f"{table}/{folder}"), True)
-        return len(old)
-
     def written(self, df: DataFrame, label: str) -> DataFrame:
         """Write an intermediate result below the root and read it back: short lineage, no lost blocks."""
         path = f"{self.root}/_work/{label}-{uuid.uuid4().hex}"
@@ -196,4 +203,4 @@ class TableStore:
 
     def clear_work(self) -> None:
         """Delete all intermediate results, when no run of this store is under way."""
-        self._fs().delete(self._path("_work"), True)
+        self._delete("_work")

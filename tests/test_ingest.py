@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pyarrow.parquet as pq
 import pytest
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from sprintloom import schemas
 from sprintloom.functions.richtext import BLOCK_TYPES, plain_text, rich_text_to_plain
-from sprintloom.plans.sync import run_sync
+from sprintloom.functions.expressions import completions
+from sprintloom.plans.sync import rebuild_derived, run_sync
 from sprintloom.sources import raw as src
-from sprintloom.sources.tables import ConcurrentWrite, TableStore, all_issues, read_table
+from sprintloom.sources.tables import TableStore, all_issues, month_of, read_table
 from sprintloom.streaming.incremental import incremental_ingest
-from sprintloom.operators import sprint_reports
+from sprintloom.operators import maintenance as m, sprint_reports
 from tests.conftest import at, day, dicts, tuples
 
 SP = schemas.STORY_POINTS_FIELD
@@ -252,19 +254,19 @@ def files(folder):
     return {str(p) for p in folder.rglob("part-*.parquet")}
 
 
-def test_store_keeps_versions_and_ignores_unfinished_ones(spark, make, tmp_path):
+def test_store_replaces_whole_tables(spark, make, tmp_path):
     store = TableStore(spark, str(tmp_path))
     assert store.read("issues").count() == 0
     store.write("issues", make.issues(dict(key="a")))
     # The table may be read by the very job that replaces it.
-    store.write("issues", store.read("issues").unionByName(make.issues(dict(key="b"))))
-    (tmp_path / "issues" / "data" / "lost").mkdir()
-    (tmp_path / "issues" / "manifests" / "3").write_text("")  # a writer that ended inside the last step
-    assert sorted(r.key for r in store.read("issues").collect()) == ["a", "b"]
-    assert store._versions("issues") == [1, 2]
-    store.write("issues", make.issues(dict(key="c")))
-    assert [r.key for r in store.read("issues").collect()] == ["c"]
+    store.write("issues", store.read("issues").unionByName(make.issues(dict(key="b", created=at("2025-04-01")))))
+    assert sorted(r.key for r in store.read("issues").collect()) == ["a", "b"] and store.parts("issues") == ["m2025-01", "m2025-04"]
+    store.write("issues", make.issues(dict(key="c", created=None)))
+    assert [r.key for r in store.read("issues").collect()] == ["c"] and store.parts("issues") == ["none"]
     assert store.write("issues", make.issues()).count() == 0
+    # Plain Parquet folders that any reader understands, nothing else.
+    store.write("issues", make.issues(dict(key="d")))
+    assert spark.read.parquet(str(tmp_path / "issues")).count() == 1 and not list(tmp_path.glob("_batch/*"))
 
 
 def test_store_does_not_need_the_success_marker(spark, make, tmp_path):
@@ -280,42 +282,71 @@ def test_upsert_leaves_the_files_of_other_months_alone(spark, make, tmp_path):
     store = TableStore(spark, str(tmp_path))
     store.write("issue_changelog", make.changes(
         *[dict(id=f"{m}-{i}", created=at(f"2025-{m:02d}-05")) for m in range(1, 7) for i in range(3)]))
-    before = {v[0] for v in store._manifest("issue_changelog", 1).values()}
-    table = store.upsert("issue_changelog", make.changes(
-        dict(id="3-1", to_string="new", created=at("2025-03-05")), dict(id="x", created=at("2025-03-09"))), ["id"])
-    after = {v[0] for v in store._manifest("issue_changelog", 2).values()}
-    assert len(before) == len(after) == 6 and len(before & after) == 5
-    assert not any("2025-03" in v for v in before & after)
+    before = files(tmp_path / "issue_changelog")
+    batch = make.changes(dict(id="3-1", to_string="new", created=at("2025-03-05")), dict(id="x", created=at("2025-03-09")))
+    table = store.upsert("issue_changelog", batch)
+    after = files(tmp_path / "issue_changelog")
+    assert {f for f in before if "2025-03" not in f} == {f for f in after if "2025-03" not in f} and before != after
     assert table.count() == 19 and table.filter("to_string = 'new'").count() == 1
-    store.upsert("issue_changelog", make.changes(), ["id"])
-    assert store._versions("issue_changelog") == [1, 2]
+    for again in (make.changes(), batch):  # nothing to change: no file is written
+        store.upsert("issue_changelog", again)
+        assert files(tmp_path / "issue_changelog") == after
 
 
-def test_a_second_writer_is_refused(spark, make, tmp_path):
-    one, two = TableStore(spark, str(tmp_path)), TableStore(spark, str(tmp_path))
-    one.read("issues"), two.read("issues")
-    one.write("issues", make.issues(dict(key="a")))
-    with pytest.raises(ConcurrentWrite):
-        two.write("issues", make.issues(dict(key="b")))
-    with pytest.raises(ConcurrentWrite):
-        two._commit("issues", 0, {})
-    assert [r.key for r in two.read("issues").collect()] == ["a"]
-    two.write("issues", make.issues(dict(key="b")))
+def test_an_issue_stays_in_its_part_when_its_creation_time_is_corrected(spark, make, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write("issues", make.issues(dict(key="a"), dict(key="b")))
+    store.upsert("issues", make.issues(dict(key="a", created=at("2025-07-01"), summary="moved"), dict(key="n", created=at("2025-07-02"))))
+    assert sorted((r.key, r.summary) for r in store.read("issues").collect()) == [("a", "moved"), ("b", "work"), ("n", "work")]
+    assert store.parts("issues") == ["m2025-01", "m2025-07"]
+
+
+class Lost(Exception):
+    """The writer has ended."""
+
+
+@pytest.mark.parametrize("tables_done", [0, 1, 2])
+def test_a_batch_counts_once_whenever_its_writer_ends(spark, make, tmp_path, monkeypatch, tables_done):
+    store = TableStore(spark, str(tmp_path))
+    store.commit({t: store.parted(t, rows) for t, rows in (
+        ("issues", make.issues(dict(key="a"), dict(key="z", created=at("2025-09-01")))), ("issue_comments", make.comments(dict(id="1"))))}, "0")
+    new = {"issues": make.issues(dict(key="a", summary="new"), dict(key="b")), "issue_comments": make.comments(dict(id="1", body="new"), dict(id="2"))}
+
+    def send(writer):
+        writer.commit({t: writer.merged(t, rows)[0] for t, rows in new.items()}, "1")
+
+    replaced, done = TableStore._replace_parts, []
+
+    def dying(self, table, folder, whole):
+        if len(done) == tables_done:
+            if table == "issue_comments":  # in the midst of replacing: the old part has gone
+                self._delete("issue_comments/part=m2025-01")
+            raise Lost
+        done.append(table)
+        replaced(self, table, folder, whole)
+
+    monkeypatch.setattr(TableStore, "_replace_parts", dying)
+    if tables_done < 2:
+        with pytest.raises(Lost):
+            send(store)
+    monkeypatch.undo()
+    after = TableStore(spark, str(tmp_path))
+    assert after.recover() == (tables_done < 2)
+    for _ in range(2):
+        send(after)  # the stream sends the batch again
+        assert sorted((r.key, r.summary) for r in after.read("issues").collect()) == [("a", "new"), ("b", "work"), ("z", "work")]
+        assert sorted((r.id, r.body) for r in after.read("issue_comments").collect()) == [("1", "new"), ("2", "hi")]
 
 
-def test_expire_deletes_what_only_old_versions_name(spark, make, tmp_path):
+def test_a_batch_that_was_not_staged_whole_is_dropped(spark, make, tmp_path):
     store = TableStore(spark, str(tmp_path))
-    for month in (1, 2, 3, 3):
-        store.upsert("issue_comments", make.comments(dict(id=str(month), created=at(f"2025-{month:02d}-01"))), ["id"])
-    (tmp_path / "issue_comments" / "data" / "running").mkdir()
-    rows, before = sorted(tuples(store.read("issue_comments"))), files(tmp_path / "issue_comments")
-    assert store.expire("issue_comments", keep=1) == 3 and store._versions("issue_comments") == [4]
-    assert len(before) == 4 and len(files(tmp_path / "issue_comments")) == 3
-    assert sorted(tuples(store.read("issue_comments"))) == rows
-    assert (tmp_path / "issue_comments" / "data" / "running").exists()
+    store.write("issues", make.issues(dict(key="a")))
+    store.parted("issues", make.issues(dict(key="b"))).write.partitionBy("part").parquet(str(tmp_path / "_batch" / "7" / "issues"))
+    (tmp_path / "_batch" / "7" / "ready").mkdir()
+    assert store.recover() == 0 and [r.key for r in store.read("issues").collect()] == ["a"]
     store.written(spark.range(2), "x")
     store.clear_work()
-    assert not (tmp_path / "_work").exists()
+    assert not (tmp_path / "_work").exists() and not list(tmp_path.glob("_batch/*"))
 
 
 def test_stored_history_is_grouped_by_field_in_each_file(spark, make, tmp_path):
@@ -330,11 +361,11 @@ def test_stored_history_is_grouped_by_field_in_each_file(spark, make, tmp_path):
 
 def test_store_adds_columns_to_old_parts(spark, make, tmp_path):
     store = TableStore(spark, str(tmp_path))
-    old = make.issues(dict(key="a")).drop("issuetype")
-    old.write.parquet(str(tmp_path / "issues" / "data" / "old"))
-    store._commit("issues", 0, {"99": ["data/old", old.columns]})
-    store.upsert("issues", make.issues(dict(key="b", issuetype="Bug")), ["key"])
-    assert sorted((r.key, r.issuetype) for r in store.read("issues").collect()) == [("a", ""), ("b", "Bug")]
+    old = make.issues(dict(key="a"), dict(key="c", created=at("2025-05-05"))).drop("issuetype")
+    old.withColumn("part", month_of("created")).write.partitionBy("part").parquet(str(tmp_path / "issues"))
+    assert sorted((r.key, r.issuetype) for r in store.read("issues").collect()) == [("a", ""), ("c", "")]
+    store.upsert("issues", make.issues(dict(key="b", issuetype="Bug")))
+    assert sorted((r.key, r.issuetype) for r in store.read("issues").collect()) == [("a", ""), ("b", "Bug"), ("c", "")]
 
 
 def issue(key, sp, status="To Do", updated="2025-01-16T00:00:00"):
@@ -408,6 +439,60 @@ def test_incremental_ingest_reads_each_file_once(spark, land, tmp_path):
     incremental_ingest(store, folder, str(tmp_path / "ckpt"))
     assert sorted((r.key, r.reported_sp) for r in store.read("issues").collect()) == [
         ("a", 1.0), ("b", 9.0), ("c", 4.0)]
-    versions = store._versions("issues")
+    before = files(tmp_path / "store")
     incremental_ingest(store, folder, str(tmp_path / "ckpt"))
-    assert store._versions("issues") == versions
+    assert files(tmp_path / "store") == before
+
+
+def document(key, sp, sprint, updated, created, assignee, *histories):
+    return {"key": key, "fields": {
+        "summary": key, SP: sp, "status": {"name": "Done", "statusCategory": {"name": "完了"}}, "assignee": assignee and {"displayName": assignee},
+        "created": created, "updated": updated}, "changelog": {"histories": [
+            {"id": i, "created": t, "items": [{"field": f, "fromString": a, "toString": b}]} for i, t, f, a, b in histories]}}, sprint
+
+
+def test_derived_tables_equal_their_rebuild_after_random_batches(spark, land, tmp_path):
+    """Issues change sprint, week, points and assignee, histories grow, and now and then an entry is altered."""
+    rng, store, folder = random.Random(12), TableStore(spark, str(tmp_path / "store")), None
+    history = {}
+    for turn in range(4):
+        lines = []
+        for _ in range(12):
+            key = f"K{rng.randrange(9)}"
+            own = history.setdefault(key, {})
+            own[f"{key}-{len(own)}"] = (f"2025-{rng.randrange(1, 5):02d}-{rng.randrange(1, 28):02d}T00:00:00", *rng.choice([
+                ("status", "To Do", "Done"), ("status", "Done", "To Do"), ("Sprint", "S1, S2", "S3"), ("Sprint", None, " S1 ,S4"), ("Sprint", "", "S2")]))
+            if turn == 3 and rng.random() < 0.5:
+                old = rng.choice(sorted(own))
+                own[old] = (own[old][0], "status", "To Do", rng.choice(["Done", "Open"]))
+            issue_, sprint = document(
+                key, rng.choice([None, 0.5, 1.25, 3]), rng.choice(["S1", "S2", "S5"]), f"2025-06-{turn + 1:02d}T00:00:{rng.randrange(60):02d}",
+                f"2025-0{rng.randrange(1, 3)}-{rng.randrange(1, 28):02d}T00:00:00", rng.choice([None, "ann", "bob"]), *[(i, *h) for i, h in own.items()])
+            lines.append(line(issue_, rng.randrange(1, 4), sprint))
+        folder = land(*lines, name=f"{turn}.json")
+        incremental_ingest(store, folder, str(tmp_path / "ckpt"))
+        issues, changes = store.read("issues"), store.read("issue_changelog")
+        order = lambda rows: sorted(map(str, rows))
+        for table, rebuilt in (("weekly_metrics", m.weekly_metrics(issues)), ("sprint_issues", m.sprint_issues(issues, changes)),
+                               ("completions", completions(changes))):
+            assert order(tuples(store.read(table).select(*rebuilt.columns))) == order(tuples(rebuilt)), (turn, table)
+        states = {t: order(tuples(store.read(t))) for t in ("weekly_sums", "memberships", "completion_times")}
+        rebuild_derived(store)
+        assert {t: order(tuples(store.read(t))) for t in states} == states
+
+
+def test_a_batch_rewrites_the_weeks_and_issues_it_concerns(spark, land, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    rows = [document(f"K{i}", 1, "S1", "2025-06-01T00:00:00", f"2025-0{i}-15T00:00:00", "ann", (f"h{i}", f"2025-0{i}-06T00:00:00", "status", "", "Done")) for i in range(1, 7)]
+    incremental_ingest(store, land(*[line(d, 1, s) for d, s in rows], name="1.json"), str(tmp_path / "ckpt"))
+    tables = ("issues", "issue_changelog", "weekly_sums", "memberships", "completion_times")
+    before = {t: files(tmp_path / "store" / t) for t in tables}
+    assert all(len(f) == 6 for f in before.values())
+    changed, sprint = document("K3", 5, "S2", "2025-06-02T00:00:00", "2025-03-15T00:00:00", "bob", ("h3", "2025-03-06T00:00:00", "status", "", "Done"),
+                               ("h9", "2025-06-02T00:00:00", "status", "", "Done"))
+    incremental_ingest(store, land(line(changed, 1, sprint), name="2.json"), str(tmp_path / "ckpt"))
+    for table in tables:
+        month = "2025-06" if table == "issue_changelog" else "2025-03"
+        assert {f for f in before[table] ^ files(tmp_path / "store" / table) if month not in f} == set(), table
+    assert sorted(tuples(store.read("sprint_issues")))[-1] == ("S2", "K3") and store.read("sprint_issues").count() == 6
+    assert [str(r.last_completed_date) for r in store.read("completions").filter("issue_key = 'K3'").collect()] == ["2025-06-02"]

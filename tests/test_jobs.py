@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from pathlib import Path
 
 import pytest
@@ -173,7 +174,60 @@ def test_scoring_run_stores_one_newest_score_per_issue(spark, make, tmp_path):
         dict(issue_key="gone", complexity_reasoning="kept", analyzed_at=at("2025-01-01"))))
     scores = run_scoring(store, lambda p: ("new", 0.5, "n"), "2025-06-01")
     assert sorted((r.issue_key, r.complexity_reasoning) for r in scores.collect()) == [("a", "new"), ("b", "newer"), ("gone", "kept")]
-    assert store.read("weekly_metrics").count() == 1
+
+
+def test_only_changed_prompts_are_scored_again(spark, make, tmp_path):
+    store, asked = TableStore(spark, str(tmp_path / "s")), tmp_path / "asked"
+    asked.mkdir()
+
+    def scorer(prompt):
+        key = re.search(r"key: (\S+)", prompt)[1]
+        (asked / f"{key}-{uuid.uuid4().hex}").touch()
+        if key == "bad" and "now good" not in prompt:
+            raise ValueError("no answer")
+        return key, 0.5, str(len(prompt))
+
+    def run(at_):
+        for f in asked.iterdir():
+            f.unlink()
+        rows = {r.issue_key: (r.complexity_reasoning, str(r.analyzed_at.date())) for r in run_scoring(store, scorer, at_).collect()}
+        return sorted(f.name.split("-")[0] for f in asked.iterdir()), rows
+
+    store.write("issues", make.issues(*[dict(key=k) for k in ("a", "b", "bad")]))
+    store.write("issue_comments", make.comments(dict(id="1", issue_key="a")))
+    calls, rows = run("2025-06-01")
+    assert calls == ["a", "b", "bad"] and rows["bad"][0].startswith("Analysis failed")
+    assert run("2025-06-02")[0] == ["bad"]  # a failure is tried again
+    store.upsert("issue_comments", make.comments(dict(id="2", issue_key="b")))
+    store.upsert("issues", make.issues(dict(key="bad", summary="now good")))
+    calls, rows = run("2025-06-03")
+    assert calls == ["b", "bad"] and rows == {"a": ("a", "2025-06-01"), "b": ("b", "2025-06-03"), "bad": ("bad", "2025-06-03")}
+    assert run("2025-06-04") == ([], rows)
+
+
+def test_calls_keep_the_pace(spark):
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    pace = scoring.Pace(15, burst=2, clock=lambda: now[0], sleep=sleep)
+    times = []
+    for _ in range(6):
+        pace.take()
+        times.append(now[0])
+    assert times == [0, 0, 4, 8, 12, 16]
+    now[0] += 60  # a pause saves up a burst and no more
+    slept.clear()
+    for _ in range(3):
+        pace.take()
+    assert slept == [4]
+    with pytest.raises(ValueError):
+        scoring.Pace(0)
+    prompts = spark.createDataFrame([(f"K{i}", "p") for i in range(8)], "issue_key string, prompt string")
+    scores = scoring.score_issues(prompts, lambda p: ("r", 0.5, "n"), "2025-01-01", calls_a_minute=60_000, tasks=3)
+    assert scores.rdd.getNumPartitions() == 3 and len(scores.collect()) == 8
 
 
 @pytest.mark.parametrize("build,expected", [
