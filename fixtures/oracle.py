@@ -348,6 +348,13 @@ FROM raised LEFT JOIN documents ON key = 'K-' || doc_id""".replace(
     # sinks
     "dashboard_export_counts": "\nUNION ALL ".join(
         f"SELECT '{name}' AS result, COUNT(*) AS n_rows {rows}" for name, rows in _DASHBOARD.items()),
+    "dashboard_totals": "\nUNION ALL ".join(
+        f"SELECT '{name}' AS result, coalesce({key}, '') AS item, CAST({count} AS DOUBLE) AS count, CAST({points} AS DOUBLE) AS points FROM {rows}"
+        for name, key, count, points, rows in (
+            ("leaderboard", "assignee", "issue_count", "total_sp", f"({_ranking('issues')})"), ("teamSummary", "team", "total_issues", "done_sp", "teams"),
+            ("statusBreakdown", "status_category", "count", "sp",
+             "(SELECT status_category, COUNT(*) AS count, round(SUM(reported_sp), 1) AS sp FROM issues GROUP BY 1)"),
+            ("assigneeLoad", "assignee", "done_count", "total_sp", "load"))),
     "dashboard_export_velocity": "SELECT * REPLACE (CAST(week_start AS VARCHAR) AS week_start) FROM velocity",
     "dashboard_export_issues": f"""SELECT * REPLACE (CAST(created_date AS VARCHAR) AS created_date,
   CAST(completed_date AS VARCHAR) AS completed_date, strftime(updated, '%Y-%m-%d %H:%M:%S') AS updated)

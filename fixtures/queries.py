@@ -14,7 +14,7 @@ from sprintloom.functions.richtext import rich_text_to_plain
 from sprintloom.operators import (
     maintenance as m, metrics as d, reports as r, scoring as a, sprint_reports as s,
 )
-from sprintloom.plans.dashboard import dashboard, shared_completions
+from sprintloom.plans.dashboard import dashboard, shared_completions, shared_totals
 from sprintloom.plans.sync import run_scoring
 from sprintloom.session import shared_dir
 from sprintloom.sinks.export import csv_export, dashboard_export
@@ -104,7 +104,7 @@ def _dashboard(t: Model) -> dict[str, DataFrame]:
         "sprint_issues": t.bridge, "sprint_metadata": t.metadata,
         "sufficiency_snapshots": t.history,
     }
-    return dashboard(tables, AS_OF, EPOCH, completed=shared_completions(t.changelog))
+    return dashboard(tables, AS_OF, EPOCH, completed=shared_completions(t.changelog), totals=shared_totals(t.issues, EPOCH))
 
 
 @query
@@ -141,6 +141,17 @@ def _csv(t: Model, result: DataFrame) -> DataFrame:
         "enforceSchema", True).option("escape", '"').csv(folder)
 
 
+@query
+def dashboard_totals(t: Model) -> DataFrame:
+    """The four results that share one pass over the issues, as one list."""
+    found = _dashboard(t)
+    number = lambda c: F.col(c).cast("double")
+    return reduce(DataFrame.unionByName, [found[name].select(
+        F.lit(name).alias("result"), F.coalesce(F.col(key), F.lit("")).alias("item"), number(count).alias("count"), number(points).alias("points"))
+        for name, key, count, points in (("leaderboard", "assignee", "issue_count", "total_sp"), ("teamSummary", "team", "total_issues", "done_sp"),
+                                         ("statusBreakdown", "status_category", "count", "sp"), ("assigneeLoad", "assignee", "done_count", "total_sp"))])
+
+
 simple(
     dashboard_export_velocity=lambda t: _exported(t, "velocity"),
     dashboard_export_issues=lambda t: _exported(t, "issues"),

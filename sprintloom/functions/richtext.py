@@ -72,8 +72,12 @@ def _rich_text(documents: pd.Series) -> pd.Series:
 
 
 def rich_text(document: Column) -> Column:
-    """Plain text of a variant: a tree's text, a string as it is, nothing for a missing one."""
-    return F.coalesce(_rich_text(F.to_json(document)), F.lit(""))
+    """Plain text of a variant: a tree's text, a string as it is, nothing for a missing one. Strings do not
+    go through Python."""
+    json_text = F.to_json(document)
+    is_text = F.left(json_text, F.lit(1)) == '"'
+    tree = _rich_text(F.when(is_text, F.lit(None)).otherwise(json_text))
+    return F.coalesce(F.when(is_text, F.try_variant_get(document, "$", "string")).otherwise(tree), F.lit(""))
 
 
 def rich_text_to_plain(df: DataFrame, column: str) -> DataFrame:

@@ -26,18 +26,20 @@ def issues_with_scores(issues: DataFrame, scores: DataFrame, ordered: bool = Tru
 # ── leaderboards ────────────────────────────────────────────────────────────────────────────
 
 
-def _ranking(rows: DataFrame) -> DataFrame:
+def _ranking(rows: DataFrame, n: Column | None = None) -> DataFrame:
     return (
         rows.filter(F.col("assignee").isNotNull())
         .groupBy("assignee")
-        .agg(F.count("*").alias("issue_count"), round_sp(F.sum("reported_sp")).alias("total_sp"))
+        .agg((F.count("*") if n is None else n).alias("issue_count"), round_sp(F.sum("reported_sp")).alias("total_sp"))
         .orderBy(F.desc_nulls_last("total_sp"), "assignee")
     )
 
 
 def leaderboard(issues: DataFrame, board: str | None = None, date_from: object = None,
-                vocab: Vocabulary = DEFAULT) -> DataFrame:
+                vocab: Vocabulary = DEFAULT, totals: DataFrame | None = None) -> DataFrame:
     """Story points per assignee, all of them, dated by creation."""
+    if totals is not None:
+        return _ranking(totals.filter("in_period"), F.sum("n"))
     return _ranking(issues.filter(issue_filter(board=board, date_from=date_from, vocab=vocab)))
 
 
@@ -185,20 +187,35 @@ def recent_velocity_trend(issues: DataFrame, changelog: DataFrame | None,
 # ── issue-only reports ──────────────────────────────────────────────────────────────────────
 
 
+def issue_totals(issues: DataFrame, date_from: object = None, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """Issues and story points by everything the issue-only reports group or filter by: one pass over the issues that
+    ``leaderboard``, ``team_summary``, ``assignee_load`` and ``status_breakdown`` of a whole deployment
+    can take as their ``totals``. It has a row per person, team and state, not per issue.
+
+    ``in_period`` is what ``date_from`` keeps, ``recent`` what ``assignee_load`` does.
+    """
+    newest = issues.agg(F.max("created")).scalar()
+    return issues.groupBy(
+        team_of(rule=vocab.team_rule).alias("team"), "assignee", "status_category",
+        F.coalesce(issue_filter(date_from=date_from, vocab=vocab), F.lit(False)).alias("in_period"),
+        F.coalesce(F.col("created") >= newest - F.expr("INTERVAL 28 DAYS"), F.lit(False)).alias("recent"),
+    ).agg(F.count("*").alias("n"), F.sum("reported_sp").alias("reported_sp"))
+
+
 def team_summary(issues: DataFrame, date_from: object = None, vocab: Vocabulary = DEFAULT,
-                 ordered: bool = True) -> DataFrame:
+                 ordered: bool = True, totals: DataFrame | None = None) -> DataFrame:
     """Per team: issues, story points, done share and number of members.
 
     Members are counted from one row per (team, assignee), which also carries the sums: two
     aggregations instead of the expanded rows a distinct count beside sums would need.
     """
     sp = F.col("reported_sp")
-    per_member = (
-        issues.filter(issue_filter(date_from=date_from, vocab=vocab))
-        .groupBy(team_of(rule=vocab.team_rule).alias("team"), "assignee")
-        .agg(F.count("*").alias("n"), F.sum(sp).alias("sp"),
-             sum_if(F.col("status_category") == vocab.done, sp).alias("done"))
-    )
+    if totals is None:
+        rows, team, n = issues.filter(issue_filter(date_from=date_from, vocab=vocab)), team_of(rule=vocab.team_rule), F.count("*")
+    else:
+        rows, team, n = totals.filter("in_period"), F.col("team"), F.sum("n")
+    per_member = rows.groupBy(team.alias("team"), "assignee").agg(
+        n.alias("n"), F.sum(sp).alias("sp"), sum_if(F.col("status_category") == vocab.done, sp).alias("done"))
     teams = per_member.groupBy("team").agg(
         F.sum("n").alias("total_issues"),
         round_sp(F.sum("sp")).alias("total_sp"),
@@ -210,20 +227,26 @@ def team_summary(issues: DataFrame, date_from: object = None, vocab: Vocabulary
 
 
 def assignee_load(issues: DataFrame, team: str | None = None, vocab: Vocabulary = DEFAULT,
-                  ordered: bool = True) -> DataFrame:
+                  ordered: bool = True, totals: DataFrame | None = None) -> DataFrame:
     """Work per assignee and team created in the 4 weeks before the newest issue of any team."""
-    newest = issues.agg(F.max("created")).scalar()
     category = F.col("status_category")
-    rows = (
-        issues.filter(
+    if totals is None:
+        newest = issues.agg(F.max("created")).scalar()
+        recent = issues.filter(
             F.col("assignee").isNotNull()
             & (F.col("created") >= newest - F.expr("INTERVAL 28 DAYS"))
             & issue_filter(team=team, vocab=vocab))
-        .groupBy("assignee", team_of(rule=vocab.team_rule).alias("team"))
-        .agg(F.count("*").alias("issue_count"),
+        group, n, count_where = team_of(rule=vocab.team_rule), F.count("*"), F.count_if
+    else:
+        recent = totals.filter(F.col("recent") & F.col("assignee").isNotNull())
+        group, n = F.col("team"), F.sum("n")
+        count_where = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
+    rows = (
+        recent.groupBy("assignee", group.alias("team"))
+        .agg(n.alias("issue_count"),
              round_sp(F.sum("reported_sp")).alias("total_sp"),
-             F.count_if(category == vocab.done).alias("done_count"),
-             F.count_if(category == vocab.in_progress).alias("in_progress_count"))
+             count_where(category == vocab.done).alias("done_count"),
+             count_where(category == vocab.in_progress).alias("in_progress_count"))
     )
     return sort_if(rows, ordered, F.desc_nulls_last("total_sp"), "assignee", "team")
 
@@ -238,8 +261,12 @@ def _breakdown(issues: DataFrame, by: str, team: str | None, date_from: object,
 
 
 def status_breakdown(issues: DataFrame, team: str | None = None, date_from: object = None,
-                     vocab: Vocabulary = DEFAULT, ordered: bool = True) -> DataFrame:
-    rows = _breakdown(issues, "status_category", team, date_from, vocab)
+                     vocab: Vocabulary = DEFAULT, ordered: bool = True, totals: DataFrame | None = None) -> DataFrame:
+    if totals is None:
+        rows = _breakdown(issues, "status_category", team, date_from, vocab)
+    else:
+        rows = totals.filter("in_period").groupBy("status_category").agg(
+            F.sum("n").alias("count"), round_sp(F.sum("reported_sp")).alias("sp"))
     return sort_if(rows, ordered, F.desc("count"), "status_category")
 
 

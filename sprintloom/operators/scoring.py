@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import as_timestamp
+from ..functions.skew import HOT_SHARE
 from ..schemas import AI_SCORES
 from .reports import leaderboard
 
@@ -23,19 +24,44 @@ PROMPT = (
 )
 
 
+# Comments on an issue within an hour are divided when they are more than this and more than a thousandth of all comments,
+# at about so many places.
+LONG_HOUR, PLACES = 8192, 256
+
+
+def _divided(comments: DataFrame) -> DataFrame:
+    """The comments with ``hour`` and ``slice``, which together follow the order of time and id.
+
+    An issue's hour that is hot is divided at the (time, id) of a sample of its comments, chosen by a hash, so equal
+    parts of the sample's order hold about equal numbers of comments, even if all have one time. Fewer than a
+    thousand hours are hot, by construction, which bounds what is broadcast.
+    """
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01', created)")
+    hours = comments.withColumn("hour", F.coalesce(hour, F.lit(-(1 << 62))))
+    counts = hours.groupBy("issue_key", "hour").agg(F.count("*").alias("n"))
+    large = (F.col("n") > LONG_HOUR) & (F.col("n") * HOT_SHARE > counts.agg(F.sum("n")).scalar())
+    keys = ["issue_key", "hour"]
+    place = F.struct("created", "id")
+    chosen = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PLACES)) == 0
+    places = hours.select(*keys, "created", "id").join(F.broadcast(counts.filter(large)), keys).filter(chosen).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(place)).alias("places"))
+    before = F.size(F.filter("places", lambda p: p <= place))
+    return hours.join(F.broadcast(places), keys, "left").withColumn(
+        "slice", F.when(F.col("places").isNull(), 0).otherwise(before)).drop("places")
+
+
 def comment_threads(comments: DataFrame) -> DataFrame:
     """One thread per issue: "- author: body" lines in order of time, then id; null times first.
 
-    Lines are put together per hour and hours per issue, so no sort holds all single comments of a
-    much-discussed issue. The thread itself is one cell by definition: one beyond what a cell can
-    hold fails the job rather than being cut.
+    Lines are put together per hour, or a part of it where an hour is hot, and then per issue, so no sort holds all
+    single comments of a much-discussed issue. The thread itself is one cell by definition: one beyond what a cell
+    can hold fails the job rather than being cut.
     """
     line = F.concat(F.lit("- "), F.col("author"), F.lit(": "), F.col("body"))
-    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01', created)")
-    hourly = comments.select("issue_key", "created", "id", line.alias("line"), hour.alias("hour")).groupBy(
-        "issue_key", "hour").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY created, id)").alias("lines"))
+    hourly = _divided(comments.select("issue_key", "created", "id", line.alias("line"))).groupBy(
+        "issue_key", "hour", "slice").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY created, id)").alias("lines"))
     return hourly.groupBy("issue_key").agg(
-        F.expr("listagg(lines, '\\n') WITHIN GROUP (ORDER BY hour)").alias("thread"))
+        F.expr("listagg(lines, '\\n') WITHIN GROUP (ORDER BY hour, slice)").alias("thread"))
 
 
 def _or_else(column: str, fallback: str) -> Column:

@@ -17,13 +17,20 @@ def shared_completions(changelog: DataFrame, vocab: Vocabulary = DEFAULT) -> Dat
     return written(completions(changelog, vocab), "completions")
 
 
+def shared_totals(issues: DataFrame, start: object = None, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """``issue_totals`` from the report start on, written to the shared folder and read back."""
+    return written(r.issue_totals(issues, vocab.report_start if start is None else start, vocab), "totals")
+
+
 def dashboard(tables: Mapping[str, DataFrame], as_of: object, start: object = None,
-              vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None) -> dict[str, DataFrame]:
+              vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None,
+              totals: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every dashboard result by name, all lazy.
 
     ``tables`` holds the stored tables by name. Seven results need the first or last completion of
     each issue, an aggregate of the change history, by far the largest table. A caller that wants
-    many results computes it once with ``shared_completions`` and passes it.
+    many results computes it once with ``shared_completions`` and passes it; a ``TableStore`` keeps it as
+    ``completions``. Four results need no more of the issues than ``shared_totals`` has.
     """
     start = vocab.report_start if start is None else start
     issues, changelog = tables["issues"], tables["issue_changelog"]
@@ -34,16 +41,16 @@ def dashboard(tables: Mapping[str, DataFrame], as_of: object, start: object = No
     # The result names that readers of the export expect.
     return {
         "velocity": r.velocity_by_team(issues, date_from=start, **velocity),
-        "teamSummary": r.team_summary(issues, start, vocab),
+        "teamSummary": r.team_summary(issues, start, vocab, totals=totals),
         "recentTrend": r.recent_velocity_trend(issues, **velocity),
         "sprintProgress": s.active_sprints_progress(issues, sprints, vocab),
         "sprintAchievement": s.sprint_achievement(issues, bridge, sprints, vocab=vocab),
         "sprintAchievementTimeline": s.sprint_achievement_timeline(issues, bridge, vocab=vocab),
-        "assigneeLoad": r.assignee_load(issues, vocab=vocab),
-        "leaderboard": r.leaderboard(issues, date_from=start, vocab=vocab),
+        "assigneeLoad": r.assignee_load(issues, vocab=vocab, totals=totals),
+        "leaderboard": r.leaderboard(issues, date_from=start, vocab=vocab, totals=totals),
         "leaderboardPeriods.last_week": r.leaderboard_last_week(issues, **velocity),
         "leaderboardPeriods.last_3_weeks": r.leaderboard_last_3_weeks(issues, **velocity),
-        "statusBreakdown": r.status_breakdown(issues, date_from=start, vocab=vocab),
+        "statusBreakdown": r.status_breakdown(issues, date_from=start, vocab=vocab, totals=totals),
         "individualVelocity": r.individual_velocity(issues, date_from=start, **velocity),
         "issues": r.issues_table(issues, None, date_from=start, vocab=vocab, completed=both),
         "sufficiency": r.latest_sufficiency(tables["sufficiency_snapshots"]),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sprintloom.functions import skew
 from sprintloom.functions.expressions import other_sprint_count
 from sprintloom.operators import metrics, reports, scoring, sprint_reports
-from sprintloom.plans.dashboard import dashboard
+from sprintloom.plans.dashboard import dashboard, shared_totals
 from sprintloom.plans.sync import run_scoring
 from sprintloom.session import shared_dir, written
 from sprintloom.sinks.export import csv_export, dashboard_export
@@ -57,6 +57,24 @@ def test_dashboard_export(make, tmp_path):
     assert len(read["stalledIssues"]) == 1
 
 
+def test_four_results_share_one_pass_over_the_issues(spark, make, tmp_path, conf):
+    make.issues(*[dict(key=f"K{i}", assignee=("ann", "bob", None)[i % 3], sprint_name=("S ScrumA", "S ScrumB", None)[i % 4 % 3], reported_sp=(None, 1.0, 2.5)[i % 3],
+                       status_category=("完了", "進行中", "To Do", None)[i % 4], created=None if i == 7 else at(f"2025-0{i % 4 + 1}-{i % 27 + 1:02d}"))
+                  for i in range(60)]).write.parquet(str(tmp_path / "issues"))
+    issues = spark.read.parquet(str(tmp_path / "issues"))
+    tables = {"issues": issues, "issue_changelog": make.changes(), "synced_sprints": make.sprints(), "sprint_issues": make.bridge(),
+              "sprint_metadata": make.metadata(), "sufficiency_snapshots": make.history()}
+    plain = dashboard(tables, "2025-05-01", "2025-02-01")
+    shared = dashboard(tables, "2025-05-01", "2025-02-01", totals=shared_totals(issues, "2025-02-01"))
+    for name in ("leaderboard", "teamSummary", "statusBreakdown", "assigneeLoad"):
+        assert tuples(shared[name]) == tuples(plain[name]) != [], name
+        assert "/issues" not in plan(shared[name])
+    conf(adaptive__enabled="false")
+    text = plan(reports.issue_totals(issues, "2025-02-01"))
+    wide = [scan for scan in re.findall(r"FileScan parquet \[([^\]]*)\]", text) if scan.count("#") > 1]
+    assert len(wide) == 1 and "description" not in text  # the other scan finds the newest creation time
+
+
 def test_csv_has_header_and_mark_in_every_part(spark, tmp_path):
     df = spark.createDataFrame([("完了, \"x\"", 1.5, day("2025-01-01")), (None, 2.0, None)], "a string, b double, c date")
     csv_export(df.repartition(2), str(tmp_path / "m"))
@@ -164,6 +182,25 @@ def test_a_thread_of_any_length_is_one_row_one_prompt_and_one_score(spark, make)
     assert sorted(r.issue_key for r in scores) == ["hot", "none"]
 
 
+def test_a_hot_hour_of_one_issue_spreads_over_tasks(spark, conf):
+    """20,000 comments, most of them at the very same time, come from a bulk import."""
+    conf(adaptive__coalescePartitions__enabled="false", shuffle__partitions="16")
+    comments = spark.range(20_300).select(
+        F.lpad((F.col("id") * 7919 % 100_003).cast("string"), 6, "0").alias("id"),
+        F.when(F.col("id") < 20_000, "hot").otherwise(F.concat(F.lit("K"), F.col("id") % 9)).alias("issue_key"), F.lit("ann").alias("author"),
+        F.col("id").cast("string").alias("body"),
+        F.when(F.col("id") % 50 > 0, F.lit("2025-01-01 10:00:00").cast("timestamp_ntz")).when(F.col("id") % 100 > 0, F.lit("2025-01-01 10:00:09").cast("timestamp_ntz")).alias("created"))
+    divided = scoring._divided(comments.filter("created is not null"))
+    sizes = divided.groupBy("issue_key", "slice").count().filter("issue_key = 'hot'").collect()
+    assert len(sizes) > 100 and max(r["count"] for r in sizes) < 2000
+    tasks = divided.repartition("issue_key", "hour", "slice").groupBy("issue_key", F.spark_partition_id()).count().filter("issue_key = 'hot'").collect()
+    assert len(tasks) == 16 and max(r["count"] for r in tasks) < 4000
+    wanted = {}
+    for r in sorted(comments.collect(), key=lambda r: (r.created is not None, r.created, r.id) if r.created else (False, at("1970-01-01"), r.id)):
+        wanted.setdefault(r.issue_key, []).append(f"- ann: {r.body}")
+    assert {r.issue_key: r.thread for r in scoring.comment_threads(comments).collect()} == {k: "\n".join(v) for k, v in wanted.items()}
+
+
 def test_scoring_run_stores_one_newest_score_per_issue(spark, make, tmp_path):
     store = TableStore(spark, str(tmp_path))
     store.write("issues", make.issues(dict(key="a"), dict(key="b")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sprintloom import schemas
 from sprintloom.operators import maintenance as m
 from sprintloom.sources.raw import sprints_to_sync
-from tests.conftest import at, day, dicts, tuples
+from tests.conftest import at, day, dicts, plan, tuples
 
 
 def by(df, key):
@@ -41,6 +41,76 @@ def test_upsert_matches_columns_by_name(make):
     assert (row["summary"], row["status"]) == ("s", "x")
 
 
+def test_upsert_does_not_shuffle_the_target_for_a_small_batch(spark, tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("up")
+    folder = str(tmp_path / "target")
+    spark.range(60_000).select(F.concat(F.lit("K"), F.col("id")).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("summary"),
+                               F.lit("2025-01-05").cast("timestamp_ntz").alias("updated")).repartition(4).write.parquet(folder)
+    batch = spark.createDataFrame([("K5", "new", at("2025-02-01")), ("K7", "late", at("2025-01-01")), ("N", "new", at("2025-02-01"))],
+                                  "key string, summary string, updated timestamp_ntz")
+    batch.write.parquet(str(tmp_path / "batch"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")  # far less than the target
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        target = spark.read.parquet(folder)
+        merged = m.upsert(target, spark.read.parquet(str(tmp_path / "batch")), ["key"])
+        lines = plan(merged).splitlines()
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+        scans = [i for i, line in enumerate(lines) if "FileScan" in line and "/target" in line]
+        assert len(scans) == 2
+        for at_line in scans:  # what a scan's rows go through on their way up: a broadcast join before any exchange
+            above, level = [], depth(lines[at_line])
+            for line in reversed(lines[:at_line]):
+                if depth(line) < level:
+                    above.append(line.strip(" :+-*()0123456789"))
+                    level = depth(line)
+            first = next(x for x in above if "Join" in x or "Exchange" in x)
+            assert first.startswith("BroadcastHashJoin") and ("LeftSemi" in first or "LeftAnti" in first)
+        rows = {r.key: r.summary for r in merged.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    old = {r.key: r.summary for r in target.collect()}
+    assert rows == {**old, "K5": "new", "N": "new"}
+
+
+def _points(pairs):
+    return {tuple(r)[:-2]: tuple(r)[-2:] for r in pairs}
+
+
+def test_weekly_sums_give_back_what_they_took(make):
+    """Tenths have no exact double; decimal sums leave no trace, and null points stay null."""
+    before = make.issues(dict(key="a", reported_sp=0.1), dict(key="b", reported_sp=0.2), dict(key="c", reported_sp=None, assignee="bob"))
+    batch = make.issues(dict(key="b", reported_sp=0.7, assignee="bob"), dict(key="c", reported_sp=None, assignee=None), dict(key="d", reported_sp=None))
+    state = m.weekly_sums(before)
+    after = m.add_weekly(state, m.weekly_sums(m.signed_rows(m.merge_pairs(before, batch, ["key"]))))
+    got = {r.assignee: (r.reported_sp, r.issue_count) for r in m.weekly_of_sums(after).collect()}
+    assert got == {"ann": (0.1, 2), "bob": (0.7, 1)}
+    back = m.add_weekly(after, m.weekly_sums(m.signed_rows(m.merge_pairs(m.upsert(before, batch, ["key"]), before, ["key"]))))
+    assert _points(tuples(m.weekly_of_sums(back).filter("assignee = 'bob'"))) == {(day("2025-01-06"), "Main Board", "bob"): (None, 1)}
+
+
+def test_a_membership_goes_with_its_last_statement(make):
+    stored, changes = make.issues(dict(key="a", sprint_name="S1"), dict(key="b", sprint_name="S1")), make.changes(
+        dict(id="1", issue_key="a", field="Sprint", from_string="S0", to_string="S1, S2"))
+    state = m.membership_counts(stored, changes)
+    moved = m.merge_pairs(stored, make.issues(dict(key="a", sprint_name="S3"), dict(key="b", sprint_name="S3")), ["key"])
+    added = m.merge_pairs(changes, make.changes(dict(id="2", issue_key="a", field="Sprint", from_string="S1", to_string="S3")), ["id"])
+    after = m.add_memberships(state, m.membership_counts(m.signed_rows(moved), m.signed_rows(added)))
+    assert sorted(tuples(after)) == [("S0", "a", 1), ("S1", "a", 2), ("S2", "a", 1), ("S3", "a", 2), ("S3", "b", 1)]
+
+
+def test_an_altered_completion_is_computed_again(make):
+    history = make.changes(dict(id="1", issue_key="a", created=at("2025-01-01")), dict(id="2", issue_key="a", created=at("2025-01-09")),
+                           dict(id="3", issue_key="b", created=at("2025-01-05")))
+    batch = make.changes(dict(id="1", issue_key="a", created=at("2025-01-01"), to_string="Open"), dict(id="3", issue_key="b", created=at("2025-01-05"), to_string="Open"),
+                         dict(id="4", issue_key="c", created=at("2025-02-01")))
+    pairs, after = m.merge_pairs(history, batch, ["id"]), m.upsert(history, batch, ["id"])
+    times = m.add_completions(m.completion_times(history), m.completion_delta(pairs, after))
+    assert sorted((r.issue_key, r.first_done, r.last_done, r.n_done) for r in times.collect()) == [
+        ("a", at("2025-01-09"), at("2025-01-09"), 1), ("c", at("2025-02-01"), at("2025-02-01"), 1)]
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(1, 28), st.integers(0, 9)), max_size=12),
        st.lists(st.tuples(st.sampled_from("bcd"), st.integers(1, 28), st.integers(0, 9)), max_size=12))
