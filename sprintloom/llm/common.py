@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
+import uuid
 from collections.abc import Iterator
 from types import ModuleType
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # ASCII white space. ``bytes.split()`` and ``bytes.lower()`` use these very bytes and A-Z only.
@@ -42,21 +45,57 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
-def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows of the largest counts, ``most`` at most: all above a bound that is found from a histogram.
+class Shipped:
+    """A value of bounded size for all tasks. It travels with its classes, so executors need not have them installed, and is
+    unpacked once per Python worker."""
 
-    The histogram has 32 steps for each doubling, so it is small whatever the table. Rows of one step come
-    together or not at all; that keeps the choice free of ties and of sorting everything.
+    def __init__(self, spark: SparkSession, value: object):
+        self.name, self.data = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> object:
+        cache = worker_cache("shipped")
+        if self.name not in cache:
+            while len(cache) >= 4:
+                cache.pop(next(iter(cache)))
+            cache[self.name] = pickle.loads(self.data.value)
+        return cache[self.name]
+
+    def unpersist(self) -> None:
+        self.data.unpersist()
+
+
+def most_frequent(counted: DataFrame, count: str, most: int, item: str, within: str | None = None) -> DataFrame:
+    """The rows of the largest counts, about ``most``; of each ``within`` if that is given, whose null takes no part.
+
+    They are all above a bound that is found from a histogram of 32 steps for each doubling, which is small
+    whatever the table. Of the step in which the bound lies, those rows are taken whose ``item`` has a hash below the share
+    that is left, so equal counts are divided alike each time, and nothing is sorted.
     """
     step = F.floor(F.log2(F.col(count)) * 32).cast("int")
-    sizes = counted.filter(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
-    taken, bound = 0, None
-    for row in sorted(sizes, key=lambda r: -r.step):
-        taken += row.n
-        if taken > most:
-            break
-        bound = row.step
-    return counted.filter(F.lit(False) if bound is None else (F.col(count) > 0) & (step >= bound))
+    group = F.lit("") if within is None else F.col(within)
+    rows = counted.filter((F.col(count) > 0) & group.isNotNull())
+    sizes: dict[str, list] = {}
+    for row in rows.groupBy(group.alias("group"), step.alias("step")).agg(F.count("*").alias("n")).collect():
+        sizes.setdefault(row.group, []).append((row.step, row.n))
+    cuts = []
+    for name, steps in sizes.items():
+        left, bound, share = most, 1 << 30, 0
+        for at, n in sorted(steps, reverse=True):
+            if n > left:
+                share = int((1 << 31) * max(0.0, left - 4 * left ** 0.5) / n)
+                break
+            left, bound = left - n, at
+        # The step below the last whole one that has rows is the one that is divided.
+        part = max((at for at, _ in steps if at < bound), default=bound - 1)
+        cuts.append((name, bound, part, share))
+    if not cuts:
+        return counted.filter(F.lit(False))
+    cut = counted.sparkSession.createDataFrame(cuts, "_group string, _whole int, _part int, _share long")
+    met = rows.join(F.broadcast(cut), group == F.col("_group"))
+    place = F.pmod(F.xxhash64(item), F.lit(1 << 31))
+    taken = (step >= F.col("_whole")) | ((step == F.col("_part")) & (place < F.col("_share")))
+    return met.filter(taken).select(*counted.columns)
 
 
 # A group is hot when it holds more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE groups are.

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sprintloom.llm.common import worker_cache
+from sprintloom.llm.common import Shipped, worker_cache
 
 Q = 10
 EDIT_SHARE = 0.06
@@ -84,7 +84,8 @@ def qgram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A block of benchmark items and the sorted hashes of their q-grams."""
+    """A block of benchmark items and the hashes of their q-grams in runs: ``length`` neighbouring places of an item,
+    from ``place`` on, that have the same hash. Runs are sorted by hash."""
 
     q: int
     ids: list
@@ -94,6 +95,7 @@ class Index:
     hashes: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    length: np.ndarray
     present: np.ndarray
     short: list[int]
 
@@ -119,13 +121,15 @@ def index(items: list[tuple[int | None, str]], q: int = Q, share: float = EDIT_S
     owner = np.repeat(np.array(long, np.int64), [len(h) for h in hashes])
     place = np.concatenate([np.arange(len(h)) for h in hashes]) if long else np.empty(0, np.int64)
     joined = np.concatenate(hashes) if long else np.empty(0, np.uint32)
-    order = np.argsort(joined, kind="stable")
+    first = np.flatnonzero(np.r_[True, (joined[1:] != joined[:-1]) | (place[1:] != place[:-1] + 1)]) if len(joined) else np.empty(0, np.int64)
+    length = np.diff(np.r_[first, len(joined)])
+    order = np.argsort(joined[first], kind="stable")
     budgets = np.array([budget(len(t), q, share) for _, t in items], np.int64)
     sizes = np.array([len(t) for _, t in items], np.int64)
     present = np.zeros(1 << _FILTER_BITS, bool)
     present[joined >> np.uint32(32 - _FILTER_BITS)] = True
     return Index(q, [i for i, _ in items], [t for _, t in items], budgets, sizes + 1 - q * (budgets + 1),
-                 joined[order], owner[order], place[order], present,
+                 joined[first][order], owner[first][order], place[first][order], length[order], present,
                  [n for n, (_, t) in enumerate(items) if len(t) < q])
 
 
@@ -160,6 +164,68 @@ def banded_alignment(item: np.ndarray, text: np.ndarray, first: int, last: int,
     return (int(cost[at]), int(begin[at]), first + len(item) + at) if cost[at] <= most else None
 
 
+# Entries of bands that are written out at once.
+_SLICE = 1 << 20
+
+
+def _bands(found: Index, joined: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (text, item, band) and how many q-grams they share, for bands that share any.
+
+    A place in a text and a run of places in an item share a stretch of diagonals, so they add to a band the part of the stretch
+    that lies in it: one entry for each band, not for each pair of places. The entries are
+    written out in slices, so memory does not grow with texts and items that repeat themselves.
+    """
+    hashes = qgram_hashes(joined, found.q)
+    at = np.flatnonzero(found.present[hashes >> np.uint32(32 - _FILTER_BITS)])
+    low = np.searchsorted(found.hashes, hashes[at], "left")
+    times = np.searchsorted(found.hashes, hashes[at], "right") - low
+    at, low, times = at[times > 0], low[times > 0], times[times > 0]
+    band, most = found.band, int(found.budgets.max(initial=0))
+    keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+    span = (2 * (len(joined) + int(found.bounds.max(initial=0)) + 1) + found.q * (most + 1)) // band + 4
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge() -> None:
+        nonlocal keys, sums
+        every = np.concatenate([keys, *(k for k, _ in waiting)])
+        keys, where = np.unique(every, return_inverse=True)
+        sums = np.bincount(where, np.concatenate([sums, *(s for _, s in waiting)]), len(keys)).astype(np.int64)
+        waiting.clear()
+
+    runs_before = np.cumsum(times)
+    done = 0
+    while done < len(at):
+        stop = max(done + 1, int(np.searchsorted(runs_before, (runs_before[done - 1] if done else 0) + _SLICE, "right")))
+        some = slice(done, stop)
+        done = stop
+        n = times[some]
+        run = np.repeat(low[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        place = np.repeat(at[some], n)
+        doc = np.searchsorted(starts, place, "right") - 1
+        highest = place - starts[doc] - found.place[run]
+        lowest = highest - found.length[run] + 1
+        first, last = (lowest - most) // band, highest // band
+        entries = np.cumsum(last - first + 1)
+        begun = 0
+        while begun < len(run):
+            end = max(begun + 1, int(np.searchsorted(entries, (entries[begun - 1] if begun else 0) + _SLICE, "right")))
+            part = slice(begun, end)
+            begun = end
+            many = (last - first + 1)[part]
+            slot = np.repeat(first[part] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            owner, text = np.repeat(found.owner[run[part]], many), np.repeat(doc[part], many)
+            inside = (np.minimum(np.repeat(highest[part], many), slot * band + band + most - 1)
+                      - np.maximum(np.repeat(lowest[part], many), slot * band) + 1)
+            own = (text * len(found.items) + owner) * span + slot + span // 2
+            own, where = np.unique(own[inside > 0], return_inverse=True)
+            waiting.append((own, np.bincount(where, inside[inside > 0], len(own)).astype(np.int64)))
+            if sum(len(k) for k, _ in waiting) > 4 * _SLICE:
+                merge()
+    merge()
+    pair, slot = np.divmod(keys, span)
+    return np.stack([*np.divmod(pair, max(1, len(found.items))), slot - span // 2], 1), sums
+
+
 def find(found: Index, texts: list[str]) -> list[list[tuple]]:
     """For each text the items that occur in it: (item number, start, end, edits, shared q-grams), the best
     place of each item, as character offsets of the text as given."""
@@ -182,29 +248,11 @@ def find(found: Index, texts: list[str]) -> list[list[tuple]]:
                 add(d, n, at, at + len(found.items[n]), 0, 0)
     if not len(found.hashes) or len(joined) < found.q:
         return hits
-    hashes = qgram_hashes(joined, found.q)
-    at = np.flatnonzero(found.present[hashes >> np.uint32(32 - _FILTER_BITS)])
-    lo = np.searchsorted(found.hashes, hashes[at], "left")
-    times = np.searchsorted(found.hashes, hashes[at], "right") - lo
-    at, lo, times = at[times > 0], lo[times > 0], times[times > 0]
-    if not len(at):
-        return hits
-    entry = np.repeat(lo - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
-    place, item = np.repeat(at, times), found.owner[entry]
-    doc = np.searchsorted(starts, place, "right") - 1
-    diagonal = place - starts[doc] - found.place[entry]
+    bands, counts = _bands(found, joined, starts)
     band, most = found.band, int(found.budgets.max(initial=0))
-    slot = diagonal // band
-    overlap = diagonal - slot * band < most
-    keys = np.stack([np.r_[doc, doc[overlap]], np.r_[item, item[overlap]], np.r_[slot, slot[overlap] - 1]], 1)
-    low = int(keys[:, 2].min())
-    span = int(keys[:, 2].max()) - low + 1
-    packed = (keys[:, 0] * len(found.items) + keys[:, 1]) * span + keys[:, 2] - low
-    _, which, shared = np.unique(packed, return_index=True, return_counts=True)
-    bands = keys[which]
-    enough = shared >= found.bounds[bands[:, 1]]
+    enough = counts >= found.bounds[bands[:, 1]]
     best: dict[tuple[int, int], tuple] = {}
-    for (d, n, s), count in zip(bands[enough].tolist(), shared[enough].tolist()):
+    for (d, n, s), count in zip(bands[enough].tolist(), counts[enough].tolist()):
         if (d, n) in best and best[d, n][0] == 0:
             continue
         size, first, last = len(found.items[n]), s * band, s * band + band + most - 1
@@ -227,7 +275,7 @@ def find(found: Index, texts: list[str]) -> list[list[tuple]]:
 
 def occurrences(found: Index, text: Column, spark) -> Column:
     """Array of the items that occur in each whole text, with character offsets in the text as given."""
-    shared = spark.sparkContext.broadcast(found)
+    shared = Shipped(spark, found)
 
     @F.pandas_udf(_HIT)
     def of(texts: pd.Series) -> pd.Series:

@@ -111,10 +111,12 @@ class Net:
         states, targets, own_class = states[order], targets[order], own_class[order]
         share, total, logs = self._shares(states, self.classes, self.class_bias, own_class)
         if grads:
-            share /= total[:, None]
-            share[np.arange(len(targets)), own_class] -= 1
-            grads.classes, grads.class_bias, grads.words = states.T @ share, share.sum(0), []
+            # Rows of the softmax are left as they are; what multiplies them is divided by their totals.
+            part = 1 / total
+            share[np.arange(len(targets)), own_class] -= total
+            grads.classes, grads.class_bias, grads.words = (states * part[:, None]).T @ share, part @ share, []
             by_state = share @ self.classes.T
+            by_state *= part[:, None]
         cuts = np.r_[0, np.cumsum(np.bincount(own_class, minlength=count + 1))].tolist()
         for c in range(count):
             first, last, some = self.bounds[c], self.bounds[c + 1], slice(cuts[c], cuts[c + 1])
@@ -124,10 +126,10 @@ class Net:
             share, total, inner = self._shares(own, weights.T, self.output_bias[first:last], place)
             logs[some] += inner
             if grads:
-                share /= total[:, None]
-                share[np.arange(len(own)), place] -= 1
-                grads.words.append((first, last, share.T @ own, share.sum(0)))
-                by_state[some] += share @ weights
+                part = 1 / total
+                share[np.arange(len(own)), place] -= total
+                grads.words.append((first, last, share.T @ (own * part[:, None]), part @ share))
+                by_state[some] += (share @ weights) * part[:, None]
         out = np.empty_like(logs)
         out[order] = logs
         if grads:

@@ -18,12 +18,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sprintloom.llm.common import most_frequent
+from sprintloom.llm.common import Shipped, most_frequent
 from sprintloom.session import written
 
 UNKNOWN = "und"
-# Bounds of the broadcast model: about 40 bytes a word or n-gram and 4 a language.
+# Bounds of the broadcast model: about 40 bytes a word or n-gram and 4 a cell, that is an item's log frequency in a
+# language. Each language has an equal share of the items.
 WORDS, GRAMS = 100_000, 30_000
+CELLS = 8_000_000
+# A language that holds no more than this share of the likelihoods is no identification.
+LEAST_SCORE = 0.5
 ORDERS = (4, 3, 2, 1)
 SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -152,9 +156,10 @@ def _logs(top: pd.DataFrame, item: str, languages: list[str], totals: np.ndarray
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, grams: int = GRAMS) -> Model:
     """A model of all rows with a text and a language; without any, a model that knows no language.
 
-    Words and n-grams are counted in the tasks and summed by Spark. The driver receives up to ``words`` of the
-    most frequent words and ``grams`` of the most frequent n-grams of each order, and totals by
-    language, never more.
+    Words and n-grams are counted in the tasks and summed by Spark. The model keeps, of each language, its share
+    of about ``words`` words and ``grams`` n-grams of each order, the most frequent ones, so a small language does not
+    lose its words to a large one; with very many languages the shares shrink until the model has ``CELLS`` cells.
+    The driver receives the counts of these items, a row for a cell at most, in blocks, and totals by language.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
     counted = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
@@ -163,9 +168,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
     languages = sorted(totals)
 
     def top(table: DataFrame, item: str, size: int) -> pd.DataFrame:
-        each = table.groupBy(item).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        best = most_frequent(each, "all", size)
-        return best.select(item, F.explode("by").alias("b")).select(item, "b.lang", "b.n").toPandas()
+        share = max(1, min(size, CELLS // max(1, len(languages))) // max(1, len(languages)))
+        chosen = written(most_frequent(table, "n", share, item, "lang").select(item).distinct(), "chosen")
+        cells = written(table.join(chosen, item, "left_semi").select(item, "lang", "n"), "cells")
+        blocks = 1 + cells.count() // 1_000_000
+        return pd.concat([cells.filter(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).toPandas() for b in range(blocks)])
 
     known, word_logs = _logs(top(counted, "word", words), "word", languages, np.array([totals[x] for x in languages], float))
     by_gram = counted.select("lang", "word", "n").mapInArrow(
@@ -187,7 +194,7 @@ def predict(model: Model, text: Column, spark) -> Column:
     to the first language by name. A null text, one without a letter, or a model without languages
     gives ``und`` with score 0.
     """
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shipped(spark, model)
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -207,14 +214,15 @@ def identify(docs: DataFrame, train: Column, text: str = "text", lang: str = "la
                        predict(model, F.col(text), docs.sparkSession).alias("p")).select("doc_id", "train", "p.*")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or scored below ``min_score``; all columns stay.
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or does not score above ``least``; all columns stay.
 
-    The model is learned from all rows that have a text and a language. Without any such row
-    nothing can be told apart, and only rows without a letter go.
+    The model is learned from all rows that have a text and a language. A text of which it knows no word and no n-gram
+    scores alike in all languages and goes, and so does one in which no language outweighs all others together.
+    Without any row to learn from nothing can be told apart, and only rows without a letter go.
     """
     model = learn(docs, text, lang)
     if not model.languages:
         return docs.filter(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     found = predict(model, F.col(text), docs.sparkSession)
-    return docs.filter((found["lang_pred"] != UNKNOWN) & (found["score"] >= min_score))
+    return docs.filter((found["lang_pred"] != UNKNOWN) & (found["score"] > least))

@@ -10,18 +10,17 @@ model; a document's rare tokens meet theirs in a join.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sprintloom.llm.common import most_frequent, word_lists
+from sprintloom.llm.common import Shipped, most_frequent
 from sprintloom.llm.gru import Adagrad, Net, score, train
 from sprintloom.session import written
 
@@ -75,29 +74,59 @@ class Model:
         return max(0.0, self.tokens - own) + 0.5 * (max(0, self.distinct - self.net.words) + 1)
 
 
-def tokens_of(text: str | None) -> Iterator[list[bytes]]:
-    yield from word_lists(text)
-    yield [END]
+# Bytes of texts whose words are held at a time, and no less than one text.
+_SLICE = 1 << 24
 
 
-def _numbered(text: str | None, ids: dict[bytes, int], rest: int) -> np.ndarray:
-    return np.concatenate([np.fromiter(map(ids.get, ws, repeat(rest)), np.int32, len(ws)) for ws in tokens_of(text)])
+def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring texts of about ``_SLICE`` bytes together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + _SLICE, "right")))
+        yield start, stop
+        start = stop
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, offsets = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves empty ones
+    before = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
+    return words.filter(full), before[offsets[1:]] - before[offsets[:-1]]
+
+
+def with_ends(codes: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes with ``end`` behind each text's, and the place of each text's first."""
+    places = np.cumsum(counts + 1) - 1
+    out = np.empty(len(codes) + len(counts), np.int32)
+    own = np.ones(len(out), bool)
+    own[places] = False
+    out[own], out[places] = codes, end
+    return out, np.r_[0, places[:-1] + 1]
+
+
+def numbered(words: pa.Array, ids: pa.Array, rest: int) -> np.ndarray:
+    """The number of each word, ``rest`` for those that have none."""
+    return pc.fill_null(pc.index_in(words, value_set=ids), rest).to_numpy(zero_copy_only=False).astype(np.int32)
+
 
-    def out() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+def _words_of(ids: dict[bytes, int]) -> pa.Array:
+    return pa.array([w.decode() for w in ids], pa.string())
 
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = 0
     for batch in batches:
-        for text in batch.column(0):
-            for words in tokens_of(text.as_py()):
-                counts.update(words)
-        if len(counts) > 1_000_000:
-            yield out()
-            counts = Counter()
-    yield out()
+        texts = batch.column(0)
+        ends += len(texts)
+        for start, stop in text_slices(texts):
+            found = split_words(texts[start:stop])[0].dictionary_encode()
+            counts = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)).astype(np.int64)
+            yield pa.record_batch([found.dictionary.cast(pa.binary()), pa.array(counts)], names=["word", "n"])
+    if ends:
+        yield pa.record_batch([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"])
 
 
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -110,7 +139,7 @@ def _trained(shared, settings: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, net = shared.value
-        net = net.with_flat(net.flat())
+        net, own_words = net.with_flat(net.flat()), _words_of(ids)
         optimizer, docs, held, seen = Adagrad(net, settings.rate), [], 0, 0
 
         def settle() -> None:
@@ -120,11 +149,14 @@ def _trained(shared, settings: Settings):
             docs.clear()
 
         for batch in batches:
-            for text in batch.column(0):
-                docs.append(_numbered(text.as_py(), ids, net.words))
-                held += len(docs[-1])
-                if held >= settings.group_tokens:
-                    settle()
+            for start, stop in text_slices(batch.column(0)):
+                words, counts = split_words(batch.column(0)[start:stop])
+                flat, firsts = with_ends(numbered(words, own_words, net.words), counts, ids.get(END, net.words))
+                for doc in np.split(flat, firsts[1:]):
+                    docs.append(doc)
+                    held += len(doc)
+                    if held >= settings.group_tokens:
+                        settle()
         if docs:
             settle()
         flat = net.flat() if seen else np.empty(0, np.float32)
@@ -161,7 +193,7 @@ def learn(docs: DataFrame, counts: DataFrame, settings: Settings = Settings(), t
     spark = docs.sparkSession
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total.n or 0, total.v
-    top = most_frequent(counts, "n", settings.known).orderBy(F.desc("n"), "word").collect()
+    top = most_frequent(counts, "n", settings.known, "word").orderBy(F.desc("n"), "word").collect()
     ids, numbers = {bytes(r.word): i for i, r in enumerate(top)}, np.array([r.n for r in top], np.float64)
     own = numbers[:settings.words]
     model = Model(settings, ids, np.log10(numbers + 0.5), tokens, distinct, None)
@@ -170,7 +202,7 @@ def learn(docs: DataFrame, counts: DataFrame, settings: Settings = Settings(), t
     frequent = {w: i for w, i in ids.items() if i < len(own)}
     for turn in range(settings.rounds if tokens else 0):
         part = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(settings.rounds)) == turn)
-        shared = spark.sparkContext.broadcast((frequent, model.net))
+        shared = Shipped(spark, (frequent, model.net))
         blocks = _averaged(part.coalesce(copies).mapInArrow(_trained(shared, settings), _BLOCKS))
         if blocks:
             model.net = model.net.with_flat(np.concatenate([blocks[i] for i in sorted(blocks)]))
@@ -182,49 +214,60 @@ _SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, known long,
            "rare array<struct<word: binary, n: long>>")
 
 
+def _rare(words: pa.Array, docs: np.ndarray, count: int) -> pa.ListArray:
+    """For each of ``count`` texts the words that are given for it and how often."""
+    found = words.dictionary_encode()
+    pairs, times = np.unique(docs * max(1, len(found.dictionary)) + found.indices.to_numpy(), return_counts=True)
+    owner, code = np.divmod(pairs, max(1, len(found.dictionary)))
+    items = pa.StructArray.from_arrays([found.dictionary.cast(pa.binary()).take(pa.array(code)), pa.array(times.astype(np.int64))], ["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(count + 1)), pa.int32()), items)
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         settings, words, known = model.settings, model.net.words, len(model.ids)
+        own_words, end = _words_of(model.ids), model.ids.get(END, known)
+        logs = np.r_[model.logs, 0.0]  # an unknown token's comes from the join
+        shares = np.where(np.arange(known + 1) >= words, logs, 0.0)
         row = TaskContext.get().partitionId() << 33
-        docs, facts, held = [], [], 0
+        docs, held, facts = [], 0, []
 
-        def settle() -> pa.RecordBatch:
+        def settle() -> Iterator[pa.RecordBatch]:
             nonlocal held
-            nets = (score(model.net, docs, settings.lanes) / math.log(10)).tolist() if docs else []
-            columns = list(zip(*facts)) or [()] * 8
-            out = pa.record_batch([
-                pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()),
-                pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.float64()),
-                pa.array([a + b for a, b in zip(nets, columns[6])], pa.float64()),
-                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, columns[7])]), pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(list(chain.from_iterable(columns[7])), pa.binary()),
-                     pa.array(list(chain.from_iterable(c.values() for c in columns[7])), pa.int64())], ["word", "n"]))],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "net", "rare"])
+            nets, at = score(model.net, docs, settings.lanes) / math.log(10), 0
+            for columns, rest in facts:
+                net = nets[at:at + len(rest)] + rest
+                at += len(rest)
+                yield pa.record_batch([*columns[:-1], pa.array(net, pa.float64()), columns[-1]],
+                                      names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "net", "rare"])
             docs.clear()
             facts.clear()
             held = 0
-            return out
 
         for batch in batches:
-            for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                numbers, rare = [], Counter()
-                for ws in tokens_of(text.as_py()):
-                    own = np.fromiter(map(model.ids.get, ws, repeat(known)), np.int32, len(ws))
-                    numbers.append(own)
-                    rare.update([ws[i] for i in np.flatnonzero(own == known).tolist()])
-                own = np.concatenate(numbers)
-                found, last = own[own < known], own >= words
+            for start, stop in text_slices(batch.column(2)):
+                size = stop - start
+                found, counts = split_words(batch.column(2)[start:stop])
+                codes = numbered(found, own_words, known)
+                unknown = codes == known
+                rare, owner = found.filter(pa.array(unknown)), np.repeat(np.arange(size), counts)[unknown]
+                if end == known:
+                    rare, owner = pa.concat_arrays([rare, pa.array([""] * size, rare.type)]), np.r_[owner, np.arange(size)]
+                flat, firsts = with_ends(codes, counts, end)
                 # A token of the last class adds its own share of that class: here where the count is known.
-                share = model.logs[found[found >= words]].sum()
-                facts.append((row, doc_id, held_out, len(own), len(found), model.logs[found].sum() - len(own) * model.base_total,
-                              share - last.sum() * model.rest_total, rare))
-                docs.append(np.minimum(own, words))
-                row, held = row + 1, held + len(own)
+                total = lambda values: np.add.reduceat(values, firsts)
+                lengths, last = counts + 1, total((flat >= words).astype(np.int64))
+                facts.append(([
+                    pa.array(np.arange(row, row + size)), batch.column(0)[start:stop], batch.column(1)[start:stop], pa.array(lengths, pa.int64()),
+                    pa.array(total((flat < known).astype(np.int64)), pa.int64()), pa.array(total(logs[flat]) - lengths * model.base_total, pa.float64()),
+                    _rare(rare, owner, size)], total(shares[flat]) - last * model.rest_total))
+                docs.extend(np.minimum(d, words) for d in np.split(flat, firsts[1:]))
+                row, held = row + size, held + len(flat)
                 if held >= settings.group_tokens:
-                    yield settle()
+                    yield from settle()
         if docs:
-            yield settle()
+            yield from settle()
 
     return run
 
@@ -241,7 +284,7 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
     training = rows.filter(~F.col("held_out"))
     counts = written(token_counts(training), "token-counts")
     model = learn(training, counts, settings)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(docs.sparkSession, model)
     scored = written(rows.mapInArrow(_scored(shared), _SCORED), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     met = rare.join(counts, "word", "left").groupBy("row").agg(

@@ -77,8 +77,14 @@ def directory(assigned: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text", doc_id: str = "doc_id") -> None:
-    """Write ``docs`` as Parquet below ``path``, a folder ``_shard=<prefix>`` per shard (``root`` for the empty prefix)."""
-    assigned = written(shards(docs, limit, text, doc_id).select("hash", F.concat(F.lit("root"), "shard").alias("_shard")).distinct(), "assigned")
+    """Write ``docs`` as Parquet below ``path``, a folder ``_shard=<prefix>`` per shard (``root`` for the empty prefix).
+
+    Should ``docs`` have a column of the name ``_shard``, the folders' is called ``__shard``, and so on.
+    """
+    folder = "_shard"
+    while folder in {c.lower() for c in docs.columns}:
+        folder = f"_{folder}"
+    assigned = written(shards(docs, limit, text, doc_id).select("hash", F.concat(F.lit("root"), "shard").alias("shard")).distinct(), "assigned")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     placed = docs.select(row, hash_of(F.col(doc_id), F.col(text)).alias("_hash")).join(assigned, F.col("_hash") == F.col("hash"))
-    placed.select("_row.*", "_shard").write.partitionBy("_shard").parquet(path)
+    placed.select("_row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)

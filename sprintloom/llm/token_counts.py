@@ -7,6 +7,7 @@ does not matter, and committing a batch again changes nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,9 +58,10 @@ def delta(changes: DataFrame) -> DataFrame:
 class Rollup:
     """Totals below ``root``, a folder that all executors share.
 
-    A batch's delta is written to a folder of its own. It counts once a file named after the batch exists, which is made
-    in one step and names that folder; whoever comes second finds the file there. A writer that is
-    lost before that step leaves files that nothing refers to.
+    A batch's delta is written to a folder of its own. It counts once a file named after the batch exists, which names that
+    folder: the file is written under another name and then renamed, without replacing one that is there, so
+    whoever comes second finds it whole. A writer that is lost before that step leaves files that nothing refers
+    to. A file of that name without content, as a store without such a step may leave, counts as none and is replaced.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -72,29 +74,45 @@ class Rollup:
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch once. False, and nothing changes, if a batch of that name was committed before."""
         name = "".join(c if c.isalnum() or c in "-_" else f"%{ord(c):x}" for c in batch)
-        marker = self._path(f"commits/{name}")
-        if self._fs.exists(marker):
+        marker = self._fs.makeQualified(self._path(f"commits/{name}"))
+        if self._content(marker):
             return False
-        folder = f"deltas/{name}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+        folder = f"deltas/{name}-{uuid.uuid4().hex}"
         delta(changes).write.parquet(f"{self.root}/{folder}")
+        return self._name(marker, folder)
+
+    def _content(self, path) -> str:
+        if not self._fs.exists(path):
+            return ""
+        stream = self._fs.open(path)
         try:
-            out = self._fs.create(marker, False)
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _name(self, marker, folder: str) -> bool:
+        """Make the marker that names a folder, in one step; False if another one was there first."""
+        draft = self._path(f"commits/_{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(folder.encode()))
+        out.close()
+        jvm = self.spark.sparkContext._jvm
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if self._fs.exists(marker) and not self._content(marker) else rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(marker.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(context.makeQualified(draft), context.makeQualified(marker), how)
         except Exception:
-            if self._fs.exists(marker):
+            self._fs.delete(draft, False)
+            if self._content(marker):
                 return False
             raise
-        out.write(bytearray(folder.encode()))
-        out.close()
         return True
 
     def _committed(self) -> list[str]:
-        names = []
-        for status in self._fs.listStatus(self._path("commits")):
-            if status.getPath().getName().endswith(".crc"):
-                continue
-            stream = self._fs.open(status.getPath())
-            names.append(bytes(stream.readAllBytes()).decode())
-            stream.close()
+        paths = [s.getPath() for s in self._fs.listStatus(self._path("commits"))]
+        names = [self._content(p) for p in paths if not p.getName().startswith(("_", "."))]
         return [n for n in sorted(names) if n]
 
     def totals(self) -> DataFrame:
