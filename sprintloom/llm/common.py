@@ -39,26 +39,32 @@ def word_lists(text: str | None, size: int = _PIECE) -> Iterator[list[bytes]]:
         start = stop
 
 
-def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, which runs many tasks one after another."""
+def worker_cache(purpose: str) -> dict:
+    """A dictionary that lives as long as the Python worker, which runs many tasks one after another. A worker
+    keeps that of one purpose at a time: what another stage has left in it is given up."""
     home = sys.modules.setdefault("_sprintloom_worker_caches", ModuleType("_sprintloom_worker_caches"))
-    return home.__dict__.setdefault(name, {})
+    kept = home.__dict__.setdefault("kept", {})
+    for other in [p for p in kept if p != purpose]:
+        del kept[other]
+    return kept.setdefault(purpose, {})
 
 
 class Shipped:
     """A value of bounded size for all tasks. It travels with its classes, so executors need not have them installed, and is
-    unpacked once per Python worker."""
+    unpacked once per Python worker, into the ``worker_cache`` of its purpose."""
 
-    def __init__(self, spark: SparkSession, value: object):
-        self.name, self.data = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    def __init__(self, spark: SparkSession, purpose: str, value: object):
+        self.name, self.purpose = uuid.uuid4().hex, purpose
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     @property
     def value(self) -> object:
-        cache = worker_cache("shipped")
+        cache = worker_cache(self.purpose).setdefault("shipped", {})
         if self.name not in cache:
-            while len(cache) >= 4:
+            while len(cache) >= 2:
                 cache.pop(next(iter(cache)))
             cache[self.name] = pickle.loads(self.data.value)
+            self.data.__dict__.pop("_value", None)  # the packed form is not needed beside it
         return cache[self.name]
 
     def unpersist(self) -> None:

@@ -275,7 +275,7 @@ def find(found: Index, texts: list[str]) -> list[list[tuple]]:
 
 def occurrences(found: Index, text: Column, spark) -> Column:
     """Array of the items that occur in each whole text, with character offsets in the text as given."""
-    shared = Shipped(spark, found)
+    shared = Shipped(spark, "decontamination", found)
 
     @F.pandas_udf(_HIT)
     def of(texts: pd.Series) -> pd.Series:

@@ -30,6 +30,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+@dataclass
+class Trail:
+    """What a step back needs of all steps of a window, and their states: update and reset gates side by side, the candidate,
+    and the recurrent part of all three."""
+
+    ids: np.ndarray
+    live: np.ndarray
+    before: np.ndarray
+    both: np.ndarray
+    candidate: np.ndarray
+    mixed: np.ndarray
+    states: np.ndarray
+
+
 @dataclass
 class Net:
     """Weights. ``inputs`` has a row per token with weights, then one for all others and one for the start."""
@@ -73,20 +87,30 @@ class Net:
             at += own.size
         return Net(self.bounds, *parts)
 
-    def step(self, gates: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state, and what a step back needs: update and reset gates, candidate, its recurrent part."""
-        size = self.hidden
-        mixed = state @ self.recurrent
-        both = gates[:, :2 * size] + mixed[:, :2 * size]
-        _sigmoid(both)
-        update, reset, part = both[:, :size], both[:, size:], mixed[:, 2 * size:]
-        candidate = reset * part
-        candidate += gates[:, 2 * size:]
-        np.tanh(candidate, out=candidate)
-        after = state - candidate
-        after *= update
-        after += candidate
-        return after, update, reset, candidate, part
+    def run(self, ids: np.ndarray, widths: list[int], state: np.ndarray) -> Trail:
+        """The states of a window of steps: ``ids`` are the inputs of all steps, step by step, ``widths`` how many each has, and
+        ``state`` the lanes' states before. A lane whose input is the start begins with state zero."""
+        size, total = self.hidden, len(ids)
+        live = (ids != self.words + 1).astype(np.float32)[:, None]
+        gates, empty = self.inputs[ids], lambda n: np.empty((total, n), np.float32)
+        trail = Trail(ids, live, empty(size), empty(2 * size), empty(size), empty(3 * size), empty(size))
+        first = 0
+        for width in widths:
+            rows = slice(first, first + width)
+            first += width
+            before, both, candidate, mixed, after = (x[rows] for x in (trail.before, trail.both, trail.candidate, trail.mixed, trail.states))
+            np.multiply(state[:width], live[rows], out=before)
+            np.matmul(before, self.recurrent, out=mixed)
+            np.add(gates[rows, :2 * size], mixed[:, :2 * size], out=both)
+            _sigmoid(both)
+            np.multiply(both[:, size:], mixed[:, 2 * size:], out=candidate)
+            candidate += gates[rows, 2 * size:]
+            np.tanh(candidate, out=candidate)
+            np.subtract(before, candidate, out=after)
+            after *= both[:, :size]
+            after += candidate
+            state = after
+        return trail
 
     def _shares(self, states: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray):
         """Softmax over the columns of ``weights`` and the log-probability of the chosen one. States lie between -1
@@ -185,6 +209,11 @@ class Lanes:
         lengths = np.array([sizes[i] for i in order])
         self.widths = np.searchsorted(-lengths, -np.arange(steps), "left") if lanes else np.zeros(0, np.int64)
 
+    def window(self, at: int, size: int, *tables: np.ndarray) -> tuple:
+        """The running lanes' entries of the tables, step by step, for ``size`` steps from ``at`` on, and how many each step has."""
+        widths = self.widths[at:at + size].tolist()
+        return *(np.concatenate([table[at + i, :width] for i, width in enumerate(widths)]) for table in tables), widths
+
 
 def train(net: Net, docs: list[np.ndarray], optimizer: Adagrad, lanes: int, window: int) -> float:
     """One pass over documents of token numbers; returns the summed log-probability met on the way.
@@ -193,29 +222,27 @@ def train(net: Net, docs: list[np.ndarray], optimizer: Adagrad, lanes: int, wind
     laid, size, total = Lanes(docs, lanes, net.words), net.hidden, 0.0
     state = np.zeros((laid.targets.shape[1], size), np.float32)
     for at in range(0, len(laid.targets), window):
-        end = min(at + window, len(laid.targets))
-        trail, states = [], []
-        for t in range(at, end):
-            ids = laid.inputs[t, :laid.widths[t]]
-            live = (ids != net.words + 1).astype(np.float32)[:, None]
-            before = state[:len(ids)] * live
-            state, *kept = net.step(net.inputs[ids], before)
-            trail.append((ids, live, before, *kept))
-            states.append(state)
+        ids, targets, widths = laid.window(at, window, laid.inputs, laid.targets)
+        trail = net.run(ids, widths, state)
+        state = trail.states[len(ids) - widths[-1]:]
         grads = Grads()
-        targets = np.concatenate([laid.targets[t, :laid.widths[t]] for t in range(at, end)])
-        total += float(net.log_probs(np.concatenate(states), targets, grads).sum())
+        total += float(net.log_probs(trail.states, targets, grads).sum())
         # What each gate's gradient is times the state's, for all steps at once.
-        ids, live, before, update, reset, candidate, part = (np.concatenate(x) for x in zip(*trail))
+        before, update, reset, candidate, part = trail.before, trail.both[:, :size], trail.both[:, size:], trail.candidate, trail.mixed[:, 2 * size:]
         keep = 1 - update
-        by_candidate = keep * (1 - candidate * candidate)
-        by_update = (before - candidate) * update * keep
-        by_reset = by_candidate * part * reset * (1 - reset)
+        by_update = (before - candidate) * update
+        by_update *= keep
+        by_candidate = candidate * candidate
+        np.subtract(1, by_candidate, out=by_candidate)
+        by_candidate *= keep
         by_part = by_candidate * reset
+        by_reset = 1 - reset
+        by_reset *= by_part
+        by_reset *= part
         gates, mixed = np.empty((len(ids), 3 * size), np.float32), np.empty((len(ids), 3 * size), np.float32)
-        back, last = None, len(ids)
-        for x in reversed(trail):
-            rows = slice(last - len(x[0]), last)
+        back, last, recurrent = None, len(ids), np.ascontiguousarray(net.recurrent.T)
+        for width in reversed(widths):
+            rows = slice(last - width, last)
             last = rows.start
             grad = grads.states[rows]
             if back is not None:
@@ -226,8 +253,8 @@ def train(net: Net, docs: list[np.ndarray], optimizer: Adagrad, lanes: int, wind
             np.multiply(grad, by_part[rows], out=own[:, 2 * size:])
             np.multiply(grad, by_candidate[rows], out=gates[rows, 2 * size:])
             back = grad * update[rows]
-            back += own @ net.recurrent.T
-            back *= live[rows]
+            back += own @ recurrent
+            back *= trail.live[rows]
         gates[:, :2 * size] = mixed[:, :2 * size]
         recurrent = before.T @ mixed
         order = np.argsort(ids, kind="stable")
@@ -247,12 +274,8 @@ def score(net: Net, docs: list[np.ndarray], lanes: int, window: int = 48) -> np.
     laid, out = Lanes(docs, lanes, net.words), np.zeros(len(docs))
     state = np.zeros((laid.targets.shape[1], net.hidden), np.float32)
     for at in range(0, len(laid.targets), window):
-        end, states = min(at + window, len(laid.targets)), []
-        for t in range(at, end):
-            ids = laid.inputs[t, :laid.widths[t]]
-            state = net.step(net.inputs[ids], state[:len(ids)] * (ids != net.words + 1)[:, None])[0]
-            states.append(state)
-        picked = [(laid.targets[t, :laid.widths[t]], laid.document[t, :laid.widths[t]]) for t in range(at, end)]
-        targets, owners = (np.concatenate(p) for p in zip(*picked))
-        out += np.bincount(owners, net.log_probs(np.concatenate(states), targets).astype(np.float64), len(docs))
+        ids, targets, owners, widths = laid.window(at, window, laid.inputs, laid.targets, laid.document)
+        states = net.run(ids, widths, state).states
+        state = states[len(ids) - widths[-1]:]
+        out += np.bincount(owners, net.log_probs(states, targets).astype(np.float64), len(docs))
     return out

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sprintloom.llm.common import Shipped, most_frequent
+from sprintloom.llm.common import Shipped, most_frequent, worker_cache
 from sprintloom.session import written
 
 UNKNOWN = "und"
@@ -103,6 +103,7 @@ class Model:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("language")
     counts: dict[str, Counter] = {}
     held = 0
 
@@ -194,7 +195,7 @@ def predict(model: Model, text: Column, spark) -> Column:
     to the first language by name. A null text, one without a letter, or a model without languages
     gives ``und`` with score 0.
     """
-    shared = Shipped(spark, model)
+    shared = Shipped(spark, "language", model)
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:

@@ -75,15 +75,15 @@ class Model:
 
 
 # Bytes of texts whose words are held at a time, and no less than one text.
-_SLICE = 1 << 24
+_SLICE, _COUNTED = 1 << 22, 1 << 24
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of neighbouring texts of about ``_SLICE`` bytes together."""
+def text_slices(texts: pa.Array, size: int = _SLICE) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring texts of about ``size`` bytes together."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + _SLICE, "right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + size, "right")))
         yield start, stop
         start = stop
 
@@ -121,7 +121,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0)
         ends += len(texts)
-        for start, stop in text_slices(texts):
+        for start, stop in text_slices(texts, _COUNTED):
             found = split_words(texts[start:stop])[0].dictionary_encode()
             counts = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)).astype(np.int64)
             yield pa.record_batch([found.dictionary.cast(pa.binary()), pa.array(counts)], names=["word", "n"])
@@ -202,7 +202,7 @@ def learn(docs: DataFrame, counts: DataFrame, settings: Settings = Settings(), t
     frequent = {w: i for w, i in ids.items() if i < len(own)}
     for turn in range(settings.rounds if tokens else 0):
         part = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(settings.rounds)) == turn)
-        shared = Shipped(spark, (frequent, model.net))
+        shared = Shipped(spark, "scoring", (frequent, model.net))
         blocks = _averaged(part.coalesce(copies).mapInArrow(_trained(shared, settings), _BLOCKS))
         if blocks:
             model.net = model.net.with_flat(np.concatenate([blocks[i] for i in sorted(blocks)]))
@@ -284,7 +284,7 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
     training = rows.filter(~F.col("held_out"))
     counts = written(token_counts(training), "token-counts")
     model = learn(training, counts, settings)
-    shared = Shipped(docs.sparkSession, model)
+    shared = Shipped(docs.sparkSession, "scoring", model)
     scored = written(rows.mapInArrow(_scored(shared), _SCORED), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     met = rare.join(counts, "word", "left").groupBy("row").agg(
