@@ -23,7 +23,7 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _SLICE = 1 << 20
 # Remembered pieces per worker, about 200 bytes each.
-_PIECES, _TOKENS = 1_200_000, 300_000
+_PIECES, _TOKENS = 500_000, 150_000
 _PLAIN = re.compile("[\x00-ɏ]*")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import sys
 import uuid
 from collections.abc import Iterator
 from types import ModuleType
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -44,11 +47,23 @@ def worker_cache(purpose: str) -> dict:
     keeps that of one purpose at a time: what another stage has left in it is given up."""
     home = sys.modules.setdefault("_sprintloom_worker_caches", ModuleType("_sprintloom_worker_caches"))
     kept = home.__dict__.setdefault("kept", {})
-    for other in [p for p in kept if p != purpose]:
-        del kept[other]
+    others = [p for p in kept if p != purpose]
+    if others:
+        for other in others:
+            del kept[other]
+        give_back_memory()
     return kept.setdefault(purpose, {})
 
 
+def give_back_memory() -> None:
+    """Hand what Python and Arrow have freed in this worker back to the system: workers are many and live long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Shipped:
     """A value of bounded size for all tasks. It travels with its classes, so executors need not have them installed, and is
     unpacked once per Python worker, into the ``worker_cache`` of its purpose."""

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sprintloom.llm.common import Shipped, most_frequent, worker_cache
+from sprintloom.llm.common import Shipped, give_back_memory, most_frequent, worker_cache
 from sprintloom.session import written
 
 UNKNOWN = "und"
@@ -122,6 +122,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held > _FLUSH:
             yield from out()
     yield from out()
+    give_back_memory()
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +144,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(map(len, counts.values())) > _FLUSH:
             yield from out()
     yield from out()
+    give_back_memory()
 
 
 def _logs(top: pd.DataFrame, item: str, languages: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:

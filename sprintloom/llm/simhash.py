@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sprintloom.llm.common import word_lists
+from sprintloom.llm.common import word_lists, worker_cache
 from sprintloom.llm.components import components
 from sprintloom.session import written
 
@@ -47,6 +47,7 @@ def fingerprint(text: Column, words: int = 3) -> Column:
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
+        worker_cache("fingerprints")  # what other stages left in the worker goes
         found = np.fromiter((fingerprint_of(t, words) for t in texts), np.uint64, len(texts))
         return pd.Series(found.view(np.int64))
 
