@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -108,3 +109,36 @@ def test_empty_tables_and_blocks(spark, docs):
     assert dicts(d.contaminated(docs([(1, "a")]), benchmark.filter("false"))) == []
     blocks = d.benchmark_blocks(benchmark, block_chars=200)
     assert len(blocks) > 2 and sorted(i for b in blocks for i in b.ids) == list(range(9))
+
+
+def test_bands_count_every_shared_place():
+    """Runs of places add to bands what all pairs of places do."""
+    rng = random.Random(21)
+    for _ in range(40):
+        item = "".join(rng.choice("aab") for _ in range(rng.randrange(12, 60))) if rng.random() < 0.5 else "ab" * rng.randrange(6, 30)
+        text = "".join(rng.choice("aab") for _ in range(rng.randrange(10, 200))) + rng.choice(["", item, "a" * 50])
+        found = d.index([(1, item), (2, "a" * 40)], 4)
+        joined, _ = d.normal_forms([text, item])
+        starts = np.r_[0, np.flatnonzero(joined == 1) + 1, len(joined) + 1]
+        most, want = int(found.budgets.max()), {}
+        for number, code in ((0, item), (1, "a" * 40)):
+            grams = d.qgram_hashes(d._codes(code), 4).tolist()
+            for at, h in enumerate(d.qgram_hashes(joined, 4).tolist()):
+                doc = int(np.searchsorted(starts, at, "right")) - 1
+                for place, g in enumerate(grams):
+                    if g == h:
+                        diagonal = at - int(starts[doc]) - place
+                        slot = diagonal // found.band
+                        for s in (slot, slot - 1) if diagonal - slot * found.band < most else (slot,):
+                            want[doc, number, s] = want.get((doc, number, s), 0) + 1
+        bands, counts = d._bands(found, joined, starts)
+        assert dict(zip(map(tuple, bands.tolist()), counts.tolist())) == want
+
+
+def test_repetitive_text_and_item_need_little_memory():
+    found, text = d.index([(1, "x" * 1000)]), "x" * 1_000_000
+    tracemalloc.start()
+    hits = d.find(found, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hits[0][0][:4] == (0, 0, 1000, 0) and peak < 1 << 30

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from pathlib import Path
 
 import pytest
@@ -68,6 +69,52 @@ def test_filter_keeps_columns(docs):
     assert sorted(r["doc_id"] for r in dicts(kept)) == [1, 2, 3, 4, 6]
 
 
+def test_filter_refuses_what_the_model_cannot_place(docs):
+    """Texts without any known word or n-gram, and those that no language outweighs."""
+    rows = [*TRAIN, (10, "жук", None), (11, "хлеб и вода", None), (12, "the hund", None), (13, "the the house", None)]
+    left = sorted(r["doc_id"] for r in dicts(l.keep_identified(docs(rows))))
+    assert left == [1, 2, 3, 4, 6, 13] or left == [1, 2, 3, 4, 6, 12, 13]
+
+
+def test_predictions_equal_brute_force(docs):
+    """All counts of a small table fit the model, so every score follows from plain counting."""
+    rng = random.Random(7)
+    words = {"en": ["the", "house", "and", "dog", "water", "tree"], "de": ["der", "haus", "und", "hund", "wasser", "baum"], "es": ["el", "casa", "perro", "agua"]}
+    train = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 9))), lang) for i in range(60) for lang in [rng.choice(sorted(words))]]
+    tests = [(1000 + i, " ".join(rng.choice([*words["en"], *words["de"], *words["es"], "hundes", "houses", "treedog", "q", "zzz"]) for _ in range(rng.randrange(1, 7))), None)
+             for i in range(60)]
+    counts, grams = {}, {o: {} for o in l.ORDERS}
+    for _, text, lang in train:
+        for w in text.split():
+            counts.setdefault(w, {}).setdefault(lang, 0)
+            counts[w][lang] += 1
+            for o in l.ORDERS:
+                for g in l.grams_of(w, o):
+                    grams[o].setdefault(g, {}).setdefault(lang, 0)
+                    grams[o][g][lang] += 1
+    langs = sorted({lang for _, _, lang in train})
+
+    def logs(table, item):
+        return [math.log((table[item].get(x, 0) + l.SMOOTH) / (sum(c.get(x, 0) for c in table.values()) + l.SMOOTH * (len(table) + 1))) for x in langs]
+
+    def score(text):
+        total = [0.0] * len(langs)
+        for w in text.split():
+            if w in counts:
+                own = [logs(counts, w)]
+            else:
+                own = next(([logs(grams[o], g) for g in l.grams_of(w, o) if g in grams[o]] for o in l.ORDERS if any(g in grams[o] for g in l.grams_of(w, o))), [])
+            for i in range(len(langs)):
+                total[i] += sum(x[i] for x in own) / len(own) if own else 0
+        best = max(range(len(langs)), key=lambda i: total[i])
+        return langs[best], 1 / sum(math.exp(x - total[best]) for x in total)
+
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in dicts(l.identify(docs(train + tests), F.col("doc_id") < 1000))}
+    for i, text, _ in tests:
+        lang, share = score(text)
+        assert out[i][1] == pytest.approx(share, rel=1e-4) and (out[i][0] == lang or share < 0.5)
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="driver tables not present")
 def test_held_out_accuracy(spark):
     given = table(spark, "/root/testdata/sf0.01", "documents")

@@ -58,3 +58,11 @@ def test_no_rows_and_files(spark, docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == given.count() and set(given.columns) < set(back.columns)
     assert all(r["_shard"].startswith("root") for r in dicts(back.select("_shard").distinct()))
+
+
+def test_a_column_of_the_folders_name_stays(spark, docs, tmp_path):
+    given = docs(rows_of(random.Random(1))).withColumnRenamed("name", "_shard")
+    s.write_shards(given, str(tmp_path / "out"), 400)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == given.count() and {r["_shard"] for r in dicts(back.select("_shard"))} == {"n"}
+    assert all(r["__shard"].startswith("root") for r in dicts(back.select("__shard").distinct()))

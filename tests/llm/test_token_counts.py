@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from conftest import dicts
 from sprintloom.llm import token_counts as t
+from sprintloom.llm.queries import op1_token_counts
 from .test_packing import ids
 
 
@@ -53,3 +56,47 @@ def test_lost_writers_leave_no_trace(spark, rollup, tmp_path):
         rollup.commit("bad", changes(spark, ("insret", "s", "en", "v1", 10)))
     assert totals(rollup) == []
     assert rollup.commit("none", changes(spark).filter("false")) and totals(rollup) == []
+
+
+def test_a_writer_lost_before_its_batch_is_named_blocks_nothing(spark, rollup, tmp_path, monkeypatch):
+    batch = changes(spark, ("insert", "s", "en", "v1", 10))
+
+    def lost(self, marker, folder):
+        self._fs.create(self._path("commits/_draft"), False).close()
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(t.Rollup, "_name", lost)
+    with pytest.raises(RuntimeError):
+        rollup.commit("day", batch)
+    monkeypatch.undo()
+    assert totals(rollup) == []
+    assert rollup.commit("day", batch) and not rollup.commit("day", batch)
+    (tmp_path / "rollup" / "commits" / "torn").touch()  # a marker without content, left by a store that cannot rename
+    assert rollup.commit("torn", batch) and not rollup.commit("torn", batch)
+    assert totals(rollup) == [("s", "en", "v1", 2, 20)]
+
+
+def test_of_two_writers_of_a_batch_one_counts(spark, rollup, monkeypatch):
+    batch, name = changes(spark, ("insert", "s", "en", "v1", 10)), t.Rollup._name
+
+    def overtaken(self, marker, folder):
+        monkeypatch.undo()
+        assert rollup.commit("day", batch)
+        return name(self, marker, folder)
+
+    monkeypatch.setattr(t.Rollup, "_name", overtaken)
+    assert not rollup.commit("day", batch)
+    assert totals(rollup) == [("s", "en", "v1", 1, 10)]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="driver tables not present")
+def test_query_equals_brute_force(spark):
+    folder, want = "/root/testdata/sf0.001", {}
+    toxic = {r["doc_id"] for r in dicts(spark.read.parquet(f"{folder}/labels.parquet").filter("toxic = 1"))}
+    for r in dicts(spark.read.parquet(f"{folder}/documents.parquet")):
+        words = len((r["text"] or "").encode().split())
+        for version, n, there in ((t.WORDS, words + 1, True), (t.BPE, len(ids(r["text"])) - 1, r["doc_id"] not in toxic)):
+            own = want.setdefault((r["source"], r["lang"], version), [0, 0])
+            own[0], own[1] = own[0] + there, own[1] + n * there
+    got = {(r["source"], r["lang"], r["tokenizer"]): [r["documents"], r["tokens"]] for r in dicts(op1_token_counts(spark, folder))}
+    assert got == {k: v for k, v in want.items() if any(v)}
