@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sprintloom.llm.common import Shipped, most_frequent
+from sprintloom.llm.common import Shipped, give_back_memory, most_frequent
 from sprintloom.llm.gru import Adagrad, Net, score, train
 from sprintloom.session import written
 
@@ -75,7 +75,7 @@ class Model:
 
 
 # Bytes of texts whose words are held at a time, and no less than one text.
-_SLICE, _COUNTED = 1 << 22, 1 << 24
+_SLICE, _COUNTED = 1 << 22, 1 << 23
 
 
 def text_slices(texts: pa.Array, size: int = _SLICE) -> Iterator[tuple[int, int]]:
@@ -127,6 +127,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([found.dictionary.cast(pa.binary()), pa.array(counts)], names=["word", "n"])
     if ends:
         yield pa.record_batch([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"])
+    give_back_memory()
 
 
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -165,6 +166,7 @@ def _trained(shared, settings: Settings):
         yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()),
                                pa.array([float(seen)] * len(parts), pa.float64()), pa.array(parts, pa.binary())],
                               names=["block", "copy", "weight", "weights"])
+        give_back_memory()
 
     return run
 
@@ -268,6 +270,7 @@ def _scored(shared):
                     yield from settle()
         if docs:
             yield from settle()
+        give_back_memory()
 
     return run
 
