@@ -26,8 +26,6 @@ UNKNOWN = "und"
 # language. Each language has an equal share of the items.
 WORDS, GRAMS = 100_000, 30_000
 CELLS = 8_000_000
-# A language that holds no more than this share of the likelihoods is no identification.
-LEAST_SCORE = 0.5
 ORDERS = (4, 3, 2, 1)
 SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -217,15 +215,17 @@ def identify(docs: DataFrame, train: Column, text: str = "text", lang: str = "la
                        predict(model, F.col(text), docs.sparkSession).alias("p")).select("doc_id", "train", "p.*")
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or does not score above ``least``; all columns stay.
+def keep_identified(docs: DataFrame, least: float = 0.0, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose language is ``und``, that the model cannot place, or that score below ``least``; all
+    columns stay.
 
-    The model is learned from all rows that have a text and a language. A text of which it knows no word and no n-gram
-    scores alike in all languages and goes, and so does one in which no language outweighs all others together.
-    Without any row to learn from nothing can be told apart, and only rows without a letter go.
+    The model is learned from all rows that have a text and a language. It cannot place a text of which it knows no word
+    and no n-gram: then all languages have the same likelihood. Without any row to learn from nothing can be
+    told apart, and only rows without a letter go.
     """
     model = learn(docs, text, lang)
     if not model.languages:
         return docs.filter(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    even = 1 / len(model.languages) + 1e-9 if len(model.languages) > 1 else 0.0
     found = predict(model, F.col(text), docs.sparkSession)
-    return docs.filter((found["lang_pred"] != UNKNOWN) & (found["score"] > least))
+    return docs.filter((found["lang_pred"] != UNKNOWN) & (found["score"] > even) & (found["score"] >= least))
