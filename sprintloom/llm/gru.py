@@ -1,24 +1,28 @@
 """A gated recurrent language model in numpy with a class-factored softmax and truncated backpropagation.
 
 Tokens are numbered by falling frequency. The first ``words`` numbers have weights of their own, in classes of
-neighbouring numbers that hold about equal shares of all occurrences; every other token belongs to
-one last class. The model gives P(class | state) P(token | class, state), and for the last class
+neighbouring numbers that hold about equal sums of square roots of occurrences, which keeps the softmax
+over a class short on average; every other token belongs to one last class. The model gives P(class | state) P(token | class, state), and for the last class
 only P(class | state): what a token's share of that class is does not depend on the state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 
 def class_bounds(counts: np.ndarray, classes: int) -> np.ndarray:
-    """First token of each class and the end: at most ``classes`` of about equal numbers of occurrences."""
+    """First token of each class and the end: at most ``classes`` of about equal sums of square roots of occurrences.
+
+    With p(w) the frequency of token w, no other bounds make the sum of p(w) times the size of w's class much smaller."""
     if not len(counts):
         return np.zeros(1, np.int64)
-    share = np.cumsum(counts) / counts.sum()
-    group = np.minimum((share - counts / counts.sum() / 2) * classes, classes - 1).astype(np.int64)
+    roots = np.sqrt(counts)
+    share = np.cumsum(roots) / roots.sum()
+    group = np.minimum((share - roots / roots.sum() / 2) * classes, classes - 1).astype(np.int64)
     return np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(counts)]
 
 
@@ -138,7 +142,8 @@ class Net:
             # Rows of the softmax are left as they are; what multiplies them is divided by their totals.
             part = 1 / total
             share[np.arange(len(targets)), own_class] -= total
-            grads.classes, grads.class_bias, grads.words = (states * part[:, None]).T @ share, part @ share, []
+            grads.classes, grads.class_bias = (states * part[:, None]).T @ share, part @ share
+            grads.outputs, grads.output_bias = np.zeros_like(self.outputs), np.zeros_like(self.output_bias)
             by_state = share @ self.classes.T
             by_state *= part[:, None]
         cuts = np.r_[0, np.cumsum(np.bincount(own_class, minlength=count + 1))].tolist()
@@ -152,7 +157,8 @@ class Net:
             if grads:
                 part = 1 / total
                 share[np.arange(len(own)), place] -= total
-                grads.words.append((first, last, share.T @ (own * part[:, None]), part @ share))
+                np.matmul(share.T, own * part[:, None], out=grads.outputs[first:last])
+                np.matmul(part, share, out=grads.output_bias[first:last])
                 by_state[some] += (share @ weights) * part[:, None]
         out = np.empty_like(logs)
         out[order] = logs
@@ -209,6 +215,15 @@ class Lanes:
         lengths = np.array([sizes[i] for i in order])
         self.widths = np.searchsorted(-lengths, -np.arange(steps), "left") if lanes else np.zeros(0, np.int64)
 
+    def windows(self, size: int) -> Iterator[tuple[int, int]]:
+        """Starts and numbers of steps of windows of ``size`` steps. Where few lanes run on, with the rest of long documents,
+        a window has up to eight times as many, so it is not mostly fixed cost."""
+        at = 0
+        while at < len(self.targets):
+            steps = min(8 * size, max(size, size * self.targets.shape[1] // int(self.widths[at])))
+            yield at, steps
+            at += steps
+
     def window(self, at: int, size: int, *tables: np.ndarray) -> tuple:
         """The running lanes' entries of the tables, step by step, for ``size`` steps from ``at`` on, and how many each step has."""
         widths = self.widths[at:at + size].tolist()
@@ -218,11 +233,11 @@ class Lanes:
 def train(net: Net, docs: list[np.ndarray], optimizer: Adagrad, lanes: int, window: int) -> float:
     """One pass over documents of token numbers; returns the summed log-probability met on the way.
 
-    Backpropagation is cut at windows of ``window`` steps; the state goes on from one to the next."""
+    Backpropagation is cut at ``Lanes.windows``; the state goes on from one to the next."""
     laid, size, total = Lanes(docs, lanes, net.words), net.hidden, 0.0
     state = np.zeros((laid.targets.shape[1], size), np.float32)
-    for at in range(0, len(laid.targets), window):
-        ids, targets, widths = laid.window(at, window, laid.inputs, laid.targets)
+    for at, steps in laid.windows(window):
+        ids, targets, widths = laid.window(at, steps, laid.inputs, laid.targets)
         trail = net.run(ids, widths, state)
         state = trail.states[len(ids) - widths[-1]:]
         grads = Grads()
@@ -263,18 +278,17 @@ def train(net: Net, docs: list[np.ndarray], optimizer: Adagrad, lanes: int, wind
         optimizer.apply("recurrent", recurrent)
         optimizer.apply("classes", grads.classes)
         optimizer.apply("class_bias", grads.class_bias)
-        for first, last, weights, bias in grads.words:
-            optimizer.apply("outputs", weights, slice(first, last))
-            optimizer.apply("output_bias", bias, slice(first, last))
+        optimizer.apply("outputs", grads.outputs)
+        optimizer.apply("output_bias", grads.output_bias)
     return total
 
 
-def score(net: Net, docs: list[np.ndarray], lanes: int, window: int = 48) -> np.ndarray:
+def score(net: Net, docs: list[np.ndarray], lanes: int, window: int = 32) -> np.ndarray:
     """The natural log-probability of each whole document of token numbers, its state carried throughout."""
     laid, out = Lanes(docs, lanes, net.words), np.zeros(len(docs))
     state = np.zeros((laid.targets.shape[1], net.hidden), np.float32)
-    for at in range(0, len(laid.targets), window):
-        ids, targets, owners, widths = laid.window(at, window, laid.inputs, laid.targets, laid.document)
+    for at, steps in laid.windows(window):
+        ids, targets, owners, widths = laid.window(at, steps, laid.inputs, laid.targets, laid.document)
         states = net.run(ids, widths, state).states
         state = states[len(ids) - widths[-1]:]
         out += np.bincount(owners, net.log_probs(states, targets).astype(np.float64), len(docs))

@@ -35,11 +35,11 @@ class Settings:
     words: int = 4096
     known: int = 131_072
     hidden: int = 16
-    classes: int = 32
+    classes: int = 24
     rate: float = 0.3
     rounds: int = 3
-    lanes: int = 256
-    window: int = 32
+    lanes: int = 512
+    window: int = 24
     # Training tokens that a copy of the weights takes in a round, so copies grow with the corpus.
     copy_tokens: int = 1 << 22
     # Tokens that a task lays out on its lanes at a time: enough for lanes as long as long documents, so
