@@ -3,8 +3,9 @@
 Patterns use ``*`` for anything, ``^`` for a separator or the end, ``||`` for the start of a host or a parent domain of
 it, ``|`` at either end for the URL's own ends, and plain text otherwise, in lower case. A rule's literal tokens are the runs
 of a-z and 0-9 that every matching URL holds between other characters. A URL's tokens fetch the rules
-stored under them, and only those rules' regular expressions run. Indexes are constants of
-the plan, so a table is judged in one pass without any join, shuffle or Python code.
+stored under them, and only those rules' regular expressions run. Indexes of up to ``MOST_RULES`` rules are constants of
+the plan, so a table is judged in one pass without any join, shuffle or Python code. Longer lists become a
+table of keys, which the hosts and tokens of the distinct URLs meet in a join.
 """
 
 from __future__ import annotations
@@ -15,8 +16,13 @@ from dataclasses import dataclass
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-# The indexes are part of the plan that each task receives. A larger rule set is refused, not cut.
+from sprintloom.llm.common import join_groups
+from sprintloom.session import written
+
+# Indexes in the plan reach every task, so longer lists of rules are joined instead.
 MOST_RULES = 20_000
+# Keys of rules that are broadcast to sort out other hosts and tokens before the join, about 50 MB at most.
+MOST_KEYS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = re.compile(r"\|\||\||\*|\^|[a-z0-9]+|[^a-z0-9]", re.S)
 
@@ -166,12 +172,66 @@ def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES,
     or one without ``://`` has empty host and path, fits no host rule, and is still matched against the
     patterns. Repeated rows are judged each; other columns are not read; no rows give no rows.
     """
+    if max(len(host_rules), len(pattern_rules)) > MOST_RULES:
+        return _judged_by_join(pages, host_rules, pattern_rules, url, page_id)
     keys = rarest_tokens(pages, pattern_rules, url)
     host, path = host_and_path(F.col(url))
     parsed = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
     ruled = parsed.select("page_id", "url", "host", "path", host_rule(F.col("host"), F.col("path"), host_rules).alias("own"),
                           matches(F.col("url"), keys, pattern_rules).alias("found"))
+    return ruled.select("page_id", "host", "path", *_verdict())
+
+
+def _verdict() -> list[Column]:
+    """``rule, verdict, patterns`` from ``own``, the longest host rule, and ``found``, the matching patterns."""
     has = lambda verdict: F.exists("found", lambda m: m["verdict"] == verdict)
     by_pattern = F.when(has("allow"), "allow").when(has("block"), "block").otherwise("allow")
-    return ruled.select("page_id", "host", "path", F.col("own.name").alias("rule"), F.coalesce("own.verdict", by_pattern).alias("verdict"),
-                        F.array_join("found.rule", ",").alias("patterns"))
+    return [F.col("own.name").alias("rule"), F.coalesce("own.verdict", by_pattern).alias("verdict"), F.array_join("found.rule", ",").alias("patterns")]
+
+
+_GROUPS = ("key string, n long, hosts array<struct<path: string, verdict: string>>, "
+           "patterns array<struct<rule: string, verdict: string, regex: string>>")
+
+
+def _judged_by_join(pages: DataFrame, host_rules, pattern_rules, url: str, page_id: str) -> DataFrame:
+    """``judge`` for any number of rules. The driver holds the rules, and receives a count for each of their keys.
+
+    Each distinct URL is judged once: its parent domains and tokens fetch the rules stored under them, and what it gets is
+    joined back to its rows. Keys and URLs with many rows meet their rules and results in a broadcast of less than
+    a thousand rows (``join_groups``). Rules without a whole token lie under the empty one, which every URL holds.
+    """
+    spark = pages.sparkSession
+    rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"))
+    counted = rows.groupBy("url").agg(F.count("*").alias("n"))
+    urls = written(counted.select("url", "n", *[c.alias(name) for c, name in zip(host_and_path(F.col("url")), ("host", "path"))]), "urls")
+    labels = F.split("host", r"\.", -1)
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("h"), F.array_join(F.slice(labels, i * -1, i), ".")))
+    tokens = F.transform(F.array_union(url_tokens(F.col("url")), F.array(F.lit(""))), lambda t: F.concat(F.lit("t"), t))
+    keys = F.concat(F.when(F.col("host") != "", parents).otherwise(F.array().cast("array<string>")), tokens)
+    places = urls.select("url", "host", "path", F.explode(F.array_distinct(keys)).alias("key"))
+
+    own_tokens = [["t" + t for t in tokens_of(r.pattern)] or ["t"] for r in pattern_rules]
+    wanted = sorted({"h" + r.host for r in host_rules}.union(*own_tokens))
+    listed = spark.createDataFrame([(k,) for k in wanted], "key string")
+    met = places.join(F.broadcast(listed) if len(wanted) <= MOST_KEYS else listed, "key", "left_semi")
+    counts = {r.key: r.n for r in met.groupBy("key").agg(F.count("*").alias("n")).collect()}
+
+    stored: dict[str, tuple[list, list]] = {}
+    for r in host_rules:
+        stored.setdefault("h" + r.host, ([], []))[0].append((r.path, r.verdict))
+    for r, own in zip(pattern_rules, own_tokens):
+        key = min(own, key=lambda t: (counts.get(t, 0), t))
+        stored.setdefault(key, ([], []))[1].append((r.name, r.verdict, regex_of(r.pattern)))
+    groups = written(spark.createDataFrame([(k, counts[k], *v) for k, v in stored.items() if k in counts], _GROUPS), "rules")
+
+    fetched = join_groups(met.select("url", "host", "path", "key"), groups, "key", F.col("url"))
+    domain = F.expr("substring(key, 2)")
+    fitting = F.transform(F.filter("hosts", lambda r: F.startswith("path", r["path"])), lambda r: F.struct(
+        (F.length(domain) + F.length(r["path"])).alias("size"), F.concat(domain, r["path"]).alias("name"), r["verdict"].alias("verdict")))
+    hits = F.transform(F.filter("patterns", lambda r: F.rlike(lowered(F.col("url")), r["regex"])),
+                       lambda r: F.struct(r["rule"].alias("rule"), r["verdict"].alias("verdict")))
+    found = fetched.select("url", F.array_max(fitting).alias("own"), hits.alias("hits")).filter("own is not null or size(hits) > 0")
+    found = found.groupBy("url").agg(F.max("own").alias("own"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("found"))
+    judged = urls.join(found, "url", "left").withColumn("found", F.coalesce("found", F.expr("array()").cast("array<struct<rule: string, verdict: string>>")))
+    judged = written(judged.select("url", "n", "host", "path", *_verdict()), "judged")
+    return join_groups(rows, judged, "url", F.col("page_id")).select("page_id", "host", "path", "rule", "verdict", "patterns")

@@ -62,7 +62,31 @@ def test_a_matching_url_holds_the_literal_tokens(pattern, rest):
         assert set(u.tokens_of(pattern)) <= set(re.split("[^a-z0-9]+", url))
 
 
-def test_too_many_rules_are_refused(monkeypatch):
+def test_indexes_in_the_plan_are_bounded(monkeypatch):
     monkeypatch.setattr(u, "MOST_RULES", 3)
     with pytest.raises(ValueError):
         u._checked(u.HOST_RULES)
+
+
+def test_rules_in_a_join_judge_alike(spark, monkeypatch):
+    monkeypatch.setattr(u, "MOST_RULES", 3)
+    rows = [(i, url, "clash") for i, url in enumerate(URLS)] + [(None, URLS[0], "x"), (0, URLS[0], "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string")
+    for keys in (u.MOST_KEYS, 1):
+        monkeypatch.setattr(u, "MOST_KEYS", keys)
+        out = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"], r["patterns"]) for r in dicts(u.judge(pages))]
+        assert sorted(out, key=str) == sorted(((i, *plain(url)) for i, url, _ in rows), key=str)
+    assert dicts(u.judge(pages.filter("false"))) == []
+
+
+def test_fifty_thousand_rules(spark):
+    hosts = [u.HostRule(f"h{i}.net", "/a/" if i % 2 else "/", "block") for i in range(50_000)] + [u.HostRule("h7.net", "/a/b", "allow")]
+    patterns = [u.PatternRule(f"p{i}", f"^word{i}^*^id{i % 10}^", "block") for i in range(50_000)] + [u.PatternRule("loose", "*zz*", "allow")]
+    urls = {"http://x.h7.net/a/c": ("h7.net/a/", "block", ""), "http://h7.net/a/bc": ("h7.net/a/b", "allow", ""), "http://h8.net/": ("h8.net/", "block", ""),
+            "http://h7.net/b": (None, "allow", ""), "http://y.org/word49999/q/id9/": (None, "block", "p49999"), "http://y.org/word49999/id8": (None, "allow", ""),
+            "http://y.org/word12/word13/id2/id3/azzb": (None, "allow", "loose,p12,p13"), "none": (None, "allow", "")}
+    pages = spark.createDataFrame([(i, url) for i, url in enumerate(list(urls) * 200)], "page_id long, url string")
+    out = dicts(u.judge(pages, hosts, patterns))
+    assert sorted(r["page_id"] for r in out) == list(range(1600))
+    assert {list(urls)[r["page_id"] % 8]: (r["rule"], r["verdict"], r["patterns"]) for r in out} == urls
+    assert len({(r["page_id"] % 8, r["rule"], r["verdict"], r["patterns"]) for r in out}) == 8
