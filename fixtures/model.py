@@ -14,6 +14,7 @@ from sprintloom.sources.raw import read_raw_issues
 
 AS_OF = "2001-08-15"
 EPOCH = "1995-01-01"
+LANDED_LINES = 200_000
 
 
 def _window(day: Column) -> Column:
@@ -33,6 +34,11 @@ def _lookup(column: str, names: dict[str, str]) -> Column:
     return value
 
 
+def _land(lines: DataFrame, folder: str) -> None:
+    """Documents land compressed. A compressed file is read by one task, so files are kept short."""
+    lines.write.option("compression", "lz4").option("maxRecordsPerFile", LANDED_LINES).text(folder)
+
+
 def rich_document(text: Column) -> Column:
     """A rich-text tree: one paragraph per line, each line cut in two inside an inline node."""
     def node(kind: str, children: Column) -> Column:
@@ -283,7 +289,7 @@ class Model:
     def landed(self) -> str:
         """Folder of the lines as files, the way the tracker's documents arrive."""
         folder = shared_dir(self.spark, "landed")
-        self.raw_text.write.text(folder)
+        _land(self.raw_text, folder)
         return folder
 
     @cached_property
@@ -299,7 +305,7 @@ class Model:
         line = F.when(number % 7 == 0, half).when(
             number % 11 == 0, F.regexp_replace("value", '"key":"K-[0-9]+",', "")).otherwise(F.col("value"))
         folder = shared_dir(self.spark, "damaged")
-        self.raw_text.select(line.alias("value")).write.text(folder)
+        _land(self.raw_text.select(line.alias("value")), folder)
         return read_raw_issues(self.spark, folder)
 
     @cached_property

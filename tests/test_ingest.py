@@ -496,3 +496,13 @@ def test_a_batch_rewrites_the_weeks_and_issues_it_concerns(spark, land, tmp_path
         assert {f for f in before[table] ^ files(tmp_path / "store" / table) if month not in f} == set(), table
     assert sorted(tuples(store.read("sprint_issues")))[-1] == ("S2", "K3") and store.read("sprint_issues").count() == 6
     assert [str(r.last_completed_date) for r in store.read("completions").filter("issue_key = 'K3'").collect()] == ["2025-06-02"]
+
+
+def test_documents_land_compressed_in_short_files(spark, monkeypatch):
+    from fixtures import model
+    monkeypatch.setattr(model, "LANDED_LINES", 400)
+    t = model.Model(spark, "/root/testdata/sf0.001")
+    landed = spark.read.text(t.landed).withColumn("file", F.input_file_name())
+    assert landed.select("value").exceptAll(t.raw_text).isEmpty() and t.raw_text.exceptAll(landed.select("value")).isEmpty()
+    files = landed.groupBy("file").count().collect()
+    assert len(files) > 1 and all(r.file.endswith(".lz4") and r["count"] <= 400 for r in files)
