@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -428,11 +428,22 @@ simple(
 # ── scoring ─────────────────────────────────────────────────────────────────────────────────
 
 
-def length_scorer(prompt: str) -> tuple[str, float, str]:
+class LengthScorer:
     """Stand-in for a real scorer: longer prompts are clearer, urgent ones are refused."""
-    if "緊急" in prompt:
-        raise ValueError("urgent tickets are not scored")
-    return f"length={len(prompt)}", min(len(prompt), 4096) / 4096, "by length"
+
+    def __call__(self, prompt: str) -> tuple[str, float, str]:
+        return self.read([prompt])
+
+    def read(self, pieces: Iterable[str]) -> tuple[str, float, str]:
+        length, last = 0, ""
+        for piece in pieces:
+            if "緊急" in last + piece:
+                raise ValueError("urgent tickets are not scored")
+            length, last = length + len(piece), piece[-1:] or last
+        return f"length={length}", min(length, 4096) / 4096, "by length"
+
+
+length_scorer = LengthScorer()
 
 
 simple(
@@ -453,7 +464,7 @@ def comment_threads_long(t: Model) -> DataFrame:
 
 @query
 def score_issues_long(t: Model) -> DataFrame:
-    return a.score_issues(a.scoring_prompts(t.described_issues, t.long_comments), length_scorer, AS_OF)
+    return a.score_issues(a.scoring_prompts(t.described_issues, t.long_comments, pieces=True), length_scorer, AS_OF)
 
 
 @query

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +294,57 @@ def test_hot_day_does_not_end_in_one_sort_task(spark, make, conf):
     tasks = done.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert len(tasks) >= 3 and max(r["count"] for r in tasks) < 3000
     assert len(tuples(done)) == 4000
+
+
+def test_prompts_in_pieces_are_scored_as_whole_ones(spark, make):
+    class ReadsPieces:
+        """Scores a prompt by its digest without holding it."""
+
+        def __call__(self, prompt):
+            return self.read([prompt])
+
+        def read(self, pieces):
+            digest, longest = hashlib.md5(), 0
+            for piece in pieces:
+                digest.update(piece.encode())
+                longest = max(longest, len(piece))
+            return digest.hexdigest(), 0.5, str(longest)
+
+    hours = spark.range(9_000).select(
+        F.lpad(F.col("id").cast("string"), 5, "0").alias("id"), F.lit("hot").alias("issue_key"), F.lit("ann").alias("author"),
+        F.when(F.col("id") % 50 > 0, F.col("id").cast("string")).alias("body"),
+        F.when(F.col("id") >= 10, F.lit("2025-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("created"))
+    comments = hours.unionByName(make.comments(dict(id="1", issue_key="b"), dict(id="2", issue_key="b", body=None), dict(id="3", issue_key="nobody"),
+                                               dict(id="4", issue_key=None), dict(id="5", issue_key="silent", body=None)))
+    issues = make.issues(dict(key="hot"), dict(key="hot", description="other"), dict(key="b"), dict(key="b"), dict(key=None),
+                         dict(key="none", summary=None, description="100% %s"), dict(key="silent"))
+    template = "50%%|%s|%s|%s|%s|%s|%s|%s|%n%%end"
+    whole = scoring.scoring_prompts(issues, comments, template)
+    pieces = scoring.scoring_prompts(issues, comments, template, pieces=True)
+    wanted = sorted((r.issue_key or "", hashlib.md5(r.prompt.encode()).hexdigest()) for r in whole.collect())
+    for scorer in (ReadsPieces(), lambda prompt: ReadsPieces()(prompt)):
+        for given in (whole, pieces):
+            scores = scoring.score_issues(given, scorer, "2025-01-01").collect()
+            assert sorted((r.issue_key or "", r.complexity_reasoning) for r in scores) == wanted
+    longest = [int(r.clarity_notes) for r in scoring.score_issues(pieces, ReadsPieces(), "2025-01-01").collect() if r.issue_key == "hot"]
+    assert len(longest) == 2 and max(longest) < 1000 < max(len(r.prompt) for r in whole.collect())
+
+    class Refuses(ReadsPieces):
+        def read(self, pieces):
+            next(pieces)
+            raise ValueError("no")
+
+    refused = scoring.score_issues(pieces, Refuses(), "2025-01-01", calls_a_minute=60_000, tasks=2).collect()
+    assert len(refused) == 7 and {r.complexity_reasoning for r in refused} == {"Analysis failed: no"}
+    with pytest.raises(ValueError):
+        scoring.scoring_prompts(issues, comments, "%1$s", pieces=True)
+
+
+def test_pieces_that_cannot_be_read_are_no_score():
+    def batches():
+        yield pd.DataFrame([("a", "1", "head", "tail"), ("a", "1", "line", None)], columns=["issue_key", "prompt_id", "piece", "behind"])
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        for _, _, pieces in scoring._joined(batches()):
+            scoring._score(pieces, lambda p: ("r", 0.5, "n"))
