@@ -3,8 +3,8 @@
 A conversation's formatted text is the concatenation of its turns, each ``<s>ROLE[INST]TEXT</s>``. The example of an
 assistant turn is that text up to and including the turn: all preceding turns are context, and the loss mask
 covers the reply's text alone. As all examples of a conversation are prefixes of one text, the text is
-stored once, a segment per turn, and an example is where its prefix ends and its mask lies. That
-keeps the output as long as the input; ``expanded`` writes the prefixes out for those who need them.
+stored once, a segment per turn, and ``examples`` says where an example's prefix ends and its mask lies. ``expanded``
+makes every example of it, its whole text and its mask; ``digests`` reads the loss text out of these.
 
 Inside roles and texts ``<``, ``[`` and the backslash are spelled ``\\l``, ``\\b`` and ``\\e``, so no control string can occur
 there, and reading back gives what was written.
@@ -73,43 +73,63 @@ def examples(turns: DataFrame) -> DataFrame:
         F.col("segment_start").alias("context_chars"), F.col("segment").alias("reply"), "mask_start", "mask_chars")
 
 
+def _joined(column: str, by: str) -> Column:
+    """The texts of a group as one, in order."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, column))), lambda s: s[column]), "")
+
+
 def _concatenated(rows: DataFrame, keys: list[str], order: str, text: str, name: str, stretch: int = STRETCH) -> DataFrame:
     """``keys`` and the texts of each group in order as one string: first by stretches, then their strings, so no
     sort holds more than a stretch of single rows. The final string is one row's own content."""
     part = F.floor(F.col(order) / stretch).alias("_part")
-    sort = lambda column, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, column))), lambda s: s[column]), "")
-    return rows.groupBy(*keys, part).agg(sort(text, order).alias("_text")).groupBy(*keys).agg(sort("_text", "_part").alias(name))
+    return rows.groupBy(*keys, part).agg(_joined(text, order).alias("_text")).groupBy(*keys).agg(_joined("_text", "_part").alias(name))
+
+
+def _with_places(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """``conv_id, formatted, places``: each conversation's formatted text and where its examples lie, put together at once."""
+    start = F.col("segment_start") + F.col("mask_start")
+    place = F.struct(F.col("position").alias("target"), (F.col("segment_start") + F.length("segment")).cast("int").alias("end"),
+                     start.cast("int").alias("loss_start"), (start + F.col("mask_chars")).cast("int").alias("loss_end"))
+    part = F.floor(F.col("position") / stretch).alias("_part")
+    return turns.groupBy("conv_id", part).agg(_joined("segment", "position").alias("_text"), F.collect_list(
+        F.when(F.col("mask_start").isNotNull(), place)).alias("_places")).groupBy("conv_id").agg(
+        _joined("_text", "_part").alias("formatted"), F.flatten(F.collect_list("_places")).alias("places"))
 
 
 def formatted(turns: DataFrame) -> DataFrame:
     """``conv_id, formatted``: the whole formatted text of each conversation."""
-    return _concatenated(turns, ["conv_id"], "position", "segment", "formatted")
+    return _with_places(turns).select("conv_id", "formatted")
+
+
+def _written_out(texts: DataFrame) -> DataFrame:
+    """``texts`` with a row for each example: ``target, text, loss_start, loss_end``, which are null without one."""
+    kept = [c for c in texts.columns if c not in ("formatted", "places")]
+    return texts.select(*kept, "formatted", F.explode_outer("places").alias("_at")).select(
+        *kept, "_at.target", F.substring("formatted", F.lit(1), F.col("_at.end")).alias("text"), "_at.loss_start", "_at.loss_end")
 
 
 def expanded(turns: DataFrame) -> DataFrame:
     """``conv_id, target, text, loss_start, loss_end``: every example written out, which takes room that grows with the
-    square of a conversation's turns."""
-    own = examples(turns).select(F.col("conv_id").alias("c"), "target", (F.col("context_chars") + F.col("mask_start")).alias("loss_start"),
-                                 (F.col("context_chars") + F.col("mask_start") + F.col("mask_chars")).alias("loss_end"))
-    pairs = own.join(turns.select("conv_id", "position", "segment"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("position") <= F.col("target")))
-    return _concatenated(pairs, ["conv_id", "target", "loss_start", "loss_end"], "position", "segment", "text").select(
-        "conv_id", "target", "text", "loss_start", "loss_end")
+    square of a conversation's turns.
+
+    Only the conversation's one text is shuffled; the prefixes arise row by row behind that."""
+    return _written_out(_with_places(turns)).filter("target is not null")
 
 
 def digests(turns: DataFrame) -> DataFrame:
     """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` read back from the output.
 
-    Turns are parsed out of the formatted text by its markers. The loss text is what the examples' masks
-    cover, unescaped and concatenated; it is empty without an assistant turn."""
+    Turns are parsed out of the formatted text by its markers. The loss text is what the masks of the examples, as
+    ``expanded`` has them, cover, unescaped and concatenated; it is empty without an assistant turn."""
     pattern = r"<s>([^<\[]*)\[INST\]([^<\[]*)</s>"
-    whole = formatted(turns).withColumn("roles", F.regexp_extract_all("formatted", F.lit(pattern), F.lit(1))).withColumn(
+    whole = _with_places(turns).withColumn("roles", F.regexp_extract_all("formatted", F.lit(pattern), F.lit(1))).withColumn(
         "texts", F.regexp_extract_all("formatted", F.lit(pattern), F.lit(2)))
     read = F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat(unescaped(t["roles"]), F.lit("\n"), unescaped(t["texts"]), F.lit("\n")))
     turned = whole.select("conv_id", F.size("roles").cast("long").alias("n_turns"), F.sha2(F.array_join(read, ""), 256).alias("turns_sha256"),
-                          F.length("formatted").cast("long").alias("formatted_chars"))
-    masked = examples(turns).select(F.col("conv_id").alias("c"), "target", unescaped(
-        F.expr("substring(reply, mask_start + 1, mask_chars)")).alias("masked"))
-    loss = _concatenated(masked, ["c"], "target", "masked", "loss")
-    return turned.join(loss, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
-        "conv_id", "n_turns", "turns_sha256", F.length(F.coalesce("loss", F.lit(""))).cast("long").alias("loss_chars"),
-        F.sha2(F.coalesce("loss", F.lit("")), 256).alias("loss_sha256"), "formatted_chars")
+                          F.length("formatted").cast("long").alias("formatted_chars"), "formatted", "places")
+    own = ["conv_id", "n_turns", "turns_sha256", "formatted_chars"]
+    masked = _written_out(turned).select(*own, "target", unescaped(
+        F.expr("substring(text, loss_start + 1, loss_end - loss_start)")).alias("masked"))
+    return _concatenated(masked, own, "target", "masked", "loss").select(
+        "conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

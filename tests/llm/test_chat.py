@@ -63,3 +63,14 @@ def test_examples_point_into_the_formatted_text(spark):
     whole = dicts(c.formatted(turns))[0]["formatted"]
     got = sorted((r["target"], r["context_turns"], whole[:r["context_chars"]] + r["reply"], r["reply"][r["mask_start"]:r["mask_start"] + r["mask_chars"]]) for r in dicts(c.examples(turns)))
     assert got == [(1, 1, "<s>user[INST]hi</s><s>assistant[INST]yes</s>", "yes"), (3, 3, whole, "no")]
+
+
+def test_loss_is_read_out_of_the_expanded_examples(spark, monkeypatch):
+    given = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "and"), (1, 3, "assistant", "no")], "conv_id long, turn long, role string, text string")
+    made = c.expanded(c.segments(given))
+    assert sorted((r["text"], r["text"][r["loss_start"]:r["loss_end"]]) for r in dicts(made)) == [
+        ("<s>user[INST]hi</s><s>assistant[INST]yes</s>", "yes"),
+        ("<s>user[INST]hi</s><s>assistant[INST]yes</s><s>user[INST]and</s><s>assistant[INST]no</s>", "no")]
+    write_out = c._written_out
+    monkeypatch.setattr(c, "_written_out", lambda texts: write_out(texts).filter("target = 3"))
+    assert dicts(c.digests(c.segments(given)))[0]["loss_sha256"] == hashlib.sha256(b"no").hexdigest()
