@@ -22,7 +22,7 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 # White space other than blank and line feed, as ``str.isspace`` has it.
 _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _SLICE = 1 << 20
-# Remembered pieces per worker, about 200 bytes each.
+# Remembered pieces per worker, about 200 bytes each. Fewer cost time, never ids.
 _PIECES, _TOKENS = 1_200_000, 300_000
 _PLAIN = re.compile("[\x00-ɏ]*")
 
@@ -58,19 +58,19 @@ class _Remembered(dict):
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers in a byte string, no special ids added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = _PIECES):
         self.tokenizer = Tokenizer.from_file(path)
         self.letters, self.pattern = _byte_letters(), regex.compile(PATTERN)
         self.tokens = _Remembered(self._token, _TOKENS)
-        self.pieces = _Remembered(self._after_blank, _PIECES)
+        self.pieces = _Remembered(self._after_blank, remembered)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, remembered: int = _PIECES) -> Encoder:
         """The worker's encoder for a vocabulary file; it serves all tasks that the worker runs."""
         cache = worker_cache("bpe")
-        if path not in cache:
-            cache[path] = cls(path)
-        return cache[path]
+        if (path, remembered) not in cache:
+            cache[path, remembered] = cls(path, remembered)
+        return cache[path, remembered]
 
     def _token(self, token: str) -> bytes:
         spelled = token.encode().decode("latin-1").translate(self.letters)

@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sprintloom.llm.bpe import Encoder
+from sprintloom.llm.bpe import _PIECES, Encoder
 
 LENGTH = 1024
 END_ID = b"\0\0\0\0"
@@ -49,9 +49,9 @@ def assign(sizes: list[int], length: int = LENGTH, linear: float = LINEAR, quadr
     return out
 
 
-def _pack(path: str, length: int, linear: float, quadratic: float, group: int, with_ids: bool):
+def _pack(path: str, length: int, linear: float, quadratic: float, group: int, with_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width = Encoder.of(path), 4
+        encoder, width = Encoder.of(path, remembered), 4
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         rests: list[tuple] = []
@@ -93,7 +93,8 @@ def _pack(path: str, length: int, linear: float, quadratic: float, group: int, w
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, linear: float = LINEAR,
-         quadratic: float = QUADRATIC, group: int = GROUP, with_ids: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+         quadratic: float = QUADRATIC, group: int = GROUP, with_ids: bool = True, text: str = "text", doc_id: str = "doc_id",
+         remembered: int = _PIECES) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for, ``ids`` (little-endian
     32-bit), a row per piece.
 
@@ -101,10 +102,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, l
     document of its own, also if ids repeat or are null. Each task packs what it reads, a group of documents at a
     time, so nothing is shuffled and a repeated task gives the same pieces; sequence numbers start at the task's
     number times 2^40. Less than one sequence of padding arises in a group. Other columns are not
-    read. An empty table gives no rows.
+    read. An empty table gives no rows. A Python worker remembers the ids of up to ``remembered`` pieces of text.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    packed = rows.mapInArrow(_pack(path, length, linear, quadratic, group, with_ids), schema)
+    packed = rows.mapInArrow(_pack(path, length, linear, quadratic, group, with_ids, remembered), schema)
     return packed if with_ids else packed.drop("ids")

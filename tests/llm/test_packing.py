@@ -91,3 +91,10 @@ def test_pieces_put_together_are_the_documents(docs):
 def test_no_rows(docs):
     empty = p.pack(docs([]), with_ids=False)
     assert dicts(empty) == [] and "ids" not in empty.columns
+
+
+def test_a_worker_that_remembers_little_gives_the_same_ids():
+    texts = [" ".join(f"word{i % 50} und{i}" for i in range(n)) for n in (3, 400)]
+    little, much = bpe.Encoder(PATH, 10), bpe.Encoder(PATH)
+    assert [little.encode(t) for t in texts] == [much.encode(t) for t in texts]
+    assert len(little.pieces) <= 10 < len(much.pieces) and bpe.Encoder.of(PATH, 10) is not bpe.Encoder.of(PATH)
