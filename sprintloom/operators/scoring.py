@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain, groupby
 
 import pandas as pd
@@ -154,14 +154,15 @@ class Pace:
         self.tokens -= 1
 
 
-def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, Iterable[str]]]:
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Key, number of equal prompts, texts of the prompt, and what else the row has."""
     for batch in batches:
-        for key, prompt in zip(batch["issue_key"], batch["prompt"]):
-            yield key, 1, [prompt]
+        for key, prompt, *kept in batch.itertuples(index=False, name=None):
+            yield key, 1, [prompt], kept
 
 
-def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, Iterable[str]]]:
-    """Key, number of equal prompts, and a prompt's pieces as they arrive, from rows in their order."""
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """As ``_whole``, with a prompt's pieces as they arrive, from rows in their order."""
     broken: list[BaseException] = []
 
     def rows() -> Iterator[tuple]:
@@ -178,7 +179,7 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, Iterabl
         while line is not None and line[3] is not None:  # the same row of an issue once more
             copies, line = copies + 1, next(group, None)
         lines = [NO_COMMENTS] if line is None else chain([line[2]], (f"\n{r[2]}" for r in group))
-        yield key, copies, chain([first[2]], lines, [first[3]])
+        yield key, copies, chain([first[2]], lines, [first[3]]), []
         if broken:  # what a scorer makes of rows that could not be read is no score
             raise broken[0]
 
@@ -187,23 +188,24 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, Iterabl
 _SCORES = 1000
 
 
-def score_issues(prompts: DataFrame, scorer: Scorer, analyzed_at: object, calls_a_minute: float | None = None, tasks: int = 1) -> DataFrame:
+def score_issues(prompts: DataFrame, scorer: Scorer, analyzed_at: object, calls_a_minute: float | None = None, tasks: int = 1,
+                 keep: Sequence[str] = ()) -> DataFrame:
     """Rows for ``ai_scores``. Prompts stream through Python in Arrow batches, partition by
     partition; a scorer that fails on a prompt leaves a row that says so.
 
     ``prompts`` are whole or in pieces (``scoring_prompts``). Pieces meet in a sort and reach the scorer one after another, so
     a prompt of any length takes a task no more memory than a batch, if the scorer has ``read``.
     With ``calls_a_minute`` the prompts are dealt to ``tasks`` partitions, each of which keeps to its share of that pace, so
-    that all together do. A repeated task calls again at that pace.
+    that all together do. A repeated task calls again at that pace. Text columns of whole prompts named in ``keep`` come along.
     """
-    schema = "issue_key string, complexity_reasoning string, clarity_score double, clarity_notes string"
+    schema = "issue_key string, complexity_reasoning string, clarity_score double, clarity_notes string" + "".join(f", {c} string" for c in keep)
     given = _joined if "piece" in prompts.columns else _whole
     dealt = [] if calls_a_minute is None else [tasks]
     if given is _joined:
         rows = prompts.repartition(*dealt, "issue_key", "prompt_id").sortWithinPartitions(
             "issue_key", "prompt_id", "hour", "slice").select("issue_key", "prompt_id", "piece", "behind")
     else:
-        rows = prompts.select("issue_key", "prompt")
+        rows = prompts.select("issue_key", "prompt", *keep)
         rows = rows.repartition(tasks) if dealt else rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,21 +213,21 @@ def score_issues(prompts: DataFrame, scorer: Scorer, analyzed_at: object, calls_
         scored = []
 
         def out() -> pd.DataFrame:
-            made = pd.DataFrame(scored, columns=["issue_key", "complexity_reasoning", "clarity_score", "clarity_notes"])
+            made = pd.DataFrame(scored, columns=["issue_key", "complexity_reasoning", "clarity_score", "clarity_notes", *keep])
             made["clarity_score"] = made["clarity_score"].astype("float64")
             scored.clear()
             return made
 
-        for key, copies, pieces in given(batches):
+        for key, copies, pieces, kept in given(batches):
             if pace:
                 pace.take()
-            scored += [(key, *_score(pieces, scorer))] * copies
+            scored += [(key, *_score(pieces, scorer), *kept)] * copies
             if len(scored) >= _SCORES:
                 yield out()
         yield out()
 
     scored = rows.mapInPandas(run, schema)
-    return scored.withColumn("analyzed_at", as_timestamp(analyzed_at)).select(*AI_SCORES.fieldNames())
+    return scored.withColumn("analyzed_at", as_timestamp(analyzed_at)).select(*AI_SCORES.fieldNames(), *keep)
 
 
 def sprint_mvp(issues: DataFrame) -> DataFrame:

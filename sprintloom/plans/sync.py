@@ -115,8 +115,8 @@ def run_scoring(store: TableStore, scorer: Scorer, at: object, calls_a_minute: f
     """
     store.recover()
     prompts = scoring_prompts(store.read("issues"), store.read("issue_comments")).withColumn("digest", F.sha2("prompt", 256))
-    due = store.written(prompts.join(store.read("scored_prompts").select("issue_key", "digest"), ["issue_key", "digest"], "left_anti"), "prompts")
-    fresh = store.written(score_issues(due, scorer, at, calls_a_minute, tasks), "scores")
-    known = fresh.filter("clarity_score is not null").select("issue_key", "analyzed_at").join(due.select("issue_key", "digest"), "issue_key")
+    due = prompts.join(store.read("scored_prompts").select("issue_key", "digest"), ["issue_key", "digest"], "left_anti")
+    fresh = store.written(score_issues(due, scorer, at, calls_a_minute, tasks, keep=["digest"]), "scores")
+    known = fresh.filter("clarity_score is not null").select("issue_key", "analyzed_at", "digest")
     store.commit({"ai_scores": store.merged("ai_scores", fresh)[0], "scored_prompts": store.merged("scored_prompts", known)[0]})
     return store.read("ai_scores")

@@ -12,6 +12,8 @@ from ..operators import maintenance as m
 from ..schemas import COLUMN_DEFAULTS, STATES, TABLE_KEYS, TABLE_ORDER, TABLES
 
 PART = "part"
+# Texts are most of what is stored, and every batch is written twice.
+CODEC = "zstd"
 
 
 def month_of(column: str) -> Column:
@@ -117,7 +119,7 @@ class TableStore:
         staged = f"_batch/{batch or uuid.uuid4().hex}"
         for table, rows in new.items():
             together = rows.hint("rebalance", F.col(PART))
-            together.write.mode("overwrite").partitionBy(PART).parquet(f"{self.root}/{staged}/{table}")
+            together.write.mode("overwrite").option("compression", CODEC).partitionBy(PART).parquet(f"{self.root}/{staged}/{table}")
         # One file that is there or not: from then on the batch counts.
         ready = self.spark.createDataFrame([(t, t in whole) for t in new], "name string, whole boolean")
         ready.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{staged}/ready")
@@ -146,7 +148,7 @@ class TableStore:
         given = {n.removeprefix(f"{PART}=") for n in self._names(folder) if n.startswith(f"{PART}=")}
         if given:
             rows = self.rows_with_part(table, folder).sortWithinPartitions(PART, *TABLE_ORDER.get(table, ()))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{self.root}/{table}")
+            rows.write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{self.root}/{table}")
         for part in set(self.parts(table)) - given if whole else ():
             self._delete(f"{table}/{PART}={part}")
 
@@ -198,7 +200,7 @@ class TableStore:
     def written(self, df: DataFrame, label: str) -> DataFrame:
         """Write an intermediate result below the root and read it back: short lineage, no lost blocks."""
         path = f"{self.root}/_work/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", CODEC).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear_work(self) -> None:

@@ -346,5 +346,16 @@ def test_pieces_that_cannot_be_read_are_no_score():
         raise OSError("lost")
 
     with pytest.raises(OSError):
-        for _, _, pieces in scoring._joined(batches()):
+        for _, _, pieces, _ in scoring._joined(batches()):
             scoring._score(pieces, lambda p: ("r", 0.5, "n"))
+
+
+def test_scoring_run_writes_no_prompts(spark, make, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write("issues", make.issues(dict(key="a", description="PLAIN" * 9), dict(key="b")))
+    run_scoring(store, lambda p: ("new", 0.5, "n"), "2025-06-01")
+    labels = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "_work").iterdir()}
+    assert labels and not any(label.startswith("prompts") for label in labels)
+    stored = {r.issue_key: r.digest for r in store.read("scored_prompts").collect()}
+    prompts = scoring.scoring_prompts(store.read("issues"), store.read("issue_comments")).collect()
+    assert stored == {r.issue_key: hashlib.sha256(r.prompt.encode()).hexdigest() for r in prompts}
