@@ -245,9 +245,16 @@ def sprint_issues(issues: DataFrame, changelog: DataFrame) -> DataFrame:
 # ── derived tables, kept up to date by what a batch changes ───────────────────────────────────
 
 
-def signed_rows(pairs: DataFrame) -> DataFrame:
-    """The rows that ``merge_pairs`` takes out, with ``sign`` -1, and puts in, with 1; pairs that are alike give none."""
+def signed_rows(pairs: DataFrame, stored: bool = False) -> DataFrame:
+    """The rows that ``merge_pairs`` takes out, with ``sign`` -1, and puts in, with 1; pairs that are alike give none.
+
+    Pairs that are ``stored`` are read once for the rows that go and once for those that come, each time only the
+    columns that are used; others are computed once.
+    """
     changed = pairs.filter(~F.col("old").eqNullSafe(F.col("new")))
+    if stored:
+        gone, come = (changed.filter(f"{row} is not null").select(f"{row}.*", F.lit(sign).alias("sign")) for row, sign in (("old", -1), ("new", 1)))
+        return gone.unionByName(come)
     both = F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("row")), F.struct(F.lit(1).alias("sign"), F.col("new").alias("row")))
     return changed.select(F.explode(both).alias("_e")).filter("_e.row is not null").select("_e.row.*", "_e.sign")
 

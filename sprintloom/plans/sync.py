@@ -29,7 +29,7 @@ def store_documents(store: TableStore, documents: DataFrame, vocab: Vocabulary =
     comments, _ = store.merged("issue_comments", src.ingest_comments(documents, vocab))
     changes, change_pairs = store.merged("issue_changelog", src.ingest_changelog(documents, vocab))
 
-    before, after = m.signed_rows(issue_pairs), m.signed_rows(change_pairs)
+    before, after = m.signed_rows(issue_pairs, stored=True), m.signed_rows(change_pairs, stored=True)
     # A document brings its issue's history, so every entry's issue is in the batch. What is kept per issue lies in its part.
     places = issue_pairs.select(F.col("new.key").alias("issue_key"), F.col("new.part").alias("part"))
     placed = lambda rows: rows.join(places, "issue_key", "left").withColumn("part", F.coalesce("part", F.lit("none")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Collection, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -94,7 +96,8 @@ class TableStore:
         """The rows with their ``part``, in today's schema."""
         schema, at = self._schema(table), folder or table
         if not [n for n in self._names(at) if n.startswith(f"{PART}=")]:
-            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(PART, T.StringType())]))
+            none = self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(PART, T.StringType())]))
+            return none.filter(F.lit(False))  # so that plans know that it is empty and join nothing with it
         known = T.StructType([*[schema[c] for c in (self._columns(table) if folder is None else schema.fieldNames())], T.StructField(PART, T.StringType())])
         return m.evolve_schema(self.spark.read.schema(known).parquet(f"{self.root}/{at}"), schema, COLUMN_DEFAULTS.get(table, {}))
 
@@ -164,24 +167,40 @@ class TableStore:
         batch that states what is stored changes no part.
         """
         keys, columns = list(TABLE_KEYS[table]), self._schema(table).fieldNames()
-        stored = self.rows_with_part(table)
-        batch = self.parted(table, m.newest_per_key(updates.select(*columns), keys, order_by))
-        if table in STAYING:
+        stored, parts = self.rows_with_part(table), set(self.parts(table))
+        among = lambda names: stored.filter(F.col(PART).isin(names) if names else F.lit(False))
+        batch = self.parted(table, self._newest(table, updates.select(*columns), keys, order_by))
+        if table in STAYING and parts:
             batch = self.written(batch, f"{table}-newest")
             known = stored.join(batch.select(*keys), keys, "left_semi").select(*keys, F.col(PART).alias("_known"))
             batch = batch.join(known, keys, "left").select(*columns, F.coalesce("_known", PART).alias(PART))
         batch = self.written(batch, f"{table}-batch")
         # Months of the calendar: short lists whatever the batch.
-        near = stored.filter(F.col(PART).isin([r[0] for r in batch.select(PART).distinct().collect()]))
-        pairs = self.written(m.merge_pairs(near, batch, keys, order_by), f"{table}-pairs")
-        changed = pairs.filter(~F.col("old").eqNullSafe(F.col("new")))
-        touched = [r[0] for r in changed.select(f"new.{PART}").distinct().collect()]
+        touched = [r[0] for r in batch.select(PART).distinct().collect()]
+        near = sorted(parts.intersection(touched))
+        pairs = m.merge_pairs(among(near), batch, keys, order_by)
+        if near:  # else the pairs are the batch's own rows, all new, and need not be written once more
+            pairs = self.written(pairs, f"{table}-pairs")
+            changed = pairs.filter(~F.col("old").eqNullSafe(F.col("new")))
+            touched = [r[0] for r in changed.select(f"new.{PART}").distinct().collect()]
         if touched and self._columns(table) != columns:  # files of an older schema are written anew together
             touched += self.parts(table)
-        standing = stored.filter(F.col(PART).isin(touched)).join(batch.select(*keys), keys, "left_anti")
+        standing = among([p for p in touched if p in parts]).join(batch.select(*keys), keys, "left_anti")
         given = pairs.select("new.*").filter(F.col(PART).isin(touched))
         return standing.select(*columns, PART).unionByName(given), pairs
 
+    def _newest(self, table: str, rows: DataFrame, keys: list[str], order_by: Sequence[str | Column] | None) -> DataFrame:
+        """``newest_per_key``, for which only rows whose key comes more than once are sorted and shuffled.
+
+        Which keys do is counted first, without the other columns, and written, so that Spark broadcasts a short list.
+        """
+        whole = rows.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+        repeated = self.written(whole.groupBy(*keys).count().filter("count > 1").select(*keys), f"{table}-repeated")
+        if repeated.isEmpty():
+            return whole
+        several = m.newest_per_key(whole.join(repeated, keys, "left_semi"), keys, order_by)
+        return whole.join(repeated, keys, "left_anti").select(*rows.columns).unionByName(several)
+
     def changed(self, table: str, delta: DataFrame, add: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
         """The new content of the parts of a derived table that ``delta``, with a column ``part``, concerns."""
         delta = self.written(delta, f"{table}-delta")

@@ -16,7 +16,7 @@ from sprintloom.sources import raw as src
 from sprintloom.sources.tables import TableStore, all_issues, month_of, read_table
 from sprintloom.streaming.incremental import incremental_ingest
 from sprintloom.operators import maintenance as m, sprint_reports
-from tests.conftest import at, day, dicts, tuples
+from tests.conftest import at, day, dicts, plan, tuples
 
 SP = schemas.STORY_POINTS_FIELD
 
@@ -506,3 +506,18 @@ def test_documents_land_compressed_in_short_files(spark, monkeypatch):
     assert landed.select("value").exceptAll(t.raw_text).isEmpty() and t.raw_text.exceptAll(landed.select("value")).isEmpty()
     files = landed.groupBy("file").count().collect()
     assert len(files) > 1 and all(r.file.endswith(".lz4") and r["count"] <= 400 for r in files)
+
+
+def test_a_batch_of_unique_keys_for_new_parts_is_neither_sorted_nor_joined(spark, make, tmp_path, monkeypatch):
+    plans, write = {}, TableStore.written
+    monkeypatch.setattr(TableStore, "written", lambda store, df, label: plans.__setitem__(label, plan(df)) or write(store, df, label))
+    store = TableStore(spark, str(tmp_path))
+    rows, pairs = store.merged("issues", make.issues(dict(key="T-1"), dict(key="T-2"), dict(key=None)))
+    assert sorted(plans) == ["issues-batch", "issues-repeated"]
+    assert "Aggregate" not in plans["issues-batch"] and "Join" not in plans["issues-batch"] + plan(pairs) + plan(rows)
+    assert sorted(r.key for r in rows.collect()) == ["T-1", "T-2"] and [r.old for r in pairs.collect()] == [None, None]
+    store.commit({"issues": rows})
+    again = make.issues(dict(key="T-1", summary="old", updated=at("2025-01-07")), dict(key="T-1", summary="new", updated=at("2025-01-08")),
+                        dict(key="T-3"))
+    store.commit({"issues": store.merged("issues", again)[0]})
+    assert sorted((r.key, r.summary) for r in store.read("issues").collect()) == [("T-1", "new"), ("T-2", "work"), ("T-3", "work")]
