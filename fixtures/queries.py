@@ -14,7 +14,7 @@ from sprintloom.functions.richtext import rich_text_to_plain
 from sprintloom.operators import (
     maintenance as m, metrics as d, reports as r, scoring as a, sprint_reports as s,
 )
-from sprintloom.plans.dashboard import dashboard, shared_completions, shared_totals
+from sprintloom.plans.dashboard import dashboard, shared_completions, shared_memberships, shared_totals, shared_work
 from sprintloom.plans.sync import run_scoring
 from sprintloom.session import shared_dir
 from sprintloom.sinks.export import csv_export, dashboard_export
@@ -98,19 +98,22 @@ def incremental_ingest_issues(t: Model) -> DataFrame:
 # ── sinks ───────────────────────────────────────────────────────────────────────────────────
 
 
-def _dashboard(t: Model) -> dict[str, DataFrame]:
+def _dashboard(t: Model, whole: bool = False) -> dict[str, DataFrame]:
+    """All results; what several share is written first, for the ``whole`` dashboard also what only two or five need."""
     tables = {
         "issues": t.issues, "issue_changelog": t.changelog, "synced_sprints": t.sprints,
         "sprint_issues": t.bridge, "sprint_metadata": t.metadata,
         "sufficiency_snapshots": t.history,
     }
-    return dashboard(tables, AS_OF, EPOCH, completed=shared_completions(t.changelog), totals=shared_totals(t.issues, EPOCH))
+    completed = shared_completions(t.changelog)
+    more = dict(members=shared_memberships(t.issues, t.bridge), work=shared_work(t.issues, completed)) if whole else {}
+    return dashboard(tables, AS_OF, EPOCH, completed=completed, totals=shared_totals(t.issues, EPOCH), **more)
 
 
 @query
 def dashboard_export_counts(t: Model) -> DataFrame:
     folder = shared_dir(t.spark, "dashboard")
-    results = _dashboard(t)
+    results = _dashboard(t, whole=True)
     dashboard_export(results, folder, AS_OF, EPOCH)
     counts = [
         t.spark.read.text(f"{folder}/{name}").agg(F.count("*").alias("n_rows"))

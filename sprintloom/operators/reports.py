@@ -44,25 +44,30 @@ def leaderboard(issues: DataFrame, board: str | None = None, date_from: object =
 
 
 def _recent_ranking(issues: DataFrame, changelog: DataFrame | None, board: str | None,
-                    weeks_back: int, vocab: Vocabulary, completed: DataFrame | None) -> DataFrame:
+                    weeks_back: int, vocab: Vocabulary, completed: DataFrame | None,
+                    work: DataFrame | None = None) -> DataFrame:
     done = first_completed(changelog, vocab) if completed is None else completed
     # The newest week is a scalar subquery over every completion, with or without an issue row.
     newest = done.agg(F.max(week_start(F.col("completed_date")))).scalar()
+    if work is not None and not board:
+        return _ranking(work.filter(F.col("completed_date") >= F.date_sub(newest, 7 * weeks_back)), F.sum("n"))
     recent = done.filter(F.col("completed_date") >= F.date_sub(newest, 7 * weeks_back))
     rows = issues.filter(issue_filter(board=board, vocab=vocab))
     return _ranking(rows.join(recent, F.col("key") == F.col("issue_key")))
 
 
 def leaderboard_last_week(issues: DataFrame, changelog: DataFrame | None, board: str | None = None,
-                          vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None) -> DataFrame:
+                          vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None,
+                          work: DataFrame | None = None) -> DataFrame:
     """Completed story points per assignee in the newest completion week."""
-    return _recent_ranking(issues, changelog, board, 0, vocab, completed)
+    return _recent_ranking(issues, changelog, board, 0, vocab, completed, work)
 
 
 def leaderboard_last_3_weeks(issues: DataFrame, changelog: DataFrame | None, board: str | None = None,
-                             vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None) -> DataFrame:
+                             vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None,
+                             work: DataFrame | None = None) -> DataFrame:
     """The same from two weeks before the newest completion week."""
-    return _recent_ranking(issues, changelog, board, 2, vocab, completed)
+    return _recent_ranking(issues, changelog, board, 2, vocab, completed, work)
 
 
 # ── the weekly aggregate ────────────────────────────────────────────────────────────────────
@@ -126,20 +131,37 @@ def closed_sprint_ids(sprints: DataFrame) -> DataFrame:
 # ── velocity ────────────────────────────────────────────────────────────────────────────────
 
 
-def _completed_work(issues: DataFrame, changelog: DataFrame | None, date_from: object,
-                    vocab: Vocabulary, completed: DataFrame | None) -> DataFrame:
-    done = first_completed(changelog, vocab) if completed is None else completed
-    if date_from is not None:
-        done = done.filter(F.col("completed_date") >= as_date(date_from))
-    rows = issues.filter(F.col("assignee").isNotNull() & (F.col("reported_sp") > 0))
+def work_totals(issues: DataFrame, completed: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """Issues and story points by day of first completion, assignee and team: one join of issues and completions that
+    the velocity reports and recent leaderboards of a whole deployment can take as their ``work``.
+
+    ``sized`` and ``sized_sp`` are those of issues that have story points, which velocity counts.
+    """
+    sp, sized = F.col("reported_sp"), F.col("reported_sp") > 0
+    rows = issues.filter(F.col("assignee").isNotNull()).join(completed, F.col("key") == F.col("issue_key"))
+    return rows.groupBy("completed_date", "assignee", team_of(rule=vocab.team_rule).alias("team")).agg(
+        F.count("*").alias("n"), F.sum(sp).alias("reported_sp"),
+        F.count_if(sized).alias("sized"), F.sum(F.when(sized, sp)).alias("sized_sp"))
+
+
+def _completed_work(issues: DataFrame, changelog: DataFrame | None, date_from: object, vocab: Vocabulary,
+                    completed: DataFrame | None, work: DataFrame | None = None) -> DataFrame:
+    """Completed issues with their week, or with ``work`` sums over ``n`` of them."""
     day = F.col("completed_date")
-    return rows.join(done, F.col("key") == F.col("issue_key")).select(
-        week_start(day).alias("week_start"),
-        iso_week_label(day).alias("week_label"),
-        "assignee",
-        team_of(rule=vocab.team_rule).alias("team"),
-        "reported_sp",
-    )
+    if work is not None:
+        rows = work.filter("sized > 0").select(
+            day, "assignee", "team", F.col("sized_sp").alias("reported_sp"), F.col("sized").alias("n"))
+        if date_from is not None:
+            rows = rows.filter(day >= as_date(date_from))
+    else:
+        done = first_completed(changelog, vocab) if completed is None else completed
+        if date_from is not None:
+            done = done.filter(day >= as_date(date_from))
+        sized = issues.filter(F.col("assignee").isNotNull() & (F.col("reported_sp") > 0))
+        rows = sized.join(done, F.col("key") == F.col("issue_key")).select(
+            day, "assignee", team_of(rule=vocab.team_rule).alias("team"), "reported_sp", F.lit(1).alias("n"))
+    return rows.select(week_start(day).alias("week_start"), iso_week_label(day).alias("week_label"),
+                       "assignee", "team", "reported_sp", "n")
 
 
 def _velocity(work: DataFrame, ordered: bool, *keys: str) -> DataFrame:
@@ -147,7 +169,7 @@ def _velocity(work: DataFrame, ordered: bool, *keys: str) -> DataFrame:
     rows = (
         work.groupBy("week_start", *keys)
         .agg(F.min("week_label").alias("week_label"), F.sum("reported_sp").alias("done_sp"),
-             F.count("*").alias("issue_count"))
+             F.sum("n").alias("issue_count"))
         .select("week_start", "week_label", *keys, "done_sp", "issue_count")
     )
     return sort_if(rows, ordered, "week_start", *keys)
@@ -155,26 +177,26 @@ def _velocity(work: DataFrame, ordered: bool, *keys: str) -> DataFrame:
 
 def velocity_by_team(issues: DataFrame, changelog: DataFrame | None, date_from: object = None,
                      vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None,
-                     ordered: bool = True) -> DataFrame:
+                     ordered: bool = True, work: DataFrame | None = None) -> DataFrame:
     """Completed story points per week and team."""
     return _velocity(
-        _completed_work(issues, changelog, date_from, vocab, completed), ordered, "team")
+        _completed_work(issues, changelog, date_from, vocab, completed, work), ordered, "team")
 
 
 def individual_velocity(issues: DataFrame, changelog: DataFrame | None, date_from: object = None,
                         vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None,
-                        ordered: bool = True) -> DataFrame:
+                        ordered: bool = True, work: DataFrame | None = None) -> DataFrame:
     """Completed story points per week, assignee and the team the work was done in."""
     return _velocity(
-        _completed_work(issues, changelog, date_from, vocab, completed), ordered, "assignee", "team")
+        _completed_work(issues, changelog, date_from, vocab, completed, work), ordered, "assignee", "team")
 
 
 def recent_velocity_trend(issues: DataFrame, changelog: DataFrame | None,
                           vocab: Vocabulary = DEFAULT, completed: DataFrame | None = None,
-                          ordered: bool = True) -> DataFrame:
+                          ordered: bool = True, work: DataFrame | None = None) -> DataFrame:
     """Weekly velocity per team, from 8 weeks before the newest week on (up to 9 weeks)."""
     weekly = (
-        _completed_work(issues, changelog, None, vocab, completed)
+        _completed_work(issues, changelog, None, vocab, completed, work)
         .groupBy("week_start", "team").agg(F.sum("reported_sp").alias("done_sp"))
     )
     # One row per week and team: the calendar and the team rule bound what the window holds.

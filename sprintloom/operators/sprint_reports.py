@@ -58,48 +58,49 @@ def _memberships(issues: DataFrame, sprint_issues: DataFrame, team: str | None,
     )
 
 
-def sprint_achievement(issues: DataFrame, sprint_issues: DataFrame, sprints: DataFrame,
-                       team: str | None = None, vocab: Vocabulary = DEFAULT,
-                       ordered: bool = True) -> DataFrame:
-    """Per sprint and team: planned (snapshot, else today's total), done and carried-over work."""
+def membership_totals(issues: DataFrame, sprint_issues: DataFrame, team: str | None = None,
+                      vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """What both achievement reports need of the bridge, one row per sprint and team: the bridge is
+    joined once for the two of them if a caller passes this as their ``totals``."""
     sp = F.col("reported_sp")
-    totals = (
+    return (
         _memberships(issues, sprint_issues, team, vocab)
         .groupBy("sprint_name", "team")
         .agg(F.count("*").alias("total_issues"),
-             F.sum(sp).alias("_sum"),
-             round_sp(sum_if(F.col("is_done"), sp)).alias("done_sp"),
-             round_sp(sum_if(F.col("is_carried"), sp)).alias("carryover_sp"),
+             F.max("created").alias("newest"),
+             F.sum(sp).alias("sp"),
+             sum_if(F.col("is_done"), sp).alias("done"),
+             sum_if(F.col("is_carried"), sp).alias("carried"),
              F.count_if("is_carried").alias("carryover_count"))
-        .filter(F.col("_sum") > 0)
+        .filter(F.col("sp") > 0)
     )
-    planned = planned_value(F.col("planned_sp_snapshot"), round_sp(F.col("_sum")))
+
+
+def sprint_achievement(issues: DataFrame, sprint_issues: DataFrame, sprints: DataFrame,
+                       team: str | None = None, vocab: Vocabulary = DEFAULT,
+                       ordered: bool = True, totals: DataFrame | None = None) -> DataFrame:
+    """Per sprint and team: planned (snapshot, else today's total), done and carried-over work."""
+    found = membership_totals(issues, sprint_issues, team, vocab) if totals is None else totals
+    planned = planned_value(F.col("planned_sp_snapshot"), round_sp(F.col("sp")))
+    done = round_sp(F.col("done"))
     rows = (
-        totals.join(sprints.select("sprint_name", "planned_sp_snapshot"), "sprint_name", "left")
-        .select("sprint_name", "team", "total_issues", planned.alias("planned_sp"), "done_sp",
-                "carryover_sp", "carryover_count",
-                safe_pct(F.col("done_sp"), planned).alias("achievement_pct"))
+        found.join(sprints.select("sprint_name", "planned_sp_snapshot"), "sprint_name", "left")
+        .select("sprint_name", "team", "total_issues", planned.alias("planned_sp"), done.alias("done_sp"),
+                round_sp(F.col("carried")).alias("carryover_sp"), "carryover_count",
+                safe_pct(done, planned).alias("achievement_pct"))
     )
     return sort_if(rows, ordered, "sprint_name", "team")
 
 
 def sprint_achievement_timeline(issues: DataFrame, sprint_issues: DataFrame,
-                                team: str | None = None, vocab: Vocabulary = DEFAULT) -> DataFrame:
+                                team: str | None = None, vocab: Vocabulary = DEFAULT,
+                                totals: DataFrame | None = None) -> DataFrame:
     """Achievement per week and team; a sprint falls in the week of its newest issue."""
-    sp = F.col("reported_sp")
-    per_sprint = (
-        _memberships(issues, sprint_issues, team, vocab)
-        .groupBy("sprint_name", "team")
-        .agg(week_start(F.max("created")).alias("week_start"),
-             F.sum(sp).alias("planned_sp"),
-             sum_if(F.col("is_done"), sp).alias("done_sp"),
-             sum_if(F.col("is_carried"), sp).alias("carryover_sp"))
-        .filter(F.col("planned_sp") > 0)
-    )
+    found = membership_totals(issues, sprint_issues, team, vocab) if totals is None else totals
     return (
-        per_sprint.groupBy("week_start", "team")
-        .agg(F.sum("planned_sp").alias("planned_sp"), F.sum("done_sp").alias("done_sp"),
-             F.sum("carryover_sp").alias("carryover_sp"))
+        found.groupBy(week_start(F.col("newest")).alias("week_start"), "team")
+        .agg(F.sum("sp").alias("planned_sp"), F.sum("done").alias("done_sp"),
+             F.sum("carried").alias("carryover_sp"))
         .withColumn("achievement_pct", safe_pct(F.col("done_sp"), F.col("planned_sp")))
         .orderBy("week_start", "team")
     )

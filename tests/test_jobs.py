@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sprintloom.functions import skew
 from sprintloom.functions.expressions import other_sprint_count
 from sprintloom.operators import metrics, reports, scoring, sprint_reports
-from sprintloom.plans.dashboard import dashboard, shared_totals
+from sprintloom.plans.dashboard import dashboard, shared_completions, shared_memberships, shared_totals, shared_work
 from sprintloom.plans.sync import run_scoring
 from sprintloom.session import shared_dir, written
 from sprintloom.sinks.export import csv_export, dashboard_export
@@ -77,6 +77,27 @@ def test_four_results_share_one_pass_over_the_issues(spark, make, tmp_path, conf
     assert len(wide) == 1 and "description" not in text  # the other scan finds the newest creation time
 
 
+def test_seven_results_share_one_join_of_the_bridge_and_one_of_the_completions(spark, make, tmp_path):
+    make.issues(*[dict(key=f"K{i}", assignee=("ann", "bob", None)[i % 3], sprint_name=("S ScrumA", "S ScrumB", None)[i % 4 % 3], reported_sp=(None, 1.0, 2.5, 0.0)[i % 4],
+                       status_category=("完了", "To Do", None)[i % 5 % 3], created=None if i == 7 else at(f"2025-0{i % 4 + 1}-{i % 27 + 1:02d}"))
+                  for i in range(60)]).write.parquet(str(tmp_path / "issues"))
+    make.bridge(*[(f"S{j}", f"K{i}") for i in range(60) for j in range(i % 3)], ("S9", None), ("S9", "other")).write.parquet(str(tmp_path / "bridge"))
+    issues, bridge = spark.read.parquet(str(tmp_path / "issues")), spark.read.parquet(str(tmp_path / "bridge"))
+    changes = make.changes(*[dict(issue_key=f"K{i % 50}", created=None if i == 11 else at(f"2025-0{i % 3 + 1}-{i % 28 + 1:02d}")) for i in range(0, 70, 2)],
+                           dict(issue_key="K11", created=None), dict(issue_key="gone", created=at("2025-04-20")))
+    tables = {"issues": issues, "issue_changelog": changes, "synced_sprints": make.sprints(dict(sprint_name="S0", planned_sp_snapshot=9.0)),
+              "sprint_issues": bridge, "sprint_metadata": make.metadata(), "sufficiency_snapshots": make.history()}
+    plain = dashboard(tables, "2025-05-01", "2025-02-01")
+    completed = shared_completions(changes)
+    shared = dashboard(tables, "2025-05-01", "2025-02-01", completed=completed, members=shared_memberships(issues, bridge),
+                       work=shared_work(issues, completed))
+    for name in ("velocity", "recentTrend", "individualVelocity", "leaderboardPeriods.last_week", "leaderboardPeriods.last_3_weeks",
+                 "sprintAchievement", "sprintAchievementTimeline"):
+        assert tuples(shared[name]) == tuples(plain[name]), name
+        assert shared[name].dtypes == plain[name].dtypes and (tuples(shared[name]) or "leaderboard" in name), name
+        assert "/issues" not in plan(shared[name]) and "/bridge" not in plan(shared[name])
+
+
 def test_csv_has_header_and_mark_in_every_part(spark, tmp_path):
     df = spark.createDataFrame([("完了, \"x\"", 1.5, day("2025-01-01")), (None, 2.0, None)], "a string, b double, c date")
     csv_export(df.repartition(2), str(tmp_path / "m"))
