@@ -7,7 +7,7 @@ as many bits as the deepest shard has; a shallower shard owns several neighbouri
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sprintloom.session import written
 
@@ -15,6 +15,8 @@ HASH_BITS = 60
 LIMIT = 1 << 20
 # Bits looked at in one pass over the rows, so a pass counts at most 2^STEP parts of each bucket.
 STEP = 10
+# Rows of a table that is broadcast, about 4 MB of the driver's memory. Spark would go by the size of compressed files.
+FEW = 1 << 14
 
 
 def hash_of(doc_id: Column, text: Column) -> Column:
@@ -27,6 +29,34 @@ def _bits(prefix: Column, depth: Column) -> Column:
     return F.when(depth == 0, "").otherwise(F.lpad(F.bin(prefix), depth, F.lit("0")))
 
 
+def _met(rows: DataFrame, found: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` joined with ``found``, a written table of one row per ``key``: broadcast if they are few, else never."""
+    return rows.join(found.hint("broadcast" if found.count() <= FEW else "merge"), key, how)
+
+
+def _leaves(parts: DataFrame, base: int, top: int, limit: int) -> DataFrame:
+    """``fine, leaf`` of the ``parts`` (``fine, bytes, docs``) that have a shard of ``base`` to ``top`` bits.
+
+    Parts of a bucket, 2^(top - base) at most, meet in one window partition. They are sorted once, bit by bit, so that those of
+    any shorter prefix lie together and are each other's peers.
+    """
+    bits = {depth: F.shiftright("fine", top - depth).alias(f"p{depth}") for depth in range(base, top)}
+    sized = parts.select("*", *bits.values())
+    for depth in reversed(bits):
+        peers = Window.partitionBy(f"p{base}")
+        if depth > base:
+            peers = peers.orderBy(*[f"p{d}" for d in range(base + 1, depth + 1)]).rangeBetween(Window.currentRow, Window.currentRow)
+        sized = sized.select("*", F.sum("bytes").over(peers).alias(f"bytes{depth}"), F.sum("docs").over(peers).alias(f"docs{depth}"))
+
+    def leaf(depth: int, prefix: str, docs: str, size: str) -> Column:
+        fits = F.col(size) <= limit
+        return F.when(fits | F.lit(depth == HASH_BITS), F.struct(
+            F.lit(depth).alias("depth"), F.col(prefix).alias("prefix"), F.col(docs).alias("shard_docs"), F.col(size).alias("shard_bytes"), fits.alias("fits")))
+
+    first = F.coalesce(*[leaf(d, f"p{d}", f"docs{d}", f"bytes{d}") for d in bits], leaf(top, "fine", "docs", "bytes"))
+    return sized.select("fine", first.alias("leaf")).filter("leaf is not null")
+
+
 def shards(docs: DataFrame, limit: int = LIMIT, text: str = "text", doc_id: str = "doc_id", step: int = STEP) -> DataFrame:
     """``doc_id, hash, shard, depth, shard_docs, shard_bytes, fits`` for every row of ``docs``.
 
@@ -38,7 +68,7 @@ def shards(docs: DataFrame, limit: int = LIMIT, text: str = "text", doc_id: str
 
     Texts are read once, for their hash and size. A pass sums sizes by the next ``step`` bits, sums combined
     before they are shuffled, and settles all depths in between; only rows of buckets that are still too
-    large go into the next pass.
+    large go into the next pass. Nothing that grows with the table is broadcast.
     """
     rest = written(docs.select(F.col(doc_id).alias("doc_id"), hash_of(F.col(doc_id), F.col(text)).alias("hash"),
                                F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("bytes")), "hashes")
@@ -47,13 +77,8 @@ def shards(docs: DataFrame, limit: int = LIMIT, text: str = "text", doc_id: str
         top = min(base + step, HASH_BITS)
         fine = F.shiftright("hash", HASH_BITS - top)
         parts = written(rest.groupBy(fine.alias("fine")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("docs")), "parts")
-        levels = parts.select("*", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth")).withColumn(
-            "prefix", F.expr(f"shiftright(fine, {top} - depth)"))
-        sizes = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
-        sizes = sizes.withColumn("fits", F.col("shard_bytes") <= limit)
-        settled = levels.select("fine", "depth", "prefix").join(sizes.filter(F.col("fits") | (F.col("depth") == HASH_BITS)), ["depth", "prefix"])
-        leaves = written(settled.groupBy("fine").agg(F.min(F.struct("depth", "prefix", "shard_docs", "shard_bytes", "fits")).alias("leaf")), "leaves")
-        found = written(rest.withColumn("fine", fine).join(leaves, "fine", "left"), "settled")
+        leaves = written(_leaves(parts, base, top, limit), "leaves")
+        found = written(_met(rest.withColumn("fine", fine), leaves, "fine", "left"), "settled")
         done = found.filter("leaf is not null").select(
             "doc_id", "hash", _bits(F.col("leaf.prefix"), F.col("leaf.depth")).alias("shard"), "leaf.depth", "leaf.shard_docs", "leaf.shard_bytes", "leaf.fits")
         out = done if out is None else out.union(done)
@@ -86,5 +111,5 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
         folder = f"_{folder}"
     assigned = written(shards(docs, limit, text, doc_id).select("hash", F.concat(F.lit("root"), "shard").alias("shard")).distinct(), "assigned")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    placed = docs.select(row, hash_of(F.col(doc_id), F.col(text)).alias("_hash")).join(assigned, F.col("_hash") == F.col("hash"))
+    placed = _met(docs.select(row, hash_of(F.col(doc_id), F.col(text)).alias("hash")), assigned, "hash", "inner")
     placed.select("_row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from conftest import dicts
+from conftest import dicts, plan
 from sprintloom.llm import sharding as s
 
 
@@ -42,6 +42,20 @@ def test_equals_brute_force(docs, limit, step):
     assert sorted(out, key=str) == expected(rows, limit)
 
 
+def test_only_few_rows_are_broadcast(spark, docs, monkeypatch):
+    """Parts and shards grow with the table; their files are far smaller than their rows in the driver's memory."""
+    plans, write = [], s.written
+    monkeypatch.setattr(s, "FEW", 20, raising=False)
+    monkeypatch.setattr(s, "written", lambda df, label: (plans.append((label, plan(df))), write(df, label))[1])
+    rows = [(i, "x" * 20) for i in range(300)]
+    assert sorted((tuple(r.values()) for r in dicts(s.shards(docs(rows), 60))), key=str) == expected(rows, 60)
+    assert [label for label, _ in plans] == ["hashes", "parts", "leaves", "settled"]
+    assert not any("Broadcast" in text for _, text in plans) and "SortMergeJoin" in plans[-1][1]
+    for n, join in ((20, "BroadcastHashJoin"), (21, "SortMergeJoin")):
+        met = s._met(spark.range(50).toDF("k"), spark.range(n).selectExpr("id AS k", "id AS v"), "k", "left")
+        assert sum(r["v"] is not None for r in dicts(met)) == n and join in plan(met).split("Initial Plan")[0]
+
+
 def test_directory_covers_every_slot_once(docs):
     rows = [(i, "x" * 20) for i in range(300)]
     slots = sorted((r["first_slot"], r["slots"]) for r in dicts(s.directory(s.shards(docs(rows), 200))))
